@@ -14,6 +14,8 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, functions as F
 
+from .binding import bind
+
 WGS84_SRID = 4326
 BNG_SRID = 27700
 
@@ -198,6 +200,41 @@ def _unproject() -> list[Stage]:
     return [start, *([improve] * NORTHING_ROUNDS), trig, radii, scaled, degrees]
 
 
+def _height_above_wgs84(p: Column) -> Column:
+    # p: phi, flat and z of a point in WGS84 axes
+    sine, cosine = F.sin(p["phi"]), F.cos(p["phi"])
+    return p["flat"] * cosine + p["z"] * sine - WGS84_A * F.sqrt(1 - WGS84_E2 * sine * sine)
+
+
+def _lowered(p: Column) -> Column:
+    # Points of the Airy surface lie off the WGS84 one. Moving them there first makes this the
+    # inverse of the forward direction, which starts from WGS84 points without height.
+    surface = [
+        *_to_cartesian(AIRY_A, AIRY_E2),
+        _linear(TURN_BACK, -TURN_BACK @ SHIFT),
+        *_to_geodetic(WGS84_A, WGS84_E2),
+    ]
+    seen = F.get(apply_stages(F.array(p), surface), F.lit(0))
+    return _struct(phi=p["phi"], lam=p["lam"], h=-bind(seen, _height_above_wgs84))
+
+
+def _raised_cartesian(p: Column) -> Column:
+    sine, cosine = F.sin(p["phi"]), F.cos(p["phi"])
+    nu = AIRY_A / F.sqrt(1 - AIRY_E2 * sine * sine)
+    return _struct(
+        x=(nu + p["h"]) * cosine * F.cos(p["lam"]),
+        y=(nu + p["h"]) * cosine * F.sin(p["lam"]),
+        z=((1 - AIRY_E2) * nu + p["h"]) * sine,
+    )
+
+
+def apply_stages(points: Column, stages: list[Stage]) -> Column:
+    """Run every struct of an array through the stages."""
+    for stage in stages:
+        points = F.transform(points, stage)
+    return points
+
+
 def _from_degrees(p: Column) -> Column:
     return _struct(phi=F.radians(p["y"]), lam=F.radians(p["x"]))
 
@@ -216,7 +253,8 @@ WGS84_TO_BNG: list[Stage] = [
 
 BNG_TO_WGS84: list[Stage] = [
     *_unproject(),
-    *_to_cartesian(AIRY_A, AIRY_E2),
+    _lowered,
+    _raised_cartesian,
     _linear(TURN_BACK, -TURN_BACK @ SHIFT),
     *_to_geodetic(WGS84_A, WGS84_E2),
     _in_degrees,
@@ -225,16 +263,12 @@ BNG_TO_WGS84: list[Stage] = [
 AIRY_TO_GRID: list[Stage] = [_from_degrees, *_project()]
 
 
-def apply_stages(points: Column, stages: list[Stage]) -> Column:
-    """Run every ``struct<x, y>`` of an array through the stages."""
-    for stage in stages:
-        points = F.transform(points, stage)
-    return points
+def _point(x: Column, y: Column) -> Column:
+    return _struct(x=x.cast("double"), y=y.cast("double"))
 
 
 def _single(x: Column, y: Column, stages: list[Stage]) -> Column:
-    point = _struct(x=x.cast("double"), y=y.cast("double"))
-    return F.get(apply_stages(F.array(point), stages), F.lit(0))
+    return F.get(apply_stages(F.array(_point(x, y)), stages), F.lit(0))
 
 
 def wgs84_to_bng(lat: Column, long: Column) -> Column:
@@ -265,8 +299,8 @@ def point_4326(lat: Column, long: Column) -> Column:
 
 def point_27700(lat: Column, long: Column) -> Column:
     """The same point in grid metres."""
-    grid = wgs84_to_bng(lat, long)
-    tagged = F.transform(
-        F.array(grid), lambda p: F.struct(F.lit(BNG_SRID).alias("srid"), p["x"].alias("x"), p["y"].alias("y"))
-    )
-    return F.when(lat.isNotNull() & long.isNotNull(), F.get(tagged, F.lit(0)))
+    def tag(p: Column) -> Column:
+        return F.struct(F.lit(BNG_SRID).alias("srid"), p["x"].alias("x"), p["y"].alias("y"))
+
+    grid = F.transform(apply_stages(F.array(_point(long, lat)), WGS84_TO_BNG), tag)
+    return F.when(lat.isNotNull() & long.isNotNull(), F.get(grid, F.lit(0)))

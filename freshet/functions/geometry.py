@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import bind
 from .geodesy import WGS84_TO_BNG, apply_stages
 
 PLACES = 6
@@ -25,11 +26,14 @@ def geojson_multipolygon(text: Column) -> Column:
     geometry = F.from_json(
         F.get_json_object(text, "$.features[0].geometry"), "type string, coordinates string"
     )
-    coordinates = geometry["coordinates"]
-    kind = geometry["type"]
-    return F.when(kind == "Polygon", F.array(F.from_json(coordinates, POLYGON_TYPE))).when(
-        kind == "MultiPolygon", F.from_json(coordinates, MULTIPOLYGON_TYPE)
-    )
+
+    def shape(found: Column) -> Column:
+        coordinates, kind = found["coordinates"], found["type"]
+        return F.when(kind == "Polygon", F.array(F.from_json(coordinates, POLYGON_TYPE))).when(
+            kind == "MultiPolygon", F.from_json(coordinates, MULTIPOLYGON_TYPE)
+        )
+
+    return bind(geometry, shape)
 
 
 def rings(multipolygon: Column) -> Column:
@@ -57,17 +61,22 @@ def rings_in_bng(ring_list: Column) -> Column:
 
 def bounds(ring_list: Column) -> Column:
     """``struct<min_x, min_y, max_x, max_y>`` of the outlines."""
-    outlines = F.filter(ring_list, lambda ring: ring["sign"] == 1)
 
-    def coordinates(axis: str) -> Column:
-        return F.flatten(F.transform(outlines, lambda ring: ring["points"][axis]))
+    def axes(outlines: Column) -> Column:
+        return F.struct(
+            *[F.flatten(F.transform(outlines, lambda ring: ring["points"][axis])).alias(axis) for axis in ("x", "y")]
+        )
 
-    return F.struct(
-        F.array_min(coordinates("x")).alias("min_x"),
-        F.array_min(coordinates("y")).alias("min_y"),
-        F.array_max(coordinates("x")).alias("max_x"),
-        F.array_max(coordinates("y")).alias("max_y"),
-    )
+    def extremes(all_values: Column) -> Column:
+        return F.struct(
+            F.array_min(all_values["x"]).alias("min_x"),
+            F.array_min(all_values["y"]).alias("min_y"),
+            F.array_max(all_values["x"]).alias("max_x"),
+            F.array_max(all_values["y"]).alias("max_y"),
+        )
+
+    outlines = F.filter(ring_list, lambda ring: ring["sign"] == 1)
+    return bind(outlines, lambda found: bind(axes(found), extremes))
 
 
 def _ring_sums(ring: Column) -> Column:
@@ -98,7 +107,11 @@ def _ring_sums(ring: Column) -> Column:
 
 def area_and_centroid(ring_list: Column) -> Column:
     """``struct<area, cx, cy>``: holes subtract, parts weigh by area, winding is ignored."""
-    sums = F.transform(ring_list, _ring_sums)
+    return bind(F.transform(ring_list, _ring_sums), _combined)
+
+
+def _combined(sums: Column) -> Column:
+    # first moments are taken relative to the first vertex of the first ring
     base = F.get(sums, F.lit(0))
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
 

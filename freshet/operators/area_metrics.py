@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.binding import bind
 from ..functions.geodesy import BNG_SRID, WGS84_SRID, tagged_point
 from ..functions.geometry import (
     area_and_centroid,
@@ -19,26 +20,34 @@ from ..session import staged
 from .joins import lookup
 
 
+def _measures(text: Column) -> Column:
+    def on_grid(ring_list: Column) -> Column:
+        return F.struct(bounds(ring_list).alias("box"), area_and_centroid(ring_list).alias("mass"))
+
+    def in_both(ring_list: Column) -> Column:
+        return F.struct(
+            bounds(ring_list).alias("box_wgs84"),
+            area_and_centroid(ring_list).alias("mass_wgs84"),
+            bind(rings_in_bng(ring_list), on_grid).alias("bng"),
+        )
+
+    return bind(rings(geojson_multipolygon(text)), in_both)
+
+
 def measured_polygons(polygons: DataFrame, text: str = "polygon_json") -> DataFrame:
     """Add the structs ``box_wgs84, mass_wgs84, box_bng, mass_bng`` of each GeoJSON polygon.
 
-    All four are null where the text holds no polygon.
+    Their fields are null where the text holds no polygon.
     """
-    shaped = polygons.withColumn("_rings", rings(geojson_multipolygon(F.col(text))))
-    projected = shaped.withColumn("_rings_bng", rings_in_bng(F.col("_rings")))
-    present = F.size("_rings") > 0
-
-    def measure(function, ring_list: str) -> Column:
-        return F.when(present, function(F.col(ring_list)))
-
-    return projected.withColumns(
-        {
-            "box_wgs84": measure(bounds, "_rings"),
-            "mass_wgs84": measure(area_and_centroid, "_rings"),
-            "box_bng": measure(bounds, "_rings_bng"),
-            "mass_bng": measure(area_and_centroid, "_rings_bng"),
-        }
-    ).drop("_rings", "_rings_bng")
+    # a generated column is computed once; filters on it are not copied below it
+    measured = polygons.select("*", F.inline(F.array(_measures(F.col(text)))))
+    return measured.select(
+        *polygons.columns,
+        "box_wgs84",
+        "mass_wgs84",
+        F.col("bng.box").alias("box_bng"),
+        F.col("bng.mass").alias("mass_bng"),
+    )
 
 
 def _is_measured() -> Column:

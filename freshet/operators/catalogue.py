@@ -6,12 +6,15 @@ one item. Entities are keyed by their URI, ``json_id``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsontext as J
 from ..functions.constants import FLOOD_ROOT
 from ..functions.dates import parse_date, parse_datetime
 from ..functions.geodesy import point_4326, point_27700
+from ..functions.geometry import geojson_multipolygon
 from ..functions.notation import root_templated, station_id_of
 from ..functions.values import integer_or_zero, number_or_null, number_or_zero
 
@@ -67,6 +70,10 @@ def _parsed(items: DataFrame, schema: str) -> DataFrame:
     return items.select("batch_id", F.from_json("raw", schema).alias("i"))
 
 
+def _located(items: DataFrame, schema: str, number: Callable[[Column], Column]) -> DataFrame:
+    return _parsed(items, schema).withColumns({"lat": number(_field("lat")), "long": number(_field("long"))})
+
+
 def _field(name: str) -> Column:
     return F.col(f"i.`{name}`")
 
@@ -82,14 +89,13 @@ def raw_documents(items: DataFrame) -> DataFrame:
 
 def hydrology_stations(items: DataFrame) -> DataFrame:
     """Hydrology stations, one row each."""
-    lat, long = number_or_null(_field("lat")), number_or_null(_field("long"))
-    return _parsed(items, HYD_STATION_ITEM).select(
+    return _located(items, HYD_STATION_ITEM, number_or_null).select(
         "batch_id",
         *_renamed({"json_id": "@id", "label": "label", "notation": "notation"}),
         number_or_null(_field("easting")).alias("easting"),
         number_or_null(_field("northing")).alias("northing"),
-        lat.alias("lat"),
-        long.alias("long"),
+        "lat",
+        "long",
         *_renamed({
             "catchment_name": "catchmentName",
             "river_name": "riverName",
@@ -114,8 +120,8 @@ def hydrology_stations(items: DataFrame) -> DataFrame:
         J.member(_field("dataQualityStatement"), "@id").alias("data_quality_statement"),
         J.member(_field("sampleOf"), "@id").alias("sample_of_id"),
         J.member(_field("sampleOf"), "label").alias("sample_of_label"),
-        point_4326(lat, long).alias("geom4326"),
-        point_27700(lat, long).alias("geom27700"),
+        point_4326(F.col("lat"), F.col("long")).alias("geom4326"),
+        point_27700(F.col("lat"), F.col("long")).alias("geom27700"),
     )
 
 
@@ -201,14 +207,13 @@ def hydrology_measures(items: DataFrame) -> DataFrame:
 
 def flood_stations(items: DataFrame) -> DataFrame:
     """Flood-monitoring stations, one row each; repeated coordinates give the first one."""
-    lat, long = J.first_number(_field("lat")), J.first_number(_field("long"))
-    return _parsed(items, FLD_STATION_ITEM).select(
+    return _located(items, FLD_STATION_ITEM, J.first_number).select(
         "batch_id",
         *_renamed({"json_id": "@id", "label": "label", "notation": "notation"}),
         J.first_number(_field("easting")).alias("easting"),
         J.first_number(_field("northing")).alias("northing"),
-        lat.alias("lat"),
-        long.alias("long"),
+        "lat",
+        "long",
         *_renamed({
             "catchment_name": "catchmentName",
             "river_name": "riverName",
@@ -220,8 +225,8 @@ def flood_stations(items: DataFrame) -> DataFrame:
         parse_date(_field("dateOpened")).alias("date_opened"),
         *_renamed({"stage_scale": "stageScale", "status": "status"}),
         number_or_null(_field("datumOffset")).alias("datum_offset"),
-        point_4326(lat, long).alias("geom4326"),
-        point_27700(lat, long).alias("geom27700"),
+        point_4326(F.col("lat"), F.col("long")).alias("geom4326"),
+        point_27700(F.col("lat"), F.col("long")).alias("geom27700"),
     )
 
 
@@ -270,8 +275,7 @@ def flood_measures(items: DataFrame) -> DataFrame:
 
 def flood_areas(items: DataFrame) -> DataFrame:
     """Hazard areas, one row each; missing coordinates are 0 while the points stay null."""
-    lat, long = _field("lat"), _field("long")
-    return _parsed(items, AREA_ITEM).select(
+    return _located(items, AREA_ITEM, number_or_null).select(
         "batch_id",
         F.xxhash64(_field("@id")).alias("floodarea_id"),
         root_templated(_field("@id"), FLOOD_ROOT).alias("envagy_id"),
@@ -284,20 +288,18 @@ def flood_areas(items: DataFrame) -> DataFrame:
             "fwdcode": "fwdCode",
             "label": "label",
         }),
-        number_or_zero(lat).alias("lat"),
-        number_or_zero(long).alias("long"),
+        F.coalesce("lat", F.lit(0.0)).alias("lat"),
+        F.coalesce("long", F.lit(0.0)).alias("long"),
         _field("notation").alias("notation"),
         root_templated(_field("polygon"), FLOOD_ROOT).alias("polygon"),
         *_renamed({"quickdialnumber": "quickDialNumber", "riverorsea": "riverOrSea"}),
-        point_4326(number_or_null(lat), number_or_null(long)).alias("geom4326"),
-        point_27700(number_or_null(lat), number_or_null(long)).alias("geom27700"),
+        point_4326(F.col("lat"), F.col("long")).alias("geom4326"),
+        point_27700(F.col("lat"), F.col("long")).alias("geom27700"),
     )
 
 
 def area_polygons(areas: DataFrame, documents: DataFrame) -> DataFrame:
     """``areas`` with their landed polygon text; areas without a usable document are left out."""
-    from ..functions.geometry import geojson_multipolygon
-
     accepted = documents.select("fwdcode", J.accepted_geojson(F.col("polygon_json")).alias("polygon_json"))
     return (
         areas.select("floodarea_id", "fwdcode", "lat", "long", "geom4326", "geom27700")

@@ -32,11 +32,11 @@ def area_regex_filter(spark, sf_dir):
 @query(
     "area_ilike_filter",
     f"""select floodarea_id, {COLUMNS} from ({AREA_SQL}) a
-        where county ilike '%nation_1%' and description ilike '%ST__L%' and riverorsea ilike '%brand%'""",
+        where county ilike '%nation_1%' and description ilike '%SM__L%' and riverorsea ilike '%brand%'""",
 )
 def area_ilike_filter(spark, sf_dir):
     rows = filters.areas_like(
-        derive(spark, sf_dir, AREAS), county="nation_1", description="ST__L", riverorsea="br\\and", label=""
+        derive(spark, sf_dir, AREAS), county="nation_1", description="SM__L", riverorsea="br\\and", label=""
     )
     return rows.select("floodarea_id", *AREA_COLUMNS)
 
@@ -116,7 +116,7 @@ def parameterized_sql(spark, sf_dir):
     "area_view",
     f"""with m as (select *, rank() over (order by area_m2 desc) as rank from ({METRIC_SQL}) k)
         select a.floodarea_id, a.fwdcode, a.eaareaname, a.county, a.description, a.label, a.riverorsea,
-          p.lat, p.long, round(m.bcen_e, 3) as bcen_bng_long, round(m.bcen_n, 3) as bcen_bng_lat,
+          p.lat, p.long, round(round(m.bcen_e, 6), 3) as bcen_bng_long, round(round(m.bcen_n, 6), 3) as bcen_bng_lat,
           round(m.area_m2, 2) as area_m2, m.rank, p.polygon_json
         from ({AREA_SQL}) a
         left join (select a2.floodarea_id, a2.lat, a2.long, t.polygon_json from ({AREA_SQL}) a2

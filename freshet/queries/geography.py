@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geodesy as G
 from ..functions.geometry import geojson_multipolygon
 from ..operators import area_metrics as M
+from ..session import staged
 from .inputs import BOXES, STATIONS, derive, plain
 from .registry import query
 
@@ -55,7 +56,8 @@ POLYGON_TEXT = plain(POLYGONS)
 
 
 def polygons(spark, sf_dir) -> DataFrame:
-    return derive(spark, sf_dir, POLYGONS)
+    """The polygon documents, written out as they would have landed."""
+    return staged(derive(spark, sf_dir, POLYGONS), "polygon-documents")
 
 
 # --- the same measures in plain SQL ---------------------------------------------
@@ -224,8 +226,8 @@ def geojson_shapes(spark, sf_dir):
     "polygon_bbox",
     f"""select floodarea_id, min_lat as bbox_wgs84_min_lat, min_long as bbox_wgs84_min_long, max_lat as bbox_wgs84_max_lat,
           max_long as bbox_wgs84_max_long, round(bcen_lat, 6) as bcen_wgs84_lat, round(bcen_long, 6) as bcen_wgs84_long,
-          round(min_n, 3) as bbox_bng_min_lat, round(min_e, 3) as bbox_bng_min_long, round(max_n, 3) as bbox_bng_max_lat,
-          round(max_e, 3) as bbox_bng_max_long, round(bcen_n, 3) as bcen_bng_lat, round(bcen_e, 3) as bcen_bng_long
+          round(round(min_n, 6), 3) as bbox_bng_min_lat, round(round(min_e, 6), 3) as bbox_bng_min_long, round(round(max_n, 6), 3) as bbox_bng_max_lat,
+          round(round(max_e, 6), 3) as bbox_bng_max_long, round(round(bcen_n, 6), 3) as bcen_bng_lat, round(round(bcen_e, 6), 3) as bcen_bng_long
         from ({METRIC_SQL}) m""",
 )
 def polygon_bbox(spark, sf_dir):
@@ -244,7 +246,7 @@ def polygon_bbox(spark, sf_dir):
 @query(
     "polygon_centroid",
     f"""select floodarea_id, round(cen_lat, 6) as mpoly_cent_wgs84_lat, round(cen_long, 6) as mpoly_cent_wgs84_long,
-          round(cen_n, 3) as mpoly_cent_bng_lat, round(cen_e, 3) as mpoly_cent_bng_long from ({METRIC_SQL}) m""",
+          round(round(cen_n, 6), 3) as mpoly_cent_bng_lat, round(round(cen_e, 6), 3) as mpoly_cent_bng_long from ({METRIC_SQL}) m""",
 )
 def polygon_centroid(spark, sf_dir):
     return metrics(spark, sf_dir).select(
@@ -285,8 +287,8 @@ def area_rank(spark, sf_dir):
 
 @query(
     "metrics_projection",
-    f"""select floodarea_id, round(min_n, 3) as bbox_bng_min_lat, round(max_e, 3) as bbox_bng_max_long,
-          round(bcen_n, 3) as bcen_bng_lat, round(cen_e, 3) as mpoly_cent_bng_long, round(bcen_lat, 6) as bcen_wgs84_lat,
+    f"""select floodarea_id, round(round(min_n, 6), 3) as bbox_bng_min_lat, round(round(max_e, 6), 3) as bbox_bng_max_long,
+          round(round(bcen_n, 6), 3) as bcen_bng_lat, round(round(cen_e, 6), 3) as mpoly_cent_bng_long, round(bcen_lat, 6) as bcen_wgs84_lat,
           round(cen_long, 6) as mpoly_cent_wgs84_long, min_lat as bbox_wgs84_min_lat,
           cast(rank() over (order by round(area_m2, 2) desc) as integer) as rank
         from ({METRIC_SQL}) m""",
@@ -310,7 +312,7 @@ def metrics_projection(spark, sf_dir):
 
 @query(
     "bbox_geometry",
-    f"""select floodarea_id, 4326 as srid, 5 as n_positions, max_long as first_x, min_lat as first_y, round(cen_e, 3) as centroid_x,
+    f"""select floodarea_id, 4326 as srid, 5 as n_positions, max_long as first_x, min_lat as first_y, round(round(cen_e, 6), 3) as centroid_x,
           27700 as centroid_srid
         from ({METRIC_SQL}) m""",
 )
