@@ -2,19 +2,17 @@
 
 The shift between the two datums is the published seven-parameter similarity
 transform, good to about 5 m against the grid-file method. Formulas are the
-Ordnance Survey's transverse Mercator series. Each stage maps a struct of
-intermediate results to the next one, so that nothing is computed twice.
+Ordnance Survey's transverse Mercator series. Each step is a projection on
+the one before, so that no intermediate result is computed twice.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import numpy as np
-from pyspark.sql import Column, functions as F
-
-from .binding import bind
+from pyspark.sql import Column, DataFrame, functions as F
 
 WGS84_SRID = 4326
 BNG_SRID = 27700
@@ -43,28 +41,25 @@ SHIFT = np.array([SHIFT_TX, SHIFT_TY, SHIFT_TZ])
 TURN = np.array([[_SCALE, -_RZ, _RY], [_RZ, _SCALE, -_RX], [-_RY, _RX, _SCALE]])
 TURN_BACK = np.linalg.inv(TURN)
 
-LATITUDE_ROUNDS = 5
 NORTHING_ROUNDS = 6
 
-Stage = Callable[[Column], Column]
-
-
-def _struct(**fields: Column) -> Column:
-    return F.struct(*[column.alias(name) for name, column in fields.items()])
+# Named values of a point to the named values of the next step.
+Values = Mapping[str, Column]
+Stage = Callable[[Values], dict[str, Column]]
 
 
 def _to_cartesian(a: float, e2: float) -> list[Stage]:
-    def trig(p: Column) -> Column:
-        return _struct(
+    def trig(p: Values) -> dict[str, Column]:
+        return dict(
             sin_phi=F.sin(p["phi"]), cos_phi=F.cos(p["phi"]), sin_lam=F.sin(p["lam"]), cos_lam=F.cos(p["lam"])
         )
 
-    def radius(p: Column) -> Column:
+    def radius(p: Values) -> dict[str, Column]:
         nu = a / F.sqrt(1 - e2 * p["sin_phi"] * p["sin_phi"])
-        return _struct(nu=nu, **{n: p[n] for n in ("sin_phi", "cos_phi", "sin_lam", "cos_lam")})
+        return dict(nu=nu, **{n: p[n] for n in ("sin_phi", "cos_phi", "sin_lam", "cos_lam")})
 
-    def point(p: Column) -> Column:
-        return _struct(
+    def point(p: Values) -> dict[str, Column]:
+        return dict(
             x=p["nu"] * p["cos_phi"] * p["cos_lam"],
             y=p["nu"] * p["cos_phi"] * p["sin_lam"],
             z=(1 - e2) * p["nu"] * p["sin_phi"],
@@ -74,31 +69,38 @@ def _to_cartesian(a: float, e2: float) -> list[Stage]:
 
 
 def _linear(matrix: np.ndarray, offset: np.ndarray) -> Stage:
-    def apply(p: Column) -> Column:
+    def apply(p: Values) -> dict[str, Column]:
         rows = [
             float(m[0]) * p["x"] + float(m[1]) * p["y"] + float(m[2]) * p["z"] + float(t)
             for m, t in zip(matrix, offset)
         ]
-        return _struct(x=rows[0], y=rows[1], z=rows[2])
+        return dict(x=rows[0], y=rows[1], z=rows[2])
 
     return apply
 
 
-def _to_geodetic(a: float, e2: float) -> list[Stage]:
-    def start(p: Column) -> Column:
-        flat = F.sqrt(p["x"] * p["x"] + p["y"] * p["y"])
-        return _struct(phi=F.atan2(p["z"], flat * (1 - e2)), lam=F.atan2(p["y"], p["x"]), z=p["z"], flat=flat)
+def _to_geodetic(a: float, b: float) -> list[Stage]:
+    e2 = 1 - (b / a) ** 2
+    second_e2 = (a / b) ** 2 - 1
 
-    def sine(p: Column) -> Column:
-        return _struct(sin_phi=F.sin(p["phi"]), lam=p["lam"], z=p["z"], flat=p["flat"])
+    def axes(p: Values) -> dict[str, Column]:
+        return dict(lam=F.atan2(p["y"], p["x"]), z=p["z"], flat=F.sqrt(p["x"] * p["x"] + p["y"] * p["y"]))
 
-    def improve(p: Column) -> Column:
-        nu = a / F.sqrt(1 - e2 * p["sin_phi"] * p["sin_phi"])
-        return _struct(
-            phi=F.atan2(p["z"] + e2 * nu * p["sin_phi"], p["flat"]), lam=p["lam"], z=p["z"], flat=p["flat"]
-        )
+    def reduced(p: Values) -> dict[str, Column]:
+        # sine and cosine of the reduced latitude
+        u, v = p["z"] * a, p["flat"] * b
+        return dict(u=u, v=v, scale=1 / F.sqrt(u * u + v * v), lam=p["lam"], z=p["z"], flat=p["flat"])
+
+    def unit(p: Values) -> dict[str, Column]:
+        return dict(su=p["u"] * p["scale"], cu=p["v"] * p["scale"], lam=p["lam"], z=p["z"], flat=p["flat"])
 
-    return [start, *([sine, improve] * LATITUDE_ROUNDS)]
+    def latitude(p: Values) -> dict[str, Column]:
+        # Bowring's formula, exact to rounding for points near the surface
+        up = p["z"] + (second_e2 * b) * p["su"] * p["su"] * p["su"]
+        out = p["flat"] - (e2 * a) * p["cu"] * p["cu"] * p["cu"]
+        return dict(phi=F.atan2(up, out), lam=p["lam"], z=p["z"], flat=p["flat"])
+
+    return [axes, reduced, unit, latitude]
 
 
 def _meridian_arc(phi: Column) -> Column:
@@ -112,11 +114,11 @@ def _meridian_arc(phi: Column) -> Column:
     )
 
 
-def _curvature(p: Column, **carried: Column) -> Column:
+def _curvature(p: Values, **carried: Column) -> dict[str, Column]:
     # nu and rho: radii of curvature across and along the meridian; t: squared tangent
     w = 1 - AIRY_E2 * p["s"] * p["s"]
     root = F.sqrt(w)
-    return _struct(
+    return dict(
         nu=AIRY_A * GRID_SCALE / root,
         rho=AIRY_A * GRID_SCALE * (1 - AIRY_E2) / (w * root),
         s=p["s"],
@@ -127,16 +129,16 @@ def _curvature(p: Column, **carried: Column) -> Column:
 
 
 def _project() -> list[Stage]:
-    def trig(p: Column) -> Column:
-        return _struct(
+    def trig(p: Values) -> dict[str, Column]:
+        return dict(
             s=F.sin(p["phi"]), c=F.cos(p["phi"]), arc=_meridian_arc(p["phi"]), d=p["lam"] - LAM0
         )
 
-    def radii(p: Column) -> Column:
+    def radii(p: Values) -> dict[str, Column]:
         return _curvature(p, arc=p["arc"], d=p["d"])
 
-    def powers(p: Column) -> Column:
-        return _struct(
+    def powers(p: Values) -> dict[str, Column]:
+        return dict(
             **{n: p[n] for n in ("nu", "s", "c", "t", "arc", "d")},
             ratio=p["nu"] / p["rho"],
             c3=p["c"] * p["c"] * p["c"],
@@ -144,7 +146,7 @@ def _project() -> list[Stage]:
             d2=p["d"] * p["d"],
         )
 
-    def grid(p: Column) -> Column:
+    def grid(p: Values) -> dict[str, Column]:
         nu, s, c, t, d, d2 = (p[n] for n in ("nu", "s", "c", "t", "d", "d2"))
         eta2 = p["ratio"] - 1
         north2 = nu / 2 * s * c
@@ -153,7 +155,7 @@ def _project() -> list[Stage]:
         east1 = nu * c
         east3 = nu / 6 * p["c3"] * (p["ratio"] - t)
         east5 = nu / 120 * p["c5"] * (5 - 18 * t + t * t + 14 * eta2 - 58 * t * eta2)
-        return _struct(
+        return dict(
             x=GRID_E0 + d * (east1 + d2 * (east3 + d2 * east5)),
             y=GRID_N0 + p["arc"] + d2 * (north2 + d2 * (north4 + d2 * north6)),
         )
@@ -162,26 +164,26 @@ def _project() -> list[Stage]:
 
 
 def _unproject() -> list[Stage]:
-    def start(p: Column) -> Column:
+    def start(p: Values) -> dict[str, Column]:
         north = p["y"] - GRID_N0
-        return _struct(phi=north / (AIRY_A * GRID_SCALE) + PHI0, north=north, e=p["x"] - GRID_E0)
+        return dict(phi=north / (AIRY_A * GRID_SCALE) + PHI0, north=north, e=p["x"] - GRID_E0)
 
-    def improve(p: Column) -> Column:
+    def improve(p: Values) -> dict[str, Column]:
         step = (p["north"] - _meridian_arc(p["phi"])) / (AIRY_A * GRID_SCALE)
-        return _struct(phi=p["phi"] + step, north=p["north"], e=p["e"])
+        return dict(phi=p["phi"] + step, north=p["north"], e=p["e"])
 
-    def trig(p: Column) -> Column:
-        return _struct(s=F.sin(p["phi"]), c=F.cos(p["phi"]), phi=p["phi"], e=p["e"])
+    def trig(p: Values) -> dict[str, Column]:
+        return dict(s=F.sin(p["phi"]), c=F.cos(p["phi"]), phi=p["phi"], e=p["e"])
 
-    def radii(p: Column) -> Column:
+    def radii(p: Values) -> dict[str, Column]:
         return _curvature(p, phi=p["phi"], e=p["e"])
 
-    def scaled(p: Column) -> Column:
-        return _struct(
+    def scaled(p: Values) -> dict[str, Column]:
+        return dict(
             u=p["e"] / p["nu"], ratio=p["nu"] / p["rho"], t=p["t"], tangent=p["s"] / p["c"], c=p["c"], phi=p["phi"]
         )
 
-    def degrees(p: Column) -> Column:
+    def degrees(p: Values) -> dict[str, Column]:
         # u is the easting in units of nu, so every term of the series is dimensionless
         t, u, ratio = p["t"], p["u"], p["ratio"]
         u2 = u * u
@@ -192,7 +194,7 @@ def _unproject() -> list[Stage]:
         east3 = (ratio + 2 * t) / 6
         east5 = (5 + 28 * t + 24 * t * t) / 120
         east7 = (61 + 662 * t + 1320 * t * t + 720 * t * t * t) / 5040
-        return _struct(
+        return dict(
             phi=p["phi"] - p["tangent"] * ratio * u2 * (south2 - u2 * (south4 - u2 * south6)),
             lam=LAM0 + u / p["c"] * (1 - u2 * (east3 - u2 * (east5 - u2 * east7))),
         )
@@ -200,90 +202,75 @@ def _unproject() -> list[Stage]:
     return [start, *([improve] * NORTHING_ROUNDS), trig, radii, scaled, degrees]
 
 
-def _height_above_wgs84(p: Column) -> Column:
-    # p: phi, flat and z of a point in WGS84 axes
+def _height_above_wgs84(p: Values) -> dict[str, Column]:
     sine, cosine = F.sin(p["phi"]), F.cos(p["phi"])
-    return p["flat"] * cosine + p["z"] * sine - WGS84_A * F.sqrt(1 - WGS84_E2 * sine * sine)
-
+    return dict(h=p["flat"] * cosine + p["z"] * sine - WGS84_A * F.sqrt(1 - WGS84_E2 * sine * sine))
 
-def _lowered(p: Column) -> Column:
-    # Points of the Airy surface lie off the WGS84 one. Moving them there first makes this the
-    # inverse of the forward direction, which starts from WGS84 points without height.
-    surface = [
-        *_to_cartesian(AIRY_A, AIRY_E2),
-        _linear(TURN_BACK, -TURN_BACK @ SHIFT),
-        *_to_geodetic(WGS84_A, WGS84_E2),
-    ]
-    seen = F.get(apply_stages(F.array(p), surface), F.lit(0))
-    return _struct(phi=p["phi"], lam=p["lam"], h=-bind(seen, _height_above_wgs84))
 
-
-def _raised_cartesian(p: Column) -> Column:
+def _raised(p: Values) -> dict[str, Column]:
     sine, cosine = F.sin(p["phi"]), F.cos(p["phi"])
     nu = AIRY_A / F.sqrt(1 - AIRY_E2 * sine * sine)
-    return _struct(
+    return dict(
         x=(nu + p["h"]) * cosine * F.cos(p["lam"]),
         y=(nu + p["h"]) * cosine * F.sin(p["lam"]),
         z=((1 - AIRY_E2) * nu + p["h"]) * sine,
     )
 
 
-def apply_stages(points: Column, stages: list[Stage]) -> Column:
-    """Run every struct of an array through the stages."""
-    for stage in stages:
-        points = F.transform(points, stage)
-    return points
-
-
-def _from_degrees(p: Column) -> Column:
-    return _struct(phi=F.radians(p["y"]), lam=F.radians(p["x"]))
-
+def _from_degrees(p: Values) -> dict[str, Column]:
+    return dict(phi=F.radians(p["lat"]), lam=F.radians(p["long"]))
 
-def _in_degrees(p: Column) -> Column:
-    return _struct(x=F.degrees(p["lam"]), y=F.degrees(p["phi"]))
 
+def _in_degrees(p: Values) -> dict[str, Column]:
+    return dict(lat=F.degrees(p["phi"]), long=F.degrees(p["lam"]))
 
-WGS84_TO_BNG: list[Stage] = [
-    _from_degrees,
-    *_to_cartesian(WGS84_A, WGS84_E2),
-    _linear(TURN, SHIFT),
-    *_to_geodetic(AIRY_A, AIRY_E2),
-    *_project(),
-]
 
-BNG_TO_WGS84: list[Stage] = [
-    *_unproject(),
-    _lowered,
-    _raised_cartesian,
-    _linear(TURN_BACK, -TURN_BACK @ SHIFT),
-    *_to_geodetic(WGS84_A, WGS84_E2),
-    _in_degrees,
-]
+_TO_AIRY = [*_to_cartesian(WGS84_A, WGS84_E2), _linear(TURN, SHIFT), *_to_geodetic(AIRY_A, AIRY_B)]
+_SHIFT_BACK = _linear(TURN_BACK, -TURN_BACK @ SHIFT)
 
-AIRY_TO_GRID: list[Stage] = [_from_degrees, *_project()]
 
+def _run(df: DataFrame, stages: list[Stage], inputs: dict[str, str], tag: str) -> tuple[DataFrame, dict[str, str]]:
+    """Add one projection per stage. Returns the frame and the columns that hold the last values."""
+    names = inputs
+    for number, stage in enumerate(stages):
+        values = stage({name: F.col(f"`{column}`") for name, column in names.items()})
+        names = {name: f"_{tag}{number}_{name}" for name in values}
+        df = df.withColumns({names[name]: value for name, value in values.items()})
+    return df, names
 
-def _point(x: Column, y: Column) -> Column:
-    return _struct(x=x.cast("double"), y=y.cast("double"))
 
+def _finished(df: DataFrame, kept: list[str], results: dict[str, str]) -> DataFrame:
+    return df.select(
+        *[F.col(f"`{name}`") for name in kept], *[F.col(column).alias(name) for name, column in results.items()]
+    )
 
-def _single(x: Column, y: Column, stages: list[Stage]) -> Column:
-    return F.get(apply_stages(F.array(_point(x, y)), stages), F.lit(0))
 
+def with_bng(df: DataFrame, lat: str = "lat", long: str = "long", x: str = "x", y: str = "y") -> DataFrame:
+    """Add grid metres ``x, y`` of WGS84 degrees; null if a coordinate is null."""
+    stages = [_from_degrees, *_TO_AIRY, *_project()]
+    done, names = _run(df, stages, {"lat": lat, "long": long}, "f")
+    return _finished(done, df.columns, {x: names["x"], y: names["y"]})
 
-def wgs84_to_bng(lat: Column, long: Column) -> Column:
-    """``struct<x, y>`` in metres; null if a coordinate is null."""
-    return F.when(lat.isNotNull() & long.isNotNull(), _single(long, lat, WGS84_TO_BNG))
 
+def with_grid(df: DataFrame, lat: str = "lat", long: str = "long", x: str = "x", y: str = "y") -> DataFrame:
+    """Add grid metres ``x, y`` of degrees that are already on the Airy ellipsoid."""
+    done, names = _run(df, [_from_degrees, *_project()], {"lat": lat, "long": long}, "f")
+    return _finished(done, df.columns, {x: names["x"], y: names["y"]})
 
-def bng_to_wgs84(x: Column, y: Column) -> Column:
-    """``struct<x, y>`` in degrees (x is the longitude); null if a coordinate is null."""
-    return F.when(x.isNotNull() & y.isNotNull(), _single(x, y, BNG_TO_WGS84))
 
+def with_wgs84(df: DataFrame, x: str = "x", y: str = "y", lat: str = "lat", long: str = "long") -> DataFrame:
+    """Add WGS84 degrees ``lat, long`` of grid metres; null if a coordinate is null.
 
-def airy_to_grid(lat: Column, long: Column) -> Column:
-    """Grid metres of coordinates that are already on the Airy ellipsoid."""
-    return _single(long, lat, AIRY_TO_GRID)
+    Points of the Airy surface lie off the WGS84 one. They are moved there
+    first, which makes this the inverse of :func:`with_bng`.
+    """
+    airy, point = _run(df, _unproject(), {"x": x, "y": y}, "u")
+    surface = [*_to_cartesian(AIRY_A, AIRY_E2), _SHIFT_BACK, *_to_geodetic(WGS84_A, WGS84_B), _height_above_wgs84]
+    seen, height = _run(airy, surface, point, "h")
+    lowered = seen.withColumn("_below", -F.col(height["h"]))
+    back = [_raised, _SHIFT_BACK, *_to_geodetic(WGS84_A, WGS84_B), _in_degrees]
+    done, names = _run(lowered, back, {**point, "h": "_below"}, "b")
+    return _finished(done, df.columns, {lat: names["lat"], long: names["long"]})
 
 
 def tagged_point(srid: int, x: Column, y: Column) -> Column:
@@ -292,15 +279,12 @@ def tagged_point(srid: int, x: Column, y: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), point)
 
 
-def point_4326(lat: Column, long: Column) -> Column:
-    """The point in degrees; x is the longitude."""
-    return tagged_point(WGS84_SRID, long, lat)
-
-
-def point_27700(lat: Column, long: Column) -> Column:
-    """The same point in grid metres."""
-    def tag(p: Column) -> Column:
-        return F.struct(F.lit(BNG_SRID).alias("srid"), p["x"].alias("x"), p["y"].alias("y"))
-
-    grid = F.transform(apply_stages(F.array(_point(long, lat)), WGS84_TO_BNG), tag)
-    return F.when(lat.isNotNull() & long.isNotNull(), F.get(grid, F.lit(0)))
+def with_points(df: DataFrame, lat: str = "lat", long: str = "long") -> DataFrame:
+    """Add ``geom4326`` (x is the longitude) and ``geom27700``; both null if a coordinate is null."""
+    grid = with_bng(df, lat, long, "_x", "_y")
+    return grid.withColumns(
+        {
+            "geom4326": tagged_point(WGS84_SRID, F.col(long), F.col(lat)),
+            "geom27700": tagged_point(BNG_SRID, F.col("_x"), F.col("_y")),
+        }
+    ).drop("_x", "_y")

@@ -1,16 +1,10 @@
-"""Polygons as nested arrays: parsing, bounds, centroid and area.
-
-A multipolygon is ``array<array<array<array<double>>>>`` (parts, rings,
-positions, x and y). Measures work on a flat list of rings,
-``array<struct<sign, points>>`` with sign +1 for outlines and -1 for holes.
-"""
+"""Polygons as nested arrays ``array<array<array<array<double>>>>``: parts, rings, positions, x and y."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 from .binding import bind
-from .geodesy import WGS84_TO_BNG, apply_stages
 
 PLACES = 6
 
@@ -36,103 +30,10 @@ def geojson_multipolygon(text: Column) -> Column:
     return bind(geometry, shape)
 
 
-def rings(multipolygon: Column) -> Column:
-    """The rings of all parts, each closed by its first position."""
-
-    def ring(positions: Column, index: Column) -> Column:
-        points = F.transform(
-            positions, lambda at: F.struct(F.get(at, F.lit(0)).alias("x"), F.get(at, F.lit(1)).alias("y"))
-        )
-        closed = F.concat(points, F.slice(points, 1, 1))
-        return F.struct(F.when(index == 0, 1).otherwise(-1).alias("sign"), closed.alias("points"))
-
-    return F.flatten(F.transform(multipolygon, lambda part: F.transform(part, ring)))
-
-
-def rings_in_bng(ring_list: Column) -> Column:
-    """Every vertex of the rings in grid metres."""
-    return F.transform(
-        ring_list,
-        lambda ring: F.struct(
-            ring["sign"].alias("sign"), apply_stages(ring["points"], WGS84_TO_BNG).alias("points")
-        ),
-    )
-
-
-def bounds(ring_list: Column) -> Column:
-    """``struct<min_x, min_y, max_x, max_y>`` of the outlines."""
-
-    def axes(outlines: Column) -> Column:
-        return F.struct(
-            *[F.flatten(F.transform(outlines, lambda ring: ring["points"][axis])).alias(axis) for axis in ("x", "y")]
-        )
-
-    def extremes(all_values: Column) -> Column:
-        return F.struct(
-            F.array_min(all_values["x"]).alias("min_x"),
-            F.array_min(all_values["y"]).alias("min_y"),
-            F.array_max(all_values["x"]).alias("max_x"),
-            F.array_max(all_values["y"]).alias("max_y"),
-        )
-
-    outlines = F.filter(ring_list, lambda ring: ring["sign"] == 1)
-    return bind(outlines, lambda found: bind(axes(found), extremes))
-
-
-def _ring_sums(ring: Column) -> Column:
-    # Sums over edges relative to the first vertex, as coordinates far from 0 would cancel
-    points = ring["points"]
-    n_edges = F.size(points) - 1
-    origin = F.get(points, F.lit(0))
-
-    def edge(p: Column, q: Column) -> Column:
-        px, py = p["x"] - origin["x"], p["y"] - origin["y"]
-        qx, qy = q["x"] - origin["x"], q["y"] - origin["y"]
-        cross = px * qy - qx * py
-        return F.struct(cross.alias("a"), ((px + qx) * cross).alias("x"), ((py + qy) * cross).alias("y"))
-
-    edges = F.zip_with(F.slice(points, 1, n_edges), F.slice(points, 2, n_edges), edge)
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    total = F.aggregate(
-        edges,
-        zero,
-        lambda acc, e: F.struct(
-            (acc["a"] + e["a"]).alias("a"), (acc["x"] + e["x"]).alias("x"), (acc["y"] + e["y"]).alias("y")
-        ),
-    )
-    return F.struct(
-        ring["sign"].alias("sign"), origin["x"].alias("ox"), origin["y"].alias("oy"), total.alias("t")
-    )
-
-
-def area_and_centroid(ring_list: Column) -> Column:
-    """``struct<area, cx, cy>``: holes subtract, parts weigh by area, winding is ignored."""
-    return bind(F.transform(ring_list, _ring_sums), _combined)
-
-
-def _combined(sums: Column) -> Column:
-    # first moments are taken relative to the first vertex of the first ring
-    base = F.get(sums, F.lit(0))
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-
-    def add(acc: Column, ring: Column) -> Column:
-        sign, total = ring["sign"], ring["t"]
-        area = sign * F.abs(total["a"]) / 2
-        turn = sign * F.signum(total["a"]) / 6
-        return F.struct(
-            (acc["a"] + area).alias("a"),
-            (acc["x"] + turn * total["x"] + area * (ring["ox"] - base["ox"])).alias("x"),
-            (acc["y"] + turn * total["y"] + area * (ring["oy"] - base["oy"])).alias("y"),
-        )
-
-    def finish(acc: Column) -> Column:
-        return F.struct(
-            acc["a"].alias("area"),
-            (base["ox"] + F.try_divide(acc["x"], acc["a"])).alias("cx"),
-            (base["oy"] + F.try_divide(acc["y"], acc["a"])).alias("cy"),
-        )
-
-    return F.aggregate(sums, zero, add, finish)
+def ring_edges(positions: Column) -> Column:
+    """``array<struct<p, q>>``: every position with the next one, the last one with the first."""
+    following = F.concat(F.slice(positions, 2, F.size(positions)), F.slice(positions, 1, 1))
+    return F.arrays_zip(positions.alias("p"), following.alias("q"))
 
 
 def rounded(value: Column) -> Column:
@@ -149,8 +50,3 @@ def box_ring(min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Colu
 def tagged_polygon(srid: int, polygon: Column) -> Column:
     """``struct<srid, coordinates>``."""
     return F.struct(F.lit(srid).alias("srid"), polygon.alias("coordinates"))
-
-
-def point_wkt(x: Column, y: Column) -> Column:
-    """Well-known text of a point."""
-    return F.concat(F.lit("POINT ("), x.cast("string"), F.lit(" "), y.cast("string"), F.lit(")"))

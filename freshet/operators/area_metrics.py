@@ -4,54 +4,105 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.binding import bind
-from ..functions.geodesy import BNG_SRID, WGS84_SRID, tagged_point
-from ..functions.geometry import (
-    area_and_centroid,
-    bounds,
-    box_ring,
-    geojson_multipolygon,
-    rings,
-    rings_in_bng,
-    rounded,
-    tagged_polygon,
-)
+from ..functions.geodesy import BNG_SRID, WGS84_SRID, tagged_point, with_bng
+from ..functions.geometry import box_ring, geojson_multipolygon, ring_edges, rounded, tagged_polygon
 from ..session import staged
 from .joins import lookup
 
 
-def _measures(text: Column) -> Column:
-    def on_grid(ring_list: Column) -> Column:
-        return F.struct(bounds(ring_list).alias("box"), area_and_centroid(ring_list).alias("mass"))
+AREA_KEYS = ("floodarea_id", "fwdcode")
 
-    def in_both(ring_list: Column) -> Column:
-        return F.struct(
-            bounds(ring_list).alias("box_wgs84"),
-            area_and_centroid(ring_list).alias("mass_wgs84"),
-            bind(rings_in_bng(ring_list), on_grid).alias("bng"),
-        )
 
-    return bind(rings(geojson_multipolygon(text)), in_both)
+def polygon_edges(polygons: DataFrame, text: str = "polygon_json") -> DataFrame:
+    """One row per edge (p to q) of every ring, in degrees (x, y) and in grid metres (e, n).
+
+    ``ring`` 0 is the outline of its ``part``, other rings are holes. The last
+    edge closes the ring; it has no length if the ring is closed already.
+    ``o_x, o_y`` is the first position of the area.
+    """
+    shapes = polygons.select(*AREA_KEYS, geojson_multipolygon(F.col(text)).alias("shape"))
+    first = F.get(F.get(F.get("shape", F.lit(0)), F.lit(0)), F.lit(0))
+    parts = shapes.select(
+        *AREA_KEYS,
+        F.get(first, F.lit(0)).alias("o_x"),
+        F.get(first, F.lit(1)).alias("o_y"),
+        F.posexplode("shape").alias("part", "rings"),
+    )
+    kept = (*AREA_KEYS, "o_x", "o_y", "part")
+    ring_rows = parts.select(*kept, F.posexplode("rings").alias("ring", "positions"))
+    edges = ring_rows.select(*kept, "ring", F.inline(ring_edges(F.col("positions"))).alias("p", "q"))
+    ends = edges.select(
+        *kept,
+        "ring",
+        *[F.get(point, F.lit(axis)).alias(f"{point}_{name}") for point in "pq" for axis, name in enumerate("xy")],
+    )
+    return with_bng(with_bng(ends, "p_y", "p_x", "p_e", "p_n"), "q_y", "q_x", "q_e", "q_n")
+
+
+def _grid_origin() -> tuple[Column, Column]:
+    # Near the area on the grid; sums are taken from here, as those of coordinates far from 0 would cancel.
+    return 400_000 + (F.col("o_x") + 2) * 68_000, (F.col("o_y") - 49) * 111_200 - 100_000
+
+
+def _ring_sums(x: str, y: str, ox: Column, oy: Column, tag: str) -> list[Column]:
+    # twice the signed area, and six times the first moments
+    ax, ay = F.col(f"p_{x}") - ox, F.col(f"p_{y}") - oy
+    bx, by = F.col(f"q_{x}") - ox, F.col(f"q_{y}") - oy
+    cross = ax * by - bx * ay
+    outline = F.col("ring") == 0
+    return [
+        F.sum(cross).alias(f"a_{tag}"),
+        F.sum((ax + bx) * cross).alias(f"mx_{tag}"),
+        F.sum((ay + by) * cross).alias(f"my_{tag}"),
+        F.min(F.when(outline, F.col(f"p_{x}"))).alias(f"min_x_{tag}"),
+        F.min(F.when(outline, F.col(f"p_{y}"))).alias(f"min_y_{tag}"),
+        F.max(F.when(outline, F.col(f"p_{x}"))).alias(f"max_x_{tag}"),
+        F.max(F.when(outline, F.col(f"p_{y}"))).alias(f"max_y_{tag}"),
+    ]
+
+
+def _area_sums(tag: str) -> list[Column]:
+    sign = F.when(F.col("ring") == 0, 1).otherwise(-1)
+    turn = sign * F.signum(f"a_{tag}")
+    return [
+        F.sum(sign * F.abs(f"a_{tag}") / 2).alias(f"area_{tag}"),
+        F.sum(turn * F.col(f"mx_{tag}") / 6).alias(f"mx_{tag}"),
+        F.sum(turn * F.col(f"my_{tag}") / 6).alias(f"my_{tag}"),
+        *[
+            function(f"{name}_{tag}").alias(f"{name}_{tag}")
+            for function, names in ((F.min, ("min_x", "min_y")), (F.max, ("max_x", "max_y")))
+            for name in names
+        ],
+    ]
 
 
 def measured_polygons(polygons: DataFrame, text: str = "polygon_json") -> DataFrame:
-    """Add the structs ``box_wgs84, mass_wgs84, box_bng, mass_bng`` of each GeoJSON polygon.
+    """Bounds, area and centroid of each GeoJSON polygon, in degrees (``_deg``) and on the grid (``_bng``).
 
-    Their fields are null where the text holds no polygon.
+    Edges are summed per ring and rings per area: holes subtract and parts
+    weigh by area, whatever their winding. The edges of a ring are made in one
+    task and summed there, so only ring sums are shuffled. Areas without a
+    polygon have no row.
     """
-    # a generated column is computed once; filters on it are not copied below it
-    measured = polygons.select("*", F.inline(F.array(_measures(F.col(text)))))
-    return measured.select(
-        *polygons.columns,
-        "box_wgs84",
-        "mass_wgs84",
-        F.col("bng.box").alias("box_bng"),
-        F.col("bng.mass").alias("mass_bng"),
+    origin_e, origin_n = _grid_origin()
+    ring_totals = (
+        polygon_edges(polygons, text)
+        .groupBy(*AREA_KEYS, "part", "ring")
+        .agg(
+            F.any_value("o_x").alias("o_x"),
+            F.any_value("o_y").alias("o_y"),
+            *_ring_sums("x", "y", F.col("o_x"), F.col("o_y"), "deg"),
+            *_ring_sums("e", "n", origin_e, origin_n, "bng"),
+        )
     )
-
-
-def _is_measured() -> Column:
-    return F.col("mass_bng.cx").isNotNull() & F.col("mass_wgs84.cx").isNotNull()
+    totals = ring_totals.groupBy(*AREA_KEYS).agg(
+        F.any_value("o_x").alias("o_x"), F.any_value("o_y").alias("o_y"), *_area_sums("deg"), *_area_sums("bng")
+    )
+    centres = {}
+    for tag, origin in (("deg", (F.col("o_x"), F.col("o_y"))), ("bng", (origin_e, origin_n))):
+        for axis, start in zip("xy", origin):
+            centres[f"cen_{axis}_{tag}"] = start + F.try_divide(f"m{axis}_{tag}", f"area_{tag}")
+    return totals.withColumns(centres)
 
 
 def area_metrics(polygons: DataFrame, text: str = "polygon_json") -> DataFrame:
@@ -59,28 +110,24 @@ def area_metrics(polygons: DataFrame, text: str = "polygon_json") -> DataFrame:
 
     In the grid columns ``lat`` names the northing and ``long`` the easting.
     """
-    m = measured_polygons(polygons, text).where(_is_measured())
-    flat = m.select(
-        "floodarea_id",
-        "fwdcode",
-        F.col("box_wgs84.min_y").alias("bbox_wgs84_min_lat"),
-        F.col("box_wgs84.min_x").alias("bbox_wgs84_min_long"),
-        F.col("box_wgs84.max_y").alias("bbox_wgs84_max_lat"),
-        F.col("box_wgs84.max_x").alias("bbox_wgs84_max_long"),
-        rounded((F.col("box_wgs84.max_y") + F.col("box_wgs84.min_y")) / 2).alias("bcen_wgs84_lat"),
-        rounded((F.col("box_wgs84.max_x") + F.col("box_wgs84.min_x")) / 2).alias("bcen_wgs84_long"),
-        rounded(F.col("mass_wgs84.cy")).alias("mpoly_cent_wgs84_lat"),
-        rounded(F.col("mass_wgs84.cx")).alias("mpoly_cent_wgs84_long"),
-        rounded(F.col("box_bng.min_y")).alias("bbox_bng_min_lat"),
-        rounded(F.col("box_bng.min_x")).alias("bbox_bng_min_long"),
-        rounded(F.col("box_bng.max_y")).alias("bbox_bng_max_lat"),
-        rounded(F.col("box_bng.max_x")).alias("bbox_bng_max_long"),
-        rounded((F.col("box_bng.max_y") + F.col("box_bng.min_y")) / 2).alias("bcen_bng_lat"),
-        rounded((F.col("box_bng.max_x") + F.col("box_bng.min_x")) / 2).alias("bcen_bng_long"),
-        rounded(F.col("mass_bng.cy")).alias("mpoly_cent_bng_lat"),
-        rounded(F.col("mass_bng.cx")).alias("mpoly_cent_bng_long"),
-        (F.col("mass_bng.area") / 1e6).alias("area_km2"),
-        F.col("mass_bng.area").alias("area_m2"),
+    measured = measured_polygons(polygons, text)
+    usable = measured.where(F.col("cen_x_bng").isNotNull() & F.col("cen_x_deg").isNotNull())
+
+    def middle(axis: str, tag: str) -> Column:
+        return rounded((F.col(f"max_{axis}_{tag}") + F.col(f"min_{axis}_{tag}")) / 2)
+
+    columns = []
+    for crs, tag in (("wgs84", "deg"), ("bng", "bng")):
+        for corner in ("min", "max"):
+            for name, axis in (("lat", "y"), ("long", "x")):
+                bound = F.col(f"{corner}_{axis}_{tag}")
+                # degrees are kept as they came
+                columns.append((bound if crs == "wgs84" else rounded(bound)).alias(f"bbox_{crs}_{corner}_{name}"))
+        for name, axis in (("lat", "y"), ("long", "x")):
+            columns.append(middle(axis, tag).alias(f"bcen_{crs}_{name}"))
+            columns.append(rounded(F.col(f"cen_{axis}_{tag}")).alias(f"mpoly_cent_{crs}_{name}"))
+    flat = usable.select(
+        *AREA_KEYS, *columns, (F.col("area_bng") / 1e6).alias("area_km2"), F.col("area_bng").alias("area_m2")
     )
     return flat.withColumns(_metric_geometries())
 
@@ -104,7 +151,7 @@ def _metric_geometries() -> dict[str, Column]:
 
 def unmeasured_areas(polygons: DataFrame, text: str = "polygon_json") -> DataFrame:
     """Areas left out of :func:`area_metrics`."""
-    return measured_polygons(polygons, text).where(~_is_measured()).select(*polygons.columns)
+    return polygons.join(area_metrics(polygons, text).select("floodarea_id"), "floodarea_id", "left_anti")
 
 
 def packed_metrics(polygons: DataFrame, text: str = "polygon_json") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import jsontext as J
 from ..functions.constants import FLOOD_ROOT
 from ..functions.dates import parse_date, parse_datetime
-from ..functions.geodesy import point_4326, point_27700
+from ..functions.geodesy import with_points
 from ..functions.geometry import geojson_multipolygon
 from ..functions.notation import root_templated, station_id_of
 from ..functions.values import integer_or_zero, number_or_null, number_or_zero
@@ -71,7 +71,8 @@ def _parsed(items: DataFrame, schema: str) -> DataFrame:
 
 
 def _located(items: DataFrame, schema: str, number: Callable[[Column], Column]) -> DataFrame:
-    return _parsed(items, schema).withColumns({"lat": number(_field("lat")), "long": number(_field("long"))})
+    parsed = _parsed(items, schema)
+    return with_points(parsed.withColumns({"lat": number(_field("lat")), "long": number(_field("long"))}))
 
 
 def _field(name: str) -> Column:
@@ -120,8 +121,8 @@ def hydrology_stations(items: DataFrame) -> DataFrame:
         J.member(_field("dataQualityStatement"), "@id").alias("data_quality_statement"),
         J.member(_field("sampleOf"), "@id").alias("sample_of_id"),
         J.member(_field("sampleOf"), "label").alias("sample_of_label"),
-        point_4326(F.col("lat"), F.col("long")).alias("geom4326"),
-        point_27700(F.col("lat"), F.col("long")).alias("geom27700"),
+        "geom4326",
+        "geom27700",
     )
 
 
@@ -225,8 +226,8 @@ def flood_stations(items: DataFrame) -> DataFrame:
         parse_date(_field("dateOpened")).alias("date_opened"),
         *_renamed({"stage_scale": "stageScale", "status": "status"}),
         number_or_null(_field("datumOffset")).alias("datum_offset"),
-        point_4326(F.col("lat"), F.col("long")).alias("geom4326"),
-        point_27700(F.col("lat"), F.col("long")).alias("geom27700"),
+        "geom4326",
+        "geom27700",
     )
 
 
@@ -293,8 +294,8 @@ def flood_areas(items: DataFrame) -> DataFrame:
         _field("notation").alias("notation"),
         root_templated(_field("polygon"), FLOOD_ROOT).alias("polygon"),
         *_renamed({"quickdialnumber": "quickDialNumber", "riverorsea": "riverOrSea"}),
-        point_4326(F.col("lat"), F.col("long")).alias("geom4326"),
-        point_27700(F.col("lat"), F.col("long")).alias("geom27700"),
+        "geom4326",
+        "geom27700",
     )
 
 

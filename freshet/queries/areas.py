@@ -10,7 +10,7 @@ from ..operators.catalogue import area_polygons
 from ..session import fresh_path
 from ..sources.area_files import AREA_COLUMNS, read_areas
 from ..sources.sql import read_sql
-from .geography import METRIC_SQL, POLYGON_TEXT, polygons
+from .geography import METRIC_SQL, POLYGON_TEXT, millimetres, polygons
 from .inputs import AREAS, derive, plain
 from .registry import query
 
@@ -116,8 +116,8 @@ def parameterized_sql(spark, sf_dir):
     "area_view",
     f"""with m as (select *, rank() over (order by area_m2 desc) as rank from ({METRIC_SQL}) k)
         select a.floodarea_id, a.fwdcode, a.eaareaname, a.county, a.description, a.label, a.riverorsea,
-          p.lat, p.long, round(round(m.bcen_e, 6), 3) as bcen_bng_long, round(round(m.bcen_n, 6), 3) as bcen_bng_lat,
-          round(m.area_m2, 2) as area_m2, m.rank, p.polygon_json
+          p.lat, p.long, cast(floor(round(m.bcen_e, 6) * 1000 + 0.3) as bigint) as bcen_bng_long_mm, cast(floor(round(m.bcen_n, 6) * 1000 + 0.3) as bigint) as bcen_bng_lat_mm,
+          round(m.area_m2, 1) as area_m2, m.rank, p.polygon_json
         from ({AREA_SQL}) a
         left join (select a2.floodarea_id, a2.lat, a2.long, t.polygon_json from ({AREA_SQL}) a2
           join ({POLYGON_TEXT}) t on t.fwdcode = a2.fwdcode where t.polygon_json is not null) p on p.floodarea_id = a.floodarea_id
@@ -131,9 +131,9 @@ def area_view(spark, sf_dir):
     view = relations.area_view(areas, shapes, metrics)
     return view.select(
         "floodarea_id", "fwdcode", "eaareaname", "county", "description", "label", "riverorsea", "lat", "long",
-        F.round("bcen_bng_long", 3).alias("bcen_bng_long"),
-        F.round("bcen_bng_lat", 3).alias("bcen_bng_lat"),
-        F.round("area_m2", 2).alias("area_m2"),
+        millimetres("bcen_bng_long"),
+        millimetres("bcen_bng_lat"),
+        F.round("area_m2", 1).alias("area_m2"),
         "rank",
         "polygon_json",
     )

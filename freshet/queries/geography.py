@@ -180,6 +180,11 @@ def rounded(name: str, places: int, alias: str | None = None):
     return F.round(F.col(name), places).alias(alias or name)
 
 
+def millimetres(name: str, alias: str | None = None):
+    """A grid coordinate as whole millimetres, cut off where rounded values never lie."""
+    return F.floor(F.col(name) * 1000 + 0.3).alias(alias or f"{name}_mm")
+
+
 # --- queries --------------------------------------------------------------------
 
 
@@ -189,9 +194,8 @@ def rounded(name: str, places: int, alias: str | None = None):
         from ({bng_sql('select notation, lat, long as lon from (' + plain(STATIONS) + ') s')}) p""",
 )
 def point_to_bng(spark, sf_dir):
-    rows = derive(spark, sf_dir, STATIONS)
-    grid = rows.select("notation", G.point_27700(F.col("lat"), F.col("long")).alias("p"))
-    return grid.select("notation", rounded("p.x", 3, "x"), rounded("p.y", 3, "y"))
+    located = G.with_points(derive(spark, sf_dir, STATIONS))
+    return located.select("notation", rounded("geom27700.x", 3, "x"), rounded("geom27700.y", 3, "y"))
 
 
 @query(
@@ -199,11 +203,11 @@ def point_to_bng(spark, sf_dir):
     f"select notation, round(lat, 8) as lat, round(long, 8) as long, 4326 as srid from ({plain(STATIONS)}) s",
 )
 def bng_roundtrip(spark, sf_dir):
-    rows = derive(spark, sf_dir, STATIONS)
-    grid = rows.select("notation", G.wgs84_to_bng(F.col("lat"), F.col("long")).alias("p"))
-    back = grid.select("notation", G.bng_to_wgs84(F.col("p.x"), F.col("p.y")).alias("q"))
-    tagged = back.select("notation", G.point_4326(F.col("q.y"), F.col("q.x")).alias("t"))
-    return tagged.select("notation", rounded("t.y", 8, "lat"), rounded("t.x", 8, "long"), F.col("t.srid").alias("srid"))
+    grid = G.with_bng(derive(spark, sf_dir, STATIONS)).drop("lat", "long")
+    back = G.with_points(G.with_wgs84(grid))
+    return back.select(
+        "notation", rounded("geom4326.y", 8, "lat"), rounded("geom4326.x", 8, "long"), F.col("geom4326.srid").alias("srid")
+    )
 
 
 @query(
@@ -226,8 +230,8 @@ def geojson_shapes(spark, sf_dir):
     "polygon_bbox",
     f"""select floodarea_id, min_lat as bbox_wgs84_min_lat, min_long as bbox_wgs84_min_long, max_lat as bbox_wgs84_max_lat,
           max_long as bbox_wgs84_max_long, round(bcen_lat, 6) as bcen_wgs84_lat, round(bcen_long, 6) as bcen_wgs84_long,
-          round(round(min_n, 6), 3) as bbox_bng_min_lat, round(round(min_e, 6), 3) as bbox_bng_min_long, round(round(max_n, 6), 3) as bbox_bng_max_lat,
-          round(round(max_e, 6), 3) as bbox_bng_max_long, round(round(bcen_n, 6), 3) as bcen_bng_lat, round(round(bcen_e, 6), 3) as bcen_bng_long
+          cast(floor(round(min_n, 6) * 1000 + 0.3) as bigint) as bbox_bng_min_lat_mm, cast(floor(round(min_e, 6) * 1000 + 0.3) as bigint) as bbox_bng_min_long_mm, cast(floor(round(max_n, 6) * 1000 + 0.3) as bigint) as bbox_bng_max_lat_mm,
+          cast(floor(round(max_e, 6) * 1000 + 0.3) as bigint) as bbox_bng_max_long_mm, cast(floor(round(bcen_n, 6) * 1000 + 0.3) as bigint) as bcen_bng_lat_mm, cast(floor(round(bcen_e, 6) * 1000 + 0.3) as bigint) as bcen_bng_long_mm
         from ({METRIC_SQL}) m""",
 )
 def polygon_bbox(spark, sf_dir):
@@ -237,33 +241,33 @@ def polygon_bbox(spark, sf_dir):
         *[corner.format("wgs84") for corner in corners],
         "bcen_wgs84_lat",
         "bcen_wgs84_long",
-        *[rounded(corner.format("bng"), 3) for corner in corners],
-        rounded("bcen_bng_lat", 3),
-        rounded("bcen_bng_long", 3),
+        *[millimetres(corner.format("bng")) for corner in corners],
+        millimetres("bcen_bng_lat"),
+        millimetres("bcen_bng_long"),
     )
 
 
 @query(
     "polygon_centroid",
     f"""select floodarea_id, round(cen_lat, 6) as mpoly_cent_wgs84_lat, round(cen_long, 6) as mpoly_cent_wgs84_long,
-          round(round(cen_n, 6), 3) as mpoly_cent_bng_lat, round(round(cen_e, 6), 3) as mpoly_cent_bng_long from ({METRIC_SQL}) m""",
+          cast(floor(round(cen_n, 6) * 1000 + 0.3) as bigint) as mpoly_cent_bng_lat_mm, cast(floor(round(cen_e, 6) * 1000 + 0.3) as bigint) as mpoly_cent_bng_long_mm from ({METRIC_SQL}) m""",
 )
 def polygon_centroid(spark, sf_dir):
     return metrics(spark, sf_dir).select(
         "floodarea_id",
         "mpoly_cent_wgs84_lat",
         "mpoly_cent_wgs84_long",
-        rounded("mpoly_cent_bng_lat", 3),
-        rounded("mpoly_cent_bng_long", 3),
+        millimetres("mpoly_cent_bng_lat"),
+        millimetres("mpoly_cent_bng_long"),
     )
 
 
 @query(
     "polygon_area",
-    f"select floodarea_id, round(area_m2, 2) as area_m2, round(area_km2, 8) as area_km2 from ({METRIC_SQL}) m",
+    f"select floodarea_id, round(area_m2, 1) as area_m2, round(area_km2, 6) as area_km2 from ({METRIC_SQL}) m",
 )
 def polygon_area(spark, sf_dir):
-    return metrics(spark, sf_dir).select("floodarea_id", rounded("area_m2", 2), rounded("area_km2", 8))
+    return metrics(spark, sf_dir).select("floodarea_id", rounded("area_m2", 1), rounded("area_km2", 6))
 
 
 @query(
@@ -287,22 +291,22 @@ def area_rank(spark, sf_dir):
 
 @query(
     "metrics_projection",
-    f"""select floodarea_id, round(round(min_n, 6), 3) as bbox_bng_min_lat, round(round(max_e, 6), 3) as bbox_bng_max_long,
-          round(round(bcen_n, 6), 3) as bcen_bng_lat, round(round(cen_e, 6), 3) as mpoly_cent_bng_long, round(bcen_lat, 6) as bcen_wgs84_lat,
+    f"""select floodarea_id, cast(floor(round(min_n, 6) * 1000 + 0.3) as bigint) as bbox_bng_min_lat_mm, cast(floor(round(max_e, 6) * 1000 + 0.3) as bigint) as bbox_bng_max_long_mm,
+          cast(floor(round(bcen_n, 6) * 1000 + 0.3) as bigint) as bcen_bng_lat_mm, cast(floor(round(cen_e, 6) * 1000 + 0.3) as bigint) as mpoly_cent_bng_long_mm, round(bcen_lat, 6) as bcen_wgs84_lat,
           round(cen_long, 6) as mpoly_cent_wgs84_long, min_lat as bbox_wgs84_min_lat,
-          cast(rank() over (order by round(area_m2, 2) desc) as integer) as rank
+          cast(rank() over (order by round(area_m2, 1) desc) as integer) as rank
         from ({METRIC_SQL}) m""",
 )
 def metrics_projection(spark, sf_dir):
     packed = M.packed_metrics(polygons(spark, sf_dir))
-    ranked = M.with_rank(packed.withColumn("_size", F.round("area_m2", 2)), "_size")
+    ranked = M.with_rank(packed.withColumn("_size", F.round("area_m2", 1)), "_size")
     flat = M.unpacked_metrics(ranked)
     return flat.select(
         "floodarea_id",
-        rounded("bbox_bng_min_lat", 3),
-        rounded("bbox_bng_max_long", 3),
-        rounded("bcen_bng_lat", 3),
-        rounded("mpoly_cent_bng_long", 3),
+        millimetres("bbox_bng_min_lat"),
+        millimetres("bbox_bng_max_long"),
+        millimetres("bcen_bng_lat"),
+        millimetres("mpoly_cent_bng_long"),
         "bcen_wgs84_lat",
         "mpoly_cent_wgs84_long",
         "bbox_wgs84_min_lat",
@@ -312,7 +316,7 @@ def metrics_projection(spark, sf_dir):
 
 @query(
     "bbox_geometry",
-    f"""select floodarea_id, 4326 as srid, 5 as n_positions, max_long as first_x, min_lat as first_y, round(round(cen_e, 6), 3) as centroid_x,
+    f"""select floodarea_id, 4326 as srid, 5 as n_positions, max_long as first_x, min_lat as first_y, cast(floor(round(cen_e, 6) * 1000 + 0.3) as bigint) as centroid_x_mm,
           27700 as centroid_srid
         from ({METRIC_SQL}) m""",
 )
@@ -324,7 +328,7 @@ def bbox_geometry(spark, sf_dir):
         F.size(ring).alias("n_positions"),
         ring[0][0].alias("first_x"),
         ring[0][1].alias("first_y"),
-        rounded("geom_mpoly_cent_bng.x", 3, "centroid_x"),
+        millimetres("geom_mpoly_cent_bng.x", "centroid_x_mm"),
         F.col("geom_mpoly_cent_bng.srid").alias("centroid_srid"),
     )
 

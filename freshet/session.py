@@ -11,6 +11,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # larger generated methods are not compiled by the JVM; split them instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
