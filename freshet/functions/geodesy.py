@@ -48,33 +48,30 @@ Values = Mapping[str, Column]
 Stage = Callable[[Values], dict[str, Column]]
 
 
-def _to_cartesian(a: float, e2: float) -> list[Stage]:
-    def trig(p: Values) -> dict[str, Column]:
-        return dict(
-            sin_phi=F.sin(p["phi"]), cos_phi=F.cos(p["phi"]), sin_lam=F.sin(p["lam"]), cos_lam=F.cos(p["lam"])
-        )
+def _trig(p: Values) -> dict[str, Column]:
+    return dict(sin_phi=F.sin(p["phi"]), cos_phi=F.cos(p["phi"]), sin_lam=F.sin(p["lam"]), cos_lam=F.cos(p["lam"]))
 
-    def radius(p: Values) -> dict[str, Column]:
-        nu = a / F.sqrt(1 - e2 * p["sin_phi"] * p["sin_phi"])
-        return dict(nu=nu, **{n: p[n] for n in ("sin_phi", "cos_phi", "sin_lam", "cos_lam")})
 
-    def point(p: Values) -> dict[str, Column]:
-        return dict(
-            x=p["nu"] * p["cos_phi"] * p["cos_lam"],
-            y=p["nu"] * p["cos_phi"] * p["sin_lam"],
-            z=(1 - e2) * p["nu"] * p["sin_phi"],
-        )
+def _trig_of_degrees(p: Values) -> dict[str, Column]:
+    return _trig(dict(phi=F.radians(p["lat"]), lam=F.radians(p["long"])))
 
-    return [trig, radius, point]
 
+def _shifted(a: float, e2: float, matrix: np.ndarray, offset: np.ndarray) -> Stage:
+    """Point of one ellipsoid, given by sines and cosines, to axes of the other datum."""
 
-def _linear(matrix: np.ndarray, offset: np.ndarray) -> Stage:
     def apply(p: Values) -> dict[str, Column]:
-        rows = [
-            float(m[0]) * p["x"] + float(m[1]) * p["y"] + float(m[2]) * p["z"] + float(t)
-            for m, t in zip(matrix, offset)
-        ]
-        return dict(x=rows[0], y=rows[1], z=rows[2])
+        nu = a / F.sqrt(1 - e2 * p["sin_phi"] * p["sin_phi"])
+        height = p.get("h", F.lit(0.0))
+        axes = (
+            (nu + height) * p["cos_phi"] * p["cos_lam"],
+            (nu + height) * p["cos_phi"] * p["sin_lam"],
+            ((1 - e2) * nu + height) * p["sin_phi"],
+        )
+        x, y, z = (
+            sum((float(weight) * axis for weight, axis in zip(row, axes)), F.lit(float(shift)))
+            for row, shift in zip(matrix, offset)
+        )
+        return dict(x=x, y=y, z=z)
 
     return apply
 
@@ -83,24 +80,19 @@ def _to_geodetic(a: float, b: float) -> list[Stage]:
     e2 = 1 - (b / a) ** 2
     second_e2 = (a / b) ** 2 - 1
 
-    def axes(p: Values) -> dict[str, Column]:
+    def polar(p: Values) -> dict[str, Column]:
         return dict(lam=F.atan2(p["y"], p["x"]), z=p["z"], flat=F.sqrt(p["x"] * p["x"] + p["y"] * p["y"]))
 
-    def reduced(p: Values) -> dict[str, Column]:
-        # sine and cosine of the reduced latitude
-        u, v = p["z"] * a, p["flat"] * b
-        return dict(u=u, v=v, scale=1 / F.sqrt(u * u + v * v), lam=p["lam"], z=p["z"], flat=p["flat"])
-
-    def unit(p: Values) -> dict[str, Column]:
-        return dict(su=p["u"] * p["scale"], cu=p["v"] * p["scale"], lam=p["lam"], z=p["z"], flat=p["flat"])
-
     def latitude(p: Values) -> dict[str, Column]:
         # Bowring's formula, exact to rounding for points near the surface
-        up = p["z"] + (second_e2 * b) * p["su"] * p["su"] * p["su"]
-        out = p["flat"] - (e2 * a) * p["cu"] * p["cu"] * p["cu"]
+        u, v = p["z"] * a, p["flat"] * b
+        size = F.sqrt(u * u + v * v)
+        sine, cosine = u / size, v / size
+        up = p["z"] + (second_e2 * b) * sine * sine * sine
+        out = p["flat"] - (e2 * a) * cosine * cosine * cosine
         return dict(phi=F.atan2(up, out), lam=p["lam"], z=p["z"], flat=p["flat"])
 
-    return [axes, reduced, unit, latitude]
+    return [polar, latitude]
 
 
 def _meridian_arc(phi: Column) -> Column:
@@ -117,10 +109,9 @@ def _meridian_arc(phi: Column) -> Column:
 def _curvature(p: Values, **carried: Column) -> dict[str, Column]:
     # nu and rho: radii of curvature across and along the meridian; t: squared tangent
     w = 1 - AIRY_E2 * p["s"] * p["s"]
-    root = F.sqrt(w)
     return dict(
-        nu=AIRY_A * GRID_SCALE / root,
-        rho=AIRY_A * GRID_SCALE * (1 - AIRY_E2) / (w * root),
+        nu=AIRY_A * GRID_SCALE / F.sqrt(w),
+        ratio=w / (1 - AIRY_E2),
         s=p["s"],
         c=p["c"],
         t=(p["s"] * p["s"]) / (p["c"] * p["c"]),
@@ -130,37 +121,28 @@ def _curvature(p: Values, **carried: Column) -> dict[str, Column]:
 
 def _project() -> list[Stage]:
     def trig(p: Values) -> dict[str, Column]:
-        return dict(
-            s=F.sin(p["phi"]), c=F.cos(p["phi"]), arc=_meridian_arc(p["phi"]), d=p["lam"] - LAM0
-        )
+        return dict(s=F.sin(p["phi"]), c=F.cos(p["phi"]), arc=_meridian_arc(p["phi"]), d=p["lam"] - LAM0)
 
     def radii(p: Values) -> dict[str, Column]:
         return _curvature(p, arc=p["arc"], d=p["d"])
 
-    def powers(p: Values) -> dict[str, Column]:
-        return dict(
-            **{n: p[n] for n in ("nu", "s", "c", "t", "arc", "d")},
-            ratio=p["nu"] / p["rho"],
-            c3=p["c"] * p["c"] * p["c"],
-            c5=p["c"] * p["c"] * p["c"] * p["c"] * p["c"],
-            d2=p["d"] * p["d"],
-        )
-
     def grid(p: Values) -> dict[str, Column]:
-        nu, s, c, t, d, d2 = (p[n] for n in ("nu", "s", "c", "t", "d", "d2"))
-        eta2 = p["ratio"] - 1
-        north2 = nu / 2 * s * c
-        north4 = nu / 24 * s * p["c3"] * (5 - t + 9 * eta2)
-        north6 = nu / 720 * s * p["c5"] * (61 - 58 * t + t * t)
-        east1 = nu * c
-        east3 = nu / 6 * p["c3"] * (p["ratio"] - t)
-        east5 = nu / 120 * p["c5"] * (5 - 18 * t + t * t + 14 * eta2 - 58 * t * eta2)
+        nu, ratio, s, c, t, d = (p[n] for n in ("nu", "ratio", "s", "c", "t", "d"))
+        # powers of the longitude difference, scaled to the parallel
+        q = c * d
+        q2 = q * q
+        eta2 = ratio - 1
+        north2 = F.lit(0.5)
+        north4 = (5 - t + 9 * eta2) / 24
+        north6 = (61 - 58 * t + t * t) / 720
+        east3 = (ratio - t) / 6
+        east5 = (5 - 18 * t + t * t + 14 * eta2 - 58 * t * eta2) / 120
         return dict(
-            x=GRID_E0 + d * (east1 + d2 * (east3 + d2 * east5)),
-            y=GRID_N0 + p["arc"] + d2 * (north2 + d2 * (north4 + d2 * north6)),
+            x=GRID_E0 + nu * q * (1 + q2 * (east3 + q2 * east5)),
+            y=GRID_N0 + p["arc"] + nu * s / c * q2 * (north2 + q2 * (north4 + q2 * north6)),
         )
 
-    return [trig, radii, powers, grid]
+    return [trig, radii, grid]
 
 
 def _unproject() -> list[Stage]:
@@ -178,14 +160,10 @@ def _unproject() -> list[Stage]:
     def radii(p: Values) -> dict[str, Column]:
         return _curvature(p, phi=p["phi"], e=p["e"])
 
-    def scaled(p: Values) -> dict[str, Column]:
-        return dict(
-            u=p["e"] / p["nu"], ratio=p["nu"] / p["rho"], t=p["t"], tangent=p["s"] / p["c"], c=p["c"], phi=p["phi"]
-        )
-
     def degrees(p: Values) -> dict[str, Column]:
         # u is the easting in units of nu, so every term of the series is dimensionless
-        t, u, ratio = p["t"], p["u"], p["ratio"]
+        t, ratio = p["t"], p["ratio"]
+        u = p["e"] / p["nu"]
         u2 = u * u
         eta2 = ratio - 1
         south2 = F.lit(0.5)
@@ -195,38 +173,24 @@ def _unproject() -> list[Stage]:
         east5 = (5 + 28 * t + 24 * t * t) / 120
         east7 = (61 + 662 * t + 1320 * t * t + 720 * t * t * t) / 5040
         return dict(
-            phi=p["phi"] - p["tangent"] * ratio * u2 * (south2 - u2 * (south4 - u2 * south6)),
+            phi=p["phi"] - p["s"] / p["c"] * ratio * u2 * (south2 - u2 * (south4 - u2 * south6)),
             lam=LAM0 + u / p["c"] * (1 - u2 * (east3 - u2 * (east5 - u2 * east7))),
         )
 
-    return [start, *([improve] * NORTHING_ROUNDS), trig, radii, scaled, degrees]
+    return [start, *([improve] * NORTHING_ROUNDS), trig, radii, degrees]
 
 
-def _height_above_wgs84(p: Values) -> dict[str, Column]:
+def _depth_below_wgs84(p: Values) -> dict[str, Column]:
     sine, cosine = F.sin(p["phi"]), F.cos(p["phi"])
-    return dict(h=p["flat"] * cosine + p["z"] * sine - WGS84_A * F.sqrt(1 - WGS84_E2 * sine * sine))
-
-
-def _raised(p: Values) -> dict[str, Column]:
-    sine, cosine = F.sin(p["phi"]), F.cos(p["phi"])
-    nu = AIRY_A / F.sqrt(1 - AIRY_E2 * sine * sine)
-    return dict(
-        x=(nu + p["h"]) * cosine * F.cos(p["lam"]),
-        y=(nu + p["h"]) * cosine * F.sin(p["lam"]),
-        z=((1 - AIRY_E2) * nu + p["h"]) * sine,
-    )
-
-
-def _from_degrees(p: Values) -> dict[str, Column]:
-    return dict(phi=F.radians(p["lat"]), lam=F.radians(p["long"]))
+    return dict(h=WGS84_A * F.sqrt(1 - WGS84_E2 * sine * sine) - p["flat"] * cosine - p["z"] * sine)
 
 
 def _in_degrees(p: Values) -> dict[str, Column]:
     return dict(lat=F.degrees(p["phi"]), long=F.degrees(p["lam"]))
 
 
-_TO_AIRY = [*_to_cartesian(WGS84_A, WGS84_E2), _linear(TURN, SHIFT), *_to_geodetic(AIRY_A, AIRY_B)]
-_SHIFT_BACK = _linear(TURN_BACK, -TURN_BACK @ SHIFT)
+_WGS84_TO_AIRY = _shifted(WGS84_A, WGS84_E2, TURN, SHIFT)
+_AIRY_TO_WGS84 = _shifted(AIRY_A, AIRY_E2, TURN_BACK, -TURN_BACK @ SHIFT)
 
 
 def _run(df: DataFrame, stages: list[Stage], inputs: dict[str, str], tag: str) -> tuple[DataFrame, dict[str, str]]:
@@ -247,14 +211,17 @@ def _finished(df: DataFrame, kept: list[str], results: dict[str, str]) -> DataFr
 
 def with_bng(df: DataFrame, lat: str = "lat", long: str = "long", x: str = "x", y: str = "y") -> DataFrame:
     """Add grid metres ``x, y`` of WGS84 degrees; null if a coordinate is null."""
-    stages = [_from_degrees, *_TO_AIRY, *_project()]
+    stages = [_trig_of_degrees, _WGS84_TO_AIRY, *_to_geodetic(AIRY_A, AIRY_B), *_project()]
     done, names = _run(df, stages, {"lat": lat, "long": long}, "f")
     return _finished(done, df.columns, {x: names["x"], y: names["y"]})
 
 
 def with_grid(df: DataFrame, lat: str = "lat", long: str = "long", x: str = "x", y: str = "y") -> DataFrame:
     """Add grid metres ``x, y`` of degrees that are already on the Airy ellipsoid."""
-    done, names = _run(df, [_from_degrees, *_project()], {"lat": lat, "long": long}, "f")
+    def in_radians(p: Values) -> dict[str, Column]:
+        return dict(phi=F.radians(p["lat"]), lam=F.radians(p["long"]))
+
+    done, names = _run(df, [in_radians, *_project()], {"lat": lat, "long": long}, "f")
     return _finished(done, df.columns, {x: names["x"], y: names["y"]})
 
 
@@ -264,12 +231,10 @@ def with_wgs84(df: DataFrame, x: str = "x", y: str = "y", lat: str = "lat", long
     Points of the Airy surface lie off the WGS84 one. They are moved there
     first, which makes this the inverse of :func:`with_bng`.
     """
-    airy, point = _run(df, _unproject(), {"x": x, "y": y}, "u")
-    surface = [*_to_cartesian(AIRY_A, AIRY_E2), _SHIFT_BACK, *_to_geodetic(WGS84_A, WGS84_B), _height_above_wgs84]
-    seen, height = _run(airy, surface, point, "h")
-    lowered = seen.withColumn("_below", -F.col(height["h"]))
-    back = [_raised, _SHIFT_BACK, *_to_geodetic(WGS84_A, WGS84_B), _in_degrees]
-    done, names = _run(lowered, back, {**point, "h": "_below"}, "b")
+    airy, point = _run(df, [*_unproject(), _trig], {"x": x, "y": y}, "u")
+    surface = [_AIRY_TO_WGS84, *_to_geodetic(WGS84_A, WGS84_B)]
+    seen, height = _run(airy, [*surface, _depth_below_wgs84], point, "h")
+    done, names = _run(seen, [*surface, _in_degrees], {**point, **height}, "b")
     return _finished(done, df.columns, {lat: names["lat"], long: names["long"]})
 
 
