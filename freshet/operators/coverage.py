@@ -104,13 +104,14 @@ def incremental_range(
     today: dt.date,
     upto: int = LOOP_LAG_DAYS,
     first_day: str = FIRST_DAY,
+    moment: str = "r_datetime",
 ) -> DataFrame:
     """``start_date, end_date`` of the days after the last one stored, up to ``upto`` days ago.
 
     An empty table starts at ``first_day``. No row if there is nothing to load.
     """
     return _work(
-        date_bounds(readings).select(
+        date_bounds(readings, moment).select(
             F.coalesce(F.date_add("max_date", 1), F.lit(first_day).cast("date")).alias("start_date"),
             F.date_sub(F.lit(today), upto).alias("end_date"),
         )
@@ -124,10 +125,12 @@ def forced_range(spark: SparkSession, start: dt.date, end: dt.date | None = None
     )
 
 
-def trailing_range(readings: DataFrame, today: dt.date, days: int = TRAILING_DAYS) -> DataFrame:
+def trailing_range(
+    readings: DataFrame, today: dt.date, days: int = TRAILING_DAYS, moment: str = "r_datetime"
+) -> DataFrame:
     """``start_date, end_date`` from ``days`` before the last day stored to yesterday."""
     return _work(
-        date_bounds(readings).select(
+        date_bounds(readings, moment).select(
             F.date_sub("max_date", days).alias("start_date"),
             F.date_sub(F.lit(today), 1).alias("end_date"),
         )
@@ -140,7 +143,7 @@ def range_days(ranges: DataFrame) -> DataFrame:
 
 
 def with_days(readings: DataFrame, days: DataFrame, column: str = "r_date") -> DataFrame:
-    """Readings of the listed days; on a day-partitioned table the other days are pruned at run time."""
+    """Readings of the listed days."""
     return lookup(readings, days.select(F.col("r_date").alias(column)), [column], "left_semi")
 
 

@@ -1,4 +1,4 @@
-"""Joins that hold up when one key carries a large share of the rows."""
+"""Joins of many facts to a table of unique keys."""
 
 from __future__ import annotations
 
@@ -6,13 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-BROADCAST_ROWS = 200_000
-SALTS = 32
+BROADCAST_ROWS = 100_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` has at most ``max_rows`` rows.
+
+    Rows are taken from a few partitions at a time, and no more than one beyond
+    the bound, so a large table is not read to the end.
+    """
+    return len(df.select(F.lit(0)).take(max_rows + 1)) <= max_rows
 
 
 def lookup(
@@ -21,25 +24,15 @@ def lookup(
     on: Sequence[str],
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Join many facts to a dimension whose ``on`` columns are unique.
+    """Join facts to a dimension whose ``on`` columns are unique (semi and anti joins: any).
 
-    A dimension within ``max_rows`` is broadcast, so facts are not shuffled. A
-    larger one is shuffled, with every key spread over ``salts`` partitions:
-    the rows of a hot key, or of null keys, do not meet in one task. The salt
-    is a hash of the row, so a repeated task gives the same rows; full copies of
-    one row share a salt and are left to the adaptive skew join.
+    A dimension within ``max_rows`` is broadcast, and the facts stay where they
+    are. A larger one is shuffled; the session's adaptive skew join then divides
+    the facts of a hot key, or of null keys, between tasks. All four join types
+    keep the facts on the side that it can divide.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"facts must be on the left of a lookup, not {how!r}")
-    on = list(on)
-    if fits_broadcast(dimension, max_rows):
-        return facts.join(F.broadcast(dimension), on, how)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in facts.columns]), F.lit(salts))
-    copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        facts.withColumn("_salt", salt.cast("int"))
-        .join(copies, on + ["_salt"], how)
-        .drop("_salt")
-    )
+    side = F.broadcast(dimension) if fits_broadcast(dimension, max_rows) else dimension
+    return facts.join(side, list(on), how)

@@ -15,12 +15,12 @@ def children_of(parents: DataFrame, children: DataFrame, on: str, how: str = "in
 
 def cascaded(children: DataFrame, remaining_parents: DataFrame, on: str) -> DataFrame:
     """Children left after their parents were deleted."""
-    return lookup(children, remaining_parents.select(on).distinct(), [on], "left_semi")
+    return lookup(children, remaining_parents.select(on), [on], "left_semi")
 
 
 def orphans(children: DataFrame, parents: DataFrame, on: str) -> DataFrame:
     """Children without a parent."""
-    return lookup(children, parents.select(on).distinct(), [on], "left_anti")
+    return lookup(children, parents.select(on), [on], "left_anti")
 
 
 def measures_with_station(measures: DataFrame, stations: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .joins import SALTS, fits_broadcast
+from .joins import fits_broadcast
 
 DAY_SECONDS = 86_400
 
@@ -70,13 +70,8 @@ def lag_correlation(grid: DataFrame, pairs: DataFrame, max_lag: int, key: str =
     left = grid.select(F.col(key).alias("left"), "slot", F.col("mean").alias("left_mean"))
     right = grid.select(F.col(key).alias("right"), F.col("slot").alias("other_slot"), F.col("mean").alias("right_mean"))
     wanted = pairs.select("left", "right").distinct()
-    if fits_broadcast(wanted):
-        paired = left.join(F.broadcast(wanted), "left")
-    else:
-        # every pair meets the slots of its left series in several tasks
-        copies = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = left.withColumn("_salt", F.pmod("slot", F.lit(SALTS)).cast("int"))
-        paired = salted.join(copies, ["left", "_salt"]).drop("_salt")
+    # a series joins once per pair it is in; the adaptive skew join divides a hub with many pairs
+    paired = left.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, "left")
     lagged = (
         paired.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
         .withColumn("other_slot", F.col("slot") + F.col("lag"))

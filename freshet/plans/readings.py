@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.constants import LOOP_LAG_DAYS, TRAILING_DAYS
+from ..operators.changes import one_row_per_key
 from ..operators.coverage import (
     forced_range,
     incremental_range,
@@ -75,25 +76,23 @@ def load_days(
     ``replace`` drops the stored rows of a day first. Otherwise absent days are
     appended and stored ones upserted.
     """
-    spark = table.spark
     # a list of days, bounded by the length of the load range
     wanted = [row.r_date for row in days.collect()]
-    shaped = staged(shape_readings(scan_readings(spark, base, wanted)), "shaped")
-    labelled = with_station_label(usable(shaped), stations)
-    if replace:
-        from ..operators.changes import one_row_per_key
-
-        single = one_row_per_key(labelled, READING_KEY, batch_order())
-        done = table.replace_days(single)
-        changes = done.withColumn("action", F.lit("inserted"))
-        report = (
-            day_report(shaped, changes)
-            .drop("inserted", "updated")
-            .join(done, "r_date", "left")
-            .na.fill(0, ["rows_deleted", "rows_loaded"])
-        )
-    else:
-        report = day_report(shaped, table.append_or_upsert(labelled, batch_order()))
+    shaped = staged(shape_readings(scan_readings(table.spark, base, wanted)), "shaped")
+    rows = with_station_label(usable(shaped), stations)
+    if not replace:
+        return LoadResult(day_report(shaped, table.append_or_upsert(rows, batch_order())), quarantined(shaped))
+
+    # a file can hold a few readings of other days; those days are not dropped for them
+    inside = F.col("r_date").isin(wanted)
+    single = one_row_per_key(rows.where(inside), READING_KEY, batch_order())
+    replaced = table.replace_days(single)
+    strays = table.append_or_upsert(rows.where(~inside), batch_order())
+    report = (
+        day_report(shaped, strays)
+        .join(replaced, "r_date", "left")
+        .na.fill(0, ["rows_deleted", "rows_loaded"])
+    )
     return LoadResult(report, quarantined(shaped))
 
 
@@ -101,7 +100,7 @@ def load_new_days(
     table: DayTable, base: str, stations: DataFrame, today: dt.date, upto: int = LOOP_LAG_DAYS
 ) -> LoadResult:
     """Load the days after the last one stored."""
-    return load_days(table, base, range_days(incremental_range(table.read(), today, upto)), stations)
+    return load_days(table, base, range_days(incremental_range(table.days(), today, upto, moment="r_date")), stations)
 
 
 def load_forced_days(
@@ -115,7 +114,7 @@ def reload_trailing_days(
     table: DayTable, base: str, stations: DataFrame, today: dt.date, days: int = TRAILING_DAYS
 ) -> LoadResult:
     """Replace the last days, to take in late corrections."""
-    return load_days(table, base, range_days(trailing_range(table.read(), today, days)), stations, replace=True)
+    return load_days(table, base, range_days(trailing_range(table.days(), today, days, moment="r_date")), stations, replace=True)
 
 
 def fill_gaps(
@@ -126,4 +125,4 @@ def fill_gaps(
     last: dt.date | None = None,
 ) -> LoadResult:
     """Load the days missing between the first and last day stored."""
-    return load_days(table, base, missing_days(table.read(), "r_date", first, last), stations)
+    return load_days(table, base, missing_days(table.days(), "r_date", first, last), stations)

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
+    # hot keys are divided between tasks, also where that costs another shuffle
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # larger generated methods are not compiled by the JVM; split them instead
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

@@ -1,8 +1,9 @@
 """A Parquet table partitioned by day.
 
-Writers name the days they touch and replace those partitions alone. A result
-that depends on the table itself is staged in the shared folder first, so that
-no partition is overwritten while it is being read.
+Writers touch the partitions of the days they hold and no others: the days of a
+batch, a list no longer than the calendar, become a filter on the partition
+column. A result that depends on the table itself is staged in the shared
+folder first, so that no partition is overwritten while it is being read.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.dates import day_end, day_start
 from ..operators.changes import merge_changes, one_row_per_key
-from ..operators.coverage import days_present, with_days, without_days
+from ..operators.coverage import days_present
 from ..session import staged
 
 
@@ -45,15 +46,26 @@ class DayTable:
             schema = T.StructType([*schema.fields, T.StructField(created_column, T.TimestampType())])
         self.schema = schema
 
-    def exists(self) -> bool:
-        """Whether anything has been written."""
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return files.exists(jvm_path)
+    def _folder(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def stored_days(self) -> list[dt.date]:
+        """The days that have a partition, from the folder names alone."""
+        folder, files = self._folder(self.path)
+        if not files.exists(folder):
+            return []
+        prefix = f"{self.day}="
+        names = [status.getPath().getName() for status in files.listStatus(folder)]
+        return sorted(dt.date.fromisoformat(name[len(prefix):]) for name in names if name.startswith(prefix))
+
+    def days(self) -> DataFrame:
+        """:meth:`stored_days` as rows ``r_date``."""
+        return self.spark.createDataFrame([(day,) for day in self.stored_days()], "r_date date")
 
     def read(self) -> DataFrame:
         """All stored rows; no rows if nothing has been written."""
-        if not self.exists():
+        if not self.stored_days():
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
 
@@ -75,6 +87,12 @@ class DayTable:
             return rows.withColumn(self.created_column, F.current_timestamp())
         return rows
 
+    def _among(self, days: Sequence[dt.date]) -> Column:
+        return F.col(self.day).isin(list(days))
+
+    def _days_of(self, rows: DataFrame) -> list[dt.date]:
+        return [row.r_date for row in days_present(rows, self.day).collect()]
+
     def append(self, rows: DataFrame) -> None:
         """Add rows of days that are not stored yet."""
         self._write(self._stamped(rows), "append")
@@ -83,9 +101,8 @@ class DayTable:
         """Replace every day that ``rows`` holds. Returns ``r_date, rows_deleted, rows_loaded``."""
         incoming = staged(self._stamped(rows).select(*self.schema.names), "replacement")
         loaded = incoming.groupBy(self.day).agg(F.count("*").alias("rows_loaded"))
-        deleted = with_days(self.read(), days_present(incoming, self.day), self.day).groupBy(self.day).agg(
-            F.count("*").alias("rows_deleted")
-        )
+        replaced = self.read().where(self._among(self._days_of(incoming)))
+        deleted = replaced.groupBy(self.day).agg(F.count("*").alias("rows_deleted"))
         report = staged(
             loaded.join(deleted, self.day, "left").select(
                 F.col(self.day).alias("r_date"),
@@ -98,30 +115,30 @@ class DayTable:
         return report
 
     def upsert(self, rows: DataFrame, order: Sequence[Column], moment: Column | None = None) -> DataFrame:
-        """Insert new keys and update changed rows in the days that ``rows`` touches.
+        """Insert new keys and update changed rows in the days that ``rows`` holds.
 
         Of several rows with one key the first under ``order`` counts. Returns
         ``keys`` and ``action`` of every row of those days.
         """
         single = one_row_per_key(rows, self.keys, order)
         incoming = staged(self._stamped(single).select(*self.schema.names), "batch")
-        stored = with_days(self.read(), days_present(incoming, self.day), self.day)
-        # the day is part of the join key: it follows from the timestamp, and joins stay within a day
+        stored = self.read().where(self._among(self._days_of(incoming)))
+        # the day follows from the key, and joining on it too keeps a day's rows together
         keys = list(dict.fromkeys([self.day, *self.keys]))
         merged = staged(
             merge_changes(stored, incoming, keys, self.tracked, self.updated_column, moment), "merged"
         )
-        changed_days = days_present(merged.where(F.col("action").isin("inserted", "updated")), self.day)
-        self._write(with_days(merged, changed_days, self.day), "overwrite")
+        changed = self._days_of(merged.where(F.col("action").isin("inserted", "updated")))
+        self._write(merged.where(self._among(changed)), "overwrite")
         return merged.select(*keys, "action")
 
     def append_or_upsert(self, rows: DataFrame, order: Sequence[Column], moment: Column | None = None) -> DataFrame:
         """Append the days that are absent, upsert the others. Returns ``keys`` and ``action``."""
         incoming = staged(rows, "incoming")
-        known = staged(days_present(self.read(), self.day), "known-days")
-        new_days = one_row_per_key(without_days(incoming, known, self.day), self.keys, order)
-        actions = self.upsert(with_days(incoming, known, self.day), order, moment)
-        appended = staged(self._stamped(new_days).select(*self.schema.names), "appended")
+        known = self._among(self.stored_days())
+        single = one_row_per_key(incoming.where(~known), self.keys, order)
+        appended = staged(self._stamped(single).select(*self.schema.names), "appended")
+        actions = self.upsert(incoming.where(known), order, moment)
         self.append(appended)
         return actions.unionByName(appended.select(*actions.columns[:-1], F.lit("inserted").alias("action")))
 
@@ -130,21 +147,15 @@ class DayTable:
 
         Without a moment column the days themselves are compared.
         """
-        days = F.col(self.day).between(F.lit(first), F.lit(last))
+        touched = [day for day in self.stored_days() if first <= day <= last]
         if self.moment is None:
-            inside = days
+            survivors_by_day = []
         else:
             inside = F.col(self.moment).between(day_start(F.lit(first)), day_end(F.lit(last)))
-        touched = self.read().where(days)
-        survivors = staged(touched.where(~inside | inside.isNull()), "survivors")
-        emptied = days_present(touched, self.day).join(days_present(survivors, self.day), "r_date", "left_anti")
-        # the list has at most one entry per day of the range
-        dropped = [row.r_date for row in emptied.collect()]
-        self._write(survivors, "overwrite")
-        for day in dropped:
-            self._drop_partition(day)
-
-    def _drop_partition(self, day: dt.date) -> None:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.day}={day.isoformat()}")
-        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.delete(target, True)
+            survivors = staged(self.read().where(self._among(touched) & (~inside | inside.isNull())), "survivors")
+            survivors_by_day = self._days_of(survivors)
+            self._write(survivors, "overwrite")
+        for day in touched:
+            if day not in survivors_by_day:
+                folder, files = self._folder(f"{self.path}/{self.day}={day.isoformat()}")
+                files.delete(folder, True)
