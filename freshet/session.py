@@ -72,3 +72,9 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     path = fresh_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, for listing and deleting."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.changes import repeats, without_repeats
+from ..session import hadoop_path, staged
 
 
 class CatalogueTables:
@@ -20,13 +21,10 @@ class CatalogueTables:
         self.spark = spark
         self.base = base.rstrip("/")
 
-    def _pointer_exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/current")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
     def current_version(self) -> str | None:
         """Name of the set in use; None before the first load."""
-        if not self._pointer_exists():
+        pointer, files = hadoop_path(self.spark, f"{self.base}/current")
+        if not files.exists(pointer):
             return None
         row = self.spark.read.schema("version string").json(f"{self.base}/current").first()
         return row.version if row else None
@@ -54,17 +52,9 @@ class CatalogueTables:
         if version is None:
             raise ValueError(f"nothing has been loaded under {self.base}")
         stored = self.read(table)
-        rejected = repeats(stored.select(key), rows, [key])
-        accepted = without_repeats(stored, rows, [key]).withColumn("created", F.current_timestamp())
-        target = f"{self.base}/version={version}/{table}"
-        rejected_rows = self.spark.read.schema(rows.schema).parquet(_kept(rejected))
-        accepted.write.mode("append").parquet(target)
-        return rejected_rows
-
-
-def _kept(rows: DataFrame) -> str:
-    from ..session import fresh_path
-
-    path = fresh_path(rows.sparkSession, "rejected")
-    rows.write.parquet(path)
-    return path
+        # both are written out before the table changes
+        rejected = staged(repeats(stored, rows, [key]), "rejected")
+        accepted = staged(without_repeats(stored, rows, [key]), "accepted")
+        stamped = accepted.withColumn("created", F.current_timestamp())
+        stamped.write.mode("append").parquet(f"{self.base}/version={version}/{table}")
+        return rejected

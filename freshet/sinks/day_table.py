@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.dates import day_end, day_start
 from ..operators.changes import merge_changes, one_row_per_key
 from ..operators.coverage import days_present
-from ..session import staged
+from ..session import hadoop_path, staged
 
 
 class DayTable:
@@ -46,13 +46,9 @@ class DayTable:
             schema = T.StructType([*schema.fields, T.StructField(created_column, T.TimestampType())])
         self.schema = schema
 
-    def _folder(self, path: str):
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def stored_days(self) -> list[dt.date]:
         """The days that have a partition, from the folder names alone."""
-        folder, files = self._folder(self.path)
+        folder, files = hadoop_path(self.spark, self.path)
         if not files.exists(folder):
             return []
         prefix = f"{self.day}="
@@ -157,5 +153,5 @@ class DayTable:
             self._write(survivors, "overwrite")
         for day in touched:
             if day not in survivors_by_day:
-                folder, files = self._folder(f"{self.path}/{self.day}={day.isoformat()}")
+                folder, files = hadoop_path(self.spark, f"{self.path}/{self.day}={day.isoformat()}")
                 files.delete(folder, True)

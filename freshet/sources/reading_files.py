@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.constants import SOURCE_LIMITS
 from ..functions.values import normalise_missing
+from ..session import hadoop_path
 
 READING_COLUMNS = (
     "measure", "dateTime", "date", "value", "period", "completeness",
@@ -38,13 +39,20 @@ def source_day(tag: Column) -> Column:
 
 
 def list_reading_files(spark: SparkSession, base: str) -> DataFrame:
-    """``(path, length, source, day)`` of the landed files; contents are not read."""
+    """``(path, length, source, day)`` of the landed files, empty ones included.
+
+    Names and sizes come from the file system; contents are not read.
+    """
+    folder, files = hadoop_path(spark, base)
+    listing = files.listFiles(folder, True)
+    found = []
+    while listing.hasNext():
+        status = listing.next()
+        found.append((status.getPath().toString(), status.getLen()))
     return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .load(base)
-        .select("path", "length", source_tag(F.col("path")).alias("source"))
+        spark.createDataFrame(found, "path string, length long")
+        .where(F.col("path").endswith(".csv"))
+        .withColumn("source", source_tag(F.col("path")))
         .where(F.col("source").isNotNull())
         .withColumn("day", source_day(F.col("source")))
     )
