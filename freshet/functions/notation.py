@@ -33,19 +33,20 @@ def root_templated(uri: Column, root: str) -> Column:
     return F.replace(F.coalesce(uri, F.lit("")), F.lit(root), F.lit(ROOT_TEMPLATE))
 
 
-def notation_fields(notation: Column) -> dict[str, Column]:
-    """The seven fields of a notation, one Column each; all null if the layout is unknown.
+def notation_parts(notation: Column) -> Column:
+    """The notation cut at its dashes."""
+    return F.split(notation, "-")
 
-    The layouts differ in the number of dashes. The two long ones start with a
+
+def notation_fields(parts: Column) -> dict[str, Column]:
+    """The seven fields of a notation from its parts; all null if the layout is unknown.
+
+    The layouts differ in the number of dashes. The long ones start with a
     station GUID that holds dashes itself, so their fields count from the end.
     """
-    parts = F.split(notation, "-")
     count = F.size(parts)
-    short = count.isin(4, 5)
-    nine = count == 10
-    long = count >= 11
+    short, nine, long = count.isin(4, 5), count == 10, count >= 11
     dipped = nine & (F.get(parts, F.lit(5)) == "gw") & (F.get(parts, F.lit(6)) == "dipped")
-    plain_nine = nine & ~dipped
 
     def at(index: int) -> Column:
         return F.get(parts, F.lit(index))
@@ -53,18 +54,15 @@ def notation_fields(notation: Column) -> dict[str, Column]:
     def back(index: int) -> Column:
         return F.get(parts, count - index)
 
+    def first(length: int | Column) -> Column:
+        return F.array_join(F.slice(parts, 1, length), "-")
+
     return {
-        "station_id": F.when(short, at(0))
-        .when(nine, F.substring_index(notation, "-", 5))
-        # substring_index takes the count as a Column only in SQL text, hence the array form
-        .when(long, F.array_join(F.slice(parts, 1, count - 6), "-")),
+        "station_id": F.when(short, at(0)).when(nine, first(5)).when(long, first(count - 6)),
         "parameter": F.when(short, at(1)).when(nine, at(5)).when(long, back(6)),
         "qualifier": F.when(dipped, at(6)).when(long, back(5)),
-        "value_type": F.when(short, at(2))
-        .when(dipped, at(7))
-        .when(plain_nine, at(6))
-        .when(long, back(4)),
-        "period_name": F.when(short, at(3)).when(plain_nine, at(7)).when(long, back(3)),
+        "value_type": F.when(short, at(2)).when(dipped, at(7)).when(nine, at(6)).when(long, back(4)),
+        "period_name": F.when(short, at(3)).when(dipped, F.lit(None)).when(nine, at(7)).when(long, back(3)),
         "unit_name": F.when(count == 5, at(4)).when(nine, at(8)).when(long, back(2)),
         "observation_type": F.when(nine, at(9)).when(long, back(1)),
     }
@@ -72,8 +70,6 @@ def notation_fields(notation: Column) -> dict[str, Column]:
 
 def parse_notation(notation: Column) -> Column:
     """The notation as one struct, null where the layout is unknown."""
-    fields = notation_fields(notation)
-    return F.when(
-        F.size(F.split(notation, "-")).isin(4, 5, 10) | (F.size(F.split(notation, "-")) >= 11),
-        F.struct(*[column.alias(name) for name, column in fields.items()]),
-    )
+    parts = notation_parts(notation)
+    known = F.size(parts).isin(4, 5, 10) | (F.size(parts) >= 11)
+    return F.when(known, F.struct(*[column.alias(name) for name, column in notation_fields(parts).items()]))

@@ -10,6 +10,7 @@ from .constants import NA_TOKENS, SPLIT_MAX, SPLIT_MIN, WHITESPACE
 NUMBER_PATTERN = (
     r"^[+-]?((\d+(_\d+)*\.?|(\d+(_\d+)*)?\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf(inity)?)$"
 )
+PLAIN_PATTERN = r"^-?\d+(\.\d+)?$"
 NAN_PATTERN = r"^[+-]?nan$"
 
 READING_DECIMAL = "decimal(15,3)"
@@ -43,35 +44,47 @@ def _number(stripped_lower: Column) -> Column:
 
 def parse_number(text: Column) -> Column:
     """Text to double; null unless the whole text is a number (NaN is none)."""
-    return _number(F.lower(strip(text)))
+    # nearly all cells are plain decimals, which need no clean-up
+    return F.when(text.rlike(PLAIN_PATTERN), text.try_cast("double")).otherwise(_number(F.lower(strip(text))))
 
 
-def measured_value(text: Column) -> Column:
-    """``struct<value double, status int>`` of one reading cell.
+def last_part(text: Column) -> Column:
+    """What follows the last ``|``; null if there is none."""
+    return F.when(F.contains(text, F.lit("|")), F.substring_index(text, "|", -1))
+
+
+def chosen_value(number: Column, part: Column) -> Column:
+    """The number of the whole text, or that of its last part if in range."""
+    return F.coalesce(number, F.when(part.between(SPLIT_MIN, SPLIT_MAX), part))
+
+
+def value_status(text: Column, number: Column, tail: Column, part: Column) -> Column:
+    """How a cell was understood, from its text, its number, its last part and the number of that.
 
     Status 0 plain number, 1 missing, 2 the word nan, 3 signed nan, 5 not a
     number, 6 number after the last ``|``, 7 that number is NaN or out of
     range, 8 that part is no number.
     """
     whole = F.lower(strip(text))
-    number = _number(whole)
-    tail = strip(F.substring_index(whole, "|", -1))
-    tail_number = _number(tail)
-    in_range = tail_number.between(SPLIT_MIN, SPLIT_MAX)
-    has_bar = F.contains(whole, F.lit("|"))
-
-    status = (
+    return (
         F.when(number.isNotNull(), 0)
         .when(text.isNull(), 1)
+        .when(part.between(SPLIT_MIN, SPLIT_MAX), 6)
+        .when(part.isNotNull(), 7)
+        .when(tail.isNotNull(), F.when(F.lower(strip(tail)).rlike(NAN_PATTERN), 7).otherwise(8))
         .when(whole == "nan", 2)
         .when(whole.rlike(NAN_PATTERN), 3)
-        .when(~has_bar, 5)
-        .when(in_range, 6)
-        .when(tail_number.isNotNull() | tail.rlike(NAN_PATTERN), 7)
-        .otherwise(8)
+        .otherwise(5)
+    )
+
+
+def measured_value(text: Column) -> Column:
+    """``struct<value double, status int>`` of one reading cell; see :func:`value_status`."""
+    number, tail = parse_number(text), last_part(text)
+    part = parse_number(tail)
+    return F.struct(
+        chosen_value(number, part).alias("value"), value_status(text, number, tail, part).alias("status")
     )
-    value = F.when(number.isNotNull(), number).when(has_bar & in_range, tail_number)
-    return F.struct(value.alias("value"), status.alias("status"))
 
 
 def stored_value(value: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import month_start, parse_date, parse_datetime
-from ..functions.notation import notation_fields, notation_of
-from ..functions.values import measured_value, period_seconds, stored_value
+from ..functions.notation import notation_fields, notation_of, notation_parts
+from ..functions.values import chosen_value, last_part, parse_number, period_seconds, stored_value, value_status
 from .joins import lookup
 
 READING_KEY = ("notation", "r_datetime")
@@ -27,21 +27,40 @@ def _with_all_columns(raw: DataFrame) -> DataFrame:
     return raw.withColumns(absent) if absent else raw
 
 
+def with_value(cells: DataFrame, text: str, value: str, status: str) -> DataFrame:
+    """Add the number in a text column and how it was understood, one step per projection."""
+    return (
+        cells.withColumn("_number", parse_number(F.col(text)))
+        .withColumn("_tail", F.when(F.col("_number").isNull(), last_part(F.col(text))))
+        .withColumn("_part", parse_number(F.col("_tail")))
+        .withColumns(
+            {
+                value: chosen_value(F.col("_number"), F.col("_part")),
+                status: value_status(F.col(text), F.col("_number"), F.col("_tail"), F.col("_part")),
+            }
+        )
+        .drop("_number", "_tail", "_part")
+    )
+
+
+def with_notation(cells: DataFrame, measure: str) -> DataFrame:
+    """Add the ``notation`` of a measure URI and its seven fields."""
+    return (
+        cells.withColumn("notation", notation_of(F.col(measure)))
+        .withColumn("_parts", notation_parts(F.col("notation")))
+        .withColumns(notation_fields(F.col("_parts")))
+        .drop("_parts")
+    )
+
+
 def shape_readings(raw: DataFrame) -> DataFrame:
     """One output record per raw row, in the layout of the readings table.
 
     ``r_date`` is the day of ``r_datetime``; the file's own date is kept as
     ``source_date``. ``value_status`` says how the value text was understood.
     """
-    cells = _with_all_columns(raw)
-    staged = cells.withColumns(
-        {
-            "r_datetime": parse_datetime(F.col("dateTime")),
-            "notation": notation_of(F.col("measure")),
-            "_value": measured_value(F.col("value")),
-        }
-    )
-    fields = notation_fields(F.col("notation"))
+    cells = _with_all_columns(raw).withColumn("r_datetime", parse_datetime(F.col("dateTime")))
+    staged = with_notation(with_value(cells, "value", "_value", "value_status"), "measure")
     text = F.lit(None).cast("string")
     passed = [name for name in raw.columns if name not in RAW_COLUMNS]
     return staged.select(
@@ -52,19 +71,19 @@ def shape_readings(raw: DataFrame) -> DataFrame:
         parse_date(F.col("date")).alias("source_date"),
         "measure",
         "notation",
-        fields["station_id"].alias("station_id"),
+        "station_id",
         text.alias("parameter_name"),
-        fields["parameter"].alias("parameter"),
-        fields["qualifier"].alias("qualifier"),
-        fields["value_type"].alias("value_type"),
-        fields["period_name"].alias("period_name"),
+        "parameter",
+        "qualifier",
+        "value_type",
+        "period_name",
         period_seconds(F.col("period")).alias("period"),
-        fields["unit_name"].alias("unit_name"),
-        fields["observation_type"].alias("observation_type"),
+        "unit_name",
+        "observation_type",
         text.alias("datumtype"),
         text.alias("stationreference"),
-        stored_value(F.col("_value.value")).alias("value"),
-        F.col("_value.status").alias("value_status"),
+        stored_value(F.col("_value")).alias("value"),
+        "value_status",
         "completeness",
         "quality",
         "qcode",

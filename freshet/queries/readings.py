@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import codes
 from ..functions.constants import FLOOD_ROOT
-from ..functions.notation import notation_fields, notation_of, root_templated
-from ..functions.values import measured_value, normalise_missing, period_seconds, stored_value
+from ..functions.notation import root_templated
+from ..functions.values import normalise_missing, period_seconds, stored_value
 from ..operators import readings as R, relations, summaries
 from ..operators.filters import filter_readings
 from ..session import fresh_path
@@ -52,12 +52,12 @@ def value_status_histogram(spark, sf_dir):
         from ({value_columns('value', CELLS, 'event_id')}) v""",
 )
 def clean_value(spark, sf_dir):
-    rows = cells(spark, sf_dir).select("event_id", measured_value(F.col("value")).alias("m"))
-    number = F.col("m.value")
+    rows = R.with_value(cells(spark, sf_dir).select("event_id", "value"), "value", "read", "value_status")
+    number = F.col("read")
     infinite = F.coalesce(F.abs(number) == float("inf"), F.lit(False))
     return rows.select(
         "event_id",
-        F.col("m.status").alias("value_status"),
+        "value_status",
         infinite.alias("infinite"),
         F.when(~infinite, number).alias("number"),
         stored_value(number).cast("double").alias("stored"),
@@ -69,8 +69,7 @@ def clean_value(spark, sf_dir):
     f"select * exclude (measure) from ({notation_columns(f'select event_id, measure from ({CELLS}) c')}) n",
 )
 def parse_notation(spark, sf_dir):
-    rows = cells(spark, sf_dir).select("event_id", notation_of(F.col("measure")).alias("notation"))
-    return rows.withColumns(notation_fields(F.col("notation")))
+    return R.with_notation(cells(spark, sf_dir).select("event_id", "measure"), "measure").drop("measure")
 
 
 @query(

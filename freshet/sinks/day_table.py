@@ -89,6 +89,9 @@ class DayTable:
     def _days_of(self, rows: DataFrame) -> list[dt.date]:
         return [row.r_date for row in days_present(rows, self.day).collect()]
 
+    def _all_keys(self) -> list[str]:
+        return list(dict.fromkeys([self.day, *self.keys]))
+
     def append(self, rows: DataFrame) -> None:
         """Add rows of days that are not stored yet."""
         self._write(self._stamped(rows), "append")
@@ -113,30 +116,35 @@ class DayTable:
     def upsert(self, rows: DataFrame, order: Sequence[Column], moment: Column | None = None) -> DataFrame:
         """Insert new keys and update changed rows in the days that ``rows`` holds.
 
-        Of several rows with one key the first under ``order`` counts. Returns
-        ``keys`` and ``action`` of every row of those days.
+        Of several rows with one key the first under ``order`` counts. ``rows``
+        is evaluated twice, first for its days alone. Returns ``keys`` and
+        ``action`` of every row of those days.
         """
-        single = one_row_per_key(rows, self.keys, order)
-        incoming = staged(self._stamped(single).select(*self.schema.names), "batch")
-        stored = self.read().where(self._among(self._days_of(incoming)))
+        stored = self.read().where(self._among(self._days_of(rows)))
+        incoming = self._stamped(one_row_per_key(rows, self.keys, order)).select(*self.schema.names)
         # the day follows from the key, and joining on it too keeps a day's rows together
-        keys = list(dict.fromkeys([self.day, *self.keys]))
+        keys = self._all_keys()
         merged = staged(
             merge_changes(stored, incoming, keys, self.tracked, self.updated_column, moment), "merged"
         )
         changed = self._days_of(merged.where(F.col("action").isin("inserted", "updated")))
-        self._write(merged.where(self._among(changed)), "overwrite")
+        if changed:
+            self._write(merged.where(self._among(changed)), "overwrite")
         return merged.select(*keys, "action")
 
     def append_or_upsert(self, rows: DataFrame, order: Sequence[Column], moment: Column | None = None) -> DataFrame:
         """Append the days that are absent, upsert the others. Returns ``keys`` and ``action``."""
-        incoming = staged(rows, "incoming")
-        known = self._among(self.stored_days())
-        single = one_row_per_key(incoming.where(~known), self.keys, order)
+        stored = set(self.stored_days())
+        days = self._days_of(rows)
+        known, new = [d for d in days if d in stored], [d for d in days if d not in stored]
+        none = rows.limit(0).select(*self._all_keys(), F.lit("").alias("action"))
+        actions = self.upsert(rows.where(self._among(known)), order, moment) if known else none
+        if not new:
+            return actions
+        single = one_row_per_key(rows.where(self._among(new)), self.keys, order)
         appended = staged(self._stamped(single).select(*self.schema.names), "appended")
-        actions = self.upsert(incoming.where(known), order, moment)
         self.append(appended)
-        return actions.unionByName(appended.select(*actions.columns[:-1], F.lit("inserted").alias("action")))
+        return actions.unionByName(appended.select(*self._all_keys(), F.lit("inserted").alias("action")))
 
     def delete_between(self, first: dt.date, last: dt.date) -> None:
         """Delete the rows from the first moment of ``first`` to the last one of ``last``.

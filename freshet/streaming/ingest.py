@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.values import normalise_missing
 from ..operators.readings import shape_readings, usable, with_station_label
 from ..plans.readings import batch_order
+from ..session import staged
 from ..sinks.day_table import DayTable
 from ..sources.reading_files import READING_SCHEMA, source_tag
 
@@ -40,8 +41,9 @@ def upsert_stream(
     """
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        rows = with_station_label(usable(shape_readings(batch)), stations)
-        table.upsert(rows, batch_order())
+        # the files are read once, although the upsert reads its rows twice
+        shaped = staged(usable(shape_readings(batch)), "micro-batch")
+        table.append_or_upsert(with_station_label(shaped, stations), batch_order())
 
     return (
         raw.writeStream.foreachBatch(write)
