@@ -11,7 +11,7 @@ NUMBER_PATTERN = (
     r"^[+-]?((\d+(_\d+)*\.?|(\d+(_\d+)*)?\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf(inity)?)$"
 )
 PLAIN_PATTERN = r"^-?\d+(\.\d+)?$"
-NAN_PATTERN = r"^[+-]?nan$"
+NAN_TEXTS = ("nan", "+nan", "-nan")
 
 READING_DECIMAL = "decimal(15,3)"
 
@@ -42,15 +42,25 @@ def _number(stripped_lower: Column) -> Column:
     return F.when(stripped_lower.rlike(NUMBER_PATTERN), plain.try_cast("double"))
 
 
+def odd_text(text: Column) -> Column:
+    """The stripped lower-case text of a cell that is not a plain decimal; null for one that is."""
+    return F.when(~text.rlike(PLAIN_PATTERN), F.lower(strip(text)))
+
+
+def number_of(text: Column, odd: Column) -> Column:
+    """The number of a whole cell, given its :func:`odd_text`."""
+    # nearly all cells are plain decimals, which need no clean-up
+    return F.when(odd.isNull(), text.try_cast("double")).otherwise(_number(odd))
+
+
 def parse_number(text: Column) -> Column:
     """Text to double; null unless the whole text is a number (NaN is none)."""
-    # nearly all cells are plain decimals, which need no clean-up
-    return F.when(text.rlike(PLAIN_PATTERN), text.try_cast("double")).otherwise(_number(F.lower(strip(text))))
+    return number_of(text, odd_text(text))
 
 
-def last_part(text: Column) -> Column:
+def last_part(odd: Column) -> Column:
     """What follows the last ``|``; null if there is none."""
-    return F.when(F.contains(text, F.lit("|")), F.substring_index(text, "|", -1))
+    return F.when(F.contains(odd, F.lit("|")), strip(F.substring_index(odd, "|", -1)))
 
 
 def chosen_value(number: Column, part: Column) -> Column:
@@ -58,32 +68,32 @@ def chosen_value(number: Column, part: Column) -> Column:
     return F.coalesce(number, F.when(part.between(SPLIT_MIN, SPLIT_MAX), part))
 
 
-def value_status(text: Column, number: Column, tail: Column, part: Column) -> Column:
-    """How a cell was understood, from its text, its number, its last part and the number of that.
+def value_status(text: Column, number: Column, odd: Column, tail: Column, part: Column) -> Column:
+    """How a cell was understood, from the steps of reading it.
 
     Status 0 plain number, 1 missing, 2 the word nan, 3 signed nan, 5 not a
     number, 6 number after the last ``|``, 7 that number is NaN or out of
     range, 8 that part is no number.
     """
-    whole = F.lower(strip(text))
     return (
         F.when(number.isNotNull(), 0)
         .when(text.isNull(), 1)
         .when(part.between(SPLIT_MIN, SPLIT_MAX), 6)
-        .when(part.isNotNull(), 7)
-        .when(tail.isNotNull(), F.when(F.lower(strip(tail)).rlike(NAN_PATTERN), 7).otherwise(8))
-        .when(whole == "nan", 2)
-        .when(whole.rlike(NAN_PATTERN), 3)
+        .when(part.isNotNull() | tail.isin(*NAN_TEXTS), 7)
+        .when(tail.isNotNull(), 8)
+        .when(odd == "nan", 2)
+        .when(odd.isin(*NAN_TEXTS), 3)
         .otherwise(5)
     )
 
 
 def measured_value(text: Column) -> Column:
     """``struct<value double, status int>`` of one reading cell; see :func:`value_status`."""
-    number, tail = parse_number(text), last_part(text)
+    odd = odd_text(text)
+    number, tail = number_of(text, odd), last_part(odd)
     part = parse_number(tail)
     return F.struct(
-        chosen_value(number, part).alias("value"), value_status(text, number, tail, part).alias("status")
+        chosen_value(number, part).alias("value"), value_status(text, number, odd, tail, part).alias("status")
     )
 
 

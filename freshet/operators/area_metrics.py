@@ -26,7 +26,8 @@ def polygon_edges(polygons: DataFrame, text: str = "polygon_json") -> DataFrame:
         *AREA_KEYS,
         F.get(first, F.lit(0)).alias("o_x"),
         F.get(first, F.lit(1)).alias("o_y"),
-        F.posexplode("shape").alias("part", "rings"),
+        # the inner form would add a filter below, and with it a second parse of the text
+        F.posexplode_outer("shape").alias("part", "rings"),
     )
     kept = (*AREA_KEYS, "o_x", "o_y", "part")
     ring_rows = parts.select(*kept, F.posexplode("rings").alias("ring", "positions"))

@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import month_start, parse_date, parse_datetime
 from ..functions.notation import notation_fields, notation_of, notation_parts
-from ..functions.values import chosen_value, last_part, parse_number, period_seconds, stored_value, value_status
+from ..functions.values import (
+    chosen_value,
+    last_part,
+    number_of,
+    odd_text,
+    parse_number,
+    period_seconds,
+    stored_value,
+    value_status,
+)
 from .joins import lookup
 
 READING_KEY = ("notation", "r_datetime")
@@ -29,17 +38,13 @@ def _with_all_columns(raw: DataFrame) -> DataFrame:
 
 def with_value(cells: DataFrame, text: str, value: str, status: str) -> DataFrame:
     """Add the number in a text column and how it was understood, one step per projection."""
+    odd, number, tail, part = (F.col(name) for name in ("_odd", "_number", "_tail", "_part"))
     return (
-        cells.withColumn("_number", parse_number(F.col(text)))
-        .withColumn("_tail", F.when(F.col("_number").isNull(), last_part(F.col(text))))
-        .withColumn("_part", parse_number(F.col("_tail")))
-        .withColumns(
-            {
-                value: chosen_value(F.col("_number"), F.col("_part")),
-                status: value_status(F.col(text), F.col("_number"), F.col("_tail"), F.col("_part")),
-            }
-        )
-        .drop("_number", "_tail", "_part")
+        cells.withColumn("_odd", odd_text(F.col(text)))
+        .withColumns({"_number": number_of(F.col(text), odd), "_tail": last_part(odd)})
+        .withColumn("_part", parse_number(tail))
+        .withColumns({value: chosen_value(number, part), status: value_status(F.col(text), number, odd, tail, part)})
+        .drop("_odd", "_number", "_tail", "_part")
     )
 
 
@@ -59,11 +64,27 @@ def shape_readings(raw: DataFrame) -> DataFrame:
     ``r_date`` is the day of ``r_datetime``; the file's own date is kept as
     ``source_date``. ``value_status`` says how the value text was understood.
     """
-    cells = _with_all_columns(raw).withColumn("r_datetime", parse_datetime(F.col("dateTime")))
-    staged = with_notation(with_value(cells, "value", "_value", "value_status"), "measure")
+    # few projections, each on results of the one before, so that no parse is repeated
+    odd, number, tail, part = (F.col(name) for name in ("_odd", "_number", "_tail", "_part"))
+    cells = _with_all_columns(raw).withColumns(
+        {
+            "r_datetime": parse_datetime(F.col("dateTime")),
+            "notation": notation_of(F.col("measure")),
+            "_odd": odd_text(F.col("value")),
+        }
+    )
+    parted = cells.withColumns(
+        {
+            "_parts": notation_parts(F.col("notation")),
+            "_number": number_of(F.col("value"), odd),
+            "_tail": last_part(odd),
+        }
+    )
+    parsed = parted.withColumn("_part", parse_number(tail))
+    fields = notation_fields(F.col("_parts"))
     text = F.lit(None).cast("string")
     passed = [name for name in raw.columns if name not in RAW_COLUMNS]
-    return staged.select(
+    return parsed.select(
         "source",
         "r_datetime",
         month_start(F.col("r_datetime")).alias("r_month"),
@@ -71,19 +92,19 @@ def shape_readings(raw: DataFrame) -> DataFrame:
         parse_date(F.col("date")).alias("source_date"),
         "measure",
         "notation",
-        "station_id",
+        fields["station_id"].alias("station_id"),
         text.alias("parameter_name"),
-        "parameter",
-        "qualifier",
-        "value_type",
-        "period_name",
+        fields["parameter"].alias("parameter"),
+        fields["qualifier"].alias("qualifier"),
+        fields["value_type"].alias("value_type"),
+        fields["period_name"].alias("period_name"),
         period_seconds(F.col("period")).alias("period"),
-        "unit_name",
-        "observation_type",
+        fields["unit_name"].alias("unit_name"),
+        fields["observation_type"].alias("observation_type"),
         text.alias("datumtype"),
         text.alias("stationreference"),
-        stored_value(F.col("_value")).alias("value"),
-        "value_status",
+        stored_value(chosen_value(number, part)).alias("value"),
+        value_status(F.col("value"), number, odd, tail, part).alias("value_status"),
         "completeness",
         "quality",
         "qcode",

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geodesy as G
 from ..functions.geometry import geojson_multipolygon
+from ..functions.wkb import point_wkb
 from ..operators import area_metrics as M
+from ..operators.filters import overlaps_viewport
 from ..session import staged
 from .inputs import BOXES, STATIONS, derive, plain
 from .registry import query
@@ -333,12 +335,28 @@ def bbox_geometry(spark, sf_dir):
     )
 
 
+@query(
+    "point_wkb",
+    f"""select notation, 25 as n_bytes, '0101000020E6100000' as wgs84_head, '0101000020346C0000' as bng_head
+        from ({plain(STATIONS)}) s""",
+)
+def point_wkb_rows(spark, sf_dir):
+    located = G.with_points(derive(spark, sf_dir, STATIONS))
+    binary = located.select(
+        "notation", point_wkb(F.col("geom4326")).alias("wgs84"), point_wkb(F.col("geom27700")).alias("bng")
+    )
+    return binary.select(
+        "notation",
+        F.length("bng").alias("n_bytes"),
+        F.substring(F.hex("wgs84"), 1, 18).alias("wgs84_head"),
+        F.substring(F.hex("bng"), 1, 18).alias("bng_head"),
+    )
+
+
 @query(
     "area_overlap",
     f"""select floodarea_id from ({METRIC_SQL}) m
         where min_lat <= 53.25 and max_lat >= 51.0 and min_long <= -1.0 and max_long >= -3.5""",
 )
 def area_overlap(spark, sf_dir):
-    from ..operators.filters import overlaps_viewport
-
     return overlaps_viewport(metrics(spark, sf_dir), 51.0, -3.5, 53.25, -1.0).select("floodarea_id")
