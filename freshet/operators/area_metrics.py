@@ -206,7 +206,7 @@ def with_rank(df: DataFrame, value: str = "area_m2", rank: str = "rank") -> Data
 
     No task sorts the whole table: rows are counted per distinct value, the
     values are cut into ranges, and each range starts at the row count of the
-    ranges above it.
+    ranges above it. ``df`` is read twice; stage it first if it is costly.
     """
     value_column = F.col(value)
     counted = df.where(value_column.isNotNull()).groupBy(value).agg(F.count("*").alias("_rows"))
@@ -223,6 +223,6 @@ def with_rank(df: DataFrame, value: str = "area_m2", rank: str = "rank") -> Data
     ranks = (
         ranged.withColumn("_higher", F.coalesce(F.sum("_rows").over(higher), F.lit(0)))
         .join(F.broadcast(starts), "_range")
-        .select(value, (F.col("_start") + F.col("_higher") + 1).cast("int").alias(rank))
+        .select(value, (F.col("_start") + F.col("_higher") + 1).alias(rank))
     )
     return lookup(df, ranks, [value])

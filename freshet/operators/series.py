@@ -23,13 +23,13 @@ def rolling_anomaly(
     given to the next slice as history. So a task holds a slice of a series,
     never the whole of it.
     """
-    seconds = F.unix_micros(F.col(moment).cast("timestamp"))
+    micros = F.unix_micros(F.col(moment).cast("timestamp"))
     length = window_seconds * 1_000_000
-    slot = F.floor(F.col("_at") / F.lit(length)).cast("long")
-    timed = readings.where(F.col(moment).isNotNull()).withColumn("_at", seconds).withColumn("_slot", slot)
+    start = F.col("_at") - F.pmod("_at", F.lit(length))
+    timed = readings.where(F.col(moment).isNotNull()).withColumn("_at", micros)
     # _step 0 is the row itself, 1 its copy as history of the next slice
     copied = timed.withColumn("_step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
-        "_slice", F.col("_slot") + F.col("_step")
+        "_slice", start + F.col("_step") * F.lit(length)
     )
     before = Window.partitionBy(key, "_slice").orderBy("_at").rangeBetween(-length, -1)
     number = F.col(value).cast("double")
@@ -44,7 +44,7 @@ def rolling_anomaly(
     return (
         scored.withColumn("z_score", z)
         .withColumn("anomalous", F.coalesce(F.abs("z_score") > threshold, F.lit(False)))
-        .drop("_at", "_slot", "_step", "_slice")
+        .drop("_at", "_step", "_slice")
     )
 
 

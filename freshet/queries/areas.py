@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import filters, relations, summaries
 from ..operators.area_metrics import area_metrics, with_rank
 from ..operators.catalogue import area_polygons
-from ..session import fresh_path
+from ..session import fresh_path, staged
 from ..sources.area_files import AREA_COLUMNS, read_areas
 from ..sources.sql import read_sql
 from .geography import METRIC_SQL, POLYGON_TEXT, millimetres, polygons
@@ -126,8 +126,8 @@ def parameterized_sql(spark, sf_dir):
 def area_view(spark, sf_dir):
     null_point = F.lit(None).cast("struct<srid:int,x:double,y:double>")
     areas = derive(spark, sf_dir, AREAS).withColumns({"geom4326": null_point, "geom27700": null_point})
-    shapes = area_polygons(areas, polygons(spark, sf_dir).select("fwdcode", "polygon_json"))
-    metrics = with_rank(area_metrics(shapes))
+    shapes = staged(area_polygons(areas, polygons(spark, sf_dir).select("fwdcode", "polygon_json")), "polygons")
+    metrics = with_rank(staged(area_metrics(shapes), "metrics"))
     view = relations.area_view(areas, shapes, metrics)
     return view.select(
         "floodarea_id", "fwdcode", "eaareaname", "county", "description", "label", "riverorsea", "lat", "long",

@@ -283,7 +283,7 @@ def unmeasured_areas(spark, sf_dir):
 # box areas in square degrees (millionths), with many ties
 @query(
     "area_rank",
-    f"""select floodarea_id, cast(w * h * 1000000 as bigint) as size, cast(rank() over (order by w * h desc) as integer) as rank
+    f"""select floodarea_id, cast(w * h * 1000000 as bigint) as size, rank() over (order by w * h desc) as rank
         from ({plain(BOXES)}) b""",
 )
 def area_rank(spark, sf_dir):
@@ -296,11 +296,11 @@ def area_rank(spark, sf_dir):
     f"""select floodarea_id, cast(floor(round(min_n, 6) * 1000 + 0.3) as bigint) as bbox_bng_min_lat_mm, cast(floor(round(max_e, 6) * 1000 + 0.3) as bigint) as bbox_bng_max_long_mm,
           cast(floor(round(bcen_n, 6) * 1000 + 0.3) as bigint) as bcen_bng_lat_mm, cast(floor(round(cen_e, 6) * 1000 + 0.3) as bigint) as mpoly_cent_bng_long_mm, round(bcen_lat, 6) as bcen_wgs84_lat,
           round(cen_long, 6) as mpoly_cent_wgs84_long, min_lat as bbox_wgs84_min_lat,
-          cast(rank() over (order by round(area_m2, 1) desc) as integer) as rank
+          rank() over (order by round(area_m2, 1) desc) as rank
         from ({METRIC_SQL}) m""",
 )
 def metrics_projection(spark, sf_dir):
-    packed = M.packed_metrics(polygons(spark, sf_dir))
+    packed = staged(M.packed_metrics(polygons(spark, sf_dir)), "packed-metrics")
     ranked = M.with_rank(packed.withColumn("_size", F.round("area_m2", 1)), "_size")
     flat = M.unpacked_metrics(ranked)
     return flat.select(

@@ -58,10 +58,15 @@ def list_reading_files(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def _csv(reader):
+    # quotes inside a cell are doubled
+    return reader.option("header", True).option("escape", '"')
+
+
 def _header_groups(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
     # Reads one line per file. The number of files follows the days asked for, not the rows.
     with ThreadPoolExecutor(PROBE_THREADS) as pool:
-        headers = pool.map(lambda path: tuple(spark.read.option("header", True).csv(path).columns), paths)
+        headers = pool.map(lambda path: tuple(_csv(spark.read).csv(path).columns), paths)
         groups = defaultdict(list)
         for path, header in zip(paths, headers):
             groups[header].append(path)
@@ -70,7 +75,7 @@ def _header_groups(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...
 
 def _scan_group(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    raw = spark.read.schema(schema).option("header", True).csv(paths)
+    raw = _csv(spark.read).schema(schema).csv(paths)
     known = [F.col(f"`{name}`") for name in header if name in READING_COLUMNS]
     return raw.select(*known, source_tag(F.col("_metadata.file_path")).alias("source"))
 

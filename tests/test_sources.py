@@ -40,6 +40,12 @@ def test_columns_are_matched_by_name(spark, landed):
     )
 
 
+def test_quoted_cells(spark, tmp_path):
+    write_day(tmp_path, "2024-01-01", 'measure,quality\n"m,1","said ""ok"""\n')
+    row = reading_files.scan_readings(spark, str(tmp_path)).first()
+    assert (row.measure, row.quality, row.value) == ("m,1", 'said "ok"', None)
+
+
 def test_days_select_files(spark, landed):
     rows = reading_files.scan_readings(spark, landed, [dt.date(2024, 1, 1), dt.date(2024, 1, 2)])
     assert {row.source for row in rows.collect()} == {"hydro-2024-01-01"}
