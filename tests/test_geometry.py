@@ -122,8 +122,9 @@ def test_multipolygon_wkb(polygons):
     from freshet.functions.geometry import geojson_multipolygon
 
     shapes = polygons.select("floodarea_id", geojson_multipolygon(F.col("polygon_json")).alias("g"))
-    got = {row.floodarea_id: row.w for row in shapes.select("floodarea_id", multipolygon_wkb(4326)(F.col("g")).alias("w")).collect()}
+    got = {row.floodarea_id: row.w for row in shapes.select("floodarea_id", multipolygon_wkb(F.col("g"), 4326).alias("w")).collect()}
     assert struct.unpack("<BIII", got[4][:13]) == (1, 0x20000006, 4326, 2)
     # part header, two rings of five positions; part header, one ring
     assert len(got[4]) == 13 + 9 + 2 * (4 + 5 * 16) + 9 + 4 + 5 * 16
-    assert got[7] is None
+    assert struct.unpack("<dd", got[1][13 + 9 + 4 : 13 + 9 + 4 + 16]) == (0.0, 50.0)
+    assert got[7] is None and got[5] is None
