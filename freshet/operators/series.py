@@ -64,6 +64,7 @@ def lag_correlation(grid: DataFrame, pairs: DataFrame, max_lag: int, key: str =
     """Correlation of each ``(left, right)`` pair at lags of -``max_lag`` to ``max_lag`` slots.
 
     A positive lag compares the left series with later values of the right one.
+    The correlation is null where a series does not vary.
     Pairs come from a catalogue relation, such as co-located stations; the
     slots of a series are spread over the shuffle, as the slot is part of the key.
     """
@@ -76,10 +77,15 @@ def lag_correlation(grid: DataFrame, pairs: DataFrame, max_lag: int, key: str =
         paired.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
         .withColumn("other_slot", F.col("slot") + F.col("lag"))
     )
+    # corr() fails on a series that does not vary; that has no correlation
+    spread = F.stddev_pop("left_mean") * F.stddev_pop("right_mean")
     return (
         lagged.join(right, ["right", "other_slot"])
         .groupBy("left", "right", "lag")
-        .agg(F.count("*").alias("n_slots"), F.corr("left_mean", "right_mean").alias("correlation"))
+        .agg(
+            F.count("*").alias("n_slots"),
+            F.try_divide(F.covar_pop("left_mean", "right_mean"), spread).alias("correlation"),
+        )
     )
 
 

@@ -74,6 +74,15 @@ def correlation_strength(spark, sf_dir):
     return strong.select("left", "right", "lag", F.round("correlation", 6).alias("correlation"))
 
 
-@query("best_lag")
+@query(
+    "best_lag",
+    f"""select "left", "right", b.lag as lag, round(b.c, 6) as correlation, b.n as n_slots from (
+          select "left", "right", max({{'s': abs(c), 'a': -abs(lag), 'b': -lag, 'lag': lag, 'c': c, 'n': n}}) as b from (
+            select l as "left", r as "right", lag, corr(x.mean, b.mean) as c, count(*) as n from (
+              select p.l, p.r, unnest(generate_series(-2, 2)) as lag, a.slot, a.mean from ({PAIRS}) p join ({GRID}) a on a.user_id = p.l) x
+            join ({GRID}) b on b.user_id = x.r and b.slot = x.slot + x.lag group by all having count(*) >= 5) k
+          where c is not null group by all) m""",
+)
 def best_lag(spark, sf_dir):
-    return S.best_lag(_correlations(spark, sf_dir).where("n_slots >= 5"))
+    best = S.best_lag(_correlations(spark, sf_dir).where("n_slots >= 5"))
+    return best.select("left", "right", "lag", F.round("correlation", 6).alias("correlation"), "n_slots")

@@ -9,6 +9,7 @@ folder first, so that no partition is overwritten while it is being read.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -51,9 +52,10 @@ class DayTable:
         folder, files = hadoop_path(self.spark, self.path)
         if not files.exists(folder):
             return []
-        prefix = f"{self.day}="
         names = [status.getPath().getName() for status in files.listStatus(folder)]
-        return sorted(dt.date.fromisoformat(name[len(prefix):]) for name in names if name.startswith(prefix))
+        # rows without a day, if any, are in a partition of another form
+        matches = [re.fullmatch(rf"{re.escape(self.day)}=(\d{{4}}-\d{{2}}-\d{{2}})", name) for name in names]
+        return sorted(dt.date.fromisoformat(match[1]) for match in matches if match)
 
     def days(self) -> DataFrame:
         """:meth:`stored_days` as rows ``r_date``."""

@@ -251,6 +251,16 @@ def test_lagged_copy_is_found(spark):
         assert math.isclose(row.correlation, statistics.correlation(*zip(*both)), rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_constant_series_have_no_correlation(spark):
+    rows = [(k, dt.datetime(2024, 1, 1, 0, m), v) for k, v in (("flat", 0.1), ("flat2", 5.0)) for m in range(0, 60, 15)]
+    rows += [("wave", dt.datetime(2024, 1, 1, 0, m), float(m)) for m in range(0, 60, 15)]
+    grid = series.gridded(spark.createDataFrame(rows, "notation string, r_datetime timestamp, value double"), 900)
+    pairs = spark.createDataFrame([("flat", "flat2"), ("flat", "wave"), ("wave", "wave")], "left string, right string")
+    table = series.lag_correlation(grid, pairs, 1)
+    assert all(row.correlation is None for row in table.where("left = 'flat'").collect())
+    assert [(row.left, row.lag) for row in series.best_lag(table).collect()] == [("wave", 0)]
+
+
 def test_grid_means(spark):
     frame = spark.createDataFrame([("a", dt.datetime(1970, 1, 1, 0, m), float(m)) for m in (0, 10, 20)] + [("a", None, 1.0)], "notation string, r_datetime timestamp, value double")
     assert [tuple(r) for r in series.gridded(frame, 900).orderBy("slot").collect()] == [("a", 0, 5.0), ("a", 1, 20.0)]
