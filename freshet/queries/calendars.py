@@ -34,20 +34,18 @@ def coverage_summary(spark, sf_dir):
 
 @query(
     "high_water_mark",
-    f"""select strftime(max(r_datetime), '%Y-%m-%d %H:%M:%S') as max_datetime,
-          strftime(min(r_datetime), '%Y-%m-%d') as min_date, strftime(max(r_datetime), '%Y-%m-%d') as max_date,
-          count(distinct r_date) as days_present
-        from ({PRESENT}) p""",
+    f"""select 'max_datetime' as name, strftime(max(r_datetime), '%Y-%m-%d %H:%M:%S') as value from ({PRESENT}) p
+        union all select 'min_date', strftime(min(r_datetime), '%Y-%m-%d') from ({PRESENT}) p
+        union all select 'max_date', strftime(max(r_datetime), '%Y-%m-%d') from ({PRESENT}) p
+        union all select 'days_present', cast(count(distinct r_date) as varchar) from ({PRESENT}) p""",
 )
 def high_water_mark(spark, sf_dir):
     rows = derive(spark, sf_dir, PRESENT_DAYS)
-    joined = V.high_water_mark(rows).crossJoin(V.date_bounds(rows)).crossJoin(V.distinct_day_count(rows))
-    return joined.select(
-        F.date_format("max_datetime", "yyyy-MM-dd HH:mm:ss").alias("max_datetime"),
-        day_text("min_date"),
-        day_text("max_date"),
-        "days_present",
-    )
+    mark = V.high_water_mark(rows).select(F.date_format("max_datetime", "yyyy-MM-dd HH:mm:ss").alias("max_datetime"))
+    bounds = V.date_bounds(rows).select(day_text("min_date"), day_text("max_date"))
+    count = V.distinct_day_count(rows).select(F.col("days_present").cast("string").alias("days_present"))
+    named = [frame.unpivot([], frame.columns, "name", "value") for frame in (mark, bounds, count)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
 
 
 MISSING = f"select strftime(r_date, '%Y-%m-%d') as r_date from ({CALENDAR}) c where r_date not in (select r_date from ({PRESENT}) p)"
@@ -158,14 +156,16 @@ def days_absent_anti(spark, sf_dir):
 
 @query(
     "date_in_table",
-    f"""select exists(select 1 from ({PRESENT}) p where r_date = date '2024-01-05') as present,
-          exists(select 1 from ({PRESENT}) p where r_date = date '2024-01-09') as gap_present""",
+    f"""select '2024-01-05' as r_date, exists(select 1 from ({PRESENT}) p where r_date = date '2024-01-05') as present
+        union all select '2024-01-09', exists(select 1 from ({PRESENT}) p where r_date = date '2024-01-09')""",
 )
 def date_in_table(spark, sf_dir):
     rows = derive(spark, sf_dir, PRESENT_DAYS)
-    found = filters.has_day(rows, dt.date(2024, 1, 5))
-    gap = filters.has_day(rows, dt.date(2024, 1, 9)).withColumnRenamed("present", "gap_present")
-    return found.crossJoin(gap)
+    found, gap = (
+        filters.has_day(rows, day).select(F.lit(day.isoformat()).alias("r_date"), "present")
+        for day in (dt.date(2024, 1, 5), dt.date(2024, 1, 9))
+    )
+    return found.unionByName(gap)
 
 
 @query(
