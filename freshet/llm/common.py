@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import fresh_path, hadoop_path, prepare
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rows per Arrow batch; texts are further cut into slices of about a megabyte.
 ARROW_ROWS = "500"
 
@@ -186,3 +191,40 @@ def crc32_of(column: str | Column) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column, F.lit("")).cast("binary"))
 
 
+
+
+# --- vectors ----------------------------------------------------------------------------
+
+
+def matrices(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and double-precision matrix of a list column's usable vectors, by dimension.
+
+    Left out are vectors that are null, empty, zero, or hold a null or non-finite component.
+    """
+    import pyarrow as pa
+
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = np.diff(column.offsets.to_numpy())
+    if column.null_count:
+        lengths = lengths * ~column.is_null().to_numpy(zero_copy_only=False)
+    first = column.offsets.to_numpy()[:-1]
+    values = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    for size in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == size)
+        x = values[first[at][:, None] + np.arange(size)]
+        good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+        if good.any():
+            yield at[good], x[good]
+
+
+def with_row(rows: DataFrame, name: str = "row") -> DataFrame:
+    """A number for each row that stays the same when the table is read again.
+
+    Rows of files are numbered by file and place in it; other frames are staged with a
+    number.
+    """
+    try:
+        return rows.withColumn(name, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:  # not a table of files
+        return staged(rows.withColumn(name, F.monotonically_increasing_id()), "rows")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard_join, language_id, mixing, packing, suffix_dedup
+from . import html_layout, jaccard_join, language_id, lattice_dedup, license_scan, mixing, multi_index_search, packing, recurrent_lm, suffix_dedup
 from .common import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_lattice_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_multi_index_search")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_html_layout")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with its visible text."""
+    return html_layout.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text")
+
+
 @query("op2_mix_sources")
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's slot in a mixture whose weights are the square roots of the sources' sizes."""
@@ -48,11 +64,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op7_recurrent_lm")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_of_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+ORACLES["op9_license_scan"] = license_scan.oracle()
+
+
 @query("op10_suffix_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)

@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bytes_table import BASE, BYTE_CODES, U, flat_texts, mixed
-from .common import bitmap, in_bitmap, keyed_runs, session_of, staged, starts_of, texts
+from .common import bitmap, in_bitmap, keyed_runs, session_of, staged, starts_of, texts, with_row
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -327,8 +327,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others = [] if digest else [c for c in docs.columns if c not in {id_col, text_col, "row", "spans", "doc_id", "text"} | new]
     numbered = texts(docs, id_col, text_col) if digest else docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *others)
-    # a row's number: by its file and place there, the same however often it is read
-    numbered = with_row(numbered, docs)
+    numbered = with_row(numbered)
     spans = repeated_spans(numbered.select("row", "text"), length)
     rows = numbered.join(spans, "row", "left")
     tail = [f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.select(*others).schema] if others else []
@@ -366,18 +365,3 @@ def whole_characters(column: str) -> Column:
 
     run.__annotations__ = {"values": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "string")(column)
-
-
-def with_row(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """A number for each row that stays the same when the table is read again.
-
-    Tables read from files are numbered by file and place in it. Other frames are
-    staged with a number.
-    """
-    try:
-        number = F.xxhash64("_metadata.file_path", "_metadata.row_index")
-        marked = docs.select("_metadata.file_path")
-        del marked
-        return rows.withColumn("row", number)
-    except Exception:  # noqa: BLE001  not a table of files
-        return staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
