@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.binding import bind
 from .common import session_of, with_row
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -74,6 +75,17 @@ def places_of(words: Column, parts: Sequence[str]) -> Column:
     return F.filter(F.transform(words, marked), fits)
 
 
+def found_of(words: Column, phrase: str, label: str) -> Column:
+    """A phrase's label and places."""
+    parts = phrase.split(" ")
+    at = F.when(F.array_contains(words, parts[-1]), places_of(words, parts)).otherwise(F.array().cast("array<int>"))
+    return F.struct(F.lit(label).alias("label"), at.alias("at"))
+
+
+def found_any(found: Column) -> Column:
+    return F.size(found["at"]) > 0
+
+
 def template_words(text: str) -> list[str]:
     import re
 
@@ -129,23 +141,19 @@ def scan(
     """
     session_of(docs)
     rows = with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    words = rows.select("row", "doc_id", words_of(F.col("text")).alias("words"))
-    found = []
-    for phrase, label in phrases:
-        parts = phrase.split(" ")
-        # places of the last word first: it is rare, and the other words are looked at only there
-        at = places_of(F.col("words"), parts)
-        at = F.when(F.array_contains("words", parts[-1]), at).otherwise(F.array().cast("array<int>"))
-        found.append(F.struct(F.lit(label).alias("label"), at.alias("at")))
-    base = words.withColumn("found", F.filter(F.array(*found), lambda x: F.size(x["at"]) > 0))
-    places = F.flatten(F.transform("found", lambda x: x["at"]))
-    base = base.select(
-        "row", "doc_id", F.size("words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
+    # bound, for lambdas over a column would cut the text into words anew at each step
+    words = words_of(F.col("text"))
+    base = rows.select("row", "doc_id", bind(words, lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), F.filter(F.array(*(found_of(w, *p) for p in phrases)), found_any).alias("found"),
+    )).alias("base"))
+    places = F.flatten(F.transform("base.found", lambda x: x["at"]))
+    base = base.select("row", "doc_id", "base.n_words", "base.found", places.alias("places")).select(
+        "row", "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.transform("found", lambda x: x["label"]))).alias("base_labels"))
-    runs = F.when(F.size("words") >= gram, F.transform(
-        F.sequence(F.lit(1), F.size("words") - gram + 1), lambda i: F.xxhash64(F.slice(F.col("words"), i, gram))))
-    standing = spans(words.select("row", runs.alias("grams")), templates, gram, held, stretch)
+    grams = rows.select("row", bind(words, lambda w: F.when(F.size(w) >= gram, F.transform(
+        F.sequence(F.lit(1), F.size(w) - gram + 1), lambda i: F.xxhash64(F.slice(w, i, gram))))).alias("grams"))
+    standing = spans(grams, templates, gram, held, stretch)
     own = standing.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("first", "last", "label", "share"))).alias("spans"))
     out = base.join(own, "row", "left")
@@ -164,7 +172,7 @@ def oracle(table: str = "documents", templates: Sequence[tuple[str, str]] = TEMP
                      for k, label, p, n, words in template_runs(templates, GRAM))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     base = " union all ".join(
-        f"select doc_id, i - {len(p.split())} as at, {quoted(label)} as label from gramed where "
+        f"select doc_id, i - {len(p.split())} as spot, {quoted(label)} as label from gramed where "
         + (f"w0 = {quoted(p.split()[1])} and p1 = {quoted(p.split()[0])}" if len(p.split()) == 2 else
            f"w0 = {quoted(p.split()[2])} and p1 = {quoted(p.split()[1])} and p2 = {quoted(p.split()[0])}")
         for p, label in phrases)
@@ -178,7 +186,7 @@ with listed as (
            w0 || ' ' || lead(w0, 1) over w || ' ' || lead(w0, 2) over w as gram
     from placed window w as (partition by doc_id order by i)
 ), base as ({base}), based as (
-    select doc_id, count(*) as n_base, min(at) as first_word, max(at) as last_word,
+    select doc_id, count(*) as n_base, min(spot) as first_word, max(spot) as last_word,
            string_agg(distinct label, ',' order by label) as base_labels, list(distinct label) as base_list
     from base group by doc_id
 ), runs(template, label, place, n, gram) as (values {runs}),
