@@ -39,7 +39,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FOLD = U(0x2545F4914F6CDD1D)
 #: Shingles counted before a task reports the common ones.
-COUNTED = 1 << 22
+COUNTED = 1 << 20
 #: The common shingles put last in the order, at most; a bound on what is broadcast.
 COMMON = 1 << 16
 #: Regions of up to so many texts are divided by coordinates in one task.

@@ -23,7 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PROFILE = 300
 #: Labelled documents that profiles are fitted on, about; the bound of the sample.
 FITTED = 40_000
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 18
 CODE_BITS = 21
 
 

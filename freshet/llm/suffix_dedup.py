@@ -34,7 +34,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GRAM = 32
 #: Bytes hashed at a time. Positions within take 20 bits of a sort key.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 POSITION_BITS = 20
 #: Fragments handled together; a collection of more is handled alone, column by column.
 FRAGMENTS = 8192
