@@ -192,12 +192,12 @@ with listed as (
 ), runs(template, label, place, n, gram) as (values {runs}),
 votes as (select doc_id, template, label, n, i - 1 as pos, i - 1 - place as diagonal from gramed join runs using (gram)),
 diagonals as (select doc_id, template, label, n, diagonal, count(*) as votes, min(pos) as first, max(pos) as last
-              from votes group by all),
+              from votes group by doc_id, template, label, n, diagonal),
 marked as (select *, case when diagonal - lag(diagonal) over d <= {NEAR} then 0 else 1 end as new
            from diagonals window d as (partition by doc_id, template order by diagonal)),
 numbered as (select *, sum(new) over (partition by doc_id, template order by diagonal) as span from marked),
 merged as (select doc_id, template, label, n, span, least(sum(votes) / n, 1.0) as share, min(first) as first, max(last) as last
-           from numbered group by all),
+           from numbered group by doc_id, template, label, n, span),
 standing as (select doc_id, label, share from merged
              where share >= {HELD} and last - first + 1 <= ceil({STRETCH} * n) + {NEAR}),
 labelled as (select doc_id, max(share) as score, list(distinct label) as found from standing group by doc_id)

@@ -40,7 +40,7 @@ RATE_LEARNING = 0.01
 #: Steps of the optimizer that each task makes in a round, at least; small data are read again.
 LEAST_STEPS = 120
 #: Words that a task holds before it scores or trains on them.
-HELD = 1 << 22
+HELD = 1 << 21
 END = np.uint64(0xA24BAED4963EE407)
 #: Tasks' parameters are added up in so many groups before the driver averages them.
 GROUPS = 16
