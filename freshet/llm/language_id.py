@@ -34,7 +34,7 @@ def letter_table() -> np.ndarray:
 def gram_counts(lowered: Sequence[str], letters: np.ndarray):
     """(text, gram, count) of all 1- to 3-grams, sorted by text; a gram is 63 bits of code points.
 
-    Words are runs of letters with one boundary (code 0) on each side; grams span no
+    Words are runs of letters with one boundary (a space) on each side; grams span no
     boundary, and one of boundaries alone doesn't count.
     """
     joined = "\n" + "\n".join(lowered) + "\n"
@@ -49,7 +49,7 @@ def gram_counts(lowered: Sequence[str], letters: np.ndarray):
     text = np.append(text, len(lowered))[keep]
     present = np.zeros(0x110000, dtype=bool)
     present[codes[is_letter]] = True
-    alphabet = np.concatenate([[0], np.flatnonzero(present)])
+    alphabet = np.concatenate([[0x20], np.flatnonzero(present)])  # a boundary counts as a space
     dense = np.zeros(0x110000, dtype=np.int64)
     dense[alphabet] = np.arange(len(alphabet))
     x = np.where(is_letter, dense[codes], 0)[keep]
@@ -86,7 +86,7 @@ def gram_counts(lowered: Sequence[str], letters: np.ndarray):
         for k in range(n):
             gram = (gram << CODE_BITS) | alphabet[key // base ** (n - 1 - k) % base]
         out_text.append(owner)
-        out_gram.append(gram + (np.int64(n) << 62 if n == 1 else 0) * 0)
+        out_gram.append(gram)
         out_count.append(count)
     if not out_text:
         empty = np.zeros(0, dtype=np.int64)
@@ -226,8 +226,7 @@ def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
 
 def language_of_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learns from the other folds."""
-    spark = session_of(docs)
-    del spark
+    session_of(docs)
     known = language_profiles(docs.where(~held_out()))
     rows = docs.select("doc_id", "text")
     found = identify_languages(rows, known)

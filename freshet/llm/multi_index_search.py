@@ -35,11 +35,9 @@ SEED = 7
 
 
 def of_dimension(column, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and matrix of the vectors that take part; by default of the first dimension found."""
-    for at, x in matrices(column):
-        if dims is None or x.shape[1] == dims:
-            return at, x
-    return np.zeros(0, dtype=np.int64), np.zeros((0, dims or 0))
+    """Positions and matrix of the vectors that take part; by default of the most frequent dimension."""
+    found = [(at, x) for at, x in matrices(column) if dims is None or x.shape[1] == dims]
+    return max(found, key=lambda f: len(f[0]), default=(np.zeros(0, dtype=np.int64), np.zeros((0, dims or 0))))
 
 
 def learned_rotations(x: np.ndarray, bits: int, steps: int = 20) -> np.ndarray:
@@ -112,8 +110,8 @@ def nearest(
     Queries are the rows whose id ``every`` divides; candidates are all rows but the
     query's own id. Scores are in double precision on the vectors as given; ties go to
     the smaller id. Vectors that are null, empty, zero or hold null or non-finite
-    components take no part, nor do rows without an id or of another dimension than the
-    sample's first. Rows that repeat an id are one vector, the least of them. A table
+    components take no part, nor do rows without an id or of another dimension than most
+    of the sample. Rows that repeat an id are one vector, the least of them. A table
     with fewer candidates gives all of them; an empty one gives an empty result.
     """
     spark = session_of(vectors)
