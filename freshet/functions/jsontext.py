@@ -24,6 +24,11 @@ def list_or_text(text: Column) -> Column:
     return F.when(_is_list(text), F.array_join(_strings(text), ",")).otherwise(text)
 
 
+def list_of(text: Column) -> Column:
+    """A list as it is, a scalar as a list of one."""
+    return F.when(_is_list(text), _strings(text)).when(text.isNotNull(), F.array(text))
+
+
 def link_ids(text: Column) -> Column:
     """The ``@id`` of one link or of a list of links, joined by commas; null if there is none."""
     as_list = F.when(_is_object(text), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)

@@ -35,7 +35,7 @@ HYD_STATION_ITEM = """
 
 HYD_MEASURE_ITEM = """
     `@id` string, label string, parameter string, parameterName string, notation string,
-    qualifier string, period int, periodName string, hasTelemetry boolean, valueType string,
+    qualifier string, period string, periodName string, hasTelemetry string, valueType string,
     datumType string, timeseriesID string, unit struct<`@id`:string>, unitName string,
     valueStatistic struct<`@id`:string, label:string>,
     observationType struct<`@id`:string, label:string>,
@@ -54,9 +54,9 @@ FLD_STATION_ITEM = """
 
 FLD_MEASURE_ITEM = """
     `@id` string, label string, parameter string, parameterName string, notation string,
-    qualifier string, period int, periodName string, station string, stationReference string,
-    hasTelemetry boolean, valueType string, datumType string, unit string, unitName string,
-    latestReading struct<`@id`:string, date:string, dateTime:string, measure:string, value:double>
+    qualifier string, period string, periodName string, station string, stationReference string,
+    hasTelemetry string, valueType string, datumType string, unit string, unitName string,
+    latestReading struct<`@id`:string, date:string, dateTime:string, measure:string, value:string>
 """
 
 AREA_ITEM = """
@@ -70,6 +70,14 @@ def _parsed(items: DataFrame, schema: str) -> DataFrame:
     return items.select("batch_id", F.from_json("raw", schema).alias("i"))
 
 
+def _typed(measures: DataFrame) -> DataFrame:
+    """Period and telemetry flag, which documents hold as numbers, flags or text."""
+    return measures.withColumns({
+        "period": F.col("period").try_cast("double").try_cast("int"),
+        "has_telemetry": F.col("has_telemetry").try_cast("boolean"),
+    })
+
+
 def _located(items: DataFrame, schema: str, number: Callable[[Column], Column]) -> DataFrame:
     parsed = _parsed(items, schema)
     return with_points(parsed.withColumns({"lat": number(_field("lat")), "long": number(_field("long"))}))
@@ -157,7 +165,7 @@ def station_measures(items: DataFrame) -> DataFrame:
         "station_id",
         F.col("c.`@id`").alias("measure_id"),
         F.col("c.parameter").alias("parameter"),
-        F.col("c.period").try_cast("int").alias("period"),
+        F.col("c.period").try_cast("double").try_cast("int").alias("period"),
         J.member(F.col("c.valueStatistic"), "@id").alias("value_statistic_id"),
     )
 
@@ -173,7 +181,7 @@ def hydrology_measures(items: DataFrame) -> DataFrame:
     def nested(field: str, name: str) -> Column:
         return F.col(f"i.{field}.`{name}`")
 
-    return _parsed(items, HYD_MEASURE_ITEM).select(
+    return _typed(_parsed(items, HYD_MEASURE_ITEM).select(
         "batch_id",
         *_renamed({
             "json_id": "@id",
@@ -203,7 +211,7 @@ def hydrology_measures(items: DataFrame) -> DataFrame:
         nested("station", "wiskiID").alias("station_wiski_id"),
         nested("station", "stationReference").alias("station_reference"),
         J.list_or_text(nested("station", "RLOIid")).alias("station_rloi_id"),
-    )
+    ))
 
 
 def flood_stations(items: DataFrame) -> DataFrame:
@@ -238,7 +246,7 @@ def flood_station_measures(items: DataFrame) -> DataFrame:
         F.col("c.`@id`").alias("json_id"),
         F.col("c.parameter").alias("parameter"),
         F.col("c.parameterName").alias("parameter_name"),
-        F.col("c.period").try_cast("int").alias("period"),
+        F.col("c.period").try_cast("double").try_cast("int").alias("period"),
         F.col("c.qualifier").alias("qualifier"),
         F.col("c.unitName").alias("unit_name"),
     )
@@ -247,7 +255,7 @@ def flood_station_measures(items: DataFrame) -> DataFrame:
 def flood_measures(items: DataFrame) -> DataFrame:
     """Flood-monitoring measures, one row each, with their latest reading."""
     latest = "i.latestReading.`{}`".format
-    return _parsed(items, FLD_MEASURE_ITEM).select(
+    return _typed(_parsed(items, FLD_MEASURE_ITEM).select(
         "batch_id",
         *_renamed({
             "json_id": "@id",
@@ -270,8 +278,8 @@ def flood_measures(items: DataFrame) -> DataFrame:
         parse_date(F.col(latest("date"))).alias("latest_reading_date"),
         parse_datetime(F.col(latest("dateTime"))).alias("latest_reading_datetime"),
         F.col(latest("measure")).alias("latest_reading_measure"),
-        F.col(latest("value")).alias("latest_reading_value"),
-    )
+        F.col(latest("value")).try_cast("double").alias("latest_reading_value"),
+    ))
 
 
 def flood_areas(items: DataFrame) -> DataFrame:

@@ -17,6 +17,20 @@ def one_row_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 
 
+def first_of_key(df: DataFrame, key: str, column: str) -> DataFrame:
+    """``df`` with whether a row is the first of its key in order of its values; null keys always are.
+
+    A key with many rows is not gathered: its least row comes from a grouped minimum,
+    and only rows equal to it are ranked.
+    """
+    text = df.withColumn("_text", F.to_json(F.struct(*df.columns)))
+    least = text.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_text").alias("_least"))
+    marked = text.join(least, key, "left").withColumn("_is_least", F.col("_text") == F.col("_least"))
+    alike = Window.partitionBy(key, F.when(F.col("_is_least"), F.lit("")).otherwise(F.col("_text"))).orderBy("_text")
+    first = F.col(key).isNull() | (F.col("_is_least") & (F.row_number().over(alike) == 1))
+    return marked.withColumn(column, first).select(*df.columns, column)
+
+
 def _paired(stored: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     old = stored.select(*keys, F.struct(*stored.columns).alias("old"))
     new = batch.select(*keys, F.struct(*batch.columns).alias("new"))

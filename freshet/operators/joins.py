@@ -4,35 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-BROADCAST_ROWS = 100_000
 
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows.
-
-    Rows are taken from a few partitions at a time, and no more than one beyond
-    the bound, so a large table is not read to the end.
-    """
-    return len(df.select(F.lit(0)).take(max_rows + 1)) <= max_rows
-
-
-def lookup(
-    facts: DataFrame,
-    dimension: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def lookup(facts: DataFrame, dimension: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join facts to a dimension whose ``on`` columns are unique (semi and anti joins: any).
 
-    A dimension within ``max_rows`` is broadcast, and the facts stay where they
-    are. A larger one is shuffled; the session's adaptive skew join then divides
-    the facts of a hot key, or of null keys, between tasks. All four join types
-    keep the facts on the side that it can divide.
+    No job runs while the plan is built. Spark broadcasts the dimension if its size in
+    bytes, estimated from the files or measured after its shuffle, is within
+    ``spark.sql.autoBroadcastJoinThreshold``, and the facts then stay where they are.
+    A larger one is shuffled; the session's adaptive skew join then divides the facts of
+    a hot key, or of null keys, between tasks. All four join types keep the facts on the
+    side that it can divide.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"facts must be on the left of a lookup, not {how!r}")
-    side = F.broadcast(dimension) if fits_broadcast(dimension, max_rows) else dimension
-    return facts.join(side, list(on), how)
+    return facts.join(dimension, list(on), how)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .joins import fits_broadcast
-
 DAY_SECONDS = 86_400
 
 
@@ -19,32 +17,53 @@ def rolling_anomaly(
 ) -> DataFrame:
     """Mean, deviation and z-score of the preceding ``window_seconds``, and whether it is anomalous.
 
-    A series is cut into slices as long as the window, and every row is also
-    given to the next slice as history. So a task holds a slice of a series,
-    never the whole of it.
+    A series is cut into slices as long as the window, and a row is also given to the
+    next slice as history, so a task holds a slice of a series, never the whole of it.
+    Within a slice rows enter at their moment and leave a window later; both kinds of
+    events in order of time give running sums, so the work grows as n log n however
+    many rows a window holds. Values are centred on the slice's mean, and what is left
+    of a variance by rounding counts as none. Null values count for nothing; a window
+    that holds a NaN or an infinity has no finite mean.
     """
     micros = F.unix_micros(F.col(moment).cast("timestamp"))
     length = window_seconds * 1_000_000
     start = F.col("_at") - F.pmod("_at", F.lit(length))
     timed = readings.where(F.col(moment).isNotNull()).withColumn("_at", micros)
-    # _step 0 is the row itself, 1 its copy as history of the next slice
-    copied = timed.withColumn("_step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
-        "_slice", start + F.col("_step") * F.lit(length)
-    )
-    before = Window.partitionBy(key, "_slice").orderBy("_at").rangeBetween(-length, -1)
     number = F.col(value).cast("double")
-    scored = copied.withColumns(
+    finite = F.coalesce(F.abs(number) < float("inf"), F.lit(False))
+    # an event: the slice it counts in, when, and whether the row enters (1) or leaves (-1)
+    event = lambda step, later, sign: F.struct(
+        (start + step * length).alias("slice"), (F.col("_at") + later).alias("when"), F.lit(sign).alias("sign"))
+    events = timed.withColumn("_event", F.explode(F.array(event(0, 0, 1), event(1, 0, 1), event(1, length, -1))))
+    events = events.withColumns({"_slice": F.col("_event.slice"), "_when": F.col("_event.when"), "_sign": F.col("_event.sign")})
+    whole = Window.partitionBy(key, "_slice")
+    before = whole.orderBy("_when").rangeBetween(Window.unboundedPreceding, -1)
+    own = (F.col("_sign") == 1) & (F.col("_slice") == start)
+    events = events.withColumn("_centre", F.coalesce(F.avg(F.when(finite, number)).over(whole), F.lit(0.0)))
+    part = F.when(finite, number - F.col("_centre")).otherwise(0.0)
+    total = lambda x: F.coalesce(F.sum(F.col("_sign") * x).over(before), F.lit(0))
+    scored = events.withColumns(
+        {
+            "n_before": total(number.isNotNull().cast("long")).cast("long"),
+            "_odd": total((number.isNotNull() & ~finite).cast("long")),
+            "_sum": total(part),
+            "_squares": total(part * part),
+        }
+    ).where(own)
+    count, odd = F.col("n_before"), F.col("_odd") > 0
+    spread = F.col("_squares") - F.col("_sum") * F.col("_sum") / count
+    spread = F.when(spread > 1e-12 * F.col("_squares"), spread).otherwise(0.0)
+    scored = scored.withColumns(
         {
-            "n_before": F.count(number).over(before),
-            "mean_before": F.avg(number).over(before),
-            "stddev_before": F.stddev_samp(number).over(before),
+            "mean_before": F.when(odd, float("nan")).when(count > 0, F.col("_centre") + F.col("_sum") / count),
+            "stddev_before": F.when(odd, float("nan")).when(count > 1, F.sqrt(spread / (count - 1))),
         }
-    ).where(F.col("_step") == 0)
+    )
     z = F.when(F.col("stddev_before") > 0, (number - F.col("mean_before")) / F.col("stddev_before"))
     return (
         scored.withColumn("z_score", z)
         .withColumn("anomalous", F.coalesce(F.abs("z_score") > threshold, F.lit(False)))
-        .drop("_at", "_step", "_slice")
+        .drop("_at", "_event", "_slice", "_when", "_sign", "_centre", "_odd", "_sum", "_squares")
     )
 
 
@@ -60,11 +79,14 @@ def gridded(
     )
 
 
-def lag_correlation(grid: DataFrame, pairs: DataFrame, max_lag: int, key: str = "notation") -> DataFrame:
+def lag_correlation(
+    grid: DataFrame, pairs: DataFrame, max_lag: int, key: str = "notation", min_slots: int = 1
+) -> DataFrame:
     """Correlation of each ``(left, right)`` pair at lags of -``max_lag`` to ``max_lag`` slots.
 
     A positive lag compares the left series with later values of the right one.
-    The correlation is null where a series does not vary.
+    The correlation is null where a series does not vary. Lags at which the two share
+    fewer than ``min_slots`` slots are left out; by default none is.
     Pairs come from a catalogue relation, such as co-located stations; the
     slots of a series are spread over the shuffle, as the slot is part of the key.
     """
@@ -72,7 +94,7 @@ def lag_correlation(grid: DataFrame, pairs: DataFrame, max_lag: int, key: str =
     right = grid.select(F.col(key).alias("right"), F.col("slot").alias("other_slot"), F.col("mean").alias("right_mean"))
     wanted = pairs.select("left", "right").distinct()
     # a series joins once per pair it is in; the adaptive skew join divides a hub with many pairs
-    paired = left.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, "left")
+    paired = left.join(wanted, "left")
     lagged = (
         paired.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
         .withColumn("other_slot", F.col("slot") + F.col("lag"))
@@ -86,6 +108,7 @@ def lag_correlation(grid: DataFrame, pairs: DataFrame, max_lag: int, key: str =
             F.count("*").alias("n_slots"),
             F.try_divide(F.covar_pop("left_mean", "right_mean"), spread).alias("correlation"),
         )
+        .where(F.col("n_slots") >= min_slots)
     )
 
 

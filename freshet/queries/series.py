@@ -56,11 +56,11 @@ def lag_correlation(spark, sf_dir):
     return _correlations(spark, sf_dir).select("left", "right", "lag", "n_slots")
 
 
-def _correlations(spark, sf_dir):
+def _correlations(spark, sf_dir, min_slots=1):
     events = table(spark, sf_dir, "events")
     grid = S.gridded(events, S.DAY_SECONDS, "user_id", "ts", "value")
     pairs = events.select(F.col("user_id").alias("left"), (F.col("user_id") + 1).alias("right")).distinct()
-    return S.lag_correlation(grid, pairs, 2, "user_id")
+    return S.lag_correlation(grid, pairs, 2, "user_id", min_slots)
 
 
 @query(
@@ -70,7 +70,7 @@ def _correlations(spark, sf_dir):
         join ({GRID}) b on b.user_id = x.r and b.slot = x.slot + x.lag group by all having count(*) >= 5""",
 )
 def correlation_strength(spark, sf_dir):
-    strong = _correlations(spark, sf_dir).where("n_slots >= 5")
+    strong = _correlations(spark, sf_dir, min_slots=5)
     return strong.select("left", "right", "lag", F.round("correlation", 6).alias("correlation"))
 
 
@@ -84,5 +84,5 @@ def correlation_strength(spark, sf_dir):
           where c is not null group by all) m""",
 )
 def best_lag(spark, sf_dir):
-    best = S.best_lag(_correlations(spark, sf_dir).where("n_slots >= 5"))
+    best = S.best_lag(_correlations(spark, sf_dir, min_slots=5))
     return best.select("left", "right", "lag", F.round("correlation", 6).alias("correlation"), "n_slots")

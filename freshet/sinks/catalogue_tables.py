@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.changes import repeats, without_repeats
+from ..operators.changes import first_of_key, repeats, without_repeats
 from ..session import hadoop_path, staged
 
 
@@ -47,14 +47,20 @@ class CatalogueTables:
         return version
 
     def append(self, table: str, rows: DataFrame, key: str = "json_id") -> DataFrame:
-        """Add the rows whose key is new. Returns the rows that were rejected."""
+        """Add the rows whose key is new, one for each key. Returns the rows that were rejected.
+
+        Of rows of the batch with one key the first in order of their values is taken. Rows
+        without a key repeat nothing.
+        """
         version = self.current_version()
         if version is None:
             raise ValueError(f"nothing has been loaded under {self.base}")
         stored = self.read(table)
         # both are written out before the table changes
-        rejected = staged(repeats(stored, rows, [key]), "rejected")
-        accepted = staged(without_repeats(stored, rows, [key]), "accepted")
+        ranked = staged(first_of_key(rows, key, "_first"), "batch")
+        single, others = ranked.where("_first").drop("_first"), ranked.where("not _first").drop("_first")
+        rejected = staged(repeats(stored, single, [key]).unionByName(others), "rejected")
+        accepted = staged(without_repeats(stored, single, [key]), "accepted")
         stamped = accepted.withColumn("created", F.current_timestamp())
         stamped.write.mode("append").parquet(f"{self.base}/version={version}/{table}")
         return rejected

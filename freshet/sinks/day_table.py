@@ -120,8 +120,12 @@ class DayTable:
 
         Of several rows with one key the first under ``order`` counts. ``rows``
         is evaluated twice, first for its days alone. Returns ``keys`` and
-        ``action`` of every row of those days.
+        ``action`` of every row of those days; rows without a day have no partition to
+        go to and are returned as ``rejected``. The day has to follow from the keys: a
+        key that comes with another day is another row.
         """
+        rejected = self._rejected(rows)
+        rows = rows.where(F.col(self.day).isNotNull())
         stored = self.read().where(self._among(self._days_of(rows)))
         incoming = self._stamped(one_row_per_key(rows, self.keys, order)).select(*self.schema.names)
         # the day follows from the key, and joining on it too keeps a day's rows together
@@ -132,15 +136,24 @@ class DayTable:
         changed = self._days_of(merged.where(F.col("action").isin("inserted", "updated")))
         if changed:
             self._write(merged.where(self._among(changed)), "overwrite")
-        return merged.select(*keys, "action")
+        return merged.select(*keys, "action").unionByName(rejected)
+
+    def _rejected(self, rows: DataFrame) -> DataFrame:
+        without = rows.where(F.col(self.day).isNull())
+        return without.select(*self._all_keys(), F.lit("rejected").alias("action"))
 
     def append_or_upsert(self, rows: DataFrame, order: Sequence[Column], moment: Column | None = None) -> DataFrame:
-        """Append the days that are absent, upsert the others. Returns ``keys`` and ``action``."""
+        """Append the days that are absent, upsert the others. Returns ``keys`` and ``action``.
+
+        Rows without a day are stored nowhere and returned as ``rejected``.
+        """
+        rejected = self._rejected(rows)
+        rows = rows.where(F.col(self.day).isNotNull())
         stored = set(self.stored_days())
         days = self._days_of(rows)
         known, new = [d for d in days if d in stored], [d for d in days if d not in stored]
-        none = rows.limit(0).select(*self._all_keys(), F.lit("").alias("action"))
-        actions = self.upsert(rows.where(self._among(known)), order, moment) if known else none
+        none = rejected
+        actions = self.upsert(rows.where(self._among(known)), order, moment).unionByName(none) if known else none
         if not new:
             return actions
         single = one_row_per_key(rows.where(self._among(new)), self.keys, order)

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.jsontext import list_of
+
 ENVELOPE_SCHEMA = """
     `@context` string,
     meta struct<
         `@id`:string, publisher:string, license:string, licence:string,
         licenseName:string, licenceName:string, documentation:string,
-        version:string, comment:string, hasFormat:array<string>>,
+        version:string, comment:string, hasFormat:string>,
     items array<string>
 """
 
@@ -54,7 +56,7 @@ def envelope_meta(envelopes: DataFrame) -> DataFrame:
         meta["documentation"].alias("documentation"),
         meta["version"].alias("version"),
         meta["comment"].alias("comment"),
-        meta["hasFormat"].alias("has_format"),
+        list_of(meta["hasFormat"]).alias("has_format"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.values import normalise_missing
-from ..operators.readings import shape_readings, usable, with_station_label
+from ..operators.readings import quarantined, shape_readings, usable, with_station_label
 from ..plans.readings import batch_order
 from ..session import staged
 from ..sinks.day_table import DayTable
@@ -34,17 +34,23 @@ def stream_readings(spark: SparkSession, base: str, files_per_batch: int | None
 
 
 def upsert_stream(
-    raw: DataFrame, table: DayTable, stations: DataFrame, checkpoint: str
+    raw: DataFrame, table: DayTable, stations: DataFrame, checkpoint: str, quarantine: str | None = None
 ) -> StreamingQuery:
     """Upsert every micro-batch and stop when all landed files are done.
 
     Running a batch again changes nothing, as its rows are then equal to the stored ones.
+    Rows that cannot be stored go to ``quarantine`` with the reason, one folder a batch,
+    which a second run replaces; by default it lies next to the table.
     """
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
+    folder = quarantine or f"{table.path.rstrip('/')}_quarantine"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
         # the files are read once, although the upsert reads its rows twice
-        shaped = staged(usable(shape_readings(batch)), "micro-batch")
-        table.append_or_upsert(with_station_label(shaped, stations), batch_order())
+        shaped = staged(shape_readings(batch), "micro-batch")
+        rejected = quarantined(shaped)
+        rejected.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        table.append_or_upsert(with_station_label(usable(shaped), stations), batch_order())
 
     return (
         raw.writeStream.foreachBatch(write)

@@ -102,15 +102,19 @@ def test_reading_filters(spark):
         count(station_rloi_id="8")
 
 
-def test_lookup_broadcasts_only_small_dimensions(spark):
+def test_lookup_broadcasts_by_bytes_without_a_job(spark, tmp_path):
     facts = spark.range(3000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("k"), "id")
-    names = spark.range(1000).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name"))
+    spark.range(1000).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name")).write.parquet(str(tmp_path / "names"))
+    names = spark.read.parquet(str(tmp_path / "names"))
     expected = sorted((i, f"n{0 if i % 3 == 0 else i}" if i % 3 == 0 or i < 1000 else None) for i in range(3000))
-    for bound, broadcast in ((1000, True), (999, False)):
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    tracker = spark.sparkContext.statusTracker()
+    for threshold, broadcast in (("10m", True), ("1k", False)):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         try:
-            joined = joins.lookup(facts, names, ["k"], max_rows=bound)
+            jobs = len(tracker.getJobIdsForGroup(None))
+            joined = joins.lookup(facts, names, ["k"])
             plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert len(tracker.getJobIdsForGroup(None)) == jobs
             assert ("BroadcastHashJoin" in plan) == broadcast
             assert sorted((row.id, row.name) for row in joined.collect()) == expected
         finally:
@@ -264,3 +268,33 @@ def test_constant_series_have_no_correlation(spark):
 def test_grid_means(spark):
     frame = spark.createDataFrame([("a", dt.datetime(1970, 1, 1, 0, m), float(m)) for m in (0, 10, 20)] + [("a", None, 1.0)], "notation string, r_datetime timestamp, value double")
     assert [tuple(r) for r in series.gridded(frame, 900).orderBy("slot").collect()] == [("a", 0, 5.0), ("a", 1, 20.0)]
+
+
+def test_rolling_anomaly_has_no_sliding_frame(spark):
+    frame = spark.range(20).select(F.lit("a").alias("notation"), F.timestamp_seconds("id").alias("r_datetime"), F.lit(1.5).alias("value"))
+    scored = series.rolling_anomaly(frame, 5)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "specifiedwindowframe(RangeFrame, unboundedpreceding$(), -1)" in plan and "RangeFrame, -5" not in plan
+    rows = scored.orderBy("r_datetime").collect()
+    assert [r.n_before for r in rows] == [0, 1, 2, 3, 4] + [5] * 15
+    assert all(r.z_score is None and not r.anomalous for r in rows)
+
+
+def test_first_of_key_takes_one_row(spark):
+    from freshet.operators.changes import first_of_key
+
+    rows = spark.createDataFrame([("a", 2), ("a", 1), ("a", 1), ("b", 5), (None, 1), (None, 1)], "k string, v int")
+    got = sorted((r.k or "", r.v, r.first) for r in first_of_key(rows, "k", "first").collect())
+    assert got == [("", 1, True), ("", 1, True), ("a", 1, False), ("a", 1, True), ("a", 2, False), ("b", 5, True)]
+
+
+def test_measures_in_text_or_decimals(spark):
+    from freshet.operators import catalogue
+
+    raws = ['{"@id":"a","period":"900","hasTelemetry":"true","latestReading":{"value":"1.5"}}',
+            '{"@id":"b","period":900.0,"hasTelemetry":false,"latestReading":{"value":2}}', '{"@id":"c","period":"often"}']
+    items = spark.createDataFrame([(1, r) for r in raws], "batch_id long, raw string")
+    got = {r.json_id: (r.period, r.has_telemetry) for r in catalogue.flood_measures(items).collect()}
+    assert got == {"a": (900, True), "b": (900, False), "c": (None, None)}
+    assert sorted(r.latest_reading_value or 0 for r in catalogue.flood_measures(items).collect()) == [0, 1.5, 2.0]
+    assert {r.json_id: r.period for r in catalogue.hydrology_measures(items).collect()} == {"a": 900, "b": 900, "c": None}
