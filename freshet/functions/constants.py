@@ -84,6 +84,5 @@ SOURCE_LIMITS = {
 
 # Load window rules, in days, and the first day of an empty table.
 LOOP_LAG_DAYS = 3
-RANGE_LAG_DAYS = 7
 TRAILING_DAYS = 14
 FIRST_DAY = "2022-01-01"

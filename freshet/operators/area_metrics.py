@@ -150,9 +150,9 @@ def _metric_geometries() -> dict[str, Column]:
     return geometries
 
 
-def unmeasured_areas(polygons: DataFrame, text: str = "polygon_json") -> DataFrame:
-    """Areas left out of :func:`area_metrics`."""
-    return polygons.join(area_metrics(polygons, text).select("floodarea_id"), "floodarea_id", "left_anti")
+def unmeasured_areas(polygons: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Areas left out of the ``metrics`` made by :func:`area_metrics`."""
+    return polygons.join(metrics.select("floodarea_id"), "floodarea_id", "left_anti")
 
 
 def packed_metrics(polygons: DataFrame, text: str = "polygon_json") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.values import meta_version
 from ..operators import catalogue as C
-from ..operators.area_metrics import area_metrics, with_rank
+from ..operators.area_metrics import AREA_KEYS, area_metrics, unmeasured_areas, with_rank
 from ..operators.relations import area_view
 from ..session import staged
 from ..sinks.catalogue_tables import CatalogueTables
@@ -48,7 +48,7 @@ def refresh_catalogue(
 
 
 def area_tables(envelopes: DataFrame, polygon_documents: DataFrame) -> dict[str, DataFrame]:
-    """Areas, polygons and ranked metrics, with metadata and raw documents."""
+    """Areas, polygons, ranked metrics and areas without any, with metadata and raw documents."""
     items = staged(envelope_items(envelopes), "area-items")
     areas = staged(C.flood_areas(items), "areas")
     polygons = staged(C.area_polygons(areas, polygon_documents), "polygons")
@@ -60,6 +60,7 @@ def area_tables(envelopes: DataFrame, polygon_documents: DataFrame) -> dict[str,
         "area": areas,
         "polygon": polygons,
         "metrics": with_rank(metrics),
+        "unmeasured": unmeasured_areas(polygons, metrics).select(*AREA_KEYS),
     }
 
 

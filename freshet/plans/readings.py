@@ -20,7 +20,7 @@ from ..operators.readings import READING_KEY, TRACKED, quarantined, shape_readin
 from ..operators.summaries import day_report
 from ..session import staged
 from ..sinks.day_table import DayTable
-from ..sources.reading_files import scan_readings
+from ..sources.reading_files import list_reading_files, scan_readings, unusable_days
 
 TEXT, DAY, MOMENT = T.StringType(), T.DateType(), T.TimestampType()
 
@@ -62,6 +62,8 @@ class LoadResult:
 
     report: DataFrame
     quarantine: DataFrame
+    #: days with a file but no rows
+    unusable: DataFrame
 
 
 def load_days(
@@ -78,10 +80,12 @@ def load_days(
     """
     # a list of days, bounded by the length of the load range
     wanted = [row.r_date for row in days.collect()]
+    files = list_reading_files(table.spark, base).where(F.col("day").isin(wanted))
     shaped = staged(shape_readings(scan_readings(table.spark, base, wanted)), "shaped")
+    unusable = unusable_days(files, shaped)
     rows = with_station_label(usable(shaped), stations)
     if not replace:
-        return LoadResult(day_report(shaped, table.append_or_upsert(rows, batch_order())), quarantined(shaped))
+        return LoadResult(day_report(shaped, table.append_or_upsert(rows, batch_order())), quarantined(shaped), unusable)
 
     # a file can hold a few readings of other days; those days are not dropped for them
     inside = F.col("r_date").isin(wanted)
@@ -93,7 +97,7 @@ def load_days(
         .join(replaced, "r_date", "left")
         .na.fill(0, ["rows_deleted", "rows_loaded"])
     )
-    return LoadResult(report, quarantined(shaped))
+    return LoadResult(report, quarantined(shaped), unusable)
 
 
 def load_new_days(

@@ -277,7 +277,8 @@ def polygon_area(spark, sf_dir):
     f"select floodarea_id, fwdcode from ({plain(BOXES)}) b where floodarea_id % 10 in (3, 7)",
 )
 def unmeasured_areas(spark, sf_dir):
-    return M.unmeasured_areas(polygons(spark, sf_dir)).select("floodarea_id", "fwdcode")
+    documents = polygons(spark, sf_dir)
+    return M.unmeasured_areas(documents, M.area_metrics(documents)).select("floodarea_id", "fwdcode")
 
 
 # box areas in square degrees (millionths), with many ties

@@ -6,13 +6,14 @@ start from equal rows. ``{name}`` stands for a table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.constants import HYDROLOGY_ROOT, MEASURE_PREFIX, STATION_PREFIX
+from ..functions.constants import MEASURE_PREFIX, STATION_PREFIX
+from ..sources.reading_files import READING_COLUMNS
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
-GUID_TAIL = "-7bcb-4f32-b8a8-3500a8a352b0"
+GUID_TAIL = "-4a1f-42c6-9d07-5be0c3f7721a"
 
 _P = MEASURE_PREFIX
 _G = f"lpad(cast(user_id as string), 8, '0'), '{GUID_TAIL}"
@@ -114,4 +115,17 @@ def plain(text: str) -> str:
     return text.format(**{name: name for name in TABLES})
 
 
-ROOT = HYDROLOGY_ROOT
+def land_readings(raw: DataFrame, base: str) -> str:
+    """Write raw cells as daily files, in all columns of a reading file. Returns ``base``."""
+    cells = [F.col(name) if name in raw.columns else F.lit(None).cast("string").alias(name) for name in READING_COLUMNS]
+    (
+        # "source=hydro-<date>" is the day's folder of part files
+        raw.select(*cells, "source", F.substring("source", 7, 4).alias("year"))
+        .hint("rebalance", F.col("source"))
+        .write.partitionBy("year", "source")
+        .option("header", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(base)
+    )
+    return base

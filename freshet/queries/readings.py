@@ -7,14 +7,14 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import codes
-from ..functions.constants import FLOOD_ROOT
+from ..functions.constants import FLOOD_ROOT, STATION_PREFIX
 from ..functions.notation import root_templated
 from ..functions.values import normalise_missing, period_seconds, stored_value
 from ..operators import readings as R, relations, summaries
 from ..operators.filters import filter_readings
 from ..session import fresh_path
 from ..sources import reading_files
-from .inputs import RAW_READINGS, STATIONS, derive, plain
+from .inputs import GUID_TAIL, RAW_READINGS, STATIONS, derive, land_readings, plain
 from .registry import query
 from .sqltext import CELLS, SHAPED, notation_columns, value_columns
 
@@ -191,8 +191,7 @@ def code_maps(spark, sf_dir):
 LINKED = f"""
 select event_id, case when event_id % 17 = 0 then null else concat('{FLOOD_ROOT}/id/floodAreas/', event_type) end as uri,
   case when event_id % 19 = 0 then null
-    else concat('http://environment.data.gov.uk/hydrology/id/stations/', lpad(cast(user_id as string), 8, '0'),
-      '-7bcb-4f32-b8a8-3500a8a352b0') end as station_id
+    else concat('{STATION_PREFIX}', lpad(cast(user_id as string), 8, '0'), '{GUID_TAIL}') end as station_id
 from {{events}}
 """
 
@@ -200,10 +199,10 @@ from {{events}}
 @query(
     "uri_templating",
     f"""select event_id, replace(coalesce(uri, ''), '{FLOOD_ROOT}', '{{root}}') as templated,
-          replace(l.station_id, 'http://environment.data.gov.uk/hydrology/id/stations/', '') as station_id_label,
+          replace(l.station_id, '{STATION_PREFIX}', '') as station_id_label,
           s.label as station_name
         from ({plain(LINKED)}) l left join ({plain(STATIONS)}) s
-          on s.notation = replace(l.station_id, 'http://environment.data.gov.uk/hydrology/id/stations/', '')""",
+          on s.notation = replace(l.station_id, '{STATION_PREFIX}', '')""",
 )
 def uri_templating(spark, sf_dir):
     links = derive(spark, sf_dir, LINKED)
@@ -222,18 +221,7 @@ def uri_templating(spark, sf_dir):
 )
 def readings_csv_scan(spark, sf_dir):
     raw = derive(spark, sf_dir, RAW_READINGS)
-    base = fresh_path(spark, "reading-files")
-    (
-        raw.drop("event_id")
-        # "source=hydro-<date>" is the day's folder of part files
-        .withColumn("year", F.substring("source", 7, 4))
-        .hint("rebalance", F.col("source"))
-        .write.partitionBy("year", "source")
-        .option("header", True)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(base)
-    )
+    base = land_readings(raw, fresh_path(spark, "reading-files"))
     columns = ("source", "measure", "dateTime", "date", "value", "period", "quality", "qcode")
     return reading_files.scan_readings(spark, base).select(*columns)
 

