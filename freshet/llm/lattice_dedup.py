@@ -8,6 +8,9 @@ cell, one of them at home there, are compared by cosine in double precision.
 
 Counts of links are made where vectors meet: a pair counts only in the first of the
 cells where it meets, which both vectors' own cells tell, so no pair leaves its task.
+
+Equal vectors are one class throughout: its smallest id stands for it, and the number
+of its copies is added wherever it links.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import sys
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .bytes_table import U, mixed
 from .common import components, keyed_runs, matrices, session_of, staged, starts_of
@@ -145,7 +148,7 @@ def met(parts: DataFrame, cosine: float, tables: int, blocks: int, scale: float,
             cell, i, j = (table[c].to_numpy() for c in ("cell", "i", "j"))
             part, ids = table["part"].to_numpy(), table["vec_id"].to_numpy()
             home = table["home"].combine_chunks().to_numpy(zero_copy_only=False)
-            vectors = table["embedding"].combine_chunks()
+            vectors, copies = table["embedding"].combine_chunks(), table["copies"].to_numpy()
             # a cell holds vectors of one dimension, for the dimension is part of its code
             place, unit = np.zeros(len(cell), dtype=np.int64), {}
             for at, y in matrices(vectors):
@@ -189,7 +192,8 @@ def met(parts: DataFrame, cosine: float, tables: int, blocks: int, scale: float,
                         met_at = np.minimum(met_at, np.where(hit, at_home[:, :, 0], NONE).min(axis=1))
                     new = met_at == cell[pairs[0, some]]
                     for side in (0, 1):
-                        count += np.bincount(owner[side, some[new]], minlength=len(names))
+                        theirs = copies[pairs[1 - side, some[new]]]
+                        count += np.bincount(owner[side, some[new]], theirs, len(names)).astype(np.int64)
             while True:
                 low = label.copy()
                 np.minimum.at(low, owner[0], label[owner[1]])
@@ -208,6 +212,12 @@ def met(parts: DataFrame, cosine: float, tables: int, blocks: int, scale: float,
     return dealt.mapInArrow(run, "a long, n long, b long")
 
 
+def can_link(vector_col: str) -> Column:
+    """Whether a vector has components, all of them finite, and one that is not zero."""
+    finite = F.forall(vector_col, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce(finite & F.exists(vector_col, lambda x: x != 0), F.lit(False))
+
+
 def link_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9,
     tables: int = TABLES, blocks: int = BLOCKS, scale: float = SCALE, probes: int = PROBES,
@@ -217,26 +227,28 @@ def link_vectors(
     Cosines are taken in double precision. Vectors that are null, empty, zero or hold a
     null or non-finite component, and vectors of another dimension, link with nothing.
     One row is returned for each id; rows that repeat an id are one vector, the least of
-    them. Rows without an id are returned as they come, with no links, a null component and
+    them. Equal vectors always link. Rows without an id are returned as they come, with no links, a null component and
     kept false. Other columns are ignored; an empty table gives an empty result.
     """
     session_of(vectors)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     named = staged(rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
+    usable = named.where(can_link("embedding"))
+    classes = staged(usable.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "classes")
     args = (tables, blocks, scale, probes)
-    cells = staged(cell_rows(named, *args), "cells")
+    cells = staged(cell_rows(classes, *args), "cells")
     full = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home")
     live = cells.join(full.select("cell", F.ceil(F.col("n") / CELL_PART).cast("int").alias("g")), "cell")
     live = live.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("g")).cast("int"))
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     live = live.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "home", "vec_id")
-    found = staged(met(live.join(named, "vec_id"), cosine, *args), "met")
-    counts = found.where("n > 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    joined = components(found.where("b is not null").select("a", "b"))
-    out = named.select("vec_id").join(counts, "vec_id", "left").join(
-        joined.select(F.col("vertex").alias("vec_id"), "component"), "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"),
-                     (component == F.col("vec_id")).alias("kept"))
+    found = staged(met(live.join(classes, "vec_id"), cosine, *args), "met")
+    counts = found.where("n > 0").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
+    joined = components(found.where("b is not null").select("a", "b")).withColumnRenamed("vertex", "class")
+    facts = classes.select("embedding", F.col("vec_id").alias("class"), "copies").join(counts, "class", "left").join(joined, "class", "left")
+    linked = usable.join(facts, "embedding").select(
+        "vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class").alias("component_id"))
+    alone = named.where(~can_link("embedding")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.union(alone).withColumn("kept", F.col("component_id") == F.col("vec_id"))
     return out.union(rows.where("vec_id is null").select(
         "vec_id", F.lit(0).cast("long"), F.lit(None).cast("long"), F.lit(False)))
