@@ -50,6 +50,10 @@ LOCAL_SHINGLES = 1 << 22
 ROUND_PIVOTS = 32
 #: A text has about one coordinate per so many shingles.
 SHINGLES_PER_PART = 8
+#: Numbers in a table of folded coordinates, at most.
+FOLDED = 1 << 20
+#: Coordinates looked at first; each text has so many at least.
+COARSE = 8
 
 
 def shingle_sets(words: WordTable, data, bounds, size: int):
@@ -80,7 +84,7 @@ def set_code(s: np.ndarray) -> np.int64:
 
 def coordinates(s: np.ndarray) -> bytes:
     """Counts of the shingles in hashed parts of the shingle space, a power of two of them."""
-    parts = 8
+    parts = COARSE
     while parts < 1 << 16 and parts * SHINGLES_PER_PART < len(s):
         parts *= 2
     counts = np.bincount((s & U(parts - 1)).astype(np.int64), minlength=parts)
@@ -217,28 +221,51 @@ def candidate_edges(members: DataFrame, percent: int) -> DataFrame:
 
 
 def groups_by_coordinates(parts: list[bytes], size: np.ndarray, percent: int) -> np.ndarray:
-    """Smallest index connected to each text by pairs that coordinates cannot part."""
+    """Smallest index connected to each text by pairs that coordinates cannot part.
+
+    A text is held against the texts before it, newest first and some at a time; texts
+    that already hang together with it need no test. Coarse coordinates come before fine ones.
+    """
     n = len(parts)
     root = np.arange(n)
-    vectors: dict[int, np.ndarray] = {}
-
-    def at(width: int) -> np.ndarray:
-        if width not in vectors:
-            vectors[width] = np.array([folded(np.frombuffer(p, np.uint8), width) if len(p) >= width else np.zeros(width, int)
-                                       for p in parts], dtype=np.int32)
-        return vectors[width]
-
     widths = np.array([len(p) for p in parts])
+    raw = [np.frombuffer(p, np.uint8) for p in parts]
+    coarse = np.array([folded(p, COARSE) for p in raw])
+    tables: dict[int, np.ndarray] = {}
+
+    def at(width: int, rows: np.ndarray) -> np.ndarray:
+        """Coordinates of some texts that have ``width`` of them at least; kept if few."""
+        if n * width > FOLDED:
+            return np.array([folded(raw[j], width) for j in rows])
+        if width not in tables:
+            tables[width] = np.zeros((n, width), dtype=np.int32)
+            for j in np.flatnonzero(widths >= width):
+                tables[width][j] = folded(raw[j], width)
+        return tables[width][rows]
+
+    def near(i: int, some: np.ndarray) -> np.ndarray:
+        some = some[~far_apart(np.abs(coarse[some] - coarse[i]).sum(axis=1), size[some], size[i], percent)]
+        found = []
+        finest = np.minimum(widths[some], widths[i])
+        for width in np.unique(finest):
+            same, own = some[finest == width], folded(raw[i], width)
+            for first in range(0, len(same), max(1, FOLDED // width)):
+                rows = same[first : first + max(1, FOLDED // width)]
+                gap = np.abs(at(width, rows) - own).sum(axis=1)
+                found.append(rows[~far_apart(gap, size[rows], size[i], percent)])
+        return np.concatenate(found) if found else some
+
     for i in range(1, n):
-        fits = (100 * np.minimum(size[:i], size[i]) >= percent * np.maximum(size[:i], size[i])) & (root[:i] != root[i])
-        others = np.flatnonzero(fits)
-        for width in np.unique(np.minimum(widths[others], widths[i])) if len(others) else ():
-            same = others[np.minimum(widths[others], widths[i]) == width]
-            table = at(int(width))
-            gap = np.abs(table[same] - table[i]).sum(axis=1)
-            for j in same[~far_apart(gap, size[same], size[i], percent)]:
-                low, high = sorted((root[i], root[j]))
+        others = np.flatnonzero(100 * np.minimum(size[:i], size[i]) >= percent * np.maximum(size[:i], size[i]))[::-1]
+        step = 32
+        while len(others):
+            some, others = others[:step], others[step:]
+            for hit in np.unique(root[near(i, some)]):
+                low, high = sorted((hit, root[i]))
                 root[root == high] = low
+            if root[i] != i:
+                others = others[root[others] != root[i]]
+            step *= 8
     return root
 
 
