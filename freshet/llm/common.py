@@ -113,11 +113,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until no edge
     changes. Every step is a grouped minimum, pre-aggregated before its shuffle, and
-    a join, whose hot centres adaptive execution splits. Returns (vertex, component);
-    vertices without an edge are not listed.
+    a join, whose hot centres adaptive execution splits. Edge lists are sets; two of them
+    are compared by their count and two hashes. Returns (vertex, component); vertices
+    without an edge are not listed.
     """
+
+    def mark(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b"))).first())
+
     current = staged(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    before = mark(current)
     while True:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -127,10 +133,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
                  .union(least.select("a", F.col("m").alias("b"))).distinct())
         small = staged(small, "small")
-        changed = small.exceptAll(current).limit(1).count() + current.exceptAll(small).limit(1).count()
         discard(current, large)
-        current = small
-        if not changed:
+        current, last, before = small, before, mark(small)
+        if last == before:
             return current.select(F.col("a").alias("vertex"), F.col("b").alias("component")).union(
                 current.select("b", "b").distinct())
 
