@@ -179,6 +179,11 @@ def test_refresh_replaces_the_whole_set(spark, tmp_path):
     assert sorted((row.json_id, row.n) for row in tables.read("t").collect()) == [("a", 1), ("b", 2), ("c", 3)]
     tables.refresh({"t": one.limit(1), "u": one})
     assert tables.read("t").count() == 1 and tables.read("u").count() == 2
+    # a pointer that is not written in full counts for nothing
+    (tmp_path / "current" / "9").mkdir()
+    assert tables.read("u").count() == 2
+    tables.remove_old()
+    assert len(list(tmp_path.glob("version=*"))) == 1 and tables.read("u").count() == 2
 
 
 def test_station_refresh(spark, tmp_path):
