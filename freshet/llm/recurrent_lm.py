@@ -2,8 +2,9 @@
 
 The model reads the most frequent words; any other word is one unknown word to it, whose
 own probability is its smoothed share among the unknown ones. Its output is factored into
-classes of words. Training is truncated backpropagation through time: documents run
-through lanes, window after window, and the state is carried from window to window.
+classes of words. Training is truncated backpropagation through time: whole documents run
+through lanes, window after window, and the state is carried from window to window, from
+the first word of a document to its end. Every window of every training document is read.
 Tasks train on their own documents from the same parameters, which are then averaged.
 
 Counts cover all words of all training documents. The base score and the unknown words
@@ -13,13 +14,14 @@ table, and the rest are looked up by a join.
 
 from __future__ import annotations
 
+import heapq
 import sys
 
 import numpy as np
-from pyspark import TaskContext, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from .bytes_table import U, WordTable, flat_texts, mixed, rows_per_text, slices
+from .bytes_table import WordTable, flat_texts, rows_per_text, slices
 from .common import crc32_of, session_of, staged, with_row
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -31,10 +33,9 @@ HIDDEN = 24
 EMBEDDED = 24
 CLASS_WORDS = 32
 #: Documents side by side in training, steps of a window, windows scored at once.
-LANES = 128
+LANES = 512
 WINDOW = 16
-#: A training window is taken at this rate, by a hash of its document and number; in each round anew.
-RATE = 0.125
+#: Each training document is read in one of so many rounds, by a hash of its row; parameters are averaged after each.
 ROUNDS = 2
 RATE_LEARNING = 0.01
 #: Steps of the optimizer that each task makes in a round, at least; small data are read again.
@@ -42,7 +43,8 @@ LEAST_STEPS = 120
 #: Words that a task holds before it scores or trains on them.
 HELD = 1 << 21
 END = np.uint64(0xA24BAED4963EE407)
-#: Tasks' parameters are added up in so many groups before the driver averages them.
+#: Tasks' parameters are added up in pieces of so many numbers, by so many tasks.
+PIECE = 1 << 16
 GROUPS = 16
 
 
@@ -162,12 +164,11 @@ def gradients(p: dict, g: dict, shape: Shape, words: np.ndarray, targets: np.nda
     """
     H, (steps, lanes) = HIDDEN, words.shape
     kept = []
-    before = np.empty((steps, lanes, H), dtype=np.float32)
+    inputs = p["embed"][words]
+    x = inputs @ p["wx"] + p["b"]
     for t in range(steps):
-        h = np.where(fresh[t][:, None], 0, h).astype(np.float32)
-        before[t] = h
-        x = p["embed"][words[t]]
-        kept.append((x, h, *step(p, x @ p["wx"] + p["b"], h)))
+        h = np.where(fresh[t][:, None], 0, h).astype(x.dtype)
+        kept.append((h, *step(p, x[t], h)))
         h = kept[-1][-1]
     out = np.stack([k[-1] for k in kept])
     last = h
@@ -195,20 +196,23 @@ def gradients(p: dict, g: dict, shape: Shape, words: np.ndarray, targets: np.nda
     dout = np.zeros_like(out)
     dout[live] = dh_live
     dh = np.zeros((lanes, H), dtype=np.float32)
+    dx, du = (np.empty((steps, lanes, 3 * H), dtype=x.dtype) for _ in range(2))
     for t in range(steps - 1, -1, -1):
-        x, h0, r, z, c, uc, _ = kept[t]
+        h0, r, z, c, uc, _ = kept[t]
         dh = dh + dout[t]
         dc = dh * z * (1 - c * c)
         dz = dh * (c - h0) * z * (1 - z)
         dr = dc * uc * r * (1 - r)
-        dx = np.concatenate([dr, dz, dc], axis=1)
-        du = np.concatenate([dr, dz, dc * r], axis=1)
-        g["wh"] += h0.T @ du
-        g["wx"] += x.T @ dx
-        g["b"] += dx.sum(axis=0)
-        np.add.at(g["embed"], words[t], dx @ p["wx"].T)
-        dh = dh * (1 - z) + du @ p["wh"].T
+        dx[t, :, :H], dx[t, :, H : 2 * H], dx[t, :, 2 * H :] = dr, dz, dc
+        du[t] = dx[t]
+        du[t, :, 2 * H :] *= r
+        dh = dh * (1 - z) + du[t] @ p["wh"].T
         dh = np.where(fresh[t][:, None], 0, dh)
+    flat_dx, before = dx.reshape(-1, 3 * H), np.concatenate([k[0] for k in kept])
+    g["wh"] += before.T @ du.reshape(-1, 3 * H)
+    g["wx"] += inputs.reshape(-1, EMBEDDED).T @ flat_dx
+    g["b"] += flat_dx.sum(axis=0)
+    np.add.at(g["embed"], words.ravel(), flat_dx @ p["wx"].T)
     return last
 
 
@@ -217,42 +221,60 @@ class Trainer:
 
     def __init__(self, shape: Shape, flat: np.ndarray) -> None:
         self.shape, self.flat = shape, flat.copy()
-        self.m, self.v, self.t = np.zeros_like(flat), np.zeros_like(flat), 0
-
-    def update(self, g: np.ndarray) -> None:
-        size = np.sqrt((g * g).sum())
-        if size > 1:
-            g = g / size
+        self.m, self.v, self.g, self.t = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat), 0
+
+    def update(self, words: np.ndarray, kinds: np.ndarray) -> None:
+        """A step along ``g``, which is cleared; only rows of the words read and the classes met have changed."""
+        views = [self.shape.views(x) for x in (self.flat, self.m, self.v, self.g)]
+        rows = {"embed": words, "ww": kinds, "bw": kinds}
+        parts = [(name, rows.get(name, slice(None))) for name in self.shape.parts]
+        met = [views[3][name][at] for name, at in parts]
+        size = np.sqrt(sum(float((g * g).sum()) for g in met))
         self.t += 1
-        self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * (g * g - self.v)
         rate = RATE_LEARNING * min(1.0, 30 / max(self.t, 1) ** 0.5 * 0.2)
-        self.flat -= rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
+        first, second = 1 - 0.9**self.t, 1 - 0.99**self.t
+        for (name, at), g in zip(parts, met):
+            if size > 1:
+                g = g / np.float32(size)
+            flat, m, v, own = (x[name] for x in views)
+            m_at, v_at = m[at], v[at]
+            m_at = m_at + np.float32(0.1) * (g - m_at)
+            v_at = v_at + np.float32(0.01) * (g * g - v_at)
+            m[at], v[at] = m_at, v_at
+            flat[at] -= np.float32(rate / first) * m_at / (np.sqrt(v_at / np.float32(second)) + np.float32(1e-8))
+            own[at] = 0
 
     def run(self, words: np.ndarray, ends: np.ndarray, least: int) -> int:
-        """One pass, or as many as make ``least`` updates, over sequences joined in lanes."""
+        """One pass, or as many as make ``least`` updates, over whole documents dealt to lanes."""
         total = len(words)
-        lanes = int(min(LANES, max(1, total // (4 * WINDOW))))
-        steps = total // lanes
-        if steps < 2:
-            return 0
+        lanes = int(min(LANES, max(1, total // (4 * WINDOW)), len(ends) - 1))
+        length = np.diff(ends)
+        # the longest documents first, each to the lane with the fewest words
+        heap, own = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+        for i in np.argsort(-length, kind="stable"):
+            have, k = heapq.heappop(heap)
+            own[k].append(i)
+            heapq.heappush(heap, (have + int(length[i]), k))
+        own = [own[k] for have, k in sorted(heap, key=lambda e: -e[0])]
+        flow = np.concatenate([words[ends[i] : ends[i + 1]] for lane in own for i in lane])
+        size = np.array([sum(int(length[i]) for i in lane) for lane in own])
+        first = np.cumsum(size) - size
         begins = np.zeros(total, dtype=bool)
-        begins[ends[:-1]] = True
-        grid = words[: lanes * steps].reshape(lanes, steps).T
-        fresh = begins[: lanes * steps].reshape(lanes, steps).T.copy()
-        fresh[0] = True
-        # a document's first word is predicted from the cleared state: the end goes in before it
-        into = np.ones_like(grid)
-        into[1:] = grid[:-1]
-        into[fresh] = 1
+        begins[np.cumsum([0, *(length[i] for lane in own for i in lane)])[:-1]] = True
         done = 0
         while done < max(least, 1):
             h = np.zeros((lanes, HIDDEN), dtype=np.float32)
-            for t in range(0, steps, WINDOW):
-                part = slice(t, t + WINDOW)
-                g = np.zeros_like(self.flat)
-                h = gradients(self.shape.views(self.flat), self.shape.views(g), self.shape, into[part], grid[part], fresh[part], h)
-                self.update(g)
+            for t in range(0, int(size[0]), WINDOW):
+                live = int(np.searchsorted(-size, -t, "left"))  # lanes longer than t
+                place = np.arange(t, min(t + WINDOW, int(size[0])))[:, None]
+                there = place < size[:live]
+                at = np.where(there, first[:live] + place, 0)
+                # a document's first word is predicted from the cleared state: the end goes in before it
+                fresh = begins[at] & there
+                into = np.where(fresh | ~there, 1, flow[at - 1])
+                target = np.where(there, flow[at], -1)
+                h = gradients(self.shape.views(self.flat), self.shape.views(self.g), self.shape, into, target, fresh, h[:live])
+                self.update(np.unique(into), np.unique(self.shape.class_of(target[there])))
                 done += 1
         return total
 
@@ -298,19 +320,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def trained(docs: DataFrame, shape: Shape, flat: np.ndarray, codes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Parameters after all rounds of training on ``docs`` (row, text)."""
+def trained(docs: DataFrame, shape: Shape, flat: np.ndarray, codes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, int]:
+    """Parameters after all rounds of training on ``docs`` (row, text), and the number of words read."""
     spark = docs.sparkSession
+    read = 0
 
     for number in range(ROUNDS):
         sent = spark.sparkContext.broadcast((flat, codes, words))
 
-        def run(batches, number=number, sent=sent):
+        def run(batches, sent=sent):
             import pyarrow as pa
 
             flat, codes, values = sent.value
             trainer, held, n, total = Trainer(shape, flat), [], 0, 0
-            window = 8 * WINDOW
 
             def learn(least: int):
                 nonlocal held, n, total
@@ -321,23 +343,17 @@ def trained(docs: DataFrame, shape: Shape, flat: np.ndarray, codes: np.ndarray,
 
             for batch, first, last, text, code in tokenized(batches, None):
                 word = numbers(code, codes, values, 0)
-                rows = batch.column("row").to_numpy()[first:last].view(np.uint64)
                 at = rows_per_text(text, last - first)
-                for i in range(last - first):
-                    own = word[at[i] : at[i + 1]]
-                    k = np.arange(-(-len(own) // window), dtype=np.uint64)
-                    lot = mixed(rows[i] ^ mixed(k * U(ROUNDS) + U(number + 1)))
-                    for j in np.flatnonzero(lot < U(int(RATE * 2.0**64))):
-                        held.append(own[j * window : (j + 1) * window])
-                        n += len(held[-1])
-                if n >= HELD // 4:
+                held.extend(word[at[i] : at[i + 1]] for i in range(last - first))
+                n += len(word)
+                if n >= HELD:
                     learn(0)
             learn(LEAST_STEPS - trainer.t)
-            if total:
-                group = TaskContext.get().partitionId() % GROUPS
-                vector = (trainer.flat.astype(np.float64) * total).tobytes()
+            # in pieces, so that no task or driver holds the vectors of several tasks
+            for k in range(0, shape.size if total else 0, PIECE):
+                vector = (trainer.flat[k : k + PIECE].astype(np.float64) * total).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([group], pa.int32()), pa.array([total], pa.int64()), pa.array([vector], pa.binary())], ["g", "n", "v"])
+                    [pa.array([k], pa.int64()), pa.array([total], pa.int64()), pa.array([vector], pa.binary())], ["g", "n", "v"])
 
         def add(batches):
             import pyarrow as pa
@@ -345,20 +361,22 @@ def trained(docs: DataFrame, shape: Shape, flat: np.ndarray, codes: np.ndarray,
             sums: dict[int, list] = {}
             for batch in batches:
                 for g, n, v in zip(*(c.to_pylist() for c in batch.columns)):
-                    have = sums.setdefault(g, [0, np.zeros(shape.size)])
+                    have = sums.setdefault(g, [0, 0.0])
                     have[0] += n
-                    have[1] += np.frombuffer(v)
-            if sums:
+                    have[1] = have[1] + np.frombuffer(v)
+            for g, (n, v) in sums.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()], pa.int64()),
-                     pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], ["g", "n", "v"])
-
-        kind = "g int, n long, v binary"
-        parts = docs.mapInArrow(run, kind).repartition(GROUPS, "g").mapInArrow(add, kind).collect()
-        total = sum(r.n for r in parts)
-        if total:
-            flat = (sum(np.frombuffer(r.v) for r in parts) / total).astype(np.float32)
-    return flat
+                    [pa.array([g], pa.int64()), pa.array([n], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["g", "n", "v"])
+
+        kind = "g long, n long, v binary"
+        own = docs.where(F.pmod(F.xxhash64(F.col("row"), F.lit("round")), F.lit(ROUNDS)) == number)
+        parts = own.mapInArrow(run, kind).repartition(GROUPS, "g").mapInArrow(add, kind).collect()
+        if parts:
+            flat = flat.copy()
+            for r in parts:
+                flat[r.g : r.g + PIECE] = np.frombuffer(r.v) / r.n
+            read += parts[0].n
+    return flat, read
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1) -> DataFrame:
@@ -391,7 +409,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = (model_code[order], order + 1)
     flat = initial(shape, np.concatenate([[unknown_n], model_n]))
     if total:
-        flat = trained(learn, shape, flat, *model)
+        flat, _ = trained(learn, shape, flat, *model)
     sort = np.argsort(top_code)
     sent = spark.sparkContext.broadcast((flat, model, top_code[sort], top_n[sort]))
 

@@ -365,6 +365,31 @@ def test_rare_words_are_counted_by_a_join(docs, monkeypatch):
     assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in recurrent_lm.score_documents(docs).collect()} == whole
 
 
+def test_training_reads_every_word_of_whole_documents(docs, monkeypatch):
+    rng = np.random.default_rng(8)
+    length = np.concatenate([rng.integers(1, 60, 150), [1, 700]])
+    ends = np.concatenate([[0], np.cumsum(length)])
+    words = np.arange(ends[-1]) % 68 + 2
+    seen, begun, plain = [], 0, recurrent_lm.gradients
+
+    def gradients(p, g, shape, into, targets, fresh, h):
+        nonlocal begun
+        seen.extend(targets[targets >= 0].tolist())
+        begun += int(fresh.sum())
+        # a word follows the one before it, except at the beginning of a document
+        assert ((into == np.where(targets == 2, 69, targets - 1)) | fresh | (targets < 0)).all()
+        return plain(p, g, shape, into, targets, fresh, h)
+
+    monkeypatch.setattr(recurrent_lm, "gradients", gradients)
+    shape = recurrent_lm.Shape(70)
+    recurrent_lm.Trainer(shape, np.zeros(shape.size, dtype=np.float32)).run(words, ends, 0)
+    assert Counter(seen) == Counter(words.tolist()) and begun == len(length)
+    read, train = [], recurrent_lm.trained
+    monkeypatch.setattr(recurrent_lm, "gradients", plain)
+    monkeypatch.setattr(recurrent_lm, "trained", lambda *a: read.append(train(*a)) or read[-1])
+    assert {r.train_tokens for r in recurrent_lm.score_documents(docs).collect()} == {read[0][1]}
+
+
 def test_gradients_of_the_model():
     rng = np.random.default_rng(6)
     shape = recurrent_lm.Shape(70)
