@@ -1,7 +1,7 @@
 """Scores of whole documents under a gated recurrent language model trained here, in numpy.
 
-The model reads the most frequent words; any other word is one unknown word to it, whose
-own probability is its smoothed share among the unknown ones. Its output is factored into
+The model reads all words above a count in the training documents; any other word is one
+unknown word to it, whose own probability is its smoothed share among the unknown ones. Its output is factored into
 classes of words. Training is truncated backpropagation through time: whole documents run
 through lanes, window after window, and the state is carried from window to window, from
 the first word of a document to its end. Every window of every training document is read.
@@ -15,6 +15,7 @@ table, and the rest are looked up by a join.
 from __future__ import annotations
 
 import heapq
+import math
 import sys
 
 import numpy as np
@@ -26,12 +27,15 @@ from .common import crc32_of, session_of, staged, with_row
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words of the model, with the end of a document; words sent to all tasks with their counts.
+#: The model's words are those with this count and this share of the training words, and the
+#: most frequent ones up to a small least number, with the unknown word and the end.
+LEAST_COUNT = 5
+LEAST_SHARE = 1e-6
 VOCABULARY = 1024
+#: Words sent to all tasks with their counts, at least.
 SENT_WORDS = 1 << 17
 HIDDEN = 24
 EMBEDDED = 24
-CLASS_WORDS = 32
 #: Documents side by side in training, steps of a window, windows scored at once.
 LANES = 512
 WINDOW = 16
@@ -54,12 +58,13 @@ class Shape:
     def __init__(self, words: int) -> None:
         # class 0 is the unknown word, class 1 the end; the others follow by frequency
         self.words = words
-        self.classes = 2 + -(-max(words - 2, 0) // CLASS_WORDS)
+        self.inner = max(math.isqrt(max(words - 3, 0)) + 1, 1)  # words of a class: the root of their number
+        self.classes = 2 + -(-max(words - 2, 0) // self.inner)
         self.parts, at = {}, 0
         for name, shape in {
             "embed": (words, EMBEDDED), "wx": (EMBEDDED, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
             "wc": (HIDDEN, self.classes), "bc": (self.classes,),
-            "ww": (self.classes, HIDDEN, CLASS_WORDS), "bw": (self.classes, CLASS_WORDS),
+            "ww": (self.classes, HIDDEN, self.inner), "bw": (self.classes, self.inner),
         }.items():
             size = int(np.prod(shape))
             self.parts[name] = (slice(at, at + size), shape)
@@ -70,10 +75,10 @@ class Shape:
         return {name: flat[part].reshape(shape) for name, (part, shape) in self.parts.items()}
 
     def class_of(self, word: np.ndarray) -> np.ndarray:
-        return np.where(word < 2, word, 2 + (word - 2) // CLASS_WORDS)
+        return np.where(word < 2, word, 2 + (word - 2) // self.inner)
 
     def place_of(self, word: np.ndarray) -> np.ndarray:
-        return np.where(word < 2, 0, (word - 2) % CLASS_WORDS)
+        return np.where(word < 2, 0, (word - 2) % self.inner)
 
 
 def initial(shape: Shape, counts: np.ndarray) -> np.ndarray:
@@ -145,7 +150,7 @@ def scored(p: dict, shape: Shape, words: np.ndarray, ends: np.ndarray) -> np.nda
         nexts.append(word)
         owners.append(np.arange(live))
         held += live
-        if held > 1 << 15 or t + 1 == length[0]:
+        if held > 1 << 14 or t + 1 == length[0]:
             who = np.concatenate(owners)
             out += np.bincount(who, weights=word_log(p, shape, np.concatenate(states), np.concatenate(nexts)), minlength=n)
             states, nexts, owners, held = [], [], [], 0
@@ -398,11 +403,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     learn = rows.where(~held_out).select("row", "text")
     counts = staged(word_counts(learn), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "code").limit(SENT_WORDS).toArrow()
+    frequent = counts.where((F.col("n") >= LEAST_COUNT) & (F.col("n") >= LEAST_SHARE * total)).count()
+    size = max(VOCABULARY - 2, frequent)
+    top = counts.orderBy(F.desc("n"), "code").limit(max(SENT_WORDS, size + 1)).toArrow()
     top_code, top_n = top["code"].to_numpy().view(np.uint64), top["n"].to_numpy()
     plain = top_code != END
-    model_code = np.concatenate([[END], top_code[plain][: VOCABULARY - 2]]).astype(np.uint64)
-    model_n = np.concatenate([top_n[~plain][:1] if (~plain).any() else [0], top_n[plain][: VOCABULARY - 2]])
+    model_code = np.concatenate([[END], top_code[plain][:size]]).astype(np.uint64)
+    model_n = np.concatenate([top_n[~plain][:1] if (~plain).any() else [0], top_n[plain][:size]])
     unknown_n, unknown_kinds = total - int(model_n.sum()), max(distinct - int((model_n > 0).sum()), 0)
     shape = Shape(len(model_code) + 1)
     order = np.argsort(model_code)
@@ -435,7 +442,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch, first, last, text, code in tokenized(batches, None):
             m = last - first
             row, ids = batch.column("row").to_numpy()[first:last], batch.column("doc_id").to_pylist()[first:last]
-            word = numbers(code, *model, 0).astype(np.int16)
+            word = numbers(code, *model, 0).astype(np.int32)
             count = numbers(code, top_code, top_n, -1) if len(top_code) else np.full(len(code), -1)
             sent_here, unknown = count >= 0, word == 0
             logs = np.where(sent_here, np.log10(np.maximum(count, 0) + 0.5), 0.0)

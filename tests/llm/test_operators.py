@@ -390,6 +390,17 @@ def test_training_reads_every_word_of_whole_documents(docs, monkeypatch):
     assert {r.train_tokens for r in recurrent_lm.score_documents(docs).collect()} == {read[0][1]}
 
 
+def test_vocabulary_follows_the_counts(spark, monkeypatch):
+    shapes, text = [], " ".join(f"w{k}" for k in range(3000))
+    monkeypatch.setattr(recurrent_lm, "trained", lambda docs, shape, flat, codes, words: shapes.append(shape) or (flat, 0))
+    table = spark.createDataFrame([(i, text + f" once{i}") for i in range(8)], "doc_id long, text string")
+    got = recurrent_lm.score_documents(table).collect()
+    # every word of the text, the end and the unknown word, in classes of about the root of their number
+    assert 3002 <= shapes[0].words <= 3003 and 54 <= shapes[0].inner <= 56 and shapes[0].classes <= 58
+    places = set(zip(shapes[0].class_of(np.arange(3002)).tolist(), shapes[0].place_of(np.arange(3002)).tolist()))
+    assert len(places) == 3002 and all(r.score < 0 for r in got)
+
+
 def test_gradients_of_the_model():
     rng = np.random.default_rng(6)
     shape = recurrent_lm.Shape(70)
