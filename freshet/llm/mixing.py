@@ -5,16 +5,19 @@ a source with weight w is released at floor(i / w) and due at ceil((i + 1) / w);
 earliest deadline among the released blocks takes the slot. The number of blocks a source
 has had then never differs from its due share by a whole block.
 
-With weights in whole parts of ``RESOLUTION`` the schedule repeats after that many slots,
-so it is computed once per set of live sources, and a document finds its slot by
-arithmetic.
+Weights are taken exactly, as ratios of whole numbers of any length. The driver deals out
+the blocks of all documents once, eight bytes a block, and a document finds its slot by
+its source and block number.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import sys
+from array import array
 from collections.abc import Mapping
+from fractions import Fraction
 
 import numpy as np
 from pyspark import cloudpickle
@@ -24,8 +27,6 @@ from .common import session_of, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Weights are rounded to whole parts of this; slots after which a schedule repeats.
-RESOLUTION = 1024
 #: Documents in a block.
 BLOCK = 64
 #: Parts of a source, by the hash of the id, that are ranked apart.
@@ -45,45 +46,61 @@ def shares(weights: Mapping[str, float], resolution: int) -> dict[str, int]:
     return out
 
 
-def schedule(parts: Mapping[str, int]) -> dict[str, np.ndarray]:
-    """The slots that each source takes in one period, by earliest deadline among released blocks."""
+def exact_parts(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the ratio of the weights."""
+    ratios = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(r.denominator for r in ratios.values()))
+    whole = {s: int(r * scale) for s, r in ratios.items()}
+    common = math.gcd(*whole.values())
+    return {s: n // common for s, n in whole.items()}
+
+
+def schedule(parts: Mapping[str, int], blocks: Mapping[str, int] | None = None) -> dict[str, np.ndarray]:
+    """The slots that each source takes, by earliest deadline among released blocks.
+
+    They end with the last of ``blocks`` of the first source that runs out; without
+    ``blocks``, after one period.
+    """
     period = sum(parts.values())
     waiting = [(0, s, 0) for s in sorted(parts)]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in parts}
-    for slot in range(period):
+    out = {s: array("q") for s in parts}
+    slot = 0
+    while blocks is not None or slot < period:
         while waiting and waiting[0][0] <= slot:
             _, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * period // parts[s]), s, i))
         _, s, i = heapq.heappop(ready)
         out[s].append(slot)
-        if i + 1 < parts[s]:
+        if blocks is not None and i + 1 == blocks[s]:
+            break
+        if blocks is not None or i + 1 < parts[s]:
             heapq.heappush(waiting, ((i + 1) * period // parts[s], s, i + 1))
+        slot += 1
     return {s: np.array(v, dtype=np.int64) for s, v in out.items()}
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], resolution: int = RESOLUTION) -> list[dict]:
+def phases(blocks: Mapping[str, int], weights: Mapping[str, float], resolution: int | None = None) -> list[dict]:
     """Schedules one after the other; each ends when its first source runs out.
 
     The weights of the sources that are left keep their ratios. A phase has its first
-    slot, and for each source its first block, its parts and its slots in a period.
+    slot, and for each source its first block, its part of the period and its slots.
     """
     left = {s: n for s, n in blocks.items() if n > 0}
     done = {s: 0 for s in left}
     start, out = 0, []
     while left:
-        parts = shares({s: weights[s] for s in left}, resolution)
-        period, plan = sum(parts.values()), schedule(parts)
-        length = min((n - 1) // parts[s] * period + int(plan[s][(n - 1) % parts[s]]) + 1 for s, n in left.items())
-        out.append({"start": start, "period": period, "first": dict(done), "parts": parts, "plan": plan})
+        live = {s: weights[s] for s in left}
+        parts = shares(live, resolution) if resolution else exact_parts(live)
+        plan = schedule(parts, left)
+        out.append({"start": start, "period": sum(parts.values()), "first": dict(done), "parts": parts, "plan": plan})
+        start += sum(map(len, plan.values()))
         for s in list(left):
-            used = length // period * parts[s] + int(np.searchsorted(plan[s], length % period))
-            done[s] += used
-            left[s] -= used
+            done[s] += len(plan[s])
+            left[s] -= len(plan[s])
             if not left[s]:
                 del left[s], done[s]
-        start += length
     return out
 
 
@@ -94,12 +111,13 @@ def tempered(counts: Mapping[str, int], power: float) -> dict[str, float]:
 
 def mix(
     docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id",
-    block: int = BLOCK, power: float = 0.5, resolution: int = RESOLUTION,
+    block: int = BLOCK, power: float = 0.5, resolution: int | None = None,
 ) -> DataFrame:
     """``docs`` with their place in the mixture: mix_block, mix_release, mix_due, mix_slot, mix_place.
 
     ``weights`` names the target weight of each source; by default it is the ``power`` of
     its number of documents, and a source without a weight gets the smallest one given.
+    Weights are exact; only a given ``resolution`` rounds them to whole parts of it.
     Sorting by (mix_slot, mix_place) gives the mixture. All rows are kept: when a source
     runs out, the others go on with their weights in proportion. Documents of a source
     are ordered by a hash of their id (of the row's values where that is null); ties
@@ -142,11 +160,12 @@ def mix(
             for i in np.unique(k):
                 p, here = live[i], k == i
                 parts, period = p["parts"][s], p["period"]
-                nth = b[here] - p["first"][s]
+                nth, inverse = np.unique(b[here] - p["first"][s], return_inverse=True)
                 where = sources.index.get_indexer(at)[here]
-                slot[where] = p["start"] + nth // parts * period + p["plan"][s][nth % parts]
-                release[where] = p["start"] + nth * period // parts
-                due[where] = p["start"] - (-(nth + 1) * period // parts)
+                slot[where] = p["start"] + p["plan"][s][nth][inverse]
+                # whole numbers of any length; a deadline beyond all slots may pass 64 bits
+                release[where] = np.array([p["start"] + i * period // parts for i in nth.tolist()], dtype=np.int64)[inverse]
+                due[where] = np.array([min(p["start"] - (-(i + 1) * period // parts), (1 << 63) - 1) for i in nth.tolist()], dtype=np.int64)[inverse]
         return pd.DataFrame({"mix_slot": slot, "mix_release": release, "mix_due": due})
 
     placed = F.pandas_udf(_placer(place), "mix_slot long, mix_release long, mix_due long")

@@ -191,6 +191,19 @@ def test_mixing_keeps_within_a_block():
         assert (np.abs(had - parts[s] / period * np.arange(1, period + 1)) < 1).all()
 
 
+def test_mixing_keeps_within_a_block_of_the_given_weights():
+    blocks = {f"s{k:02d}": 500 + 37 * k for k in range(19)} | {"hot": 30_000, "rare": 20}
+    weights = mixing.tempered(blocks, 0.5) | {"rare": 0.05}
+    plan = mixing.phases(blocks, weights)
+    assert sorted(x for p in plan for v in p["plan"].values() for x in (v + p["start"]).tolist()) == list(range(sum(blocks.values())))
+    for p in plan:
+        length, total = sum(map(len, p["plan"].values())), sum(weights[s] for s in p["plan"])
+        slots = np.arange(1, length + 1)
+        for s, own in p["plan"].items():
+            assert (np.abs(np.searchsorted(own, slots, "left") - weights[s] / total * slots) < 1 + 1e-6).all()
+    assert sum(map(len, plan[0]["plan"].values())) > 4 * 1024
+
+
 def test_mix(awkward, docs):
     got = mixing.mix(awkward, {"a": 3, "b": 1}, block=2, resolution=8).collect()
     assert len(got) == awkward.count()
