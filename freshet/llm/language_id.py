@@ -21,7 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: n-grams in a profile, and the distance of one that is missing.
 PROFILE = 300
-#: Labelled documents that profiles are fitted on, about; the bound of the sample.
+#: Labelled documents of a language that its profile is fitted on, about; the bound of its sample.
 FITTED = 40_000
 SLICE_CHARS = 1 << 18
 CODE_BITS = 21
@@ -112,16 +112,18 @@ def language_profiles(
 ) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, the n-grams of any profile (sorted), and their rank in each profile.
 
-    Fits on labelled documents; if there are more than ``fitted``, on a share of them
-    chosen by a hash of their id.
+    Fits on labelled documents: on all of a language that has up to ``fitted`` of them; of
+    one that has more, on a share chosen by a hash of the id (of the text where that is
+    null). So a rare language has the profile it has on a small table.
     """
     spark = session_of(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("text is not null and lang is not null")
-    total = rows.select("id").count()
-    if total > fitted:
-        million = 1_000_000
-        rows = rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit("fit")), F.lit(million)) < int(million * fitted / total))
+    sizes = rows.groupBy("lang").count().where(F.col("count") > fitted)
+    parts = 1 << 40
+    lot = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("text")), F.lit("fit")), F.lit(parts))
+    sizes = sizes.select("lang", F.floor(float(parts) * fitted / F.col("count")).alias("share"))
+    rows = rows.join(F.broadcast(sizes), "lang", "left").where(F.col("share").isNull() | (lot < F.col("share")))
 
     def count(batches):
         import pyarrow as pa

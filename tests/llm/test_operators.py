@@ -229,6 +229,23 @@ def test_language_id(spark, awkward, docs):
     assert language_id.language_of_documents(docs.where("false").select("doc_id", "text", "lang")).collect() == []
 
 
+def test_rare_languages_keep_their_profile(spark, monkeypatch):
+    import corpus_pipeline
+
+    georgian = "დედა ენა არის ქართული"
+    rows = [(i, f"the words of that text {i}", "en") for i in range(400)] + [(1000 + i, georgian, "ka") for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns(
+        {"source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    profiles = language_id.language_profiles(table, fitted=20)
+    assert profiles[0] == ["en", "ka"]
+    found = language_id.identify_languages(table.where("lang = 'ka'"), profiles).collect()
+    assert [r.lang_pred for r in found] == ["ka"] * 3 and all(r.fit > 0 for r in found)
+    # a label without a profile is not judged by the profiles of others
+    english = language_id.language_profiles(table.where("lang = 'en'"))
+    monkeypatch.setattr(language_id, "language_profiles", lambda docs: english)
+    assert corpus_pipeline.keep_known_languages(spark, table, "").where("lang = 'ka'").count() == 3
+
+
 def test_gram_counts_equal_plain_counting():
     letters = language_id.letter_table()
     texts = ["ab ab", "", "é9é x", "straße"]
