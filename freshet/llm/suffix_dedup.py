@@ -38,7 +38,8 @@ CHUNK = 1 << 19
 POSITION_BITS = 20
 #: Fragments handled together; a collection of more is handled alone, column by column.
 FRAGMENTS = 8192
-#: Collections of more fragments are cut into blocks of window columns with equal cores.
+#: Collections of more fragments are cut into blocks of window columns with equal cores; blocks
+#: of more different pieces are halved until none has more.
 LARGE_COLLECTION = 4096
 CORE_COLUMNS = 64
 
@@ -242,44 +243,91 @@ def shared_spans(pieces: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "anchor long, content long, first int, last int")
 
 
-def cut_pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted fragments; those of large collections in blocks of columns.
+def blocks_of(own: bytes, shift: int, key: int, length: int, width: int):
+    """(key, column, cut, bytes) of a fragment's blocks of ``width`` window columns.
 
-    A block is ``CORE_COLUMNS`` window columns; the bytes common to all its windows are
-    its core, and only pieces with equal cores can share a window of the block.
+    The bytes common to all windows of a block are its core, and only pieces with equal
+    cores can share a window of the block.
     """
+    column, end = -shift, len(own) - length + 1 - shift  # of the windows, from the anchor
+    while column < end:
+        block = column // width
+        stop = min((block + 1) * width, end)
+        core = own[(block + 1) * width - 1 + shift : block * width + shift + length]
+        code = hashlib.blake2b(core + b"%d %d" % (key, block), digest_size=8).digest()
+        yield int.from_bytes(code, "little", signed=True), column, column + shift, own[column + shift : stop + shift + length - 1]
+        column = stop
 
-    def run(batches):
-        import pyarrow as pa
 
-        names = ["key", "anchor", "content", "shift", "cut", "bytes"]
+PIECES = "key long, anchor long, content long, shift int, cut int, bytes binary"
+
+
+def piece_batch(out: list):
+    import pyarrow as pa
+
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    columns = zip(*out) if out else ([],) * 6
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "anchor", "content", "shift", "cut", "bytes"])
+
+
+def cut_pieces(docs: DataFrame, wanted: DataFrame, length: int, width: int | None = None) -> DataFrame:
+    """The bytes of the wanted fragments, whole or in blocks of ``width`` columns."""
+
+    def run(batches):
         for batch in batches:
             out = []
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
                 data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else bytes(text)
                 for f in wanted:
                     own = data[f["start"] : f["start"] + f["windows"] + length - 1]
-                    if f["n"] <= LARGE_COLLECTION:
+                    if width is None:
                         out.append((f["anchor"], f["anchor"], f["content"], f["shift"], 0, own))
                         continue
-                    column = -f["shift"]  # of the first window, from the anchor
-                    while column < f["windows"] - f["shift"]:
-                        block = column // CORE_COLUMNS
-                        stop = min((block + 1) * CORE_COLUMNS, f["windows"] - f["shift"])
-                        cut = column + f["shift"]
-                        piece = own[cut : stop + f["shift"] + length - 1]
-                        core = own[(block + 1) * CORE_COLUMNS - 1 + f["shift"] : block * CORE_COLUMNS + f["shift"] + length]
-                        code = hashlib.blake2b(core + b"%d %d" % (f["anchor"], block), digest_size=8).digest()
-                        out.append((int.from_bytes(code, "little", signed=True), f["anchor"], f["content"], -column, cut, piece))
-                        column = stop
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            columns = zip(*out) if out else ([],) * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "shift", "anchor", "content", "n")).alias("wanted"))
+                    for key, column, cut, piece in blocks_of(own, f["shift"], f["anchor"], length, width):
+                        out.append((key, f["anchor"], f["content"], -column, cut, piece))
+            yield piece_batch(out)
+
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "shift", "anchor", "content")).alias("wanted"))
     may = in_bitmap(docs.sparkSession, bitmap(wanted.select("row")), "row")
-    return may(docs.select("row", "text")).join(lists, "row").select("text", "wanted").mapInArrow(
-        run, "key long, anchor long, content long, shift int, cut int, bytes binary")
+    return may(docs.select("row", "text")).join(lists, "row").select("text", "wanted").mapInArrow(run, PIECES)
+
+
+def halved(kinds: DataFrame, length: int, width: int) -> DataFrame:
+    """Pieces of pieces (key, piece, shift, bytes), in blocks of ``width`` columns."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, piece, shift, own in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "shift", "bytes"))):
+                for code, column, cut, part in blocks_of(own, shift, key, length, width):
+                    out.append((code, key, piece, -column, cut, part))
+            yield piece_batch(out)
+
+    return kinds.select("key", "piece", "shift", "bytes").mapInArrow(run, PIECES)
+
+
+def shared_in_blocks(pieces: DataFrame, length: int, width: int) -> DataFrame:
+    """As ``shared_spans``, of pieces in blocks of ``width`` columns, many of which may have one key.
+
+    Pieces of equal bytes are one row; their owners share all of it. A key with more than
+    ``LARGE_COLLECTION`` different pieces is cut into blocks of half the width, and so on:
+    a block of one column is its own core, so that it has one piece.
+    """
+    pieces = staged(pieces.withColumn("piece", F.xxhash64("bytes", "shift")), "pieces")
+    owners = pieces.select("key", "piece", "anchor", "content", "cut")
+    kinds = staged(pieces.groupBy("key", "piece").agg(
+        F.count("*").alias("owners"), F.first("shift").alias("shift"), F.first("bytes").alias("bytes")), "pieces")
+    full = staged(kinds.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_COLLECTION).select("key"), "full")
+    own = kinds.join(full, "key", "left_anti").select(
+        "key", F.col("key").alias("anchor"), F.col("piece").alias("content"), "shift", F.lit(0).alias("cut"), "bytes")
+    shared = shared_spans(own, length)
+    if width > 1 and not full.isEmpty():
+        shared = shared.union(shared_in_blocks(halved(kinds.join(full, "key", "left_semi"), length, width // 2), length, width // 2))
+    whole = kinds.where("owners > 1").select("key", "piece", F.lit(0).alias("first"), (F.length("bytes") - length).alias("last"))
+    spans = shared.toDF("key", "piece", "first", "last").union(whole)
+    return owners.join(spans, ["key", "piece"]).select(
+        "anchor", "content", (F.col("first") + F.col("cut")).alias("first"), (F.col("last") + F.col("cut")).alias("last"))
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -290,7 +338,10 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     kinds = staged(kinds, "kinds")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     wanted = staged(kinds.join(several, "anchor").select("one.*", "anchor", "content", "n"), "wanted")
-    shared = shared_spans(cut_pieces(docs, wanted, length), length)
+    shared = shared_spans(cut_pieces(docs, wanted.where(F.col("n") <= LARGE_COLLECTION), length), length)
+    large = wanted.where(F.col("n") > LARGE_COLLECTION)
+    if not large.isEmpty():
+        shared = shared.union(shared_in_blocks(cut_pieces(docs, large, length, CORE_COLUMNS), length, CORE_COLUMNS))
     whole = kinds.where("copies > 1").select("anchor", "content", F.lit(0).alias("first"), (F.col("one.windows") - 1).alias("last"))
     covered = shared.union(whole)
     spans = found.join(covered, ["anchor", "content"]).select(

@@ -133,6 +133,25 @@ def test_suffix_dedup_of_large_collections(docs, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(some_texts(), 400)
 
 
+def test_no_core_has_more_pieces_than_a_collection(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    letters = lambda n: bytes(rng.choice(list(b"abcdefghij "), n).astype(np.uint8)).decode()
+    passage = letters(900)
+    texts = {i: letters(100 + i) + passage + letters(80) for i in range(40)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    most, plain = [0], suffix_dedup.shared_spans
+
+    def shared_spans(pieces, length):
+        most.append(max((r["count"] for r in pieces.groupBy("key").count().collect()), default=0))
+        return plain(pieces, length)
+
+    monkeypatch.setattr(suffix_dedup, "LARGE_COLLECTION", 6)
+    monkeypatch.setattr(suffix_dedup, "shared_spans", shared_spans)
+    got = suffix_dedup.remove_repeats(table, digest=True).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(texts, 400)
+    assert max(most) <= 6
+
+
 def test_packing(awkward, docs):
     from tokenizers import Tokenizer
 
