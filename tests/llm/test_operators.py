@@ -179,6 +179,19 @@ def test_packing(awkward, docs):
     assert packing.pack(docs.where("false"), tokenizer_path()).collect() == []
 
 
+def test_special_tokens_have_the_ids_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer_path())
+    with open(tokenizer_path(), "rb") as file:
+        encode = packing.encoder(file.read())
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 2, f"{end}\n x", f"x  {end}", f"<|{end}|>", "<|endoftext|", "", *filter(None, some_texts().values())]
+    for text in texts:
+        assert encode(text) == own.encode(text, add_special_tokens=False).ids
+    assert encode(f"a {end} b") == [64, 220, 50256, 275]
+
+
 def test_best_fit_plan_equals_best_fit_decreasing():
     rng = np.random.default_rng(2)
     for capacity in (10, 64):
