@@ -59,8 +59,9 @@ def member(text: Column, name: str) -> Column:
 
 
 def id_or_text(text: Column) -> Column:
-    """The ``@id`` of an object, or the plain text."""
-    return F.when(_is_object(text), F.get_json_object(text, "$['@id']")).otherwise(text)
+    """The ``@id`` of an object, or the plain text; null for a JSON list."""
+    is_list = _is_list(text) & F.try_parse_json(text).isNotNull()
+    return F.when(_is_object(text), F.get_json_object(text, "$['@id']")).when(~is_list, text)
 
 
 def accepted_geojson(text: Column) -> Column:

@@ -15,7 +15,7 @@ from ..session import fresh_path
 from ..sinks.catalogue_tables import CatalogueTables
 from ..sources.envelopes import envelope_items, envelope_meta, item_counts, parse_envelopes
 from .inputs import AREAS, derive, plain
-from .registry import query
+from .registry import ORACLES, query
 
 
 def json_sql(template: str, **expressions: str) -> str:
@@ -116,7 +116,11 @@ union all select s_nationkey, concat('{STATION_PREFIX}bare', {K}), null, null, n
 
 @query("json_envelope_stations", STATION_FLAT)
 def json_envelope_stations(spark, sf_dir):
-    return C.hydrology_stations(_items(spark, sf_dir, STATION_DOCS)).select(
+    return _station_rows(C.hydrology_stations(_items(spark, sf_dir, STATION_DOCS)))
+
+
+def _station_rows(stations: DataFrame) -> DataFrame:
+    return stations.select(
         "batch_id", "json_id", "label", "notation", "easting", "northing", "lat", "long", "catchment_name", "town",
         "rloi_id", "rloi_station_link", "catchment_area", date_text("date_opened"), "datum", "borehole_depth",
         "data_quality_statement", "sample_of_id", "sample_of_label",
@@ -139,6 +143,11 @@ _SID = f"concat('{STATION_PREFIX}', {K}) as station_id"
 )
 def station_children(spark, sf_dir):
     items = _items(spark, sf_dir, STATION_DOCS)
+    return _child_rows(C.station_types(items), C.station_properties(items), C.station_statuses(items), C.station_measures(items),
+                       C.station_colocations(items))
+
+
+def _child_rows(types, properties, statuses, measures, colocations) -> DataFrame:
     none = F.lit(None).cast("string").alias("detail")
 
     def part(rows, kind, child, detail=none):
@@ -146,11 +155,11 @@ def station_children(spark, sf_dir):
 
     measured = F.concat_ws(" ", "parameter", "period", "value_statistic_id").alias("detail")
     return (
-        part(C.station_types(items), "type", "type_id")
-        .unionByName(part(C.station_properties(items), "property", "property_id"))
-        .unionByName(part(C.station_statuses(items), "status", "status_id", F.col("status_label_id").alias("detail")))
-        .unionByName(part(C.station_measures(items), "measure", "measure_id", measured))
-        .unionByName(part(C.station_colocations(items), "colocated", "colocated_id"))
+        part(types, "type", "type_id")
+        .unionByName(part(properties, "property", "property_id"))
+        .unionByName(part(statuses, "status", "status_id", F.col("status_label_id").alias("detail")))
+        .unionByName(part(measures, "measure", "measure_id", measured))
+        .unionByName(part(colocations, "colocated", "colocated_id"))
     )
 
 
@@ -162,7 +171,10 @@ def station_children(spark, sf_dir):
        from supplier""",
 )
 def envelope_meta_rows(spark, sf_dir):
-    meta = envelope_meta(_envelopes(spark, sf_dir, STATION_DOCS))
+    return _meta_rows(envelope_meta(_envelopes(spark, sf_dir, STATION_DOCS)))
+
+
+def _meta_rows(meta: DataFrame) -> DataFrame:
     return meta.select(
         "batch_id", "context", "json_id", "publisher", "license",
         meta_version(F.col("version")).cast("double").alias("version"),
@@ -213,6 +225,54 @@ def full_refresh(spark, sf_dir):
     return united
 
 
+_BARE = f"concat('{{\"@id\":\"{STATION_PREFIX}bare', {K}, '\"}}')"
+# items are stored as parsed: numbers in their shortest form
+_STORED_ITEM = STATION_ITEM
+for _number in (STATION_LAT, STATION_LONG):
+    _STORED_ITEM = _STORED_ITEM.replace(_number, f"cast(cast({_number} as double) as string)")
+DOCUMENT_TEXTS = f"""
+select s_nationkey as batch_id, concat('{STATION_PREFIX}', {K}) as json_id,
+  left(items, length(items) - length({_BARE}) - 1) as document
+from (select *, {plain(_STORED_ITEM)} as items from supplier) s
+union all select s_nationkey, concat('{STATION_PREFIX}bare', {K}), {_BARE} from supplier
+"""
+
+
+@query("raw_documents_text", DOCUMENT_TEXTS)
+def raw_documents_text(spark, sf_dir):
+    return C.raw_documents(_items(spark, sf_dir, STATION_DOCS))
+
+
+def _refreshed(spark, sf_dir) -> CatalogueTables:
+    # two loads: the second one replaces the first
+    target = CatalogueTables(spark, fresh_path(spark, "catalogue"))
+    envelopes = _envelopes(spark, sf_dir, STATION_DOCS)
+    for _ in range(2):
+        target.refresh(catalogue_tables(envelopes, HYDROLOGY_STATIONS))
+    return target
+
+
+@query("full_refresh_stations", STATION_FLAT)
+def full_refresh_stations(spark, sf_dir):
+    return _station_rows(_refreshed(spark, sf_dir).read("station"))
+
+
+@query("full_refresh_children", ORACLES["station_children"])
+def full_refresh_children(spark, sf_dir):
+    target = _refreshed(spark, sf_dir)
+    return _child_rows(*(target.read(f"station_{name}") for name in ("type", "observed_property", "status", "measure", "colocated")))
+
+
+@query("full_refresh_meta", ORACLES["envelope_meta"])
+def full_refresh_meta(spark, sf_dir):
+    return _meta_rows(_refreshed(spark, sf_dir).read("meta"))
+
+
+@query("full_refresh_documents", DOCUMENT_TEXTS)
+def full_refresh_documents(spark, sf_dir):
+    return _refreshed(spark, sf_dir).read("document").select("batch_id", "json_id", "document")
+
+
 MEASURE_ITEM = json_sql(
     '{"@id":"<root>/id/measures/M<k>","label":"<label>","parameter":"flow","parameterName":"Flow","notation":"M<k>",'
     '"period":<size>,"hasTelemetry":<flag>,"unit":{"@id":"u-<k>"},"unitName":"m3/s"<vs>,'
@@ -394,6 +454,32 @@ def list_or_scalar_json(spark, sf_dir):
     )
 
 
+_OBJECT = f"concat('{{\"@id\":\"', p_name, '\",\"label\":\"L\"}}')"
+
+
+@query(
+    "list_or_scalar_json_all_shapes",
+    f"""select p_partkey,
+          case p_partkey % 7 when 0 then concat(p_name, ',b') when 1 then p_name when 2 then {_OBJECT}
+            when 3 then '{{"@id":"x"}},{{"label":"none"}}' when 4 then ',4.5' when 5 then '' end as joined,
+          case p_partkey % 7 when 2 then p_name when 3 then 'x,' end as links,
+          case p_partkey % 7 when 0 then p_name when 1 then p_name when 2 then {_OBJECT} when 3 then '{{"@id":"x"}}' when 4 then '4.5' end
+            as first_value,
+          case p_partkey % 7 when 4 then 4.5::double end as first_number,
+          case p_partkey % 7 when 2 then 'L' end as label,
+          case p_partkey % 7 when 1 then p_name when 2 then p_name end as id_or_text,
+          p_partkey % 7 not in (1, 6) as accepted
+        from part""",
+)
+def list_or_scalar_json_all_shapes(spark, sf_dir):
+    j = F.col("j")
+    return derive(spark, sf_dir, SHAPES).select(
+        "p_partkey", J.list_or_text(j).alias("joined"), J.link_ids(j).alias("links"), J.first_text(j).alias("first_value"),
+        J.first_number(j).alias("first_number"), J.member(j, "label").alias("label"), J.id_or_text(j).alias("id_or_text"),
+        J.accepted_geojson(j).isNotNull().alias("accepted"),
+    )
+
+
 NUMBERS = """
 select p_partkey, case p_partkey % 5 when 0 then null when 1 then '' when 2 then cast(cast(p_retailprice as decimal(12, 2)) as string)
     when 3 then cast(p_size as string) else p_name end as t

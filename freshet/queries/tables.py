@@ -203,6 +203,21 @@ def alert_history(spark, sf_dir):
     return found.withColumn("alert_date", F.date_format("alert_date", "yyyy-MM-dd")).drop("created")
 
 
+ALL_ALERTS = ALERTS.replace("where event_type = 'error'", "")
+
+
+@query(
+    "alert_history_all_types",
+    f"""select floodalert_id, strftime(alert_date, '%Y-%m-%d') as alert_date, area, fwdcode, alert_area, type
+        from ({plain(ALL_ALERTS)}) a where alert_date between date '2024-01-03' and date '2024-01-20' and area = 'area 7'""",
+)
+def alert_history_all_types(spark, sf_dir):
+    history = alert_table(spark, fresh_path(spark, "alerts"))
+    history.append(derive(spark, sf_dir, ALL_ALERTS))
+    found = find_alerts(history.read(), dt.date(2024, 1, 3), dt.date(2024, 1, 20), area="area 7")
+    return found.withColumn("alert_date", F.date_format("alert_date", "yyyy-MM-dd")).drop("created")
+
+
 @query(
     "parent_child_join",
     """select l_orderkey, l_linenumber, o_custkey, o_orderstatus from lineitem join orders on l_orderkey = o_orderkey""",
