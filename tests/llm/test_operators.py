@@ -77,6 +77,53 @@ def test_jaccard_join(docs, awkward):
     assert jaccard_join.jaccard_components(docs.where("false")).collect() == []
 
 
+def test_stages_of_the_pipeline(spark, docs, awkward):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as pipeline
+
+    def rows_of(df):
+        return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+    # another text under the id 0, and two more rows without an id, one of them with a text of its own
+    table = awkward.union(spark.createDataFrame(
+        [(0, "a wholly different text of six words or so", "en", "a", 1, 1, "r", 2), (None, some_texts()[0], "en", "a", 1, 1, "r", 2),
+         (None, "nobody wrote these words under any number", "en", "b", 1, 1, "r", 2)], DOCS))
+    rows = rows_of(table)
+    known = pipeline.keep_known_languages(spark, table, "")
+    want = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+    assert Counter(rows_of(known)) == Counter(want) and known.where("lang is null").count() == 0
+    single = pipeline.keep_one_of_similar(spark, known, "")
+    groups = {}
+    for k, (_, component) in jaccard(dict(enumerate(t for _, t in want))).items():
+        groups.setdefault(component, []).append(want[k])
+    got = rows_of(single)
+    assert Counter(i for i, _ in got) == Counter(
+        min((i for i, _ in group if i is not None), default=None) for group in groups.values())
+    assert set(got) <= set(want) and len(got) == len(groups)
+    cut = pipeline.cut_repeats(spark, single, "")
+    data, count = [(t or "").encode() for _, t in got], Counter()
+    for b in data:
+        count.update(b[k : k + 400] for k in range(len(b) - 399))
+    want = []
+    for (i, _), b in zip(got, data):
+        gone = np.zeros(len(b), dtype=bool)
+        for k in range(len(b) - 399):
+            gone[k : k + 400] |= count[b[k : k + 400]] > 1
+        rest = bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore")
+        if rest.strip(" ") or not gone.any():
+            want.append((i, rest))
+    assert Counter(rows_of(cut)) == Counter(want)
+    mixed = pipeline.mix_sources(spark, cut, "")
+    assert Counter(rows_of(mixed)) == Counter(want)
+    own, lengths, expected = Tokenizer.from_file(tokenizer_path()), Counter(), Counter()
+    for r in pipeline.pack_sequences(spark, mixed, "").collect():
+        lengths[r.doc_id] += r.length
+    for i, text in want:
+        expected[i] += len(own.encode(text, add_special_tokens=False).ids) + 1
+    assert lengths == expected
+
+
 def test_large_clusters_are_joined_in_rounds(docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LOCAL_SHINGLES", 1)
     monkeypatch.setattr(jaccard_join, "ROUND_PIVOTS", 2)
