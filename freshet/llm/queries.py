@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_layout, jaccard_join, language_id, lattice_dedup, license_scan, mixing, multi_index_search, packing, recurrent_lm, suffix_dedup
+from . import (
+    block_naming, collocations, html_layout, jaccard_join, language_id, lattice_dedup, license_scan, mixing, multi_index_search,
+    packing, recurrent_lm, spelling, suffix_dedup,
+)
 from .common import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +88,27 @@ ORACLES["op9_license_scan"] = license_scan.oracle()
 @query("op10_suffix_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query("op11_block_naming")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_naming.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_block_naming"] = block_naming.ORACLE
+
+
+@query("op12_phrase_stripes")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrase_scores(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_phrase_stripes"] = collocations.ORACLE
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_spelling_variants"] = spelling.ORACLE
