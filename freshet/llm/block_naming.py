@@ -4,13 +4,16 @@ A text is cut into blocks of a fixed number of bytes. All distinct blocks are so
 the place in that order is a block's name, an integer. Then adjacent names are taken as
 pairs, the distinct pairs are sorted and named in the same way, and so on: after k rounds
 a name stands for up to 2^k blocks, and a text of n blocks has a single name after
-log2(n) rounds. Names are given to the contents themselves, never to a hash of them, so
-two texts have one identity (round, name) exactly if they are equal.
-
-A round shuffles eight bytes per name of the texts that are not done yet. Blocks and
-pairs are made distinct, with partial aggregates, before they are sorted; the join that
-brings names back has a unique side, and adaptive execution splits a block that many
-texts share.
+log2(n) rounds. Two texts have one identity (round, name) exactly if they are equal.
+
+Blocks are ordered by a 64-bit code and then by their contents. The contents decide only
+among blocks of one code, so they are read again for codes that occur more than once, and
+compared there: first by their least and greatest, which partial aggregates find, and
+where these differ (two contents under one code) all contents of the code are sorted. A
+block that occurs once moves as eight bytes, and the contents of copies are aggregated
+before they are shuffled. A later round shuffles the names of the texts that are not done
+yet. Joins that bring names back have a unique side, and adaptive execution splits a
+block that many texts share.
 """
 
 from __future__ import annotations
@@ -33,29 +36,49 @@ def _names(keys: DataFrame) -> DataFrame:
     return staged(spread.withColumn("name", F.monotonically_increasing_id()), "names")
 
 
-def _blocks(texts: DataFrame, size: int) -> DataFrame:
+def _blocks(texts: DataFrame, size: int, code) -> DataFrame:
     """One row per block; an empty text is one empty block. Only the first carries the text's columns."""
     count = F.greatest(F.lit(1), F.ceil(F.length("bytes") / size).cast("int"))
     cut = texts.withColumn("n", count).select(
         "*", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1),
                                       lambda i: F.substring(F.col("bytes"), i * size + 1, F.lit(size)))).alias("pos", "block"))
     first = lambda name: F.when(F.col("pos") == 0, F.col(name)).alias(name)
-    return cut.select("row", "pos", "n", "block", first("doc_id"), first("text_sha256"))
+    return cut.select("row", "pos", "n", code("block").alias("code"), "block", first("doc_id"), first("text_sha256"))
+
+
+def _ordered(blocks: DataFrame) -> DataFrame:
+    """The blocks without their contents, which (code, tie) stands for."""
+    coded = staged(blocks.drop("block").withColumn("tie", F.lit(-1).cast("long")), "blocks")
+    shared = staged(coded.groupBy("code").agg(F.count("*").alias("c")).where("c > 1").select("code"), "shared")
+    contents = blocks.select("code", "block")
+    ends = contents.join(shared, "code", "left_semi").groupBy("code").agg(F.min("block").alias("least"), F.max("block").alias("most"))
+    mixed = staged(ends.where("least <> most").select("code"), "mixed")
+    if not mixed.isEmpty():
+        names = _names(contents.join(mixed, "code", "left_semi"))
+        apart = blocks.join(mixed.withColumn("mixed", F.lit(True)), "code", "left")
+        apart = apart.withColumn("block", F.when(F.col("mixed"), F.col("block"))).drop("mixed")
+        apart = apart.join(names, ["code", "block"], "left").withColumn("tie", F.coalesce("name", F.lit(-1)))
+        apart = staged(apart.select(*coded.columns), "blocks")
+        discard(coded, names)
+        coded = apart
+    discard(shared, mixed)
+    return coded
 
 
 def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=one_space,
-               block_bytes: int = BLOCK_BYTES) -> DataFrame:
+               block_bytes: int = BLOCK_BYTES, code=F.xxhash64) -> DataFrame:
     """Each row's identity: (row, doc_id, text_sha256, level, name), equal for equal texts alone.
 
-    ``row`` numbers the rows of the table, so ids may repeat or be null.
+    ``row`` numbers the rows of the table, so ids may repeat or be null. ``code`` orders
+    the blocks before their contents do.
     """
     session_of(docs)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
                         F.encode(normalise(F.col(text_col)), "UTF-8").alias("bytes"))
-    blocks = staged(_blocks(texts.withColumn("text_sha256", F.sha2("bytes", 256)), block_bytes), "blocks")
+    blocks = _ordered(_blocks(texts.withColumn("text_sha256", F.sha2("bytes", 256)), block_bytes, code))
     longest = blocks.agg(F.max("n")).first()[0] or 1
-    names = _names(blocks.select("block"))
-    level = staged(blocks.join(names, "block").select("row", "pos", "n", "name"), "level")
+    names = _names(blocks.select("code", "tie"))
+    level = staged(blocks.join(names, ["code", "tie"]).select("row", "pos", "n", "name"), "level")
     used, found = [level, names], []
     for k in range(int(longest - 1).bit_length() + 1):
         found.append(level.where("n = 1").select("row", F.lit(k).alias("level"), "name"))
@@ -78,7 +101,7 @@ def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=one_space,
-                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                     block_bytes: int = BLOCK_BYTES, code=F.xxhash64) -> DataFrame:
     """All rows with the group of texts equal after normalisation: one of each group stays.
 
     Returns (doc_id, keep_id, group_size, kept, text_sha256), a row per row of the table.
@@ -86,7 +109,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id stay only if no row of their group has an id, and then ``keep_id`` is null. Null
     texts are empty texts, and these are one group. Other columns are not read.
     """
-    rows = name_texts(docs, id_col, text_col, normalise, block_bytes)
+    rows = name_texts(docs, id_col, text_col, normalise, block_bytes, code)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     groups = rows.groupBy("level", "name").agg(first, F.count("*").alias("group_size"))
     return rows.join(groups, ["level", "name"]).select(
