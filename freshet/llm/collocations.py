@@ -144,18 +144,21 @@ def _stripes_of(langs: list, data, bounds, sets: list, hot: list):
     key, counts = np.unique((prefix * PARTS + part) * (n_ids + 1) + after, return_counts=True)
     group, after = key // (n_ids + 1), key % (n_ids + 1)
     begins = starts_of(group)
-    offsets, stripe = pa.array(np.append(begins, len(group)).astype(np.int32)), group[begins]
+    offsets, stripe = pa.array(np.append(begins, len(group)).astype(np.int64)), group[begins]
+
+    def joined(values):
+        return pc.binary_join(pa.LargeListArray.from_arrays(offsets, values), pa.scalar(" ", pa.large_string())).cast(pa.string())
+
     return pa.RecordBatch.from_arrays([
         pa.array(names[of_prefix[stripe // PARTS]], pa.string()),
         prefixes.take(pa.array(stripe // PARTS)).cast(pa.string()),
         pa.array((stripe % PARTS).astype(np.int32)),
-        pa.ListArray.from_arrays(offsets, spelled.take(pa.array(after)).cast(pa.string())),
-        pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))],
+        joined(spelled.take(pa.array(after))), joined(pa.array(counts).cast(pa.large_string()))],
         names=["lang", "prefix", "part", "nexts", "counts"])
 
 
 def local_stripes(docs: DataFrame, sets: list, hot: list) -> DataFrame:
-    """Stripes of slices of (lang, text): (lang, prefix, part, nexts, counts)."""
+    """Stripes of slices of (lang, text): (lang, prefix, part, nexts, counts), the last two joined by spaces."""
     sent, full = docs.sparkSession.sparkContext.broadcast((sets, hot)), SLICE
 
     def run(batches):
@@ -178,7 +181,7 @@ def local_stripes(docs: DataFrame, sets: list, hot: list) -> DataFrame:
         if held:
             yield from made()
 
-    return docs.mapInArrow(run, "lang string, prefix string, part int, nexts array<string>, counts array<long>")
+    return docs.mapInArrow(run, "lang string, prefix string, part int, nexts string, counts string")
 
 
 def _merged(stripes: DataFrame, least: int) -> DataFrame:
@@ -187,8 +190,9 @@ def _merged(stripes: DataFrame, least: int) -> DataFrame:
     Extensions below ``least`` count as no word, so that totals stay whole.
     """
     key = ["lang", "prefix", "part"]
-    spread = stripes.repartition(*key).select(*key, F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
-    summed = spread.groupBy(*key, F.col("e.nexts").alias("next")).agg(F.sum("e.counts").alias("count"))
+    entries = F.arrays_zip(F.split("nexts", " ").alias("next"), F.split("counts", " ").alias("count"))
+    spread = stripes.repartition(*key).select(*key, F.explode(entries).alias("e"))
+    summed = spread.groupBy(*key, F.col("e.next").alias("next")).agg(F.sum(F.col("e.count").cast("long")).alias("count"))
     kept = F.when((F.col("next") != "") & (F.col("count") >= least), F.col("next"))
     return summed.groupBy(*key, kept.alias("next")).agg(F.sum("count").alias("count"))
 
