@@ -48,6 +48,8 @@ BITS = 1 << 25
 SLICE = 8 << 20
 #: A prefix with a share of 1 / HOT of all words has its stripe in parts.
 HOT, PARTS = 1024, 64
+#: Stripes are dealt out in so many buckets, the bound on tasks that merge them.
+BUCKETS = 1 << 13
 #: In numbers of 38 digits, as counts times two million may pass 64 bits.
 SCORE = "cast(a as decimal(20,0)) * 2000000 div (cast(l as decimal(20,0)) + r)"
 #: Codes of phrases are below this, so that products stay within 64 bits.
@@ -114,7 +116,7 @@ def _stripes_of(langs: list, data, bounds, sets: list, hot: list):
     if depth == 0:
         prefix, after = lang_of[ids], ids
         of_prefix, prefixes = np.arange(len(names)), pa.array([""] * len(names), pa.large_string())
-        split = np.ones(len(names), dtype=bool)
+        split, of_bucket = np.ones(len(names), dtype=bool), np.arange(len(names))
     else:
         seeds = np.array([zlib.crc32(name.encode()) for name in names], dtype=np.int64)
         codes, where = _step(seeds[lang_of], hashes), place
@@ -131,7 +133,7 @@ def _stripes_of(langs: list, data, bounds, sets: list, hot: list):
             grams[at] = dense[usable]
         used = np.zeros(len(where), dtype=bool)
         used[grams[at]] = True
-        prefix, where = (np.cumsum(used) - 1)[grams[at]], where[used]
+        prefix, where, of_bucket = (np.cumsum(used) - 1)[grams[at]], where[used], codes[used]
         after = np.full(len(at), n_ids, dtype=np.int64)
         inner = np.flatnonzero(at + depth < n)
         inner = inner[follows[at[inner] + depth - 1] & (grams[at[inner] + 1] >= 0)]
@@ -144,21 +146,35 @@ def _stripes_of(langs: list, data, bounds, sets: list, hot: list):
     key, counts = np.unique((prefix * PARTS + part) * (n_ids + 1) + after, return_counts=True)
     group, after = key // (n_ids + 1), key % (n_ids + 1)
     begins = starts_of(group)
-    offsets, stripe = pa.array(np.append(begins, len(group)).astype(np.int64)), group[begins]
+    stripe = group[begins]
+    bucket = (of_bucket[stripe // PARTS] + stripe % PARTS * (BUCKETS // PARTS + 1)) % BUCKETS
+    owner = of_prefix[stripe // PARTS] * BUCKETS + bucket
+    order = np.argsort(owner, kind="stable")
+    firsts = np.append(starts_of(owner[order]), len(order))
 
-    def joined(values):
-        return pc.binary_join(pa.LargeListArray.from_arrays(offsets, values), pa.scalar(" ", pa.large_string())).cast(pa.string())
+    def joined(values, offsets, by):
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets.astype(np.int64)), values)
+        return pc.binary_join(lists, pa.scalar(by, pa.large_string()))
 
+    def packed(values):
+        return joined(values.take(pa.array(order)), firsts, "\n").cast(pa.string())
+
+    ends, owner = np.append(begins, len(group)), owner[order][firsts[:-1]]
     return pa.RecordBatch.from_arrays([
-        pa.array(names[of_prefix[stripe // PARTS]], pa.string()),
-        prefixes.take(pa.array(stripe // PARTS)).cast(pa.string()),
-        pa.array((stripe % PARTS).astype(np.int32)),
-        joined(spelled.take(pa.array(after))), joined(pa.array(counts).cast(pa.large_string()))],
-        names=["lang", "prefix", "part", "nexts", "counts"])
+        pa.array(names[owner // BUCKETS], pa.string()),
+        pa.array((owner % BUCKETS).astype(np.int32)),
+        packed(prefixes.take(pa.array(stripe // PARTS))),
+        packed(joined(spelled.take(pa.array(after)), ends, " ")),
+        packed(joined(pa.array(counts).cast(pa.large_string()), ends, " "))],
+        names=["lang", "bucket", "prefixes", "nexts", "counts"])
 
 
 def local_stripes(docs: DataFrame, sets: list, hot: list) -> DataFrame:
-    """Stripes of slices of (lang, text): (lang, prefix, part, nexts, counts), the last two joined by spaces."""
+    """Stripes of slices of (lang, text): (lang, bucket, prefixes, nexts, counts).
+
+    A row holds all stripes of a slice that a hash sends to one bucket, one a line, with
+    words and counts between spaces. Equal prefixes, or parts of them, share a bucket.
+    """
     sent, full = docs.sparkSession.sparkContext.broadcast((sets, hot)), SLICE
 
     def run(batches):
@@ -181,17 +197,19 @@ def local_stripes(docs: DataFrame, sets: list, hot: list) -> DataFrame:
         if held:
             yield from made()
 
-    return docs.mapInArrow(run, "lang string, prefix string, part int, nexts string, counts string")
+    return docs.mapInArrow(run, "lang string, bucket int, prefixes string, nexts string, counts string")
 
 
 def _merged(stripes: DataFrame, least: int) -> DataFrame:
-    """Stripes merged element by element: (lang, prefix, part, next, count).
+    """Stripes merged element by element: (lang, bucket, prefix, next, count).
 
     Extensions below ``least`` count as no word, so that totals stay whole.
     """
-    key = ["lang", "prefix", "part"]
-    entries = F.arrays_zip(F.split("nexts", " ").alias("next"), F.split("counts", " ").alias("count"))
-    spread = stripes.repartition(*key).select(*key, F.explode(entries).alias("e"))
+    lines = F.arrays_zip(*(F.split(name, "\n").alias(name) for name in ("prefixes", "nexts", "counts")))
+    spread = stripes.repartition("lang", "bucket").select("lang", "bucket", F.explode(lines).alias("s"))
+    entries = F.arrays_zip(F.split("s.nexts", " ").alias("next"), F.split("s.counts", " ").alias("count"))
+    spread = spread.select("lang", "bucket", F.col("s.prefixes").alias("prefix"), F.explode(entries).alias("e"))
+    key = ["lang", "bucket", "prefix"]
     summed = spread.groupBy(*key, F.col("e.next").alias("next")).agg(F.sum(F.col("e.count").cast("long")).alias("count"))
     kept = F.when((F.col("next") != "") & (F.col("count") >= least), F.col("next"))
     return summed.groupBy(*key, kept.alias("next")).agg(F.sum("count").alias("count"))
