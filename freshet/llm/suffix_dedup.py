@@ -366,7 +366,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are UTF-8 bytes; matches lie within one text, may overlap, and are judged on
     the input: both places of a repeat are removed. Returns doc_id, n_bytes, n_removed,
     n_spans (maximal removed runs), kept (the remaining bytes) and the given text's other
-    columns; with ``digest``, kept_sha256 in place of kept and no other columns.
+    columns; with ``digest``, kept_sha256 in place of kept, text (the remaining bytes
+    without those of characters that a cut has split) and no other columns.
 
     Null and empty texts have nothing to remove: ``kept`` is empty, or null for a null
     text, whose digest is that of no bytes. A text that occurs twice, also as a repeated
@@ -382,13 +383,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(numbered.select("row", "text"), length)
     rows = numbered.join(spans, "row", "left")
     tail = [f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.select(*others).schema] if others else []
-    last = "kept_sha256 string" if digest else "kept binary"
+    last = "kept_sha256 string, text string" if digest else "kept binary"
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n_bytes, n_removed, n_spans, kept = [], [], [], []
+            n_bytes, n_removed, n_spans, kept, left = [], [], [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 runs = merged(spans or [])
@@ -398,10 +399,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 edges = [0, *(x for r in runs for x in r), len(data)]
                 rest = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 kept.append(hashlib.sha256(rest).hexdigest() if digest else None if text is None else rest)
+                if digest:
+                    left.append(None if text is None else rest.decode("utf-8", "ignore"))
             columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n_bytes, n_removed, n_spans)),
                        pa.array(kept, pa.string() if digest else pa.binary()), *(batch.column(c) for c in others)]
+            if digest:
+                columns.append(pa.array(left, pa.string()))
             yield pa.RecordBatch.from_arrays(
-                columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept", *others])
+                columns, ["doc_id", "n_bytes", "n_removed", "n_spans", *(["kept_sha256", "text"] if digest else ["kept", *others])])
 
     kind = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long", last, *tail])
     return rows.select("doc_id", "text", "spans", *others).mapInArrow(run, kind)

@@ -102,14 +102,14 @@ def test_stages_of_the_pipeline(spark, docs, awkward):
         min((i for i, _ in group if i is not None), default=None) for group in groups.values())
     assert set(got) <= set(want) and len(got) == len(groups)
     cut = pipeline.cut_repeats(spark, single, "")
-    data, count = [(t or "").encode() for _, t in got], Counter()
+    data, count, size = [(t or "").encode() for _, t in got], Counter(), pipeline.REPEAT_BYTES
     for b in data:
-        count.update(b[k : k + 400] for k in range(len(b) - 399))
+        count.update(b[k : k + size] for k in range(len(b) - size + 1))
     want = []
     for (i, _), b in zip(got, data):
         gone = np.zeros(len(b), dtype=bool)
-        for k in range(len(b) - 399):
-            gone[k : k + 400] |= count[b[k : k + 400]] > 1
+        for k in range(len(b) - size + 1):
+            gone[k : k + size] |= count[b[k : k + size]] > 1
         rest = bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore")
         if rest.strip(" ") or not gone.any():
             want.append((i, rest))
@@ -124,6 +124,26 @@ def test_stages_of_the_pipeline(spark, docs, awkward):
     assert lengths == expected
 
 
+def test_shared_passages_leave_the_corpus(spark):
+    """Passages of 51 to 120 words that documents share are cut; what is around them stays."""
+    import corpus_pipeline as pipeline
+
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvwz"), rng.integers(3, 9)))
+    make = lambda n: " ".join(word() for _ in range(n))
+    passages = [make(n) for n in (51, 60, 75, 90, 120)]
+    own = [make(70) for _ in range(40)]
+    texts = [f"{own[2 * i]} {passages[i % 5]} {own[2 * i + 1]}" for i in range(20)]
+    clean = [make(200) for _ in range(10)]
+    table = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts + clean)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in pipeline.cut_repeats(spark, table, "").collect()}
+    for i in range(20):
+        passage = passages[i % 5]
+        assert not any(passage[k : k + 12] in got[i] for k in range(len(passage) - 11))
+        assert own[2 * i][:-8] in got[i] and own[2 * i + 1][8:] in got[i]
+    assert [got[20 + k] for k in range(10)] == clean
+
+
 def test_large_clusters_are_joined_in_rounds(docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LOCAL_SHINGLES", 1)
     monkeypatch.setattr(jaccard_join, "ROUND_PIVOTS", 2)
@@ -451,6 +471,18 @@ def test_license_span_with_changed_words(spark):
     assert got[1].labels == "mit" and 0.8 < got[1].score < 1 and got[2].labels == ""
 
 
+def test_license_votes_count_once_and_in_order(spark):
+    """Repeated or shuffled pieces of a template are no license."""
+    mit, apache = license_scan.TEMPLATES[1][1], license_scan.TEMPLATES[3][1]
+    texts = [" ".join(["licensed under the"] * 3), " ".join(["licensed under the"] * 500), "the mit license under the mit licensed under the",
+             f"{mit} {mit}", "licensed under the " * 40 + apache, ""]
+    table = spark.createDataFrame([(i, t, 1, "l") for i, t in enumerate(texts)], "doc_id long, text string, template int, label string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(table).collect()}
+    assert got[0] == ("", 0.0) and got[1] == ("", 0.0) and got[5] == ("", 0.0)
+    assert got[2] == ("mit", 0.0)  # the phrase alone
+    assert got[3][0] == "mit" and got[3][1] >= 1.0 and got[4][0] == "apache"
+
+
 def test_recurrent_lm(awkward, docs):
     texts = some_texts()
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
