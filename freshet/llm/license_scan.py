@@ -3,8 +3,10 @@
 All runs of ``GRAM`` words of a document are joined by hash to their places in the
 templates. A match votes for its diagonal, the document's place less the template's;
 neighbouring diagonals, as words inserted or left out make them, merge to one span. A span
-stands if the template's runs of words that it holds are enough of the template and not
-more stretched than allowed.
+that has the votes, and is not more stretched than allowed, is then verified: the words of
+its matches are compared, each place of the template counts once, and only if it comes
+after all earlier places of the template. It stands if what counts is enough of the
+template. Texts are cut into words once, and only matches are kept.
 
 DataFrame functions only.
 """
@@ -16,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.binding import bind
-from .common import session_of, with_row
+from .common import session_of, staged, with_row
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -102,25 +104,33 @@ def template_runs(templates: Sequence[tuple[str, str]], gram: int) -> list[tuple
     return out
 
 
-def spans(grams: DataFrame, templates: Sequence[tuple[str, str]], gram: int, held: float, stretch: float) -> DataFrame:
+def run_table(spark, templates: Sequence[tuple[str, str]], gram: int) -> DataFrame:
+    """The templates' runs of words; a constant of this module or a parameter, a few hundred rows."""
+    return spark.createDataFrame(template_runs(templates, gram), "template int, label string, place int, n int, words array<string>")
+
+
+def spans(hits: DataFrame, runs: DataFrame, held: float, stretch: float) -> DataFrame:
     """(row, template, label, first, last, share) of all spans that stand.
 
-    ``grams`` has a row per document with the hashes of its runs of words.
+    ``hits`` has a row per document with the places and words of its runs that are in a template.
     """
-    spark = grams.sparkSession
-    runs = spark.createDataFrame(template_runs(templates, gram), "template int, label string, place int, n int, words array<string>")
-    runs = runs.select("template", "label", "place", "n", F.xxhash64("words").alias("gram"))
-    # the templates are a constant of this module or a parameter: a few hundred rows
-    votes = grams.select("row", F.posexplode("grams").alias("pos", "gram")).join(F.broadcast(runs), "gram")
-    diagonals = votes.groupBy("row", "template", "label", "n", (F.col("pos") - F.col("place")).alias("diagonal")).agg(
+    found = hits.select("row", F.explode("hits").alias("hit")).select("row", "hit.pos", "hit.words")
+    votes = found.join(F.broadcast(runs), "words").withColumn("diagonal", F.col("pos") - F.col("place")).drop("words")
+    diagonals = votes.groupBy("row", "template", "n", "diagonal").agg(
         F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(True))
-    merged = diagonals.withColumn("span", F.sum(new.cast("int")).over(order)).groupBy("row", "template", "label", "n", "span").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    share = F.least(F.col("votes") / F.col("n"), F.lit(1.0))
-    return merged.withColumn("share", share).where(
-        (F.col("share") >= held) & (F.col("last") - F.col("first") + 1 <= F.ceil(stretch * F.col("n")) + NEAR))
+    merged = diagonals.withColumn("span", F.sum(new.cast("int")).over(order)).groupBy("row", "template", "n", "span").agg(
+        F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
+    likely = merged.where((F.col("votes") >= held * F.col("n")) & (F.col("last") - F.col("first") + 1 <= F.ceil(stretch * F.col("n")) + NEAR))
+    inside = F.col("diagonal").between(F.col("low"), F.col("high"))
+    places = votes.join(likely.drop("n", "votes"), ["row", "template"]).where(inside).groupBy(
+        "row", "template", "label", "n", "span", "first", "last", "place").agg(F.min("pos").alias("pos"))
+    earlier = Window.partitionBy("row", "template", "span").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = places.withColumn("reached", F.max("pos").over(earlier)).where("reached is null or pos > reached")
+    share = ordered.groupBy("row", "template", "label", "n", "span", "first", "last").agg((F.count("*") / F.col("n")).alias("share"))
+    return share.where(F.col("share") >= held)
 
 
 def scan(
@@ -139,21 +149,26 @@ def scan(
     kept as they come, with repeated and null ids; other columns are ignored; an empty
     table gives an empty result.
     """
-    session_of(docs)
+    spark = session_of(docs)
+    runs = run_table(spark, templates, gram)
+    codes = [r.code for r in runs.select(F.xxhash64("words").alias("code")).distinct().collect()]
     rows = with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+
+    def hits(words: Column) -> Column:
+        run = lambda i: F.slice(words, i + 1, gram)
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - gram), lambda i: F.xxhash64(run(i)).isin(codes))
+        return F.when(F.size(words) >= gram, F.transform(places, lambda i: F.struct(i.alias("pos"), run(i).alias("words"))))
+
     # bound, for lambdas over a column would cut the text into words anew at each step
-    words = words_of(F.col("text"))
-    base = rows.select("row", "doc_id", bind(words, lambda w: F.struct(
+    cut = rows.select("row", "doc_id", bind(words_of(F.col("text")), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), F.filter(F.array(*(found_of(w, *p) for p in phrases)), found_any).alias("found"),
-    )).alias("base"))
-    places = F.flatten(F.transform("base.found", lambda x: x["at"]))
-    base = base.select("row", "doc_id", "base.n_words", "base.found", places.alias("places")).select(
+        hits(w).alias("hits"))).alias("base"))
+    cut = staged(cut.select("row", "doc_id", "base.*"), "license_hits")
+    base = cut.withColumn("places", F.flatten(F.transform("found", lambda x: x["at"]))).select(
         "row", "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.transform("found", lambda x: x["label"]))).alias("base_labels"))
-    grams = rows.select("row", bind(words, lambda w: F.when(F.size(w) >= gram, F.transform(
-        F.sequence(F.lit(1), F.size(w) - gram + 1), lambda i: F.xxhash64(F.slice(w, i, gram))))).alias("grams"))
-    standing = spans(grams, templates, gram, held, stretch)
+    standing = spans(cut, runs, held, stretch)
     own = standing.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("first", "last", "label", "share"))).alias("spans"))
     out = base.join(own, "row", "left")
@@ -196,10 +211,17 @@ diagonals as (select doc_id, template, label, n, diagonal, count(*) as votes, mi
 marked as (select *, case when diagonal - lag(diagonal) over d <= {NEAR} then 0 else 1 end as new
            from diagonals window d as (partition by doc_id, template order by diagonal)),
 numbered as (select *, sum(new) over (partition by doc_id, template order by diagonal) as span from marked),
-merged as (select doc_id, template, label, n, span, least(sum(votes) / n, 1.0) as share, min(first) as first, max(last) as last
-           from numbered group by doc_id, template, label, n, span),
-standing as (select doc_id, label, share from merged
-             where share >= {HELD} and last - first + 1 <= ceil({STRETCH} * n) + {NEAR}),
+merged as (select doc_id, template, n, span, sum(votes) as votes, min(first) as first, max(last) as last,
+                  min(diagonal) as low, max(diagonal) as high
+           from numbered group by doc_id, template, n, span
+           having sum(votes) >= {HELD} * n and max(last) - min(first) + 1 <= ceil({STRETCH} * n) + {NEAR}),
+places as (select v.doc_id, v.template, v.label, v.n, m.span, v.place, min(v.pos) as pos
+           from votes v join merged m on v.doc_id = m.doc_id and v.template = m.template and v.diagonal >= m.low and v.diagonal <= m.high
+           group by all),
+standing as (select doc_id, label, count(*) / n as share from places p
+             where not exists (select 1 from places q where q.doc_id = p.doc_id and q.template = p.template and q.span = p.span
+                               and q.place < p.place and q.pos >= p.pos)
+             group by doc_id, template, span, label, n having count(*) / n >= {HELD}),
 labelled as (select doc_id, max(share) as score, list(distinct label) as found from standing group by doc_id)
 select l.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base,
        cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
