@@ -205,7 +205,7 @@ with listed as (
            string_agg(distinct label, ',' order by label) as base_labels, list(distinct label) as base_list
     from base group by doc_id
 ), runs(template, label, place, n, gram) as (values {runs}),
-votes as (select doc_id, template, label, n, i - 1 as pos, i - 1 - place as diagonal from gramed join runs using (gram)),
+votes as (select doc_id, template, label, n, place, i - 1 as pos, i - 1 - place as diagonal from gramed join runs using (gram)),
 diagonals as (select doc_id, template, label, n, diagonal, count(*) as votes, min(pos) as first, max(pos) as last
               from votes group by doc_id, template, label, n, diagonal),
 marked as (select *, case when diagonal - lag(diagonal) over d <= {NEAR} then 0 else 1 end as new
