@@ -80,7 +80,7 @@ def load_days(
     """
     # a list of days, bounded by the length of the load range
     wanted = [row.r_date for row in days.collect()]
-    files = list_reading_files(table.spark, base).where(F.col("day").isin(wanted))
+    files = list_reading_files(table.spark, base, wanted).where(F.col("day").isin(wanted))
     shaped = staged(shape_readings(scan_readings(table.spark, base, wanted)), "shaped")
     unusable = unusable_days(files, shaped)
     rows = with_station_label(usable(shaped), stations)
@@ -94,7 +94,7 @@ def load_days(
     strays = table.append_or_upsert(rows.where(~inside), batch_order())
     report = (
         day_report(shaped, strays)
-        .join(replaced, "r_date", "left")
+        .join(replaced.drop("rows_rejected"), "r_date", "left")
         .na.fill(0, ["rows_deleted", "rows_loaded"])
     )
     return LoadResult(report, quarantined(shaped), unusable)

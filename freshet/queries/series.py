@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import readings as R, series as S
-from .inputs import table
+from ..operators import neighbours, readings as R, series as S
+from .inputs import derive, plain, table
 from .readings import shaped
 from .registry import query
 from .sqltext import SHAPED
@@ -86,3 +86,28 @@ def correlation_strength(spark, sf_dir):
 def best_lag(spark, sf_dir):
     best = S.best_lag(_correlations(spark, sf_dir, min_slots=5))
     return best.select("left", "right", "lag", F.round("correlation", 6).alias("correlation"), "n_slots")
+
+
+# a third of the stations stand at one place, a fifth close together, the others all over the grid
+SPREAD_STATIONS = """
+select c_custkey as station_id,
+  cast(case when c_custkey % 3 = 0 then 5000 when c_custkey % 5 = 1 then 20000 + (c_custkey * 31 % 997) * 0.25
+       else (c_custkey * 7919 % 100003) * 2.5 end as double) as x,
+  cast(case when c_custkey % 3 = 0 then 7000 when c_custkey % 5 = 1 then 40000 + (c_custkey * 17 % 499) * 0.5
+       else (c_custkey * 104729 % 99991) * 1.25 end as double) as y
+from {customer}
+"""
+
+
+@query(
+    "neighbour_places",
+    f"""with p as (select min(station_id) as class_id, x, y, count(*) as n_members from ({plain(SPREAD_STATIONS)}) s group by x, y)
+        select * from (
+          select a.class_id, b.class_id as neighbour_id, b.n_members, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) as distance,
+            row_number() over (partition by a.class_id order by (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.class_id) as rank
+          from p a join p b on a.class_id <> b.class_id) r where rank <= 6""",
+)
+def neighbour_places(spark, sf_dir):
+    """The six nearest other places of each place."""
+    edges = neighbours.nearest_places(derive(spark, sf_dir, SPREAD_STATIONS), 6)
+    return edges.select("class_id", "rank", "neighbour_id", F.round("distance", 6).alias("distance"), "n_members")

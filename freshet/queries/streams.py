@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.readings import usable
 from ..plans.readings import readings_table
 from ..session import fresh_path
+from ..sinks.ledger import FileLedger
+from ..sources.reading_files import READING_COLUMNS
+from ..streaming.corrections import load_landed
 from ..streaming.ingest import stream_readings, upsert_stream
 from ..streaming.late import without_late_repeats
+from ..streaming.latest import LatestReadings, follow_latest
 from .inputs import RAW_READINGS, STATIONS, derive, land_readings, table
-from .readings import moment_text
+from .readings import moment_text, shaped
 from .registry import query
-from .sqltext import SHAPED, winners
+from .sqltext import RAW, SHAPED, winners
 
 
 def _streamed(spark, sf_dir):
@@ -70,3 +75,56 @@ def stream_dedup(spark, sf_dir):
     )
     stream.awaitTermination()
     return spark.read.schema(events.schema).parquet(out).select("event_id", "user_id", moment_text("ts"), "value")
+
+
+#: the day whose file is written again: odd events are left out, the others have another quality
+CORRECTED_DAY = "hydro-2024-01-10"
+CORRECTED = f"""
+(select * replace (case when source = '{CORRECTED_DAY}' then 'Corrected' else quality end as quality)
+ from ({RAW}) r1 where source <> '{CORRECTED_DAY}' or event_id % 2 = 0)
+"""
+
+
+@query(
+    "stream_corrections",
+    f"""select notation, strftime(r_datetime, '%Y-%m-%d %H:%M:%S') as r_datetime, cast(value as double) as value, quality, qcode, label
+        from ({winners(SHAPED.replace(f"({RAW})", CORRECTED))}) w""",
+)
+def stream_corrections(spark, sf_dir):
+    """The table after two triggers; between them a file is corrected, with its columns in another order."""
+    raw = derive(spark, sf_dir, RAW_READINGS)
+    base, stations = land_readings(raw, fresh_path(spark, "landed")), derive(spark, sf_dir, STATIONS)
+    target, ledger = readings_table(spark, fresh_path(spark, "corrected-table")), FileLedger(spark, fresh_path(spark, "ledger"))
+    load_landed(target, base, stations, ledger)
+    columns = [F.lit("Corrected").alias(c) if c == "quality" else F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c)
+               for c in reversed(READING_COLUMNS)]
+    (
+        raw.where((F.col("source") == CORRECTED_DAY) & (F.col("event_id") % 2 == 0)).select(*columns)
+        .write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(f"{base}/year=2024/source={CORRECTED_DAY}")
+    )
+    load_landed(target, base, stations, ledger)
+    return target.read().select(
+        "notation", moment_text("r_datetime"), F.col("value").cast("double").alias("value"), "quality", "qcode", "label"
+    )
+
+
+@query(
+    "stream_latest",
+    f"""select l.n as notation, strftime(l.t, '%Y-%m-%d %H:%M:%S') as r_datetime, l.e as event_id, cast(l.v as double) as value
+        from (select measure, max({{'t': r_datetime, 'e': event_id, 'n': notation, 'v': value}}) as l
+          from ({SHAPED}) s where r_datetime is not null and measure is not null group by measure) g""",
+)
+def stream_latest(spark, sf_dir):
+    """The latest reading per measure after three micro-batches; later ones bring late rows and equal moments."""
+    rows = usable(shaped(spark, sf_dir)).select("measure", "r_datetime", "event_id", "notation", "value")
+    landed = fresh_path(spark, "landed-latest")
+    for part in (2, 0, 1):
+        rows.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(landed)
+    # the second file once more, so that rows repeat
+    rows.where("event_id % 3 = 0").coalesce(1).write.mode("append").parquet(landed)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    sink = LatestReadings(spark, fresh_path(spark, "latest"), ("event_id", "notation"))
+    follow_latest(source, sink, fresh_path(spark, "latest-checkpoint")).awaitTermination()
+    sink.compact(1)
+    return sink.read().select("notation", moment_text("r_datetime"), "event_id", F.col("value").cast("double").alias("value"))

@@ -124,6 +124,32 @@ def replace_report(spark, sf_dir):
     return report.select(day_text("r_date"), "rows_loaded", "rows_deleted")
 
 
+# two deliveries with rows that have no day
+HALF = lambda k: f"select k, v, quality, case when k % 50 = {k} then null else r_date end as r_date from ({NEW_SNAPSHOT}) n where k % 2 = {k}"
+
+
+def _loaded(call: int, earlier: str) -> str:
+    half = plain(HALF(call - 1))
+    return f"""
+select {call} as call, strftime(n.r_date, '%Y-%m-%d') as r_date, n.c as rows_loaded, coalesce(o.c, 0) as rows_deleted, 0 as rows_rejected
+from (select r_date, count(*) as c from ({half}) h where r_date is not null group by r_date) n
+left join (select r_date, count(*) as c from ({earlier}) e group by r_date) o on o.r_date = n.r_date
+union all
+select {call}, null, 0, 0, count(*) from ({half}) h where r_date is null having count(*) > 0"""
+
+
+FIRST_HALF = plain(HALF(0))
+AFTER_FIRST = f"select * from ({OLD}) o where r_date not in (select r_date from ({FIRST_HALF}) f where r_date is not null) union all select * from ({FIRST_HALF}) g where r_date is not null"
+
+
+@query("replace_reports_rejected", f"{_loaded(1, OLD)} union all {_loaded(2, AFTER_FIRST)}")
+def replace_reports_rejected(spark, sf_dir):
+    """The reports of two replacements whose rows without a day are stored nowhere."""
+    target = _day_table(spark, sf_dir, "replace-twice")
+    reports = [target.replace_days(derive(spark, sf_dir, HALF(k))).withColumn("call", F.lit(k + 1)) for k in (0, 1)]
+    return reports[0].unionByName(reports[1]).select("call", day_text("r_date"), "rows_loaded", "rows_deleted", "rows_rejected")
+
+
 @query(
     "delete_range",
     f"{MERGED_TEXT} from ({OLD}) o where r_date not between date '2024-01-05' and date '2024-01-07'",

@@ -76,7 +76,16 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no frame still reads."""
+    for table in tables:
+        target, files = hadoop_path(table.sparkSession, table.staged_path)
+        files.delete(target, True)
 
 
 def hadoop_path(spark: SparkSession, path: str):

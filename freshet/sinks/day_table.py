@@ -99,17 +99,26 @@ class DayTable:
         self._write(self._stamped(rows), "append")
 
     def replace_days(self, rows: DataFrame) -> DataFrame:
-        """Replace every day that ``rows`` holds. Returns ``r_date, rows_deleted, rows_loaded``."""
+        """Replace every day that ``rows`` holds. Returns ``r_date, rows_deleted, rows_loaded, rows_rejected``.
+
+        Rows without a day have no partition to replace: they are stored nowhere, and
+        counted as rejected in a row of their own, whose ``r_date`` is null.
+        """
         incoming = staged(self._stamped(rows).select(*self.schema.names), "replacement")
+        without = incoming.where(F.col(self.day).isNull()).agg(F.count("*").alias("rows_rejected")).where("rows_rejected > 0")
+        incoming = incoming.where(F.col(self.day).isNotNull())
         loaded = incoming.groupBy(self.day).agg(F.count("*").alias("rows_loaded"))
         replaced = self.read().where(self._among(self._days_of(incoming)))
         deleted = replaced.groupBy(self.day).agg(F.count("*").alias("rows_deleted"))
         report = staged(
             loaded.join(deleted, self.day, "left").select(
                 F.col(self.day).alias("r_date"),
-                F.coalesce("rows_deleted", F.lit(0)).alias("rows_deleted"),
+                F.coalesce("rows_deleted", F.lit(0)).cast("long").alias("rows_deleted"),
                 "rows_loaded",
-            ),
+                F.lit(0).cast("long").alias("rows_rejected"),
+            ).unionByName(without.select(
+                F.lit(None).cast("date").alias("r_date"), F.lit(0).cast("long").alias("rows_deleted"),
+                F.lit(0).cast("long").alias("rows_loaded"), "rows_rejected")),
             "replacement-report",
         )
         self._write(incoming, "overwrite")

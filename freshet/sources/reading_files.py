@@ -6,6 +6,7 @@ cells are text; columns are matched by header name.
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 from collections import defaultdict
 from collections.abc import Iterable
@@ -26,6 +27,7 @@ READING_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in R
 
 SOURCE_PATTERN = r"(hydro-\d{4}-\d{2}-\d{2})(?:\.csv)?(?:/[^/]*)?$"
 PROBE_THREADS = 16
+DAYS_PER_GLOB = 100
 
 
 def source_tag(path: Column) -> Column:
@@ -38,22 +40,36 @@ def source_day(tag: Column) -> Column:
     return F.try_to_date(F.substring(tag, 7, 10), "yyyy-MM-dd")
 
 
-def list_reading_files(spark: SparkSession, base: str) -> DataFrame:
-    """``(path, length, source, day)`` of the landed files, empty ones included.
+def list_reading_files(spark: SparkSession, base: str, days: Iterable[dt.date] | None = None) -> DataFrame:
+    """``(path, length, modified, source, day)`` of the landed files, empty ones included.
 
-    Names and sizes come from the file system; contents are not read.
+    Names, sizes and change times (milliseconds) come from the file system; contents are
+    not read. With ``days`` only names of those days are listed, one or two folders below
+    ``base``, and not the whole tree.
     """
     folder, files = hadoop_path(spark, base)
-    listing = files.listFiles(folder, True)
     found = []
-    while listing.hasNext():
-        status = listing.next()
-        found.append((status.getPath().toString(), status.getLen()))
+
+    def add(listing):
+        while listing.hasNext():
+            status = listing.next()
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+
+    if days is None:
+        add(files.listFiles(folder, True))
+    else:
+        wanted = sorted(set(days))
+        for first in range(0, len(wanted), DAYS_PER_GLOB):
+            names = ",".join(f"hydro-{day.isoformat()}" for day in wanted[first : first + DAYS_PER_GLOB])
+            for depth in ("*", "*/*"):
+                for status in files.globStatus(hadoop_path(spark, f"{base}/{depth}{{{names}}}*")[0]) or []:
+                    add(files.listFiles(status.getPath(), True))
     return (
-        spark.createDataFrame(found, "path string, length long")
+        spark.createDataFrame(found, "path string, length long, modified long")
         .where(F.col("path").endswith(".csv"))
         .withColumn("source", source_tag(F.col("path")))
         .where(F.col("source").isNotNull())
+        .distinct()
         .withColumn("day", source_day(F.col("source")))
     )
 
@@ -63,13 +79,40 @@ def _csv(reader):
     return reader.option("header", True).option("escape", '"')
 
 
+def _names(header: list[str]) -> tuple[str, ...]:
+    """Column names of a header; the first of equal names counts, and an empty one is of no use."""
+    seen: set[str] = set()
+    return tuple(name if name and not (name.lower() in seen or seen.add(name.lower())) else f"_c{place}" for place, name in enumerate(header))
+
+
 def _header_groups(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    # Reads one line per file. The number of files follows the days asked for, not the rows.
+    """The files of each header line.
+
+    The file system hands over the first line of every file, so the number of Spark jobs does not follow
+    that of the files.
+    """
+    jvm = spark._jvm
+
+    def first_line(path: str) -> str:
+        target, files = hadoop_path(spark, path)
+        stream = files.open(target)
+        try:
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            line = reader.readLine()
+            # blank lines before the header are passed over, as in the scan
+            while line is not None and not line.strip():
+                line = reader.readLine()
+            return line or ""
+        finally:
+            stream.close()
+
     with ThreadPoolExecutor(PROBE_THREADS) as pool:
-        headers = pool.map(lambda path: tuple(_csv(spark.read).csv(path).columns), paths)
-        groups = defaultdict(list)
-        for path, header in zip(paths, headers):
-            groups[header].append(path)
+        lines = list(pool.map(first_line, paths))
+    headers = {line: _names(next(csv.reader([line.removeprefix("\ufeff")]), [])) for line in set(lines)}
+    groups = defaultdict(list)
+    for path, line in zip(paths, lines):
+        if headers[line]:
+            groups[headers[line]].append(path)
     return groups
 
 
@@ -89,10 +132,14 @@ def scan_readings(
     is still read by name. Empty files are skipped. ``days`` restricts the scan
     to the files of those days.
     """
-    files = list_reading_files(spark, base).where(F.col("length") > 0)
+    files = list_reading_files(spark, base, days).where(F.col("length") > 0)
     if days is not None:
         files = files.where(F.col("day").isin(list(days)))
-    paths = [row.path for row in files.select("path").collect()]
+    return scan_files(spark, [row.path for row in files.select("path").collect()])
+
+
+def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """All reading cells of the given files, matched by header name."""
     schema = T.StructType(READING_SCHEMA.fields + [T.StructField("source", T.StringType())])
     groups = _header_groups(spark, paths)
     if not groups:
