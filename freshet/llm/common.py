@@ -41,8 +41,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as a table in the shared folder and read it back.
 
-    The files outlive any executor. They go when the returned frame is no longer
-    used by the driver's program, or when that ends.
+    The files outlive any executor. They go when ``discard`` is called, or when the
+    driver's program ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
