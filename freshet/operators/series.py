@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import discard, staged
+
 DAY_SECONDS = 86_400
 #: Parts of a slice of the rolling anomaly, so that one series within one window is many tasks.
 PARTS = 64
+#: Rows of a slice from which it is cut into parts.
+PART_ROWS = 1_000_000
 #: Slots of a block of the lagged correlation.
 BLOCK_SLOTS = 1024
+#: Lags up to which the lagged correlation is a join of slots.
+FEW_LAGS = 8
 
 
 def rolling_anomaly(
@@ -19,16 +25,17 @@ def rolling_anomaly(
     moment: str = "r_datetime",
     value: str = "value",
     parts: int = PARTS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Mean, deviation and z-score of the preceding ``window_seconds``, and whether it is anomalous.
 
     A series is cut into slices as long as the window, and a row is also given to the
     next slice as history. Within a slice rows enter at their moment and leave a window
     later; both kinds of events in order of time give running sums, so the work grows as
-    n log n however many rows a window holds. A slice is cut once more into ``parts``:
-    the totals of its parts, which partial aggregates make, are summed up first, and a
-    task adds the running sums of one part to what came before it. So a series of any
-    rate is many tasks.
+    n log n however many rows a window holds. A slice of over ``part_rows`` rows, and the
+    next one, are cut once more into ``parts``: the totals of the parts, which partial
+    aggregates make, are summed up first, and a task adds the running sums of one part to
+    what came before it. So a series of any rate is many tasks, and others cost no more.
 
     Values are centred on the slice's mean, and what is left of a variance by rounding
     counts as none. Null values count for nothing; a window that holds a NaN or an
@@ -45,14 +52,27 @@ def rolling_anomaly(
         (start + step * length).alias("slice"), (F.col("_at") + later).alias("when"), F.lit(sign).alias("sign"))
     events = timed.withColumn("_event", F.explode(F.array(event(0, 0, 1), event(1, 0, 1), event(1, length, -1))))
     events = events.withColumns({"_slice": F.col("_event.slice"), "_when": F.col("_event.when"), "_sign": F.col("_event.sign")})
-    events = events.withColumn("_part", F.floor((F.col("_when") - F.col("_slice")) / max(1, length // parts)).cast("int"))
-    offsets = _offsets(events, key, number, finite)
-    # a struct is never null, so series without a key meet their totals by plain equality
-    events = events.withColumn("_key", F.struct(F.col(key).alias("k"))).join(offsets, ["_key", "_slice", "_part"])
+    # a struct is never null, so series without a key are found by plain equality
+    name = F.struct(F.col(key).alias("k")).alias("_key")
+    full = timed.groupBy(name, start.alias("s")).agg(F.count("*").alias("c")).where(F.col("c") > part_rows)
+    full = full.select("_key", F.explode(F.array("s", F.col("s") + length)).alias("_slice")).distinct().withColumn("_full", F.lit(True))
+    full = staged(full, "full_slices")
+    events = events.select("*", name)
+    if full.isEmpty():
+        discard(full)
+        events = events.withColumns({"_part": F.lit(0), **{c: F.lit(None).cast("double") for c in ("_mean", "_n0", "_odd0", "_sum0", "_squares0")}})
+    else:
+        part = F.floor((F.col("_when") - F.col("_slice")) / max(1, length // parts)).cast("int")
+        events = events.join(full, ["_key", "_slice"], "left").withColumn("_part", F.when(F.col("_full"), part).otherwise(0))
+        offsets = staged(_offsets(events.where("_full"), number, finite), "offsets")
+        # dealt out by the parts, whichever way the totals were joined
+        events = events.join(offsets, ["_key", "_slice", "_part"], "left").repartition("_key", "_slice", "_part")
+    own_centre = F.avg(F.when(finite, number)).over(Window.partitionBy("_key", "_slice", "_part"))
+    events = events.withColumn("_centre", F.coalesce("_mean", own_centre, F.lit(0.0)))
     before = Window.partitionBy("_key", "_slice", "_part").orderBy("_when").rangeBetween(Window.unboundedPreceding, -1)
     own = (F.col("_sign") == 1) & (F.col("_slice") == start)
     part = F.when(finite, number - F.col("_centre")).otherwise(0.0)
-    total = lambda x, offset: F.coalesce(F.sum(F.col("_sign") * x).over(before), F.lit(0)) + F.col(offset)
+    total = lambda x, offset: F.coalesce(F.sum(F.col("_sign") * x).over(before), F.lit(0)) + F.coalesce(F.col(offset), F.lit(0))
     scored = events.withColumns(
         {
             "n_before": total(number.isNotNull().cast("long"), "_n0").cast("long"),
@@ -75,14 +95,14 @@ def rolling_anomaly(
         *readings.columns, "n_before", "mean_before", "stddev_before", "z_score", "anomalous")
 
 
-def _offsets(events: DataFrame, key: str, number: Column, finite: Column) -> DataFrame:
+def _offsets(events: DataFrame, number: Column, finite: Column) -> DataFrame:
     """What the parts of a slice before each part add up to, and the slice's mean.
 
     A part's sums around the slice's mean follow from its own mean and variance.
     """
     of = lambda sign: F.when(F.col("_sign") == sign, F.when(finite, number))
     counted = number.isNotNull().cast("long")
-    totals = events.groupBy(F.struct(F.col(key).alias("k")).alias("_key"), "_slice", "_part").agg(
+    totals = events.groupBy("_key", "_slice", "_part").agg(
         F.sum(F.col("_sign") * counted).alias("_n"),
         F.sum(F.when(number.isNotNull() & ~finite, F.col("_sign")).otherwise(0)).alias("_odd1"),
         *[f(of(sign)).alias(f"_{name}{side}") for sign, side in ((1, "in"), (-1, "out"))
@@ -99,7 +119,7 @@ def _offsets(events: DataFrame, key: str, number: Column, finite: Column) -> Dat
     squares = lambda side: value("n", side) * (value("v", side) + away(side) * away(side))
     running = lambda x: F.coalesce(F.sum(x).over(earlier), F.lit(0))
     return totals.select(
-        "_key", "_slice", "_part", "_centre", running(F.col("_n")).alias("_n0"), running(F.col("_odd1")).alias("_odd0"),
+        "_key", "_slice", "_part", F.col("_centre").alias("_mean"), running(F.col("_n")).alias("_n0"), running(F.col("_odd1")).alias("_odd0"),
         running(sums("in") - sums("out")).alias("_sum0"), running(squares("in") - squares("out")).alias("_squares0"))
 
 
@@ -127,10 +147,13 @@ def lag_correlation(
     A series becomes one array for each block of slots; those of right series also hold
     the ``max_lag`` slots on both sides. A pair joins equal blocks, and a task takes all
     lags of a pair of blocks at once and adds up sums, so what is shuffled does not grow
-    with the number of lags, and no array is longer than a block and its margins.
+    with the number of lags, and no array is longer than a block and its margins. Up to
+    ``FEW_LAGS`` lags are rows of a plain join instead, which costs less.
     Values are taken from their series' mean. The grid holds a slot of a series once; a
     slot whose mean is null or NaN counts as absent.
     """
+    if 2 * max_lag + 1 <= FEW_LAGS:
+        return _few_lags(grid, pairs, max_lag, key, min_slots)
     size = max(block_slots, max_lag, 1)
     known = grid.where(F.col("mean").isNotNull() & ~F.isnan("mean") & F.col("slot").isNotNull() & F.col(key).isNotNull())
     centre = known.groupBy(key).agg(F.avg("mean").alias("_centre"))
@@ -159,6 +182,29 @@ def lag_correlation(
         "left", "right", "lag", "n_slots", F.when(varies, F.try_divide(moment("xy", "x", "y"), spread)).alias("correlation"))
 
 
+def _few_lags(grid: DataFrame, pairs: DataFrame, max_lag: int, key: str, min_slots: int) -> DataFrame:
+    """The same with a row for each lag; the slots of a series are spread over the shuffle."""
+    grid = grid.where(~F.isnan("mean"))
+    left = grid.select(F.col(key).alias("left"), "slot", F.col("mean").alias("left_mean"))
+    right = grid.select(F.col(key).alias("right"), F.col("slot").alias("other_slot"), F.col("mean").alias("right_mean"))
+    paired = left.join(pairs.select("left", "right").distinct(), "left")
+    lagged = (
+        paired.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
+        .withColumn("other_slot", F.col("slot") + F.col("lag"))
+    )
+    # corr() fails on a series that does not vary; that has no correlation
+    spread = F.stddev_pop("left_mean") * F.stddev_pop("right_mean")
+    return (
+        lagged.join(right, ["right", "other_slot"])
+        .groupBy("left", "right", "lag")
+        .agg(
+            F.count("*").alias("n_slots"),
+            F.try_divide(F.covar_pop("left_mean", "right_mean"), spread).alias("correlation"),
+        )
+        .where(F.col("n_slots") >= min_slots)
+    )
+
+
 LAG_SUMS = ("x", "y", "xx", "yy", "xy", "least_x", "most_x", "least_y", "most_y")
 
 

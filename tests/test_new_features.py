@@ -180,8 +180,8 @@ def test_anomalies_do_not_depend_on_the_parts(spark):
     rows = [(i, "hot" if i % 10 else None, rng.randrange(0, 3_000), rng.choice([rng.gauss(5, 2), None, float("nan") if i == 7 else 1.0])) for i in range(400)]
     frame = spark.createDataFrame([(i, k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), v) for i, k, s, v in rows],
                                   "i int, notation string, r_datetime timestamp, value double")
-    for parts in (1, 64, 10**9):
-        got = {r.i: r for r in series.rolling_anomaly(frame, 1000, 1.5, parts=parts).collect()}
+    for parts, part_rows in ((64, 10**6), (1, 0), (64, 60), (10**9, 0)):  # no slice, all, some of them in parts
+        got = {r.i: r for r in series.rolling_anomaly(frame, 1000, 1.5, parts=parts, part_rows=part_rows).collect()}
         assert len(got) == len(rows)
         for i, k, s, v in rows:
             before = [w for _, l, t, w in rows if l == k and s - 1000 <= t < s and w is not None]
@@ -196,7 +196,7 @@ def test_anomalies_do_not_depend_on_the_parts(spark):
 def test_a_hot_slice_is_many_tasks(spark):
     """A series at one row a millisecond within one window is dealt out by its parts."""
     frame = spark.range(20_000).select(F.lit("hot").alias("notation"), F.timestamp_millis(F.col("id")).alias("r_datetime"), F.col("id").cast("double").alias("value"))
-    plan = series.rolling_anomaly(frame, 20)._jdf.queryExecution().executedPlan().toString()
+    plan = series.rolling_anomaly(frame, 20, part_rows=1000)._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line and "RangeFrame" in line]
     assert windows and all("_part" in line.split("specifiedwindowframe")[-1] for line in windows)
 
