@@ -86,3 +86,6 @@ SOURCE_LIMITS = {
 LOOP_LAG_DAYS = 3
 TRAILING_DAYS = 14
 FIRST_DAY = "2022-01-01"
+
+#: codes of ``value_status``; 4 is not in use
+VALUE_STATUSES = (0, 1, 2, 3, 5, 6, 7, 8)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.constants import LOOP_LAG_DAYS, TRAILING_DAYS
 from ..operators.changes import one_row_per_key
 from ..operators.coverage import (
+    days_present,
     forced_range,
     incremental_range,
     missing_days,
@@ -19,6 +20,7 @@ from ..operators.coverage import (
 from ..operators.readings import READING_KEY, TRACKED, quarantined, shape_readings, usable, with_station_label
 from ..operators.summaries import day_report
 from ..session import staged
+from ..sinks.day_statistics import DayStatistics
 from ..sinks.day_table import DayTable
 from ..sources.reading_files import list_reading_files, scan_readings, unusable_days
 
@@ -72,11 +74,12 @@ def load_days(
     days: DataFrame,
     stations: DataFrame,
     replace: bool = False,
+    statistics: DayStatistics | None = None,
 ) -> LoadResult:
     """Load the landed files of ``days``; days without a usable file are passed over.
 
     ``replace`` drops the stored rows of a day first. Otherwise absent days are
-    appended and stored ones upserted.
+    appended and stored ones upserted. ``statistics`` of the days that change are made anew.
     """
     # a list of days, bounded by the length of the load range
     wanted = [row.r_date for row in days.collect()]
@@ -84,14 +87,21 @@ def load_days(
     shaped = staged(shape_readings(scan_readings(table.spark, base, wanted)), "shaped")
     unusable = unusable_days(files, shaped)
     rows = with_station_label(usable(shaped), stations)
+    if statistics:
+        statistics.invalidate([row.r_date for row in days_present(usable(shaped)).collect()])
     if not replace:
-        return LoadResult(day_report(shaped, table.append_or_upsert(rows, batch_order())), quarantined(shaped), unusable)
+        actions = table.append_or_upsert(rows, batch_order())
+        if statistics:
+            statistics.catch_up(table)
+        return LoadResult(day_report(shaped, actions), quarantined(shaped), unusable)
 
     # a file can hold a few readings of other days; those days are not dropped for them
     inside = F.col("r_date").isin(wanted)
     single = one_row_per_key(rows.where(inside), READING_KEY, batch_order())
     replaced = table.replace_days(single)
     strays = table.append_or_upsert(rows.where(~inside), batch_order())
+    if statistics:
+        statistics.catch_up(table)
     report = (
         day_report(shaped, strays)
         .join(replaced.drop("rows_rejected"), "r_date", "left")
@@ -101,24 +111,28 @@ def load_days(
 
 
 def load_new_days(
-    table: DayTable, base: str, stations: DataFrame, today: dt.date, upto: int = LOOP_LAG_DAYS
+    table: DayTable, base: str, stations: DataFrame, today: dt.date, upto: int = LOOP_LAG_DAYS,
+    statistics: DayStatistics | None = None,
 ) -> LoadResult:
     """Load the days after the last one stored."""
-    return load_days(table, base, range_days(incremental_range(table.days(), today, upto, moment="r_date")), stations)
+    return load_days(table, base, range_days(incremental_range(table.days(), today, upto, moment="r_date")), stations, statistics=statistics)
 
 
 def load_forced_days(
-    table: DayTable, base: str, stations: DataFrame, start: dt.date, end: dt.date | None = None
+    table: DayTable, base: str, stations: DataFrame, start: dt.date, end: dt.date | None = None,
+    statistics: DayStatistics | None = None,
 ) -> LoadResult:
     """Load the days asked for, on top of what is stored."""
-    return load_days(table, base, range_days(forced_range(table.spark, start, end)), stations)
+    return load_days(table, base, range_days(forced_range(table.spark, start, end)), stations, statistics=statistics)
 
 
 def reload_trailing_days(
-    table: DayTable, base: str, stations: DataFrame, today: dt.date, days: int = TRAILING_DAYS
+    table: DayTable, base: str, stations: DataFrame, today: dt.date, days: int = TRAILING_DAYS,
+    statistics: DayStatistics | None = None,
 ) -> LoadResult:
     """Replace the last days, to take in late corrections."""
-    return load_days(table, base, range_days(trailing_range(table.days(), today, days, moment="r_date")), stations, replace=True)
+    wanted = range_days(trailing_range(table.days(), today, days, moment="r_date"))
+    return load_days(table, base, wanted, stations, replace=True, statistics=statistics)
 
 
 def fill_gaps(
@@ -127,6 +141,7 @@ def fill_gaps(
     stations: DataFrame,
     first: dt.date | None = None,
     last: dt.date | None = None,
+    statistics: DayStatistics | None = None,
 ) -> LoadResult:
     """Load the days missing between the first and last day stored."""
-    return load_days(table, base, missing_days(table.days(), "r_date", first, last), stations)
+    return load_days(table, base, missing_days(table.days(), "r_date", first, last), stations, statistics=statistics)

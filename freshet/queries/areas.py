@@ -77,6 +77,31 @@ def area_facets(spark, sf_dir):
     return summaries.facets(areas, filters.areas_like(areas, county="nation_1"), "eaareaname")
 
 
+FACETS = {
+    "eaareaname": "eaareaname in ('ASIA', 'EUROPE', 'AMERICA')",
+    "county": "county ilike '%nation_1%'",
+    "description": "description ilike '%e%'",
+    "label": None,
+    "riverorsea": "riverorsea ilike '%1%'",
+    "fwdcode": "fwdcode not ilike '%77%'",
+}
+
+
+def _facet_sql(facet: str) -> str:
+    others = " and ".join(f"coalesce({sql}, false)" for name, sql in FACETS.items() if sql and name != facet)
+    own = f"coalesce({FACETS[facet]}, false)" if FACETS[facet] else "true"
+    return f"""select '{facet}' as facet, {facet} as value, count(*) as n_rows, count(*) filter (where {others}) as n_left,
+        count(*) filter (where {others} and {own}) as n_active
+        from ({AREA_SQL}) a where {facet} is not null group by {facet}"""
+
+
+@query("area_facet_counts", " union all ".join(_facet_sql(facet) for facet in FACETS))
+def area_facet_counts(spark, sf_dir):
+    """All values of the six area fields, under filters on five of them."""
+    conditions = {name: sql and F.expr(sql) for name, sql in FACETS.items()}
+    return summaries.facet_counts(derive(spark, sf_dir, AREAS), conditions)
+
+
 @query("area_filtered_count", f"select count(*) as n_rows from ({AREA_SQL}) a where county ilike '%nation_1%'")
 def area_filtered_count(spark, sf_dir):
     return summaries.row_count(filters.areas_like(derive(spark, sf_dir, AREAS), county="nation_1"))

@@ -6,8 +6,11 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.constants import VALUE_STATUSES
 from ..plans import readings as P
+from ..operators import summaries
 from ..session import fresh_path, hadoop_path
+from ..sinks.day_statistics import DayStatistics
 from ..sinks.day_table import DayTable
 from ..sources.reading_files import READING_SCHEMA, list_reading_files, scan_readings, unusable_days
 from .inputs import RAW_READINGS, STATIONS, derive, land_readings
@@ -97,6 +100,49 @@ def reload_trailing_days(spark, sf_dir):
     return _contents(table)
 
 
+STATISTICS = "n_rows, n_values, n_measures, first_moment, last_moment, " + ", ".join(f"status_{code}" for code in VALUE_STATUSES)
+STATUS_COUNTS = ", ".join(f"count(*) filter (where value_status = {code}) as status_{code}" for code in VALUE_STATUSES)
+KEPT = f"select * from ({winners()}) w where r_date not between date '2024-01-20' and date '2024-01-22'"
+
+
+def _followed(spark: SparkSession, sf_dir: str) -> DayStatistics:
+    """Statistics that followed two loads, the second on top of some of the first, and a deletion."""
+    table, base, stations = _loaded(spark, sf_dir)
+    statistics = DayStatistics(spark, fresh_path(spark, "statistics"))
+    P.load_forced_days(table, base, stations, _day(1), _day(12), statistics)
+    P.load_forced_days(table, base, stations, _day(8), LAST, statistics)
+    table.delete_between(_day(20), _day(22))
+    statistics.catch_up(table)
+    return statistics
+
+
+@query(
+    "day_statistics",
+    f"""select strftime(r_date, '%Y-%m-%d') as r_date, count(*) as n_rows, count(value) as n_values, count(distinct measure) as n_measures,
+          strftime(min(r_datetime), '%Y-%m-%d %H:%M:%S') as first_moment, strftime(max(r_datetime), '%Y-%m-%d %H:%M:%S') as last_moment,
+          {STATUS_COUNTS}
+        from ({KEPT}) k group by k.r_date""",
+)
+def day_statistics(spark, sf_dir):
+    """Statistics of every day, kept with the writes."""
+    rows = _followed(spark, sf_dir).read()
+    counts = [name for name in STATISTICS.split(", ") if not name.endswith("_moment")]
+    return rows.select(day_text("r_date"), moment_text("first_moment"), moment_text("last_moment"), *counts)
+
+
+@query(
+    "statistics_summary",
+    f"""select strftime(min(r_date), '%Y-%m-%d') as min_date, strftime(max(r_date), '%Y-%m-%d') as max_date,
+          strftime(max(r_datetime), '%Y-%m-%d %H:%M:%S') as max_datetime, count(distinct r_date) as days_present,
+          count(*) as n_rows, count(value) as n_values, {STATUS_COUNTS}
+        from ({KEPT}) k""",
+)
+def statistics_summary(spark, sf_dir):
+    """The whole table in one row, without reading a reading."""
+    row = summaries.statistics_summary(_followed(spark, sf_dir).read()).drop("n_measures_estimate")
+    return row.withColumns({"min_date": day_text("min_date"), "max_date": day_text("max_date"), "max_datetime": moment_text("max_datetime")})
+
+
 @query(
     "unusable_days",
     "select distinct strftime(cast(ts as date), '%Y-%m-%d') as day from events where extract(day from ts) in (4, 9)",

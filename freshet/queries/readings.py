@@ -11,8 +11,9 @@ from ..functions.constants import FLOOD_ROOT, STATION_PREFIX
 from ..functions.notation import root_templated
 from ..functions.values import normalise_missing, period_seconds, stored_value
 from ..operators import readings as R, relations, summaries
-from ..operators.filters import filter_readings
+from ..operators.filters import between_moments, filter_readings, in_viewport
 from ..session import fresh_path
+from ..sinks.curve_files import write_by_curve
 from ..sources import reading_files
 from .inputs import GUID_TAIL, RAW_READINGS, STATIONS, derive, land_readings, plain
 from .registry import query
@@ -269,6 +270,117 @@ def readings_of_property(spark, sf_dir):
     return chosen.select("event_id", "notation")
 
 
+VIEWED = f"""(select *, case when event_id % 3 = 0 then '1.0' when event_id % 3 = 1 then '0' end as completeness,
+    case when event_id % 4 = 0 then 'yes' when event_id % 4 = 1 then 'no' end as valid,
+    case when event_id % 5 > 0 then concat('i', event_id % 5) end as invalid,
+    case when event_id % 6 > 0 then concat('m', event_id % 6) end as missing from ({SHAPED}) s0)"""
+READ_MOMENT = "strftime(r_datetime, '%Y-%m-%d %H:%M:%S') as r_datetime"
+READ_DATE = "strftime(r_date, '%Y-%m-%d') as r_date"
+READ_VALUE = "cast(value as double) as value"
+
+
+def viewed(spark, sf_dir) -> DataFrame:
+    """Shaped readings whose files fill every quality column."""
+    raw = derive(spark, sf_dir, RAW_READINGS)
+    number = F.col("event_id")
+    filled = raw.withColumns(
+        {
+            "completeness": F.when(number % 3 == 0, "1.0").when(number % 3 == 1, "0"),
+            "valid": F.when(number % 4 == 0, "yes").when(number % 4 == 1, "no"),
+            "invalid": F.when(number % 5 > 0, F.concat(F.lit("i"), number % 5)),
+            "missing": F.when(number % 6 > 0, F.concat(F.lit("m"), number % 6)),
+        }
+    )
+    return R.shape_readings(normalise_missing(filled))
+
+
+def _as_text(rows: DataFrame) -> DataFrame:
+    """Days and moments as text, values as doubles, whichever of them a view has."""
+    wanted = {"r_datetime": moment_text("r_datetime"), "r_date": day_text("r_date"), "value": F.col("value").cast("double")}
+    return rows.withColumns({name: column for name, column in wanted.items() if name in rows.columns})
+
+
+@query(
+    "reading_view_full",
+    f"""select measure, {READ_MOMENT}, {READ_DATE}, {READ_VALUE}, period, completeness, quality, qcode, valid, invalid, missing
+        from {VIEWED} v where r_date >= date '2024-01-03' and r_date < date '2024-01-28'""",
+)
+def reading_view_full(spark, sf_dir):
+    """From a day on and before another, with every quality column."""
+    rows = filter_readings(viewed(spark, sf_dir), mineq_date=dt.date(2024, 1, 3), max_date=dt.date(2024, 1, 28), view="full")
+    return _as_text(rows)
+
+
+@query(
+    "reading_view_flow",
+    f"""select measure, {READ_MOMENT}, {READ_DATE}, {READ_VALUE}, quality, qcode, valid, invalid, missing
+        from {VIEWED} v where r_date = date '2024-01-12'""",
+)
+def reading_view_flow(spark, sf_dir):
+    """One day."""
+    return _as_text(filter_readings(viewed(spark, sf_dir), date=dt.date(2024, 1, 12), view="flow"))
+
+
+STATION = f"00000006{GUID_TAIL}"
+
+
+@query(
+    "reading_view_default",
+    f"""select measure, {READ_MOMENT}, {READ_DATE}, {READ_VALUE}, completeness, quality, qcode
+        from {VIEWED} v where station_id = '{STATION}'""",
+)
+def reading_view_default(spark, sf_dir):
+    """One station by its GUID."""
+    return _as_text(filter_readings(viewed(spark, sf_dir), station=STATION, view="default"))
+
+
+@query(
+    "reading_view_min",
+    f"""select measure, {READ_MOMENT}, {READ_VALUE} from ({SHAPED}) s
+        where exists (select 1 from ({plain(STATIONS)}) st where st.notation = s.station_id and st.s_suppkey % 3 = 2)""",
+)
+def reading_view_min(spark, sf_dir):
+    """Stations by an id that is one of several in a list."""
+    listed = F.when(F.col("s_suppkey") % 3 == 2, "W0,W1").when(F.col("s_suppkey") % 3 == 0, "W11,W2")
+    stations = derive(spark, sf_dir, STATIONS).select("notation", listed.alias("wiski_id"))
+    return _as_text(filter_readings(shaped(spark, sf_dir), station_wiski_id="W1", stations=stations, view="min"))
+
+
+MEASURE = f"00000006{GUID_TAIL}-level-i-900-m-qualified"
+
+
+@query(
+    "readings_of_measure",
+    f"select event_id, measure, {READ_MOMENT} from ({SHAPED}) s where notation = '{MEASURE}' or measure = '{MEASURE}'",
+)
+def readings_of_measure(spark, sf_dir):
+    """One measure by its notation."""
+    rows = filter_readings(shaped(spark, sf_dir), measure=MEASURE)
+    return rows.select("event_id", "measure", moment_text("r_datetime"))
+
+
+PLACED = """
+select event_id, ts as r_datetime, value, cast(50.5 + (user_id % 400) * 0.01 as double) as lat,
+  case when event_id % 211 > 0 then cast(-4.5 + (user_id % 500) * 0.01 as double) end as long
+from {events}
+"""
+
+
+@query(
+    "readings_in_view",
+    f"""select event_id, lat, long, strftime(r_datetime, '%Y-%m-%d %H:%M:%S') as r_datetime, value from ({plain(PLACED)}) p
+        where lat between 50.6 and 52.25 and long between -4.25 and -2.5
+          and r_datetime between timestamp '2024-01-05 06:00:00' and timestamp '2024-01-12 18:30:00'""",
+)
+def readings_in_view(spark, sf_dir):
+    """A map view and a span of time, of files in the order of a curve through both."""
+    path = fresh_path(spark, "curve")
+    write_by_curve(derive(spark, sf_dir, PLACED), path)
+    seen = in_viewport(spark.read.parquet(path), 50.6, -4.25, 52.25, -2.5)
+    span = (F.lit(dt.datetime(2024, 1, 5, 6)), F.lit(dt.datetime(2024, 1, 12, 18, 30)))
+    return between_moments(seen, *span).select("event_id", "lat", "long", moment_text("r_datetime"), "value")
+
+
 @query(
     "latest_earliest",
     f"""select measure, strftime(l.t, '%Y-%m-%d %H:%M:%S') as latest, l.e as latest_event, cast(l.v as double) as latest_value,

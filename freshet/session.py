@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     # hot keys are divided between tasks, also where that costs another shuffle
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # the default type has no bounds in the footers, so filters on moments could skip nothing
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # larger generated methods are not compiled by the JVM; split them instead
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

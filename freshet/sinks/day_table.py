@@ -183,7 +183,10 @@ class DayTable:
             survivors = staged(self.read().where(self._among(touched) & (~inside | inside.isNull())), "survivors")
             survivors_by_day = self._days_of(survivors)
             self._write(survivors, "overwrite")
-        for day in touched:
-            if day not in survivors_by_day:
-                folder, files = hadoop_path(self.spark, f"{self.path}/{self.day}={day.isoformat()}")
-                files.delete(folder, True)
+        self.drop_days([day for day in touched if day not in survivors_by_day])
+
+    def drop_days(self, days: Sequence[dt.date]) -> None:
+        """Delete all rows of these days; days that are not stored are passed over."""
+        for day in days:
+            folder, files = hadoop_path(self.spark, f"{self.path}/{self.day}={day.isoformat()}")
+            files.delete(folder, True)
