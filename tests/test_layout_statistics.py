@@ -74,7 +74,8 @@ def test_files_in_curve_order_skip_rows(spark, tmp_path):
     for question in (view, span, lambda p: between_moments(view(p), F.lit(START), F.lit(START + dt.timedelta(days=2)))):
         assert sorted(question(path).collect()) == sorted(question(plain).collect())
         assert scanned_rows(question(plain)) > 35_000
-        assert scanned_rows(question(path)) < 14_000  # pages of 500 rows
+        # 80 pages cut each of the three axes about four times, and a filter within one part touches two at most
+        assert scanned_rows(question(path)) <= 20_000
 
 
 def test_one_place_is_many_tasks(spark, tmp_path):
