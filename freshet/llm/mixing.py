@@ -120,8 +120,8 @@ def mix(
     Weights are exact; only a given ``resolution`` rounds them to whole parts of it.
     Sorting by (mix_slot, mix_place) gives the mixture. All rows are kept: when a source
     runs out, the others go on with their weights in proportion. Documents of a source
-    are ordered by a hash of their id (of the row's values where that is null); ties
-    between repeated rows are settled arbitrarily. Null sources form one source of
+    are ordered by a hash of their id (of the row's values where that is null), then by
+    the row's values: only rows that differ in nothing but map columns tie. Null sources form one source of
     their own. Columns named as the new ones are replaced; an empty table gives an empty
     result.
     """
@@ -144,7 +144,8 @@ def mix(
     sent = spark.sparkContext.broadcast(plan)
     before = Window.partitionBy("__source").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("__source", "__chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("__source", "__chunk").orderBy("__key")
+    # rows that tie on all plain columns are interchangeable, so a task that runs again deals the same rows
+    own = Window.partitionBy("__source", "__chunk").orderBy("__key", *plain)
     rows = rows.withColumn("__rank", F.row_number().over(own) - 1).join(F.broadcast(sizes) if len(totals) <= 64 else sizes, ["__source", "__chunk"])
     rank = F.col("__rank") + F.col("__before")
     rows = rows.withColumns({"mix_block": F.floor(rank / block), "mix_place": (rank % block).cast("int")})

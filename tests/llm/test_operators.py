@@ -1,9 +1,11 @@
 """The text operators against brute force on small tables with awkward rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -313,6 +315,40 @@ def test_mix(awkward, docs):
     assert mixing.mix(docs.where("false")).collect() == []
 
 
+def earliest_deadline_first(blocks: dict, weights: dict) -> list:
+    """(source, block) by slot: the plain rule with exact fractions, begun anew when a source runs out."""
+    done, order = {s: 0 for s in blocks}, []
+    while any(done[s] < blocks[s] for s in blocks):
+        live = {s: Fraction(weights[s]) for s in blocks if done[s] < blocks[s]}
+        share = {s: w / sum(live.values()) for s, w in live.items()}
+        had, slot = {s: 0 for s in live}, 0
+        while all(done[s] < blocks[s] for s in live):
+            released = [s for s in live if math.floor(had[s] / share[s]) <= slot]
+            s = min(released, key=lambda s: (math.ceil((had[s] + 1) / share[s]), s))
+            order.append((s, done[s]))
+            had[s], done[s], slot = had[s] + 1, done[s] + 1, slot + 1
+    return order
+
+
+def test_mix_is_earliest_deadline_first_on_rows(spark):
+    sizes, weights = {"a": 97, "b": 40, "c": 9, "d": 300}, {"a": 0.3, "b": 0.1, "c": 1 / 7, "d": 2.5}
+    rows = [(k, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=4).collect()
+    slots = {(r.source, r.mix_block): r.mix_slot for r in got}
+    want = earliest_deadline_first({s: -(-n // 4) for s, n in sizes.items()}, weights)
+    assert [b for b, _ in sorted(slots.items(), key=lambda x: x[1])] == want
+    assert sorted(slots.values()) == list(range(len(want)))
+    assert Counter(r.source for r in got) == sizes
+
+
+def test_mix_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(k % 5 if k % 3 else None, f"text {k % 90}", "a" if k % 4 else None) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = Counter(mixing.mix(docs.repartition(1), block=4).collect())
+    assert first == Counter(mixing.mix(docs.repartition(7), block=4).collect())
+    assert first == Counter(mixing.mix(docs.orderBy(F.desc("text")), block=4).collect())
+
+
 def test_language_id(spark, awkward, docs):
     rng = np.random.default_rng(5)
     speak = {"en": ["the", "of", "and", "that", "with"], "fr": ["le", "des", "était", "que", "dans"]}
