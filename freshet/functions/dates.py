@@ -71,3 +71,11 @@ def validated_date(value: str | dt.date | None) -> dt.date | None:
         return dt.datetime.strptime(value.strip(), "%Y-%m-%d").date()
     except ValueError as error:
         raise ValueError(f"not a date in the form YYYY-MM-DD: {value!r}") from error
+
+
+def required_date(value: str | dt.date | None) -> dt.date:
+    """As ``validated_date``, but an empty argument is an error too."""
+    date = validated_date(value)
+    if date is None:
+        raise ValueError("a date is required")
+    return date

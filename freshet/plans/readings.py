@@ -1,4 +1,7 @@
-"""Loading daily reading files into the readings table."""
+"""Loading daily reading files into the readings table.
+
+Date arguments are dates or texts YYYY-MM-DD; other text is an error before anything is read.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.constants import LOOP_LAG_DAYS, TRAILING_DAYS
+from ..functions.dates import required_date, validated_date
 from ..operators.changes import one_row_per_key
 from ..operators.coverage import (
     days_present,
@@ -111,27 +115,28 @@ def load_days(
 
 
 def load_new_days(
-    table: DayTable, base: str, stations: DataFrame, today: dt.date, upto: int = LOOP_LAG_DAYS,
+    table: DayTable, base: str, stations: DataFrame, today: dt.date | str, upto: int = LOOP_LAG_DAYS,
     statistics: DayStatistics | None = None,
 ) -> LoadResult:
     """Load the days after the last one stored."""
-    return load_days(table, base, range_days(incremental_range(table.days(), today, upto, moment="r_date")), stations, statistics=statistics)
+    return load_days(table, base, range_days(incremental_range(table.days(), required_date(today), upto, moment="r_date")), stations, statistics=statistics)
 
 
 def load_forced_days(
-    table: DayTable, base: str, stations: DataFrame, start: dt.date, end: dt.date | None = None,
+    table: DayTable, base: str, stations: DataFrame, start: dt.date | str, end: dt.date | str | None = None,
     statistics: DayStatistics | None = None,
 ) -> LoadResult:
     """Load the days asked for, on top of what is stored."""
-    return load_days(table, base, range_days(forced_range(table.spark, start, end)), stations, statistics=statistics)
+    wanted = range_days(forced_range(table.spark, required_date(start), validated_date(end)))
+    return load_days(table, base, wanted, stations, statistics=statistics)
 
 
 def reload_trailing_days(
-    table: DayTable, base: str, stations: DataFrame, today: dt.date, days: int = TRAILING_DAYS,
+    table: DayTable, base: str, stations: DataFrame, today: dt.date | str, days: int = TRAILING_DAYS,
     statistics: DayStatistics | None = None,
 ) -> LoadResult:
     """Replace the last days, to take in late corrections."""
-    wanted = range_days(trailing_range(table.days(), today, days, moment="r_date"))
+    wanted = range_days(trailing_range(table.days(), required_date(today), days, moment="r_date"))
     return load_days(table, base, wanted, stations, replace=True, statistics=statistics)
 
 
@@ -139,9 +144,10 @@ def fill_gaps(
     table: DayTable,
     base: str,
     stations: DataFrame,
-    first: dt.date | None = None,
-    last: dt.date | None = None,
+    first: dt.date | str | None = None,
+    last: dt.date | str | None = None,
     statistics: DayStatistics | None = None,
 ) -> LoadResult:
     """Load the days missing between the first and last day stored."""
-    return load_days(table, base, missing_days(table.days(), "r_date", first, last), stations, statistics=statistics)
+    wanted = missing_days(table.days(), "r_date", validated_date(first), validated_date(last))
+    return load_days(table, base, wanted, stations, statistics=statistics)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.dates import day_end, day_start
+from ..functions.dates import day_end, day_start, required_date
 from ..operators.changes import merge_changes, one_row_per_key
 from ..operators.coverage import days_present
 from ..session import hadoop_path, staged
@@ -170,11 +170,12 @@ class DayTable:
         self.append(appended)
         return actions.unionByName(appended.select(*self._all_keys(), F.lit("inserted").alias("action")))
 
-    def delete_between(self, first: dt.date, last: dt.date) -> None:
+    def delete_between(self, first: dt.date | str, last: dt.date | str) -> None:
         """Delete the rows from the first moment of ``first`` to the last one of ``last``.
 
-        Without a moment column the days themselves are compared.
+        Without a moment column the days themselves are compared. Text other than YYYY-MM-DD is an error.
         """
+        first, last = required_date(first), required_date(last)
         touched = [day for day in self.stored_days() if first <= day <= last]
         if self.moment is None:
             survivors_by_day = []

@@ -140,6 +140,9 @@ def test_validated_date():
     assert dates.validated_date("") is None and dates.validated_date(None) is None
     with pytest.raises(ValueError):
         dates.validated_date("05/01/2024")
+    assert dates.required_date("2024-01-05") == day
+    with pytest.raises(ValueError):
+        dates.required_date("")
 
 
 def test_json_shapes(column):

@@ -78,7 +78,7 @@ def test_load_rules(spark, tmp_path, stations):
     assert [row.reason for row in result.quarantine.collect()] == ["no timestamp"]
     after = contents(table)
     assert after[("S1", at(2))] == (2.5, "Good", "First", True) and after[("S2", at(2, 6))] == first[("S2", at(2, 6))]
-    repeat = P.load_forced_days(table, source, stations, dt.date(2024, 1, 2)).report.where("r_date is not null").first()
+    repeat = P.load_forced_days(table, source, stations, "2024-01-02").report.where("r_date is not null").first()
     assert (repeat.inserted, repeat.updated) == (0, 0)
     assert contents(table) == after
 
@@ -109,6 +109,26 @@ def test_delete_and_partition_writes(spark, tmp_path):
     assert table.stored_days() == [dt.date(2024, 1, d) for d in (1, 3, 4, 5)]
 
 
+def test_date_arguments(spark, tmp_path):
+    table = DayTable(spark, str(tmp_path / "t"), SNAPSHOT, ["k"], day="day", moment="at")
+    table.append(spark.createDataFrame([(d, at(d), dt.date(2024, 1, d)) for d in range(1, 5)], SNAPSHOT))
+    table.delete_between("2024-01-02", " 2024-01-03 ")
+    assert sorted(row.k for row in table.read().collect()) == [1, 4]
+    base, readings = str(tmp_path / "none"), P.readings_table(spark, str(tmp_path / "readings"))
+    for call in (
+        lambda: table.delete_between("2024-01-02", None),
+        lambda: P.load_forced_days(readings, base, None, "02/01/2024"),
+        lambda: P.load_forced_days(readings, base, None, "2024-01-02", "soon"),
+        lambda: P.load_forced_days(readings, base, None, ""),
+        lambda: P.load_new_days(readings, base, None, "2024-13-01"),
+        lambda: P.reload_trailing_days(readings, base, None, ""),
+        lambda: P.fill_gaps(readings, base, None, last="yesterday"),
+    ):
+        with pytest.raises(ValueError, match="date"):
+            call()
+    assert sorted(row.k for row in table.read().collect()) == [1, 4]
+
+
 def test_upsert_reads_only_the_days_of_the_batch(spark, tmp_path):
     table = DayTable(spark, str(tmp_path / "t"), SNAPSHOT, ["k"], ["at"], day="day", moment="at")
     table.append(spark.createDataFrame([(d, at(d), dt.date(2024, 1, d)) for d in range(1, 9)], SNAPSHOT))
