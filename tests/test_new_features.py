@@ -46,6 +46,24 @@ def test_nearest_places(spark, k, finest, cell_places):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_cells_descend_together(spark, monkeypatch):
+    """The descent keeps a few rows for each cell, not for each place and level."""
+    rows, kept = [], neighbours.staged
+
+    def counted(frame, name, *partition_by):
+        table = kept(frame, name, *partition_by)
+        if name == "cells_in_reach":
+            rows.append(table.count())
+        return table
+
+    monkeypatch.setattr(neighbours, "staged", counted)
+    rng = random.Random(5)
+    points = [(i, rng.uniform(0, 4e3), rng.uniform(0, 4e3)) for i in range(600)]
+    got = neighbours.nearest_places(spark.createDataFrame(points, "station_id long, x double, y double"), 3)
+    assert {(r.class_id, r.rank, r.neighbour_id, round(r.distance, 6), r.n_members) for r in got.collect()} == nearest(points, 3)
+    assert sum(rows) < 20 * len(points)
+
+
 def test_few_or_no_places(spark):
     schema = "station_id long, x double, y double"
     assert neighbours.nearest_places(spark.createDataFrame([], schema), 3).collect() == []
