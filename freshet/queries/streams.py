@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.readings import usable
 from ..plans.readings import readings_table
-from ..session import fresh_path
+from ..session import discard, fresh_path, staged
 from ..sinks.ledger import FileLedger
 from ..sources.reading_files import READING_COLUMNS
 from ..streaming.corrections import load_landed
@@ -116,15 +116,16 @@ def stream_corrections(spark, sf_dir):
           from ({SHAPED}) s where r_datetime is not null and measure is not null group by measure) g""",
 )
 def stream_latest(spark, sf_dir):
-    """The latest reading per measure after three micro-batches; later ones bring late rows and equal moments."""
-    rows = usable(shaped(spark, sf_dir)).select("measure", "r_datetime", "event_id", "notation", "value")
-    landed = fresh_path(spark, "landed-latest")
-    for part in (2, 0, 1):
-        rows.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(landed)
-    # the second file once more, so that rows repeat
-    rows.where("event_id % 3 = 0").coalesce(1).write.mode("append").parquet(landed)
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    sink = LatestReadings(spark, fresh_path(spark, "latest"), ("event_id", "notation"))
-    follow_latest(source, sink, fresh_path(spark, "latest-checkpoint")).awaitTermination()
-    sink.compact(1)
+    """The latest reading per measure after four micro-batches; later ones bring late rows, equal moments and repeats."""
+    rows = staged(usable(shaped(spark, sf_dir)).select("measure", "r_datetime", "event_id", "notation", "value"), "latest-rows")
+    landed, checkpoint = fresh_path(spark, "landed-latest"), fresh_path(spark, "latest-checkpoint")
+    sink, ended = LatestReadings(spark, fresh_path(spark, "latest"), ("event_id", "notation")), []
+    # a delivery is as many files as tasks write, and one micro-batch; the second comes once more, so that rows repeat
+    for part in (2, 0, 1, 0):
+        rows.where(F.col("event_id") % 3 == part).write.mode("append").parquet(landed)
+        stream = follow_latest(spark.readStream.schema(rows.schema).parquet(landed), sink, checkpoint)
+        stream.awaitTermination()
+        ended.append(stream.lastProgress["batchId"])
+    discard(rows)
+    sink.compact(ended[1])
     return sink.read().select("notation", moment_text("r_datetime"), "event_id", F.col("value").cast("double").alias("value"))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import pathlib
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F, types as T
 
 from freshet.operators import neighbours, series
 from freshet.plans.readings import readings_table
+from freshet.queries import QUERIES, streams
 from freshet.sinks.day_table import DayTable
 from freshet.sinks.ledger import FileLedger
 from freshet.sources import reading_files
@@ -192,6 +194,23 @@ def test_latest_readings_of_a_stream(spark, tmp_path):
     assert read() == {**expected, "m1": (start + dt.timedelta(days=1), 999, 5.0)}
 
 
+def test_a_delivery_is_landed_by_many_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    """The latest readings land and stream in as many files as the events have, not in one a delivery."""
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    paths, fresh = {}, streams.fresh_path
+    monkeypatch.setattr(streams, "fresh_path", lambda session, name: paths.setdefault(name, fresh(session, name)))
+    monkeypatch.setattr(streams, "staged", lambda frame, name: frame, raising=False)
+    monkeypatch.setattr(streams, "discard", lambda *tables: None, raising=False)
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task a file
+    try:
+        got = {tuple(r) for r in QUERIES["stream_latest"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    assert got == {tuple(r) for r in QUERIES["stream_latest"](spark, sf_dir).collect()}
+    assert len(list(pathlib.Path(paths["landed-latest"]).glob("*.parquet"))) > 4 * 3
+
+
 def test_anomalies_do_not_depend_on_the_parts(spark):
     """One hot series within one window: every number of parts gives brute-force results."""
     rng = random.Random(11)
