@@ -196,6 +196,24 @@ def test_suffix_dedup(docs, awkward):
     assert suffix_dedup.remove_repeats(docs.where("false")).collect() == []
 
 
+def test_suffix_dedup_leaves_lone_fragments_early(spark, monkeypatch):
+    """Fragments with anchors of their own are not kept beyond the first count."""
+    rng = np.random.default_rng(7)
+    own = [rng.bytes(4000).hex() for _ in range(12)]
+    shared = rng.bytes(300).hex()
+    kept, rows = suffix_dedup.staged, {}
+
+    def counted(frame, name):
+        rows[name] = (table := kept(frame, name)).count()
+        return table
+
+    monkeypatch.setattr(suffix_dedup, "staged", counted)
+    table = spark.createDataFrame([*enumerate(own), (12, own[0][:900] + shared), (13, shared + own[1][:100])], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(table, digest=True).collect()}
+    assert got == {**dict.fromkeys(range(1, 12), 0), 0: 900, 12: 1500, 13: 600}
+    assert rows["kinds"] < rows["fragments"] / 3
+
+
 def test_suffix_dedup_of_large_collections(docs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "LARGE_COLLECTION", 1)
     got = suffix_dedup.remove_repeats(docs, digest=True).collect()
