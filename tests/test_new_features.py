@@ -197,6 +197,7 @@ def test_latest_readings_of_a_stream(spark, tmp_path):
 def test_a_delivery_is_landed_by_many_tasks(spark, sf_dir, tmp_path, monkeypatch):
     """The latest readings land and stream in as many files as the events have, not in one a delivery."""
     spark.read.parquet(f"{sf_dir}/events.parquet").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    expected = {tuple(r) for r in QUERIES["stream_latest"](spark, sf_dir).collect()}
     paths, fresh = {}, streams.fresh_path
     monkeypatch.setattr(streams, "fresh_path", lambda session, name: paths.setdefault(name, fresh(session, name)))
     monkeypatch.setattr(streams, "staged", lambda frame, name: frame, raising=False)
@@ -207,7 +208,7 @@ def test_a_delivery_is_landed_by_many_tasks(spark, sf_dir, tmp_path, monkeypatch
         got = {tuple(r) for r in QUERIES["stream_latest"](spark, str(tmp_path)).collect()}
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", old)
-    assert got == {tuple(r) for r in QUERIES["stream_latest"](spark, sf_dir).collect()}
+    assert got == expected
     assert len(list(pathlib.Path(paths["landed-latest"]).glob("*.parquet"))) > 4 * 3
 
 
