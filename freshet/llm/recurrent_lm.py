@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from .bytes_table import WordTable, flat_texts, rows_per_text, slices
-from .common import crc32_of, session_of, staged, with_row
+from .common import crc32_of, session_of, staged, starts_of, with_row
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -44,8 +44,14 @@ ROUNDS = 2
 RATE_LEARNING = 0.01
 #: Steps of the optimizer that each task makes in a round, at least; small data are read again.
 LEAST_STEPS = 120
-#: Words that a task holds before it scores or trains on them.
+#: Numbers that a step of the optimizer changes at a time, so that they stay in the processor's cache.
+UPDATED = 1 << 14
+#: Words whose probabilities are found together.
+SCORED = 1 << 15
+#: Words that a task holds before it counts or scores them.
 HELD = 1 << 21
+#: Words that a task holds before it trains on them: the longest documents end in windows of few lanes, once each time.
+TRAINED = 1 << 23
 END = np.uint64(0xA24BAED4963EE407)
 #: Tasks' parameters are added up in pieces of so many numbers, by so many tasks.
 PIECE = 1 << 16
@@ -53,18 +59,27 @@ GROUPS = 16
 
 
 class Shape:
-    """Where each parameter lies in one flat vector."""
+    """Where each parameter lies in one flat vector.
+
+    A word's probability is that of its class and of its place in the class, and each of
+    the two is found in two steps: the group of classes, the class in it, the group of
+    places, the place in it. A step is a softmax at a node; ``out0`` to ``out3`` hold the
+    weights of the nodes of each step, their last row is the bias.
+    """
 
     def __init__(self, words: int) -> None:
         # class 0 is the unknown word, class 1 the end; the others follow by frequency
         self.words = words
         self.inner = max(math.isqrt(max(words - 3, 0)) + 1, 1)  # words of a class: the root of their number
         self.classes = 2 + -(-max(words - 2, 0) // self.inner)
+        self.wide, self.near = math.isqrt(self.classes - 1) + 1, math.isqrt(self.inner - 1) + 1  # of a group
+        groups, parts = -(-self.classes // self.wide), -(-self.inner // self.near)
+        self.place_groups = parts
         self.parts, at = {}, 0
         for name, shape in {
             "embed": (words, EMBEDDED), "wx": (EMBEDDED, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
-            "wc": (HIDDEN, self.classes), "bc": (self.classes,),
-            "ww": (self.classes, HIDDEN, self.inner), "bw": (self.classes, self.inner),
+            "out0": (1, HIDDEN + 1, groups), "out1": (groups, HIDDEN + 1, self.wide),
+            "out2": (self.classes, HIDDEN + 1, parts), "out3": (self.classes * parts, HIDDEN + 1, self.near),
         }.items():
             size = int(np.prod(shape))
             self.parts[name] = (slice(at, at + size), shape)
@@ -80,22 +95,32 @@ class Shape:
     def place_of(self, word: np.ndarray) -> np.ndarray:
         return np.where(word < 2, 0, (word - 2) % self.inner)
 
+    def steps(self, word: np.ndarray):
+        """(parameters, first word, node, branch) of each step to sorted words; the unknown word and the end take two."""
+        kind, deep = self.class_of(word), int(np.searchsorted(word, 2))
+        group = kind // self.wide
+        yield "out0", 0, np.zeros(len(word), dtype=kind.dtype), group
+        yield "out1", 0, group, kind - group * self.wide
+        if deep < len(word):
+            kind, place = kind[deep:], self.place_of(word[deep:])
+            part = place // self.near
+            yield "out2", deep, kind, part
+            yield "out3", deep, kind * self.place_groups + part, place - part * self.near
+
 
 def initial(shape: Shape, counts: np.ndarray) -> np.ndarray:
     """Small random weights; the output starts at the words' shares."""
     rng = np.random.default_rng(11)
     flat = (rng.normal(size=shape.size) * 0.1).astype(np.float32)
     p = shape.views(flat)
-    words = np.arange(shape.words)
-    share = np.log((counts + 0.5) / (counts + 0.5).sum())
-    p["bw"][:] = -30.0
-    p["bw"][shape.class_of(words), shape.place_of(words)] = share
-    mass = np.bincount(shape.class_of(words), weights=np.exp(share), minlength=shape.classes)
-    p["bc"][:] = np.log(np.maximum(mass, 1e-12))
+    for name, _, node, branch in shape.steps(np.arange(shape.words)):
+        p[name][:] = 0
+        mass = np.zeros((p[name].shape[0], p[name].shape[2]))
+        np.add.at(mass, (node, branch), counts[-len(node):] + 0.5)
+        share = mass / np.maximum(mass.sum(axis=1, keepdims=True), 0.5)
+        p[name][:, HIDDEN] = np.log(np.maximum(share, 1e-13))
     p["b"][:] = 0
     p["b"][HIDDEN : 2 * HIDDEN] = -1.0
-    p["wc"][:] = 0
-    p["ww"][:] = 0
     return flat
 
 
@@ -113,22 +138,74 @@ def step(p: dict, x: np.ndarray, h: np.ndarray):
     return r, z, c, u[:, 2 * H :], h + z * (c - h)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+class Node:
+    """Rows of sorted nodes in blocks of ``size`` rows of one node, which are multiplied together."""
+
+    def __init__(self, node: np.ndarray, size: int) -> None:
+        first = starts_of(node)
+        count = np.diff(np.append(first, len(node)))
+        blocks = -(-count // size)
+        self.met, self.first = node[first], np.cumsum(blocks) - blocks
+        more = np.flatnonzero(blocks > 1)
+        self.more = list(zip(more.tolist(), first[more].tolist(), (first + count)[more].tolist()))
+        run = np.repeat(np.arange(len(first)), blocks)
+        begin = first[run] + size * (np.arange(len(run)) - self.first[run])
+        place = begin[:, None] + np.arange(size)
+        there = place < (first + count)[run][:, None]
+        self.node, self.place, self.rows = self.met[run], np.where(there, place, 0), np.flatnonzero(there)
+        self.shape = place.shape
+
+    def spread(self, x: np.ndarray) -> np.ndarray:
+        """Rows in blocks; the rest of a block is zero."""
+        out = np.zeros((self.shape[0] * self.shape[1], x.shape[1]), dtype=x.dtype)
+        out[self.rows] = x
+        return out.reshape(*self.shape, -1)
+
+    def flat(self, x: np.ndarray) -> np.ndarray:
+        return x.reshape(-1, x.shape[2])[self.rows]
+
+    def products(self, own: np.ndarray, d: np.ndarray, rows: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Of each node met, the product of its rows of two matrices, which are given in blocks and whole."""
+        out = own[self.first].transpose(0, 2, 1) @ d[self.first]
+        for i, a, b in self.more:
+            out[i] = rows[a:b].T @ e[a:b]
+        return out
+
+
+def block_size(name: str, rows: int) -> int:
+    """Rows of a block by step: nodes of the later steps are many and have few rows."""
+    return {"out0": max(rows, 1), "out1": 64, "out2": 16, "out3": 8}[name]
+
+
+def shares(x: np.ndarray, branch: np.ndarray):
+    """Exponentials and their sum by row, and the log of the share of each row's branch."""
+    chosen = x[np.arange(len(x)), branch]
+    e = np.exp(x)
+    total = e @ np.ones(x.shape[1], dtype=x.dtype)
+    if not (np.isfinite(total) & (total > 1e-30)).all():  # out of range: from the greatest on
+        top = x.max(axis=1)
+        chosen = chosen - top
+        e = np.exp(x - top[:, None])
+        total = e.sum(axis=1)
+    return e, total, chosen - np.log(total)
+
+
+def with_bias(h: np.ndarray) -> np.ndarray:
+    out = np.empty((len(h), HIDDEN + 1), dtype=h.dtype)
+    out[:, :HIDDEN], out[:, HIDDEN] = h, 1
+    return out
 
 
 def word_log(p: dict, shape: Shape, h: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Natural log probability of each next word given the state before it."""
-    kind, place = shape.class_of(word), shape.place_of(word)
-    out = log_softmax(h @ p["wc"] + p["bc"])[np.arange(len(word)), kind].astype(np.float64)
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(2, shape.classes + 1))
-    for k in range(2, shape.classes):
-        rows = order[edges[k - 2] : edges[k - 1]]
-        if len(rows):
-            inner = log_softmax(h[rows] @ p["ww"][k] + p["bw"][k])
-            out[rows] += inner[np.arange(len(rows)), place[rows]]
+    order = np.argsort(word, kind="stable")
+    word, h = word[order], with_bias(h[order])
+    logs = np.zeros(len(word))
+    for name, first, node, branch in shape.steps(word):
+        blocks, rows = Node(node, block_size(name, len(word))), h[first:]
+        logs[first:] += shares(blocks.flat(rows[blocks.place] @ p[name][blocks.node]), branch)[2]
+    out = np.empty(len(word))
+    out[order] = logs
     return out
 
 
@@ -150,7 +227,7 @@ def scored(p: dict, shape: Shape, words: np.ndarray, ends: np.ndarray) -> np.nda
         nexts.append(word)
         owners.append(np.arange(live))
         held += live
-        if held > 1 << 14 or t + 1 == length[0]:
+        if held > SCORED or t + 1 == length[0]:
             who = np.concatenate(owners)
             out += np.bincount(who, weights=word_log(p, shape, np.concatenate(states), np.concatenate(nexts)), minlength=n)
             states, nexts, owners, held = [], [], [], 0
@@ -161,93 +238,112 @@ def scored(p: dict, shape: Shape, words: np.ndarray, ends: np.ndarray) -> np.nda
     return back
 
 
-def gradients(p: dict, g: dict, shape: Shape, words: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Adds the gradients of one window (steps x lanes) to ``g``; returns the state after it.
+def gradients(p: dict, g: dict, shape: Shape, words: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray):
+    """Puts the gradients of one window (steps x lanes) into ``g``; returns the state after it.
 
     ``words`` go in, ``targets`` are the next words (-1: none), and ``fresh`` marks steps
-    where a document begins, before which the state is cleared.
+    where a document begins, before which the state is cleared. Only the rows of words
+    read and of nodes met are put.
     """
     H, (steps, lanes) = HIDDEN, words.shape
     kept = []
     inputs = p["embed"][words]
     x = inputs @ p["wx"] + p["b"]
+    out = np.empty((steps, lanes, H), dtype=x.dtype)
     for t in range(steps):
-        h = np.where(fresh[t][:, None], 0, h).astype(x.dtype)
-        kept.append((h, *step(p, x[t], h)))
-        h = kept[-1][-1]
-    out = np.stack([k[-1] for k in kept])
+        if fresh[t].any():
+            h = np.where(fresh[t][:, None], 0, h)
+        kept.append((h.astype(x.dtype, copy=False), *step(p, x[t], h)))
+        h = out[t] = kept[-1][-1]
     last = h
-    live = targets >= 0
-    count = max(int(live.sum()), 1)
-    rows, word = out[live], targets[live]
-    kind, place = shape.class_of(word), shape.place_of(word)
-    d = np.exp(log_softmax(rows @ p["wc"] + p["bc"]))
-    d[np.arange(len(word)), kind] -= 1
-    d /= count
-    g["wc"] += rows.T @ d
-    g["bc"] += d.sum(axis=0)
-    dh_live = d @ p["wc"].T
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(2, shape.classes + 1))
-    for k in range(2, shape.classes):
-        some = order[edges[k - 2] : edges[k - 1]]
-        if len(some):
-            d = np.exp(log_softmax(rows[some] @ p["ww"][k] + p["bw"][k]))
-            d[np.arange(len(some)), place[some]] -= 1
-            d /= count
-            g["ww"][k] += rows[some].T @ d
-            g["bw"][k] += d.sum(axis=0)
-            dh_live[some] += d @ p["ww"][k].T
-    dout = np.zeros_like(out)
-    dout[live] = dh_live
-    dh = np.zeros((lanes, H), dtype=np.float32)
+    order = np.flatnonzero(targets.ravel() >= 0)
+    order = order[np.argsort(targets.ravel()[order], kind="stable")]
+    word, rows = targets.ravel()[order], with_bias(out.reshape(-1, H)[order])
+    count, dh_live = max(len(word), 1), np.zeros((len(word), H), dtype=x.dtype)
+    for name, first, node, branch in shape.steps(word):
+        blocks = Node(node, block_size(name, len(word)))
+        w, own = p[name][blocks.node], rows[first:][blocks.place]
+        e, total, _ = shares(blocks.flat(own @ w), branch)
+        e *= (1 / (total * count))[:, None]
+        e[np.arange(len(e)), branch] -= 1 / count
+        d = blocks.spread(e)
+        g[name][blocks.met] = blocks.products(own, d, rows[first:], e)
+        dh_live[first:] += blocks.flat(d @ w[:, :H].transpose(0, 2, 1))
+    dout = np.zeros((steps * lanes, H), dtype=x.dtype)
+    dout[order] = dh_live
+    dout = dout.reshape(steps, lanes, H)
+    dh = np.zeros((lanes, H), dtype=x.dtype)
     dx, du = (np.empty((steps, lanes, 3 * H), dtype=x.dtype) for _ in range(2))
+    back = np.ascontiguousarray(p["wh"].T)
     for t in range(steps - 1, -1, -1):
         h0, r, z, c, uc, _ = kept[t]
-        dh = dh + dout[t]
-        dc = dh * z * (1 - c * c)
-        dz = dh * (c - h0) * z * (1 - z)
-        dr = dc * uc * r * (1 - r)
-        dx[t, :, :H], dx[t, :, H : 2 * H], dx[t, :, 2 * H :] = dr, dz, dc
-        du[t] = dx[t]
-        du[t, :, 2 * H :] *= r
-        dh = dh * (1 - z) + du[t] @ p["wh"].T
-        dh = np.where(fresh[t][:, None], 0, dh)
+        dh += dout[t]
+        dc = dh * z
+        dc *= 1 - c * c
+        dx[t, :, :H] = dc * uc * r * (1 - r)
+        dx[t, :, H : 2 * H] = dh * (c - h0) * z * (1 - z)
+        dx[t, :, 2 * H :] = dc
+        du[t, :, : 2 * H] = dx[t, :, : 2 * H]
+        np.multiply(dc, r, out=du[t, :, 2 * H :])
+        dh *= 1 - z
+        dh += du[t] @ back
+        if fresh[t].any():
+            dh[fresh[t]] = 0
     flat_dx, before = dx.reshape(-1, 3 * H), np.concatenate([k[0] for k in kept])
-    g["wh"] += before.T @ du.reshape(-1, 3 * H)
-    g["wx"] += inputs.reshape(-1, EMBEDDED).T @ flat_dx
-    g["b"] += flat_dx.sum(axis=0)
-    np.add.at(g["embed"], words.ravel(), flat_dx @ p["wx"].T)
+    g["wh"][:] = before.T @ du.reshape(-1, 3 * H)
+    g["wx"][:] = inputs.reshape(-1, EMBEDDED).T @ flat_dx
+    g["b"][:] = np.ones(len(flat_dx), dtype=x.dtype) @ flat_dx
+    order = np.argsort(words.ravel(), kind="stable")
+    read = words.ravel()[order]
+    first = starts_of(read)
+    g["embed"][read[first]] = np.add.reduceat((flat_dx @ p["wx"].T)[order], first, axis=0)
     return last
 
 
+class Put:
+    """Rows of a parameter and their gradients, as they were put."""
+
+    rows, value = slice(0), None
+
+    def __setitem__(self, rows, value: np.ndarray) -> None:
+        self.rows, self.value = rows, value
+
+
 class Trainer:
     """Adam on windows of documents that run side by side."""
 
     def __init__(self, shape: Shape, flat: np.ndarray) -> None:
         self.shape, self.flat = shape, flat.copy()
-        self.m, self.v, self.g, self.t = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat), 0
-
-    def update(self, words: np.ndarray, kinds: np.ndarray) -> None:
-        """A step along ``g``, which is cleared; only rows of the words read and the classes met have changed."""
-        views = [self.shape.views(x) for x in (self.flat, self.m, self.v, self.g)]
-        rows = {"embed": words, "ww": kinds, "bw": kinds}
-        parts = [(name, rows.get(name, slice(None))) for name in self.shape.parts]
-        met = [views[3][name][at] for name, at in parts]
-        size = np.sqrt(sum(float((g * g).sum()) for g in met))
+        self.m, self.v, self.t = np.zeros_like(flat), np.zeros_like(flat), 0
+        self.views = [shape.views(x) for x in (self.flat, self.m, self.v)]
+
+    def update(self, gradient: dict[str, Put]) -> None:
+        """A step along the gradient; only rows of the words read and the nodes met have changed."""
+        parts = [(name, put.rows, put.value) for name, put in gradient.items() if put.value is not None]
+        size = np.sqrt(sum(float(np.vdot(g, g)) for _, _, g in parts))
         self.t += 1
         rate = RATE_LEARNING * min(1.0, 30 / max(self.t, 1) ** 0.5 * 0.2)
         first, second = 1 - 0.9**self.t, 1 - 0.99**self.t
-        for (name, at), g in zip(parts, met):
-            if size > 1:
-                g = g / np.float32(size)
-            flat, m, v, own = (x[name] for x in views)
-            m_at, v_at = m[at], v[at]
-            m_at = m_at + np.float32(0.1) * (g - m_at)
-            v_at = v_at + np.float32(0.01) * (g * g - v_at)
-            m[at], v[at] = m_at, v_at
-            flat[at] -= np.float32(rate / first) * m_at / (np.sqrt(v_at / np.float32(second)) + np.float32(1e-8))
-            own[at] = 0
+        shrink, pace = np.float32(1 / max(size, 1)), np.float32(rate / first)
+        for name, rows, grown in parts:
+            flat, m, v = (x[name] for x in self.views)
+            many = len(grown) if isinstance(rows, slice) else max(UPDATED * len(grown) // grown.size, 1)
+            for k in range(0, len(grown), many):
+                g = grown[k : k + many] * shrink
+                at = rows if isinstance(rows, slice) else rows[k : k + many]
+                m_at, v_at = m[at], v[at]
+                m_at = m_at + np.float32(0.1) * (g - m_at)
+                g *= g
+                g -= v_at
+                g *= np.float32(0.01)
+                g += v_at
+                m[at], v[at] = m_at, g
+                g *= np.float32(1 / second)
+                np.sqrt(g, out=g)
+                g += np.float32(1e-8)
+                m_at *= pace
+                m_at /= g
+                flat[at] -= m_at
 
     def run(self, words: np.ndarray, ends: np.ndarray, least: int) -> int:
         """One pass, or as many as make ``least`` updates, over whole documents dealt to lanes."""
@@ -278,8 +374,9 @@ class Trainer:
                 fresh = begins[at] & there
                 into = np.where(fresh | ~there, 1, flow[at - 1])
                 target = np.where(there, flow[at], -1)
-                h = gradients(self.shape.views(self.flat), self.shape.views(self.g), self.shape, into, target, fresh, h[:live])
-                self.update(np.unique(into), np.unique(self.shape.class_of(target[there])))
+                gradient = {name: Put() for name in self.shape.parts}
+                h = gradients(self.views[0], gradient, self.shape, into, target, fresh, h[:live])
+                self.update(gradient)
                 done += 1
         return total
 
@@ -347,16 +444,16 @@ def trained(docs: DataFrame, shape: Shape, flat: np.ndarray, codes: np.ndarray,
                 held, n = [], 0
 
             for batch, first, last, text, code in tokenized(batches, None):
-                word = numbers(code, codes, values, 0)
+                word = numbers(code, codes, values, 0).astype(np.int32)
                 at = rows_per_text(text, last - first)
                 held.extend(word[at[i] : at[i + 1]] for i in range(last - first))
                 n += len(word)
-                if n >= HELD:
+                if n >= TRAINED:
                     learn(0)
             learn(LEAST_STEPS - trainer.t)
             # in pieces, so that no task or driver holds the vectors of several tasks
             for k in range(0, shape.size if total else 0, PIECE):
-                vector = (trainer.flat[k : k + PIECE].astype(np.float64) * total).tobytes()
+                vector = trainer.flat[k : k + PIECE].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k], pa.int64()), pa.array([total], pa.int64()), pa.array([vector], pa.binary())], ["g", "n", "v"])
 
@@ -368,19 +465,23 @@ def trained(docs: DataFrame, shape: Shape, flat: np.ndarray, codes: np.ndarray,
                 for g, n, v in zip(*(c.to_pylist() for c in batch.columns)):
                     have = sums.setdefault(g, [0, 0.0])
                     have[0] += n
-                    have[1] = have[1] + np.frombuffer(v)
+                    have[1] = have[1] + n * np.frombuffer(v, np.float32).astype(np.float64)
             for g, (n, v) in sums.items():
+                mean = (v / n).astype(np.float32).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([g], pa.int64()), pa.array([n], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["g", "n", "v"])
+                    [pa.array([g], pa.int64()), pa.array([n], pa.int64()), pa.array([mean], pa.binary())], ["g", "n", "v"])
 
         kind = "g long, n long, v binary"
         own = docs.where(F.pmod(F.xxhash64(F.col("row"), F.lit("round")), F.lit(ROUNDS)) == number)
+        # a model per core and not per piece of a file, so that what the models take on disk does not grow with the documents
+        own = own.coalesce(spark.sparkContext.defaultParallelism)
         parts = own.mapInArrow(run, kind).repartition(GROUPS, "g").mapInArrow(add, kind).collect()
         if parts:
             flat = flat.copy()
             for r in parts:
-                flat[r.g : r.g + PIECE] = np.frombuffer(r.v) / r.n
+                flat[r.g : r.g + PIECE] = np.frombuffer(r.v, np.float32)
             read += parts[0].n
+        sent.destroy()  # its copies lie on the disks of the driver and all executors
     return flat, read
 
 

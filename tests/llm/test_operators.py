@@ -596,6 +596,37 @@ def test_vocabulary_follows_the_counts(spark, monkeypatch):
     assert len(places) == 3002 and all(r.score < 0 for r in got)
 
 
+def test_models_sent_do_not_grow_with_the_pieces_of_the_table(spark, monkeypatch):
+    table = spark.createDataFrame([(i, f"one two three word{i % 7}") for i in range(400)], "doc_id long, text string").repartition(60)
+    sent, frame = [], type(table)
+    plain = frame.repartition
+
+    def repartition(self, *to):
+        if "v" in self.columns:
+            sent.append(self.agg(F.sum(F.length("v"))).first()[0])
+        return plain(self, *to)
+
+    shapes, train = [], recurrent_lm.trained
+    monkeypatch.setattr(recurrent_lm, "trained", lambda docs, shape, *a: shapes.append(shape) or train(docs, shape, *a))
+    monkeypatch.setattr(frame, "repartition", repartition)
+    assert recurrent_lm.score_documents(table).count() == 400
+    # in each round four bytes a parameter from each core at most
+    assert len(sent) == recurrent_lm.ROUNDS
+    assert max(sent) <= 4 * shapes[0].size * spark.sparkContext.defaultParallelism
+
+
+def test_shares_of_all_words_make_one():
+    counts = np.random.default_rng(1).integers(1, 90, 403)
+    for words in (2, 3, 70, 403):
+        shape = recurrent_lm.Shape(words)
+        p = shape.views(recurrent_lm.initial(shape, counts[:words]))
+        own = np.exp(recurrent_lm.word_log(p, shape, np.zeros((words, recurrent_lm.HIDDEN), np.float32), np.arange(words)))
+        assert np.allclose(own, (counts[:words] + 0.5) / (counts[:words] + 0.5).sum(), rtol=1e-4)
+        p["out0"][:], p["out3"][:] = p["out0"] * 40, p["out3"] * 40  # out of the range of exponentials
+        h = np.random.default_rng(2).normal(size=(1, recurrent_lm.HIDDEN)).astype(np.float32).repeat(words, axis=0)
+        assert np.isfinite(recurrent_lm.word_log(p, shape, h, np.arange(words))).all()
+
+
 def test_gradients_of_the_model():
     rng = np.random.default_rng(6)
     shape = recurrent_lm.Shape(70)
