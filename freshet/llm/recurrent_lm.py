@@ -124,18 +124,23 @@ def initial(shape: Shape, counts: np.ndarray) -> np.ndarray:
     return flat
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
 def step(p: dict, x: np.ndarray, h: np.ndarray):
     """One step of the gated unit: reset and update gates, candidate, new state."""
     H = HIDDEN
     u = h @ p["wh"]
-    gates = sigmoid(x[:, : 2 * H] + u[:, : 2 * H])
+    gates = x[:, : 2 * H] + u[:, : 2 * H]
+    gates *= 0.5
+    np.tanh(gates, out=gates)
+    gates += 1
+    gates *= 0.5
     r, z = gates[:, :H], gates[:, H:]
-    c = np.tanh(x[:, 2 * H :] + r * u[:, 2 * H :])
-    return r, z, c, u[:, 2 * H :], h + z * (c - h)
+    c = r * u[:, 2 * H :]
+    c += x[:, 2 * H :]
+    np.tanh(c, out=c)
+    after = c - h
+    after *= z
+    after += h
+    return r, z, c, u[:, 2 * H :], after
 
 
 class Node:
@@ -393,9 +398,24 @@ def tokenized(batches, columns, known: np.ndarray | None = None):
             yield batch, first, last, np.insert(text, at, np.arange(n)), np.insert(codes, at, END)
 
 
-def numbers(codes: np.ndarray, sorted_codes: np.ndarray, values: np.ndarray, missing: int) -> np.ndarray:
-    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
-    return np.where(sorted_codes[at] == codes, values[at], missing)
+class Places:
+    """Places of codes in a sorted table, or its length; hashes are found by their first bits."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        bits = len(codes).bit_length() + 2
+        self.codes, self.shift = np.append(codes, np.uint64(2**64 - 1)), np.uint64(64 - bits)
+        self.first = np.searchsorted(codes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        at = self.first[codes >> self.shift]
+        there = self.codes[at]
+        late = np.flatnonzero(there < codes)
+        while len(late):
+            at[late] += 1
+            there[late] = self.codes[at[late]]
+            late = late[there[late] < codes[late]]
+        at[there != codes] = len(self.codes) - 1
+        return at
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -434,6 +454,7 @@ def trained(docs: DataFrame, shape: Shape, flat: np.ndarray, codes: np.ndarray,
             import pyarrow as pa
 
             flat, codes, values = sent.value
+            place_of, word_at = Places(codes), np.append(values, 0).astype(np.int32)
             trainer, held, n, total = Trainer(shape, flat), [], 0, 0
 
             def learn(least: int):
@@ -444,7 +465,7 @@ def trained(docs: DataFrame, shape: Shape, flat: np.ndarray, codes: np.ndarray,
                 held, n = [], 0
 
             for batch, first, last, text, code in tokenized(batches, None):
-                word = numbers(code, codes, values, 0).astype(np.int32)
+                word = word_at[place_of(code)]
                 at = rows_per_text(text, last - first)
                 held.extend(word[at[i] : at[i + 1]] for i in range(last - first))
                 n += len(word)
@@ -518,14 +539,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flat = initial(shape, np.concatenate([[unknown_n], model_n]))
     if total:
         flat, _ = trained(learn, shape, flat, *model)
-    sort = np.argsort(top_code)
-    sent = spark.sparkContext.broadcast((flat, model, top_code[sort], top_n[sort]))
+    # the words of the model and the most frequent ones, which have nearly all of them, as one table
+    codes = np.union1d(model_code, top_code)
+    word_at, n_at = np.zeros(len(codes) + 1, dtype=np.int32), np.full(len(codes) + 1, -1)
+    word_at[np.searchsorted(codes, model_code)] = np.arange(1, len(model_code) + 1)
+    n_at[np.searchsorted(codes, top_code)] = top_n
+    sent = spark.sparkContext.broadcast((flat, codes, word_at, n_at))
 
     def run(batches):
         import pyarrow as pa
 
-        flat, model, top_code, top_n = sent.value
-        p = shape.views(flat)
+        flat, codes, word_at, n_at = sent.value
+        p, place_of = shape.views(flat), Places(codes)
         names = ["row", "code", "tf", "doc_id", "n_tokens", "known", "logs", "unknown", "unknown_logs", "model"]
         held: list = []
         n = 0
@@ -543,8 +568,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch, first, last, text, code in tokenized(batches, None):
             m = last - first
             row, ids = batch.column("row").to_numpy()[first:last], batch.column("doc_id").to_pylist()[first:last]
-            word = numbers(code, *model, 0).astype(np.int32)
-            count = numbers(code, top_code, top_n, -1) if len(top_code) else np.full(len(code), -1)
+            place = place_of(code)
+            word, count = word_at[place], n_at[place]
             sent_here, unknown = count >= 0, word == 0
             logs = np.where(sent_here, np.log10(np.maximum(count, 0) + 0.5), 0.0)
             size = np.bincount(text, minlength=m)

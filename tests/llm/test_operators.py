@@ -615,6 +615,18 @@ def test_models_sent_do_not_grow_with_the_pieces_of_the_table(spark, monkeypatch
     assert max(sent) <= 4 * shapes[0].size * spark.sparkContext.defaultParallelism
 
 
+def test_places_of_codes():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 5000):
+        # some codes share their first bits, and the greatest code is one of the table's last time
+        codes = np.unique(np.concatenate([rng.integers(0, 2**63, n, dtype=np.uint64), np.arange(n, dtype=np.uint64)]))
+        if n > 2:
+            codes = np.append(codes, np.uint64(2**64 - 1))
+        asked = np.concatenate([codes, codes + np.uint64(1), rng.integers(0, 2**63, 50, dtype=np.uint64), [np.uint64(2**64 - 1)]])
+        at = {int(c): i for i, c in enumerate(codes)}
+        assert recurrent_lm.Places(codes)(asked).tolist() == [at.get(int(c), len(codes)) for c in asked]
+
+
 def test_shares_of_all_words_make_one():
     counts = np.random.default_rng(1).integers(1, 90, 403)
     for words in (2, 3, 70, 403):
