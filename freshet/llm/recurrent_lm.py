@@ -148,6 +148,7 @@ class Node:
 
     def __init__(self, node: np.ndarray, size: int) -> None:
         first = starts_of(node)
+        self.single = len(first) == 1 and size >= len(node)  # one block holds the rows as they are
         count = np.diff(np.append(first, len(node)))
         blocks = -(-count // size)
         self.met, self.first = node[first], np.cumsum(blocks) - blocks
@@ -160,14 +161,20 @@ class Node:
         self.node, self.place, self.rows = self.met[run], np.where(there, place, 0), np.flatnonzero(there)
         self.shape = place.shape
 
+    def taken(self, rows: np.ndarray) -> np.ndarray:
+        """Rows in blocks; the rest of a block is any row."""
+        return rows[None] if self.single else rows[self.place]
+
     def spread(self, x: np.ndarray) -> np.ndarray:
         """Rows in blocks; the rest of a block is zero."""
+        if self.single:
+            return x[None]
         out = np.zeros((self.shape[0] * self.shape[1], x.shape[1]), dtype=x.dtype)
         out[self.rows] = x
         return out.reshape(*self.shape, -1)
 
     def flat(self, x: np.ndarray) -> np.ndarray:
-        return x.reshape(-1, x.shape[2])[self.rows]
+        return x[0] if self.single else x.reshape(-1, x.shape[2])[self.rows]
 
     def products(self, own: np.ndarray, d: np.ndarray, rows: np.ndarray, e: np.ndarray) -> np.ndarray:
         """Of each node met, the product of its rows of two matrices, which are given in blocks and whole."""
@@ -207,8 +214,8 @@ def word_log(p: dict, shape: Shape, h: np.ndarray, word: np.ndarray) -> np.ndarr
     word, h = word[order], with_bias(h[order])
     logs = np.zeros(len(word))
     for name, first, node, branch in shape.steps(word):
-        blocks, rows = Node(node, block_size(name, len(word))), h[first:]
-        logs[first:] += shares(blocks.flat(rows[blocks.place] @ p[name][blocks.node]), branch)[2]
+        blocks = Node(node, block_size(name, len(word)))
+        logs[first:] += shares(blocks.flat(blocks.taken(h[first:]) @ p[name][blocks.node]), branch)[2]
     out = np.empty(len(word))
     out[order] = logs
     return out
@@ -267,7 +274,7 @@ def gradients(p: dict, g: dict, shape: Shape, words: np.ndarray, targets: np.nda
     count, dh_live = max(len(word), 1), np.zeros((len(word), H), dtype=x.dtype)
     for name, first, node, branch in shape.steps(word):
         blocks = Node(node, block_size(name, len(word)))
-        w, own = p[name][blocks.node], rows[first:][blocks.place]
+        w, own = p[name][blocks.node], blocks.taken(rows[first:])
         e, total, _ = shares(blocks.flat(own @ w), branch)
         e *= (1 / (total * count))[:, None]
         e[np.arange(len(e)), branch] -= 1 / count
@@ -442,6 +449,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, words: int) -> DataFrame:
+    """The first ``words`` rows of (code, n) by count; rows of counts that cannot be among them are not sorted."""
+    levels = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toArrow()
+    enough = np.flatnonzero(np.cumsum(levels["words"].to_numpy()) >= words)
+    if len(enough):
+        counts = counts.where(F.col("n") >= int(levels["n"][int(enough[0])].as_py()))
+    return counts.orderBy(F.desc("n"), "code").limit(words)
+
+
 def trained(docs: DataFrame, shape: Shape, flat: np.ndarray, codes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, int]:
     """Parameters after all rounds of training on ``docs`` (row, text), and the number of words read."""
     spark = docs.sparkSession
@@ -527,7 +543,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = counts.where((F.col("n") >= LEAST_COUNT) & (F.col("n") >= LEAST_SHARE * total)).count()
     size = max(VOCABULARY - 2, frequent)
-    top = counts.orderBy(F.desc("n"), "code").limit(max(SENT_WORDS, size + 1)).toArrow()
+    top = most_frequent(counts, max(SENT_WORDS, size + 1)).toArrow()
     top_code, top_n = top["code"].to_numpy().view(np.uint64), top["n"].to_numpy()
     plain = top_code != END
     model_code = np.concatenate([[END], top_code[plain][:size]]).astype(np.uint64)

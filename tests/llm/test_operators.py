@@ -627,6 +627,17 @@ def test_places_of_codes():
         assert recurrent_lm.Places(codes)(asked).tolist() == [at.get(int(c), len(codes)) for c in asked]
 
 
+def test_most_frequent_words_are_chosen_by_count_first(spark):
+    counts = spark.createDataFrame([(k * 7 % 101, (1, 1, 1, 2, 2, 5, 9)[k % 7]) for k in range(101)], "code long, n long")
+    rows = sorted(((r.n, r.code) for r in counts.collect()), key=lambda r: (-r[0], r[1]))
+    for words in (1, 14, 15, 40, 101, 500):
+        chosen = recurrent_lm.most_frequent(counts, words)
+        assert [(r.n, r.code) for r in chosen.collect()] == rows[:words]
+    # rows of smaller counts leave before the sort
+    plan = recurrent_lm.most_frequent(counts, 14)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(n" in plan and ">= 9" in plan
+
+
 def test_shares_of_all_words_make_one():
     counts = np.random.default_rng(1).integers(1, 90, 403)
     for words in (2, 3, 70, 403):
