@@ -13,13 +13,15 @@ Jaccard distance is a metric, and three kinds of pivots divide its space:
 3. *Texts.* What hangs together after that is a cluster. Within it texts are pivots:
    each text belongs to the Voronoi region of its nearest pivot, and to every region
    whose pivot is no more than twice the threshold farther away, so that linked texts
-   share a region; regions are joined recursively. A region that no longer shrinks
-   peels off one pivot at a time: with m the distance of the nearest text beyond the
+   share a region; regions are joined recursively. A region that does not shrink, or a
+   small one, peels off some pivots: with m the distance of the nearest text beyond the
    threshold r, only texts at m - r or more can still link outwards. Texts that already
-   hang together need no further test.
+   hang together need no further test; those outside the largest component are then
+   measured against all in blocks, whose intersections are matrix products.
 
-Clusters of bounded size are joined in one task each. A larger one is measured in
-rounds, against a few pivots at a time, by as many tasks as it fills.
+Clusters of bounded size are joined in one task each. A larger one is cut into blocks:
+two rounds measure all texts against a few pivots, then each block of those that still
+lie outside the largest component meets each block of the cluster in a task.
 
 Equal sets are one class throughout, so copies cost one row each.
 """
@@ -46,8 +48,19 @@ COMMON = 1 << 16
 LOCAL_REGION = 2048
 #: Clusters of up to so many shingles, repeats included, are joined in one task.
 LOCAL_SHINGLES = 1 << 22
-#: Pivots of a larger cluster in one round.
+#: Pivots of a larger cluster in one round, and rounds before its blocks are joined.
 ROUND_PIVOTS = 32
+PIVOT_ROUNDS = 2
+#: Shingles in a block of a larger cluster, about; a text with more is a block.
+BLOCK_SHINGLES = 1 << 21
+#: Regions of up to so many texts are not divided by Voronoi regions.
+WHOLE_REGION = 1024
+#: Texts that a region peels off before the rest is measured in blocks.
+PEELED = 8
+#: Numbers in a matrix of a block, at most; the sides of a block are one text at least.
+CELLS = 1 << 22
+#: Numbers in the matrix of a region's most common shingles, at most.
+DENSE_CELLS = 1 << 24
 #: A text has about one coordinate per so many shingles.
 SHINGLES_PER_PART = 8
 #: Numbers in a table of folded coordinates, at most.
@@ -317,25 +330,29 @@ class Cluster:
             both = np.array([self.mark[self.ids[self.ends[i] : self.ends[i + 1]]].sum() for i in rows])
         self.mark[own] = 0
         union = self.size[rows] + self.size[pivot] - both
-        for i in rows[100 * both >= self.percent * union]:
-            if self.root[i] != self.root[pivot]:
-                low, high = sorted((self.root[i], self.root[pivot]))
-                self.root[self.root == high] = low
-                self.links.append((int(i), int(pivot)))
+        hits = rows[100 * both >= self.percent * union]
+        for i in hits[self.root[hits] != self.root[pivot]]:
+            self.link(int(i), pivot)
         return 1 - both / union
 
     def join(self, rows: np.ndarray) -> None:
         todo = [rows]
         while todo:
             rows = todo.pop()
-            if len(rows) < 2 or len(np.unique(self.root[rows])) == 1:
-                continue
-            if len(rows) > 64:
+            if len(rows) > WHOLE_REGION and len(np.unique(self.root[rows])) > 1:
                 cells = self.voronoi(rows)
-                if max(map(len, cells)) < 0.7 * len(rows):
+                if 2 * sum(len(cell) ** 2 for cell in cells) < len(rows) ** 2:
                     todo += cells
                     continue
-            todo.append(self.peeled(rows))
+            peeled = 0
+            while len(rows) > 1 and len(np.unique(self.root[rows])) > 1:
+                if peeled < PEELED or len(rows) <= 64:
+                    rows = self.peeled(rows)
+                    peeled += 1
+                else:
+                    names, counts = np.unique(self.root[rows], return_counts=True)
+                    self.cross(rows[self.root[rows] != names[counts.argmax()]], rows)
+                    break
 
     def voronoi(self, rows: np.ndarray) -> list[np.ndarray]:
         """Regions of the nearest of some distant pivots, with the texts in reach of each."""
@@ -362,6 +379,71 @@ class Cluster:
         live = distance >= distance[outer].min() - self.radius - 1e-9
         return rows[live & (rows != pivot)]
 
+    def occurrences(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in ``rows`` and the ids of all shingles of these texts."""
+        place = np.repeat(np.arange(len(rows)), self.size[rows])
+        return place, self.ids[ranges(self.ends[rows], self.size[rows])]
+
+    def cross(self, some: np.ndarray, rows: np.ndarray) -> None:
+        """Join the components of all linked pairs of a text in ``some`` and one in ``rows``.
+
+        Shingles that many of the rows hold are columns of a matrix, and a product counts
+        those that two texts share; of the others, each pair that shares one is counted.
+        """
+        n = len(rows)
+        place, ids = self.occurrences(rows)
+        held = np.bincount(ids, minlength=len(self.mark))
+        column = np.full(len(held), -1)
+        common = np.argsort(-held, kind="stable")[: max(1, DENSE_CELLS // n)]
+        common = common[8 * held[common] >= n]
+        column[common] = np.arange(len(common))
+
+        def matrix(place: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+            # whole numbers below 2 ** 24 are exact
+            out = np.zeros((n, len(common)), dtype=np.float32 if self.size.max() < 1 << 24 else np.float64)
+            at = column[ids]
+            out[place[at >= 0], at[at >= 0]] = 1
+            return out
+
+        dense = matrix(place, ids, n).T
+        place, ids = place[column[ids] < 0], ids[column[ids] < 0]
+        order = np.argsort(ids, kind="stable")
+        holders, rare = place[order], np.where(column < 0, held, 0)
+        first = np.cumsum(rare) - rare
+        step = max(1, CELLS // n)
+        for at in range(0, len(some), step):
+            block = some[at : at + step]
+            place, ids = self.occurrences(block)
+            both = (matrix(place, ids, len(block)) @ dense).astype(np.int64)
+            place, ids = place[rare[ids] > 0], ids[rare[ids] > 0]
+            pairs = np.cumsum(rare[ids])
+            done = 0
+            while done < len(ids):
+                last = max(done + 1, int(np.searchsorted(pairs, (pairs[done - 1] if done else 0) + CELLS, "right")))
+                own, times = ids[done:last], rare[ids[done:last]]
+                cell = np.repeat(place[done:last] * n, times) + holders[ranges(first[own], times)]
+                both += np.bincount(cell, minlength=both.size).reshape(both.shape)
+                done = last
+            least = self.percent * (self.size[block][:, None] + self.size[rows][None, :])
+            linked = (100 + self.percent) * both >= least
+            for i in np.flatnonzero((linked & (self.root[rows] != self.root[block][:, None])).any(axis=1)):
+                hits = rows[linked[i]]
+                for j in hits[np.unique(self.root[hits], return_index=True)[1]]:
+                    self.link(int(block[i]), int(j))
+
+    def link(self, i: int, j: int) -> None:
+        """Join the components of two linked texts."""
+        if self.root[i] != self.root[j]:
+            low, high = sorted((self.root[i], self.root[j]))
+            self.root[self.root == high] = low
+            self.links.append((i, j))
+
+
+def ranges(first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, as many as ``times`` says, one range after the other."""
+    ends = np.cumsum(times)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - times), times)
+
 
 def local_links(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that span the components of each cluster; a task holds some clusters."""
@@ -384,46 +466,76 @@ def local_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "a long, b long")
 
 
-def round_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of clusters too large for a task, against ``ROUND_PIVOTS`` pivots a round.
+def block_links(rows: DataFrame, some: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the listed texts (cluster, code) with all texts of their clusters, block by block.
 
-    Pivots are texts outside the largest component so far. A cluster is done when all
-    its texts hang together, or each of the others has been a pivot.
+    They span what the links of each pair of blocks join.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for table in keyed_runs(batches, ["cluster", "left", "right"]):
+            keys = [table[name].to_numpy() for name in ("cluster", "left", "right")]
+            code, listed = table["code"].to_numpy(), table["listed"].to_numpy()
+            edges = np.append(starts_of(*keys), len(code))
             a, b = [], []
-            pivots = batch.column("pivots").to_pylist()
-            for code, data, others in zip(batch.column("code").to_pylist(), batch.column("shingles").to_pylist(), pivots):
-                own = np.frombuffer(data, np.uint64)
-                for other in others:
-                    if other["code"] != code:
-                        theirs = np.frombuffer(other["shingles"], np.uint64)
-                        both = len(np.intersect1d(own, theirs, assume_unique=True))
-                        if 100 * both >= percent * (len(own) + len(theirs) - both):
-                            a.append(code)
-                            b.append(other["code"])
+            for first, last in zip(edges[:-1], edges[1:]):
+                own = listed[first:last]
+                if own.all() or not own.any():
+                    continue
+                sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].slice(first, last - first).to_pylist()]
+                one = Cluster(sets, percent)
+                one.cross(np.flatnonzero(own), np.flatnonzero(~own))
+                a += [code[first + i] for i, _ in one.links]
+                b += [code[first + j] for _, j in one.links]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    def blocks(table: DataFrame, name: str) -> DataFrame:
+        return table.groupBy("cluster").agg(
+            F.ceil(F.sum(F.length("shingles") / 8) / BLOCK_SHINGLES).cast("int").alias(name))
+
+    def place(n: str):
+        return F.pmod(F.xxhash64("code"), F.col(n)).cast("int")
+
+    def each(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    chosen = rows.join(some.select("cluster", "code"), ["cluster", "code"], "left_semi")
+    sizes = blocks(chosen, "n_left").join(blocks(rows, "n_right"), "cluster")
+    sizes = staged(sizes, "blocks")
+    left = chosen.join(sizes, "cluster").select(
+        "cluster", place("n_left").alias("left"), each("n_right").alias("right"), F.lit(True).alias("listed"), "code", "shingles")
+    right = rows.join(sizes, "cluster").select(
+        "cluster", each("n_left").alias("left"), place("n_right").alias("right"), F.lit(False).alias("listed"), "code", "shingles")
+    both = left.union(right).repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
+    return staged(both.mapInArrow(run, "a long, b long"), "links")
+
+
+def large_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links of clusters too large for a task.
+
+    Rounds against ``ROUND_PIVOTS`` pivots, texts outside the largest component so far,
+    find most of that component. Of two texts that are linked and not both in it, one is
+    outside: those that have not been pivots are then measured against all.
+    """
     rows = staged(rows, "large")
     state = rows.select("cluster", "code", F.col("code").alias("component"), F.lit(False).alias("used"))
     links = None
-    while True:
+    for rounds in range(PIVOT_ROUNDS + 1):
         counts = state.groupBy("cluster", "component").count()
         main = counts.groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        open_ = state.join(main, "cluster").where("component <> main and not used")
-        first = Window.partitionBy("cluster").orderBy("code")
-        chosen = staged(open_.withColumn("k", F.row_number().over(first)).where(F.col("k") <= ROUND_PIVOTS).select(
-            "cluster", "code"), "pivots")
+        chosen = state.join(main, "cluster").where("component <> main and not used").select("cluster", "code")
+        if rounds < PIVOT_ROUNDS:
+            first = Window.partitionBy("cluster").orderBy("code")
+            chosen = chosen.withColumn("k", F.row_number().over(first)).where(F.col("k") <= ROUND_PIVOTS).drop("k")
+        chosen = staged(chosen, "pivots")
         if chosen.isEmpty():
             return links
-        packed = rows.join(chosen, ["cluster", "code"], "left_semi").groupBy("cluster").agg(
-            F.collect_list(F.struct("code", "shingles")).alias("pivots"))
-        new = staged(rows.join(packed, "cluster").mapInArrow(run, "a long, b long"), "links")
+        new = block_links(rows, chosen, percent)
         links = new if links is None else links.union(new)
+        if rounds == PIVOT_ROUNDS:
+            return links
         known = components(links).select(F.col("vertex").alias("code"), F.col("component").alias("now"))
         before, used = state, chosen.withColumn("new", F.lit(True))
         state = staged(state.join(known, "code", "left").join(used, ["cluster", "code"], "left").select(
@@ -468,7 +580,7 @@ def jaccard_components(
     small = F.col("total") <= LOCAL_SHINGLES
     links = local_links(rows.where(small).drop("total"), percent)
     if not rows.where(~small).isEmpty():
-        links = links.union(round_links(rows.where(~small).drop("total"), percent))
+        links = links.union(large_links(rows.where(~small).drop("total"), percent))
     joined = components(links)
     named = table.select("doc_id", "n_shingles", "code").join(
         joined.select(F.col("vertex").alias("code"), "component"), "code", "left")

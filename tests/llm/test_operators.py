@@ -170,6 +170,80 @@ def test_metric_join_of_a_cluster():
     assert (cluster.root == least).all()
 
 
+def variants_of_one(n: int, words: int, rng) -> list[list[str]]:
+    """Texts of one base, some words replaced: near the threshold, a part of them links with no other."""
+    base = [f"w{k}" for k in range(words)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        for k in rng.choice(words, rng.integers(1, words // 12), replace=False):
+            text[k] = f"x{i}_{k}"
+        out.append(text)
+    return out
+
+
+def test_a_group_near_the_threshold_is_not_measured_text_by_text(monkeypatch):
+    rng = np.random.default_rng(4)
+    number = {}
+    sets = []
+    for text in variants_of_one(1500, 130, rng):
+        grams = {tuple(text[k : k + 5]) for k in range(len(text) - 4)}
+        sets.append(np.array(sorted(number.setdefault(g, len(number)) for g in grams), dtype=np.uint64))
+    measured, measure = [], jaccard_join.Cluster.measure
+    monkeypatch.setattr(jaccard_join.Cluster, "measure", lambda self, *a: measured.append(1) or measure(self, *a))
+    cluster = jaccard_join.Cluster(sets, 80)
+    cluster.join(np.arange(len(sets)))
+    held = np.zeros((len(sets), len(number)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        held[i, s.astype(int)] = 1
+    both, size = held @ held.T, np.array([len(s) for s in sets])
+    alike = 100 * both >= 80 * (size[:, None] + size - both)
+    least = np.arange(len(sets))
+    while True:
+        new = np.array([least[row].min() for row in alike])
+        if (new == least).all():
+            break
+        least = new
+    assert (cluster.root == least).all()
+    alone = np.unique(least, return_counts=True)[1]
+    assert alone.max() > 300 and (alone == 1).sum() > 300
+    assert len(cluster.links) == len(sets) - len(alone)
+    assert len(measured) <= 50
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 200])
+def test_products_of_blocks_count_common_and_rare_shingles(monkeypatch, cells):
+    monkeypatch.setattr(jaccard_join, "CELLS", cells)
+    monkeypatch.setattr(jaccard_join, "DENSE_CELLS", cells)
+    rng = np.random.default_rng(8)
+    sets = [np.unique(np.concatenate([np.arange(rng.integers(5, 30)), rng.choice(200, rng.integers(1, 12))])).astype(np.uint64)
+            for _ in range(90)]
+    cluster = jaccard_join.Cluster(sets, 80)
+    cluster.cross(np.arange(30), np.arange(30, 90))
+    root = np.arange(90)
+    for i in range(30):
+        for j in range(30, 90):
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])):
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    assert (cluster.root == root).all() and len(np.unique(root)) < 90
+    assert all(i < 30 <= j for i, j in cluster.links)
+
+
+def test_rounds_of_a_large_cluster_do_not_grow_with_it(spark, monkeypatch):
+    texts = {i: " ".join(t) for i, t in enumerate(variants_of_one(45, 130, np.random.default_rng(6)))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rounds, staged = [], jaccard_join.staged
+    monkeypatch.setattr(jaccard_join, "staged", lambda df, name: rounds.append(name) or staged(df, name))
+    monkeypatch.setattr(jaccard_join, "LOCAL_SHINGLES", 1)
+    monkeypatch.setattr(jaccard_join, "ROUND_PIVOTS", 1)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 1500, raising=False)
+    got = jaccard_join.jaccard_components(docs).collect()
+    expected = jaccard(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
+    assert len(Counter(c for _, c in expected.values())) > 10
+    assert 2 < rounds.count("pivots") <= 3
+
+
 def brute_repeats(texts: dict, length: int):
     data = {i: (t or "").encode() for i, t in texts.items()}
     count = Counter(b[k : k + length] for b in data.values() for k in range(len(b) - length + 1))
