@@ -6,7 +6,7 @@ one item. Entities are keyed by their URI, ``json_id``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -307,11 +307,14 @@ def flood_areas(items: DataFrame) -> DataFrame:
     )
 
 
-def area_polygons(areas: DataFrame, documents: DataFrame) -> DataFrame:
-    """``areas`` with their landed polygon text; areas without a usable document are left out."""
+def area_polygons(areas: DataFrame, documents: DataFrame, how: str = "inner", also: Sequence[str] = ()) -> DataFrame:
+    """``areas`` with their landed polygon text; areas without a usable document are left out.
+
+    ``left`` keeps those, without a polygon; ``also`` names further columns of the areas to keep.
+    """
     accepted = documents.select("fwdcode", J.accepted_geojson(F.col("polygon_json")).alias("polygon_json"))
     return (
-        areas.select("floodarea_id", "fwdcode", "lat", "long", "geom4326", "geom27700")
-        .join(accepted.where(F.col("polygon_json").isNotNull()), "fwdcode")
+        areas.select("floodarea_id", "fwdcode", "lat", "long", "geom4326", "geom27700", *also)
+        .join(accepted.where(F.col("polygon_json").isNotNull()), "fwdcode", how)
         .withColumn("polygon_geom", geojson_multipolygon(F.col("polygon_json")))
     )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.notation import station_id_of
+from .area_metrics import AREA_KEYS
 from .joins import lookup
 
 
@@ -42,9 +45,15 @@ def colocated_pairs(links: DataFrame, stations: DataFrame) -> DataFrame:
     return lookup(links, linked, ["colocated_id"], "inner")
 
 
-def area_view(areas: DataFrame, polygons: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Areas with polygon and metrics, one row per area; absent parts are null."""
-    located = polygons.select("floodarea_id", "lat", "long", "polygon_json")
+def area_view(
+    areas: DataFrame, polygons: DataFrame | Callable[[DataFrame, list[str]], DataFrame], metrics: DataFrame
+) -> DataFrame:
+    """Areas with polygon and metrics, one row per area and polygon; absent parts are null.
+
+    ``polygons`` is a table of polygons by area, or a function that adds them to areas
+    and keeps the named columns, and the areas that have none. The function is applied
+    last, so that where an area has many polygons no row of the result is shuffled.
+    """
     measured = metrics.select(
         "floodarea_id",
         "bbox_wgs84_min_lat", "bbox_wgs84_min_long", "bbox_wgs84_max_lat", "bbox_wgs84_max_long",
@@ -54,7 +63,14 @@ def area_view(areas: DataFrame, polygons: DataFrame, metrics: DataFrame) -> Data
     described = areas.select(
         "floodarea_id", "fwdcode", "eaareaname", "county", "description", "label", "riverorsea"
     )
-    joined = described.join(located, "floodarea_id", "left").join(measured, "floodarea_id", "left")
+    if callable(polygons):
+        whole = areas.join(measured, "floodarea_id", "left")
+        also = [name for name in (*described.columns, *measured.columns) if name not in AREA_KEYS]
+        located = F.col("polygon_json").isNotNull()
+        joined = polygons(whole, also).withColumns({name: F.when(located, F.col(name)) for name in ("lat", "long")})
+    else:
+        located = polygons.select("floodarea_id", "lat", "long", "polygon_json")
+        joined = described.join(located, "floodarea_id", "left").join(measured, "floodarea_id", "left")
     return joined.select(
         *described.columns,
         "lat", "long",

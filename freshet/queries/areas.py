@@ -151,9 +151,11 @@ def parameterized_sql(spark, sf_dir):
 def area_view(spark, sf_dir):
     null_point = F.lit(None).cast("struct<srid:int,x:double,y:double>")
     areas = derive(spark, sf_dir, AREAS).withColumns({"geom4326": null_point, "geom27700": null_point})
-    shapes = staged(area_polygons(areas, polygons(spark, sf_dir).select("fwdcode", "polygon_json")), "polygons")
-    metrics = with_rank(staged(area_metrics(shapes), "metrics"))
-    view = relations.area_view(areas, shapes, metrics)
+    documents = polygons(spark, sf_dir)
+    # measured once per document: a code is cut to five digits, so that many areas may share the documents of one
+    metrics = with_rank(staged(area_metrics(documents), "metrics"))
+    texts = documents.select("fwdcode", "polygon_json")
+    view = relations.area_view(areas, lambda rows, also: area_polygons(rows, texts, "left", also), metrics)
     return view.select(
         "floodarea_id", "fwdcode", "eaareaname", "county", "description", "label", "riverorsea", "lat", "long",
         millimetres("bcen_bng_long"),
